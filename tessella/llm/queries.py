@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, simhash
+from . import bpe, decontaminate, pii, quality, simhash
 from .common import read
 
 
@@ -30,11 +30,20 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.getField("kind") != "term")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.getField("kind"), s.getField("start"), s.getField("end"))), ",")
+    of = lambda kind: F.filter("spans", lambda s: s.getField("kind") == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.annotate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op6_quality, op8_bpe, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op6_quality, op8_bpe, op9_pii, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
