@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, simhash
-from .common import read
+from . import bpe, decontaminate, langid, pii, quality, simhash, token_rollup, urls
+from .common import materialize, read, shared_dir
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by all evidence, every document by text and source; learnt from the documents that op6 may learn from too."""
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    languages, model = langid.train(docs, _learnable(F.col("doc_id")))
+    rows = langid.pages_as_rows(pages).unionByName(langid.documents_as_rows(docs))
+    return langid.identify(rows, languages, model, ["doc_id", "page_id"])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +25,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after loading all documents, deleting toxic ones, revising low-quality ones to their distinct lines, and replays."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    versions = {"words": token_rollup.count_words, "byte_bpe_50k": token_rollup.rank_file_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
+    counts = materialize(token_rollup.count_tokens(docs, versions), "token_counts")
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    poor = labels.filter("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    lines = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    log = token_rollup.RollupLog(spark, f"{shared_dir(spark)}/tessella/rollup-{uuid.uuid4().hex}")
+    batches = {"load": lambda: token_rollup.inserted(counts), "toxic": lambda: token_rollup.deleted(counts.join(toxic, "doc_id", "left_semi")),
+               "lines": lambda: token_rollup.revised(counts.join(poor, "doc_id", "left_semi"), token_rollup.count_tokens(lines, versions))}
+    for batch_id in ("load", "toxic", "lines", "toxic", "load"):
+        log.commit(batch_id, batches[batch_id]())
+    return log.totals()
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.page_outcomes(pages, read(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
 def _learnable(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
@@ -45,5 +76,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op6_quality, op8_bpe, op9_pii, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op4_token_counts, op5_url_filter, op6_quality, op8_bpe, op9_pii, op10_decontaminate)}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.ORACLE}
