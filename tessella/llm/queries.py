@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pii, quality, simhash, token_rollup, urls
+from . import ann, bpe, decontaminate, langid, pii, quality, simhash, token_rollup, urls
 from .common import materialize, read, shared_dir
 
 
@@ -56,6 +56,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (~_learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -76,5 +80,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op4_token_counts, op5_url_filter, op6_quality, op8_bpe, op9_pii, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op4_token_counts, op5_url_filter, op6_quality, op7_neighbours, op8_bpe, op9_pii, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.ORACLE}
