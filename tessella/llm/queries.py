@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, pii, quality, simhash, token_rollup, urls
+from . import ann, bpe, decontaminate, langid, pii, quality, repeats, simhash, token_rollup, urls
 from .common import materialize, read, shared_dir
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(read(spark, sf_dir, "documents"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page by all evidence, every document by text and source; learnt from the documents that op6 may learn from too."""
     docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
@@ -80,5 +85,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op4_token_counts, op5_url_filter, op6_quality, op7_neighbours, op8_bpe, op9_pii, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_language, op3_simhash, op4_token_counts, op5_url_filter, op6_quality, op7_neighbours, op8_bpe, op9_pii, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.ORACLE}
