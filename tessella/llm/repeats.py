@@ -172,7 +172,7 @@ def _anchors(docs: DataFrame, text_col: str, length: int) -> DataFrame:
 
 
 def _contents(units: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``key, c1, c2, rep, unit, s, n, content`` for the runs in ``wanted`` (``unit, rep, runs``)."""
+    """``key, rep, unit, s, n, content`` for the runs in ``wanted`` (``unit, rep, runs``)."""
     joined = units.select("unit", F.col("_order").alias("rep"), "z").join(wanted, ["unit", "rep"]).select("unit", "rep", "z", F.col("runs.key").alias("key"), F.col("runs.s").alias("s"), F.col("runs.n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +182,17 @@ def _contents(units: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for unit, rep, z, keys, s, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 text = unpack(z)
                 for k, a, m in zip(keys, s, n):
-                    content = text[a : a + m + length - 1]
-                    digest = hashlib.blake2b(content, digest_size=16).digest()
-                    out.append((k, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), rep, unit, a, m, content))
+                    out.append((k, rep, unit, a, m, text[a : a + m + length - 1]))
                 if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
             if out:
                 yield batch_of(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["key", "c1", "c2", "rep", "unit", "s", "n", "content"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["key", "rep", "unit", "s", "n", "content"]
     batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-    return joined.mapInArrow(run, "key bigint, c1 bigint, c2 bigint, rep bigint, unit binary, s int, n int, content binary")
+    return joined.mapInArrow(run, "key bigint, rep bigint, unit binary, s int, n int, content binary")
 
 
 def repeated_windows(contents: list[bytes], order: np.ndarray, length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -215,25 +213,25 @@ def _sort_in_task(length: int, keep_first: bool):
     def solve(members: list[tuple]) -> pa.RecordBatch:
         groups: dict[tuple, list[tuple]] = {}
         for m in members:
-            groups.setdefault(m[:3], []).append(m)
-        firsts = [min(g, key=lambda m: (m[3], m[4], m[5])) for g in groups.values()]
+            groups.setdefault((m[0], m[5]), []).append(m)
+        firsts = [min(g, key=lambda m: m[1:4]) for g in groups.values()]
         rank = np.empty(len(firsts), np.int64)
-        rank[sorted(range(len(firsts)), key=lambda i: firsts[i][3:6])] = np.arange(len(firsts))
-        earlier, later = repeated_windows([f[7] for f in firsts], rank, length)
+        rank[sorted(range(len(firsts)), key=lambda i: firsts[i][1:4])] = np.arange(len(firsts))
+        earlier, later = repeated_windows([f[5] for f in firsts], rank, length)
         out = []
         for group, first, before, after in zip(groups.values(), firsts, earlier, later):
             whole = len(group) > 1
             for m in group:
                 if whole and (not keep_first or m is not first):
-                    out.append((m[4], m[5], m[5] + m[6]))
+                    out.append((m[2], m[3], m[3] + m[4]))
                 else:
-                    out += [(m[4], m[5] + a, m[5] + b) for a, b in _runs(before if keep_first else before | after)]
+                    out += [(m[2], m[3] + a, m[3] + b) for a, b in _runs(before if keep_first else before | after)]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], ["unit", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pending, size, last = [], [], 0, None  # held: finished grams; pending: rows of the last one
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if row[0] != last:
                     if len(pending) > 1:
                         held += pending
@@ -241,10 +239,10 @@ def _sort_in_task(length: int, keep_first: bool):
                     if size > ARRAY_BYTES and held:
                         yield solve(held)
                         held, size = [], 0
-                if pending and pending[-1][:3] == row[:3]:
-                    row = (*row[:7], pending[-1][7])  # equal runs share their bytes
+                if pending and pending[-1][5] == row[5]:
+                    row = (*row[:5], pending[-1][5])  # equal runs share their bytes
                 else:
-                    size += len(row[7])
+                    size += len(row[5])
                 pending.append(row)
         if len(pending) > 1:
             held += pending
@@ -256,6 +254,7 @@ def _sort_in_task(length: int, keep_first: bool):
 def _count_as_rows(members: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """The same as ``_sort_in_task`` for hot grams, with aggregates and joins only between tasks."""
     id_ = F.struct("rep", "unit", "s")
+    members = members.withColumns({"c1": F.xxhash64("content"), "c2": F.unhex(F.md5("content"))})
     runs = materialize(members.groupBy("key", "c1", "c2").agg(F.count("*").alias("n_runs"), F.min(id_).alias("first")), "hot_runs")
     distinct = members.join(runs, ["key", "c1", "c2"]).filter(id_ == F.col("first")).select("key", "c1", "c2", "rep", "unit", "s", "content")
 
@@ -266,10 +265,10 @@ def _count_as_rows(members: DataFrame, length: int, keep_first: bool) -> DataFra
                 digests = [hashlib.blake2b(content[a : a + length], digest_size=16).digest() for a in range(len(content) - length + 1)]
                 n = len(digests)
                 same = lambda x, t: pa.array([x] * n, t)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), same(key, pa.int64()), same(c1, pa.int64()), same(c2, pa.int64()), same(rep, pa.int64()), same(unit, pa.binary()), pa.array(range(s, s + n), pa.int32()), pa.array(range(n), pa.int32())],
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), same(key, pa.int64()), same(c1, pa.int64()), same(c2, pa.binary()), same(rep, pa.int64()), same(unit, pa.binary()), pa.array(range(s, s + n), pa.int32()), pa.array(range(n), pa.int32())],
                                                  ["w", "key", "c1", "c2", "rep", "unit", "at", "o"])
 
-    rows = materialize(distinct.mapInArrow(windows, "w binary, key bigint, c1 bigint, c2 bigint, rep bigint, unit binary, at int, o int"), "hot_windows")
+    rows = materialize(distinct.mapInArrow(windows, "w binary, key bigint, c1 bigint, c2 binary, rep bigint, unit binary, at int, o int"), "hot_windows")
     place = F.struct("rep", "unit", "at")
     counted = rows.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1")
     hit = rows.join(counted, "w").filter((place != F.col("least")) if keep_first else F.lit(True)).groupBy("key", "c1", "c2").agg(F.collect_set("o").alias("hits"))  # a run's windows
@@ -284,15 +283,16 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
     ``keep`` (the id by default)."""
     keep = [id_col] if keep is None else keep
     anchors = materialize(_anchors(docs, text_col, length), "anchors")
-    grams = anchors.groupBy("key").agg(F.count("*").alias("n_key")).filter("n_key > 1")
+    # a table, so that the join below shuffles both sides and splits the grams of very common lines
+    grams = materialize(anchors.groupBy("key").agg(F.count("*").alias("n_key")).filter("n_key > 1"), "grams")
     units = _units(docs, id_col, text_col, keep)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     copies = materialize(docs.select(F.unhex(F.md5(text)).alias("unit"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_order")).groupBy("unit").agg(F.count("*").alias("copies"), F.min("_order").alias("rep")), "units")
-    candidates = anchors.join(grams, "key").select("unit", F.struct("key", "s", "n").alias("run"), (F.col("n_key") > hot).alias("hot")).distinct()
-    wanted = materialize(candidates.groupBy("unit", "hot").agg(F.collect_list("run").alias("runs")).join(copies, "unit"), "runs").drop("copies")  # a text's runs
+    candidates = anchors.join(grams, "key").select("unit", F.struct("key", "s", "n").alias("run"), (F.col("n_key") > hot).alias("hot"))
+    wanted = materialize(candidates.groupBy("unit", "hot").agg(F.collect_set("run").alias("runs")).join(copies, "unit"), "runs").drop("copies")  # a text's runs
     drop_table(anchors)
     members = _contents(units, wanted.filter(~F.col("hot")).drop("hot"), length)
-    found = members.repartition("key").sortWithinPartitions("key", "c1", "c2").mapInArrow(_sort_in_task(length, keep_first), "unit binary, a int, b int")
+    found = members.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_sort_in_task(length, keep_first), "unit binary, a int, b int")
     if not wanted.filter("hot").isEmpty():
         hot_members = materialize(_contents(units, wanted.filter("hot").drop("hot"), length), "hot_members")
         found = found.unionByName(_count_as_rows(hot_members, length, keep_first))
