@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from importlib import import_module
+
+from .common import ORACLE_SQL, QUERIES
+
+MODULES = ("basics", "entities", "roads", "places", "surfaces", "operations")
+
+for _name in MODULES:
+    import_module(f"{__package__}.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
