@@ -37,10 +37,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = materialize(token_rollup.count_tokens(docs, versions), "token_counts")
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
     poor = labels.filter("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    lines = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    # only documents with repeated lines change; their new counts are small rows, so no text is shuffled
+    distinct_lines = F.array_join(F.array_distinct(F.split("text", "\\n")), "\n")
+    changed = docs.withColumn("_lines", distinct_lines).filter(F.col("_lines") != F.col("text")).withColumn("text", F.col("_lines"))
+    after = materialize(token_rollup.count_tokens(changed, versions).join(poor, "doc_id", "left_semi"), "token_counts_after")
+    before = counts.join(after.select("doc_id").distinct(), "doc_id", "left_semi")
     log = token_rollup.RollupLog(spark, f"{shared_dir(spark)}/tessella/rollup-{uuid.uuid4().hex}")
     batches = {"load": lambda: token_rollup.inserted(counts), "toxic": lambda: token_rollup.deleted(counts.join(toxic, "doc_id", "left_semi")),
-               "lines": lambda: token_rollup.revised(counts.join(poor, "doc_id", "left_semi"), token_rollup.count_tokens(lines, versions))}
+               "lines": lambda: token_rollup.revised(before, after)}
     for batch_id in ("load", "toxic", "lines", "toxic", "load"):
         log.commit(batch_id, batches[batch_id]())
     return log.totals()
