@@ -7,18 +7,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .lines import task_of
 from .spatial import close_pairs
 
 
 def drop_repeats(points: DataFrame, distance: int, by: list[str], key: str = "id") -> DataFrame:
     """Drop each point (in ``key`` order) within ``distance`` on both axes of an earlier kept one that is equal in ``by``.
 
-    The rule is sequential, so components of close points go to one task each; points without a close one pass by."""
+    The rule is sequential, so a component of close points goes to one task; points without a close one pass by."""
     pairs = close_pairs(points, distance, key, by, "box").select("a", "b")
     members = components(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), pairs)
     grouped = points.join(members.withColumnRenamed("node", key), key).select(key, "x", "y", "component")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(group) for _, group in pdf.groupby("component", sort=True)])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
         kept = []
@@ -30,6 +34,6 @@ def drop_repeats(points: DataFrame, distance: int, by: list[str], key: str = "id
                 kept.append(i)
         return pd.DataFrame({key: kept})
 
-    kept = grouped.groupBy("component").applyInPandas(greedy, f"{key} {points.schema[key].dataType.simpleString()}")
+    kept = grouped.groupBy(task_of(grouped, "component", members.count())).applyInPandas(greedy, f"{key} {points.schema[key].dataType.simpleString()}")
     alone = points.join(members.withColumnRenamed("node", key), key, "left_anti")
     return alone.unionByName(points.join(kept, key, "left_semi"))

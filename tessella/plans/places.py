@@ -1 +1,161 @@
-"""Plans."""
+"""Addresses, places and search on the address views."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import grid, text
+from ..operators import addresses, spatial
+from ..operators.components import components
+from ..sources.fixtures import ctes, view
+from .basics import FOLD, KEYS_SQL, X, Y
+from .common import query
+from .roads import EDGES, segments
+
+
+def pieces(spark, sf_dir):
+    """Road segments cut at cell borders, with the name of their way: ``piece, seg, name, ax, ay, bx, by, cx, cy``."""
+    s = segments(spark, sf_dir).filter("ax IS NOT NULL").select("way", "pos", "ax", "ay", F.col("x").alias("bx"), F.col("y").alias("by"))
+    named = s.join(view(spark, sf_dir, "v_way").select("way", "name_id"), "way")
+    cut = spatial.split_at_cells(named, grid.CELL)
+    return cut.select(F.col("way").alias("piece"), "pos", F.col("name_id").alias("name"), F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("qx").alias("bx"), F.col("qy").alias("by"), "cx", "cy")
+
+
+def numbers(spark, sf_dir):
+    a = view(spark, sf_dir, "v_addr").withColumn("n", F.explode(text.house_numbers(F.col("hn"))))
+    return a.select("id", "n", F.col("street_id").alias("name"), F.concat(F.lit("City "), F.col("city_id") % 7).alias("city"), grid.unit_x(F.col("lon")).alias("x"), grid.unit_y(F.col("lat")).alias("y"))
+
+
+NUMBERS = """, hn AS (SELECT id, street_id, city_id, lon, lat, CASE WHEN regexp_matches(hn, '^[0-9]+-[0-9]+$') THEN [CAST(split_part(hn, '-', 1) AS BIGINT), CAST(split_part(hn, '-', 2) AS BIGINT)] WHEN regexp_matches(hn, '^[0-9]+[a-z]?$') THEN [CAST(regexp_extract(hn, '^([0-9]+)', 1) AS BIGINT)] ELSE []::BIGINT[] END AS ns FROM v_addr),
+nm AS (SELECT id, unnest(ns) AS n, street_id AS name, """ + f"{X} AS x, {Y} AS y FROM hn)"
+
+
+@query(EDGES.replace("WITH ", ctes("v_addr", "v_way") + ", ", 1) + NUMBERS + """, sg AS (SELECT s.way AS piece, name_id AS name, ax, ay, s.x AS bx, s.y AS by_ FROM s JOIN v_way w ON w.way = s.way WHERE ax IS NOT NULL),
+ds AS (SELECT nm.id, nm.n, sg.piece, sqrt(pow(nm.x - ax - t * dx, 2) + pow(nm.y - ay - t * dy, 2)) AS d FROM nm JOIN sg ON sg.name = nm.name,
+LATERAL (SELECT bx - ax AS dx, by_ - ay AS dy) l, LATERAL (SELECT least(1.0, greatest(0.0, ((nm.x - ax) * dx + (nm.y - ay) * dy) / greatest(dx * dx + dy * dy, 1e-9))) AS t) m)
+SELECT id, n, round(min(d), 3) AS distance FROM ds GROUP BY id, n HAVING min(d) <= 100 / 0.149""")
+def matched_numbers(spark, sf_dir):
+    """JON5: each house number's distance to the nearest piece of its street within 100 m, found in the 3 by 3 cells around it."""
+    hits = addresses.match_numbers(numbers(spark, sf_dir), pieces(spark, sf_dir))
+    return hits.groupBy("id", "n").agg(F.round(F.min("distance"), 3).alias("distance"))
+
+
+@query("""WITH h AS (SELECT user_id % 300 AS piece, event_id % 2 = 0 AS right_side, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS t, event_id * 31 % 60 AS n, event_id FROM events WHERE event_id % 5 < 2),
+c AS (SELECT piece, right_side, count(*) AS k, count(*) FILTER (WHERE n % 2 = 0) AS even, count(*) FILTER (WHERE n % 2 = 1) AS odd FROM h GROUP BY ALL),
+f AS (SELECT h.*, least(even, odd) > 0.1 * k AS mixed, CASE WHEN least(even, odd) > 0.1 * k OR least(even, odd) = 0 THEN true ELSE n % 2 = CASE WHEN even >= odd THEN 0 ELSE 1 END END AS keep FROM h JOIN c USING (piece, right_side))
+SELECT piece, right_side, min(n) AS lo, max(n) AS hi, bool_or(mixed) AS mixed, CASE WHEN count(DISTINCT t) > 1 AND min(n) <> max(n) THEN corr(t, n) >= -1e-12 ELSE true END AS ascending FROM f WHERE keep GROUP BY piece, right_side""")
+def side_ranges(spark, sf_dir):
+    """AGG11: range, parity and direction of the house numbers on each side of a piece."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 5 < 2")
+    hits = e.select((F.col("user_id") % 300).alias("piece"), (F.col("event_id") % 2 == 0).alias("right_side"), ((F.col("event_id") * 7919 % 1000) / 1000.0).alias("t"), (F.col("event_id") * 31 % 60).alias("n"))
+    return addresses.side_ranges(hits)
+
+
+RADII = addresses.SETTLEMENT_METRES
+
+
+@query(ctes("v_place", "v_addr") + f""", p AS (SELECT id AS place_id, place, name_id, {X} AS px, {Y} AS py, CASE place WHEN 'city' THEN 12000 WHEN 'town' THEN 5000 WHEN 'village' THEN 2000 ELSE 800 END / (2 * pi() * 6371000.0 / 268435456) AS r FROM v_place),
+q AS (SELECT id, {X} AS qx, {Y} AS qy FROM v_addr),
+m AS (SELECT q.id, p.place_id, p.name_id, p.place, sqrt(pow((px - qx) * cos(radians(90.0 - qy / (268435456.0 / 360.0))), 2) + pow(py - qy, 2)) / r AS score, pow((px - qx) * cos(radians(54)), 2) + pow(py - qy, 2) AS d2, r FROM q, p),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, place ORDER BY d2, place_id) AS rk FROM m WHERE d2 <= 1.44 * r * r),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, CASE place WHEN 'city' THEN 0 WHEN 'town' THEN 1 WHEN 'village' THEN 2 ELSE 3 END, rk) AS best FROM k WHERE rk <= 8 AND score < 1)
+SELECT id, place_id, round(score, 6) AS score FROM b WHERE best = 1""")
+def best_places(spark, sf_dir):
+    """JON6: the place with the smallest distance by radius, out of the eight nearest of each type."""
+    a = view(spark, sf_dir, "v_addr").select(F.col("id").alias("q"), grid.unit_x(F.col("lon")).alias("x"), grid.unit_y(F.col("lat")).alias("y"))
+    p = view(spark, sf_dir, "v_place").select(F.col("id").alias("p"), "place", grid.unit_x(F.col("lon")).alias("x"), grid.unit_y(F.col("lat")).alias("y"))
+    best = addresses.best_place(a, p, RADII)
+    return best.select(F.col("q").alias("id"), F.col("p").alias("place_id"), F.round("score", 6).alias("score"))
+
+
+@query(ctes("v_place", "v_addr") + f""", p AS (SELECT id AS place_id, name_id, {X} * cos(radians(54)) AS px, {Y} AS py FROM v_place), q AS (SELECT id, city_id, {X} * cos(radians(54)) AS qx, {Y} AS qy FROM v_addr),
+k AS (SELECT q.id, p.place_id, sqrt(pow(px - qx, 2) + pow(py - qy, 2)) * (2 * pi() * 6371000.0 / 268435456) AS d, row_number() OVER (PARTITION BY q.id ORDER BY pow(px - qx, 2) + pow(py - qy, 2), p.place_id) AS r FROM q JOIN p ON p.name_id = q.city_id)
+SELECT id, place_id, round(d, 2) AS metres FROM k WHERE r = 1 AND d < 30000""")
+def town_anchors(spark, sf_dir):
+    """JON7: the nearest place node of a postal town's name, within 30 km."""
+    scaled = lambda df, key, name: df.select(F.col("id").alias(key), F.col(name).alias("name"), (grid.unit_x(F.col("lon")) * F.cos(F.radians(F.lit(54.0)))).alias("x"), grid.unit_y(F.col("lat")).alias("y"))
+    found = spatial.nearest(scaled(view(spark, sf_dir, "v_addr"), "q", "city_id"), scaled(view(spark, sf_dir, "v_place"), "p", "name_id"), 30000 / grid.METRES_PER_UNIT, 1, ["name"])
+    return found.select(F.col("q").alias("id"), F.col("p").alias("place_id"), F.round(F.sqrt("d2") * grid.METRES_PER_UNIT, 2).alias("metres")).filter("metres < 30000")
+
+
+@query(EDGES.replace("WITH ", ctes("v_way") + ", ", 1) + """, v AS (SELECT name_id AS street, e.way % 9 AS alt, sum(length + 1) AS weight FROM e JOIN v_way w ON w.way = e.way GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY street ORDER BY weight DESC, alt) AS k, sum(weight) OVER (PARTITION BY street) AS total FROM v) SELECT street, alt, CAST(k AS INTEGER) AS k, round(weight, 2) AS weight FROM r WHERE k <= 12 AND weight >= 0.1 * total""")
+def street_places(spark, sf_dir):
+    """AGG12: places of a street by length, at least a tenth, at most twelve."""
+    from ..operators.roads import edge_measures
+
+    e = edge_measures(segments(spark, sf_dir)).join(view(spark, sf_dir, "v_way").select("way", "name_id"), "way")
+    votes = e.groupBy(F.col("name_id").alias("street"), (F.col("way") % 9).alias("alt")).agg(F.sum(F.col("length") + 1).alias("weight"))
+    return addresses.place_votes(votes, "street", "alt").select("street", "alt", "k", F.round("weight", 2).alias("weight"))
+
+
+@query(ctes("v_place") + f""", c AS (SELECT name_id AS name, CAST(floor({X} / 131072) AS BIGINT) AS cx, CAST(floor({Y} / 131072) AS BIGINT) AS cy FROM v_place)
+SELECT name, string_agg(DISTINCT cx || ':' || cy, ',' ORDER BY cx || ':' || cy) AS cells, count(*) AS n FROM c GROUP BY name""")
+def place_results(spark, sf_dir):
+    """AGG14, AGG16: results by name with the set of 4 by 4 cells that they reach."""
+    c = view(spark, sf_dir, "v_place").select(F.col("name_id").alias("name"), grid.cell(grid.unit_x(F.col("lon")), 4 * grid.CELL).alias("cx"), grid.cell(grid.unit_y(F.col("lat")), 4 * grid.CELL).alias("cy"))
+    return c.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "cx", "cy"))), ",").alias("cells"), F.count("*").alias("n"))
+
+
+@query(ctes("v_addr") + r""", k AS (SELECT *, CASE WHEN regexp_matches(postcode, '^[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}$') THEN regexp_extract(postcode, '^([A-Z]{1,2}[0-9][A-Z0-9]?) ?[0-9][A-Z]{2}$', 1) WHEN regexp_matches(split_part(postcode, ' ', 1), '[0-9]') THEN split_part(postcode, ' ', 1) END AS district FROM v_addr)
+SELECT district, count(*) AS n, count(DISTINCT street_id) AS streets, CAST(round_even(avg(lon), 0) AS BIGINT) AS lon, CAST(round_even(avg(lat), 0) AS BIGINT) AS lat FROM k WHERE district IS NOT NULL GROUP BY district""")
+def postcode_districts(spark, sf_dir):
+    """AGG15: postcode districts with their mean point and streets."""
+    a = view(spark, sf_dir, "v_addr").withColumn("district", text.postcode_key(F.col("postcode"))).filter("district IS NOT NULL")
+    return a.groupBy("district").agg(F.count("*").alias("n"), F.countDistinct("street_id").alias("streets"), F.rint(F.avg("lon")).cast("long").alias("lon"), F.rint(F.avg("lat")).cast("long").alias("lat"))
+
+
+@query(ctes("v_name") + KEYS_SQL + ", p AS (SELECT DISTINCT substr(key, 1, n) AS prefix, id FROM k, LATERAL (SELECT unnest(range(1, 4)) AS n) WHERE length(key) >= n) SELECT prefix, count(*) AS results FROM p GROUP BY prefix")
+def prefix_counts(spark, sf_dir):
+    """AGG17, QRY1: distinct results below every prefix of up to three letters."""
+    return addresses.prefix_counts(addresses.search_index(view(spark, sf_dir, "v_name").select("id", "name")), 3)
+
+
+@query(ctes("v_name", "v_place") + KEYS_SQL + ", pq AS (SELECT DISTINCT substr(replace(lower(p_name), ' ', ''), 1, 3) AS query FROM part WHERE p_partkey % 3 = 0), h AS (SELECT query, id, bool_or(key = query) AS exact FROM pq JOIN k ON starts_with(key, query) GROUP BY ALL) SELECT query, id, exact FROM h")
+def prefix_search(spark, sf_dir):
+    """QRY2: batch prefix search, met in buckets of two-letter prefixes."""
+    index = addresses.search_index(view(spark, sf_dir, "v_name").select("id", "name"))
+    q = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 = 0").select(F.substring(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")), 1, 3).alias("query")).distinct()
+    return addresses.prefix_search(index, q)
+
+
+@query(ctes("v_addr") + """, r AS (SELECT name_id, w AS piece, 2 * (w % 40) AS lo, 2 * (w % 40) + 60 AS hi, w % 3 = 0 AS mixed, w % 2 = 0 AS ascending FROM (SELECT o_orderkey AS w, o_custkey % 40 AS name_id FROM orders WHERE o_orderkey % 7 = 0)),
+n AS (SELECT id, street_id, id % 120 AS n FROM v_addr), m AS (SELECT n.id, n.n, r.*, row_number() OVER (PARTITION BY n.id ORDER BY piece) AS k FROM n JOIN r ON r.name_id = n.street_id AND n.n BETWEEN lo AND hi AND (mixed OR n.n % 2 = lo % 2))
+SELECT id, piece, round(CASE WHEN ascending THEN (n - lo + 0.5) / (hi - lo + 1) ELSE 1 - (n - lo + 0.5) / (hi - lo + 1) END, 6) AS t FROM m WHERE k = 1""")
+def geocoded(spark, sf_dir):
+    """QRY3: street and number to the first piece whose range holds it, and the place along it."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 7 = 0")
+    w = F.col("o_orderkey")
+    ranges = o.select((F.col("o_custkey") % 40).alias("street"), w.alias("piece"), (2 * (w % 40)).alias("lo"), (2 * (w % 40) + 60).alias("hi"), (w % 3 == 0).alias("mixed"), (w % 2 == 0).alias("ascending"))
+    wanted = view(spark, sf_dir, "v_addr").select("id", F.col("street_id").alias("street"), (F.col("id") % 120).alias("n"))
+    return addresses.geocode(wanted, ranges).select("id", "piece", F.round("t", 6).alias("t"))
+
+
+@query(ctes("v_addr") + """, i AS (SELECT id, id % 30 * 2 AS a, id % 30 * 2 + (id % 6) * 4 AS b, CASE id % 3 WHEN 0 THEN 'even' WHEN 1 THEN 'all' ELSE 'odd' END AS kind FROM v_addr),
+s AS (SELECT id, a, b, unnest(range(a, b + 1, CASE kind WHEN 'all' THEN 1 ELSE 2 END)) AS n FROM i WHERE b > a AND b - a <= 400) SELECT id, n, round((n - a) / (b - a)::DOUBLE, 6) AS share FROM s""")
+def interpolated_numbers(spark, sf_dir):
+    """TXT14: numbers along an interpolation line, placed by their share of it."""
+    i = F.col("id")
+    rows = view(spark, sf_dir, "v_addr").select("id", (i % 30 * 2).alias("a"), (i % 30 * 2 + i % 6 * 4).alias("b"), F.when(i % 3 == 0, "even").when(i % 3 == 1, "all").otherwise("odd").alias("kind"))
+    return addresses.interpolate(rows).select("id", "n", F.round("share", 6).alias("share"))
+
+
+@query(ctes("v_place").replace("WITH", "WITH RECURSIVE", 1) + f""", p AS (SELECT id, name_id, {X} AS x, {Y} AS y FROM v_place), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.name_id = b.name_id AND a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 60000.0 * 60000.0),
+r AS (SELECT id AS node, id AS c FROM p UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node), l AS (SELECT node, min(c) AS c FROM r GROUP BY node) SELECT name_id, count(DISTINCT c) AS places FROM l JOIN p ON p.id = l.node GROUP BY name_id""")
+def same_name_places(spark, sf_dir):
+    """AGG13's clusters, ASM12: places of one name that are near each other count once."""
+    p = view(spark, sf_dir, "v_place").select("id", "name_id", grid.unit_x(F.col("lon")).alias("x"), grid.unit_y(F.col("lat")).alias("y"))
+    c = components(p.select(F.col("id").alias("node")), spatial.close_pairs(p, 60000, by=["name_id"]).select("a", "b"))
+    return p.join(c.withColumnRenamed("node", "id"), "id").groupBy("name_id").agg(F.countDistinct("component").alias("places"))
+
+
+@query(ctes("v_place", "v_addr") + f""", d AS (SELECT city_id, CAST(floor({X} / 131072) AS BIGINT) AS cx, CAST(floor({Y} / 131072) AS BIGINT) AS cy FROM v_addr), a AS (SELECT name_id, min({X}) AS px, min({Y}) AS py FROM v_place WHERE id % 2 = 0 GROUP BY 1)
+SELECT DISTINCT city_id, CAST(round_even(coalesce(px, (cx + 0.5) * 131072), 0) AS BIGINT) AS x, CAST(round_even(coalesce(py, (cy + 0.5) * 131072), 0) AS BIGINT) AS y FROM d LEFT JOIN a ON a.name_id = d.city_id""")
+def display_items(spark, sf_dir):
+    """AGG23: distinct display items of places; one without a node takes its cell's centre."""
+    big = 4 * grid.CELL
+    d = view(spark, sf_dir, "v_addr").select("city_id", grid.cell(grid.unit_x(F.col("lon")), big).alias("cx"), grid.cell(grid.unit_y(F.col("lat")), big).alias("cy"))
+    a = view(spark, sf_dir, "v_place").filter("id % 2 = 0").groupBy(F.col("name_id").alias("city_id")).agg(F.min(grid.unit_x(F.col("lon"))).alias("px"), F.min(grid.unit_y(F.col("lat"))).alias("py"))
+    at = lambda p, c: F.rint(F.coalesce(F.col(p), (F.col(c) + 0.5) * big)).cast("long")
+    return d.join(a, "city_id", "left").select("city_id", at("px", "cx").alias("x"), at("py", "cy").alias("y")).distinct()

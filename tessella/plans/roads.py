@@ -1 +1,171 @@
-"""Plans."""
+"""Roads to graph on the way views."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import grid
+from ..operators import entities, lines, roads, spatial
+from ..sources.fixtures import ctes, view
+from .basics import HAVERSINE, SEGMENTS, X, Y, trace_segments
+from .common import query
+
+EDGES = ctes("v_way_ref", "v_way_node") + f""", sh AS (SELECT node FROM v_way_ref GROUP BY node HAVING count(*) > 1),
+p AS (SELECT r.way, r.pos, r.node, {X} AS x, {Y} AS y, sh.node IS NOT NULL AS shared FROM v_way_ref r JOIN v_way_node n ON n.id = r.node LEFT JOIN sh ON sh.node = r.node),
+q AS (SELECT *, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lag(node) OVER w AS before, lead(node) OVER w IS NULL OR lag(node) OVER w IS NULL OR shared AS cut FROM p WINDOW w AS (PARTITION BY way ORDER BY pos)),
+s AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY way ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS edge FROM q),
+e AS (SELECT way, CAST(edge AS INTEGER) AS edge, arg_min(before, pos) AS a, arg_max(node, pos) AS b, count(*) AS points, sum({HAVERSINE.replace('bx', 'x').replace('by_', 'y')}) AS length FROM s WHERE edge > 0 GROUP BY way, edge)"""
+
+
+def segments(spark, sf_dir):
+    refs = view(spark, sf_dir, "v_way_ref")
+    return roads.road_edges(entities.way_points(refs, view(spark, sf_dir, "v_way_node")), entities.shared_nodes(refs))
+
+
+@query(EDGES + " SELECT way, edge, a, b, points, round(length, 3) AS length FROM e")
+def road_edges(spark, sf_dir):
+    """AGG2, WIN1, WIN2, AGG5: edges between cuts with their lengths."""
+    return roads.edge_measures(segments(spark, sf_dir)).select("way", "edge", "a", "b", "points", F.round("length", 3).alias("length"))
+
+
+@query(EDGES + """, z AS (SELECT way, edge, CAST(node % 100 - before % 100 AS DOUBLE) AS dz FROM s WHERE edge > 0)
+SELECT way, CAST(edge AS INTEGER) AS edge, sum(greatest(dz, 0)) AS ascent, sum(greatest(-dz, 0)) AS descent FROM z GROUP BY way, edge""")
+def edge_climbs(spark, sf_dir):
+    """AGG5: ascent and descent of edges, with heights of the points given as a table."""
+    s = segments(spark, sf_dir)
+    return roads.edge_measures(s, s.select("way", "pos", (F.col("node") % 100).cast("double").alias("z"))).select("way", "edge", "ascent", "descent")
+
+
+NODES = EDGES + """, en AS (SELECT DISTINCT node, x, y FROM s WHERE node IN (SELECT a FROM e UNION SELECT b FROM e)),
+g AS (SELECT node, CAST(floor(x / 2 / 65536) AS BIGINT) AS bx, CAST(floor(y / 2 / 65536) AS BIGINT) AS by_, x, y FROM en),
+u AS (SELECT node, bx, by_, CAST(floor((x / 2 - bx * 65536) * (65535.0 / 65536)) AS BIGINT) AS u, CAST(floor((y / 2 - by_ * 65536) * (65535.0 / 65536)) AS BIGINT) AS v FROM g),
+nd AS (SELECT *, CAST(row_number() OVER (PARTITION BY bx, by_ ORDER BY v, u, node) AS INTEGER) AS number FROM u)"""
+
+
+def graph(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    edges = roads.edge_measures(s)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return edges, roads.graph_nodes(s.join(ends, "node", "left_semi"))
+
+
+@query(NODES + ' SELECT node, bx, by_ AS "by", u, v, number FROM nd')
+def graph_nodes(spark, sf_dir):
+    """GRD7, WIN4: graph nodes numbered inside their cells."""
+    return graph(spark, sf_dir)[1]
+
+
+HALF = NODES + """, h AS (SELECT way, edge, a AS node, b AS target, true AS forward FROM e UNION ALL SELECT way, edge, b, a, false FROM e),
+hf AS (SELECT h.way, h.edge, h.forward, f.bx, f.by_ AS "by", f.number, t.bx - f.bx AS dx, t.by_ - f.by_ AS dy, t.number AS target_number, h.node FROM h JOIN nd f ON f.node = h.node JOIN nd t ON t.node = h.target WHERE greatest(abs(t.bx - f.bx), abs(t.by_ - f.by_)) <= 1)"""
+
+
+@query(HALF + ' SELECT way, edge, forward, bx, "by", number, dx, dy, target_number FROM hf')
+def half_edges(spark, sf_dir):
+    """JON12, FLT8, ASM14: both directions of edges that span at most one cell."""
+    edges, nodes = graph(spark, sf_dir)
+    return roads.half_edges(edges, nodes, 1)
+
+
+def edge_ends(spark, sf_dir):
+    edges, nodes = graph(spark, sf_dir)
+    ends = edges.select("way", "edge", F.explode(F.array("a", "b")).alias("node")).join(nodes.select("node", "bx", "by"), "node")
+    return ends.withColumn("rank", F.when(F.col("way") % 5 > 0, (F.col("way") % 5).cast("int")))
+
+
+ENDS = NODES + """, ee AS (SELECT x.way, x.edge, x.node, nd.bx, nd.by_ AS "by", CASE WHEN x.way % 5 > 0 THEN x.way % 5 END AS rank FROM (SELECT way, edge, a AS node FROM e UNION ALL SELECT way, edge, b FROM e) x JOIN nd USING (node)),
+l0 AS (SELECT bx, "by", count(*) AS ends, count(DISTINCT node) AS nodes FROM ee GROUP BY ALL)"""
+
+
+@query(ENDS + ' SELECT bx, "by", ends, nodes FROM l0')
+def cell_loads(spark, sf_dir):
+    """AGG6: edge ends and nodes of graph cells."""
+    return roads.cell_load(edge_ends(spark, sf_dir))
+
+
+@query(ENDS + """, d1 AS (SELECT bx, "by", 1 AS up FROM l0 WHERE ends > 12000 OR nodes > 6000), k1 AS (SELECT * FROM ee WHERE (way, edge) NOT IN (SELECT (way, edge) FROM ee JOIN d1 USING (bx, "by") WHERE rank <= up)),
+l1 AS (SELECT bx, "by", count(*) AS ends, count(DISTINCT node) AS nodes FROM k1 GROUP BY ALL),
+d2 AS (SELECT bx, "by", sum(up) AS up FROM (SELECT * FROM d1 UNION ALL SELECT bx, "by", 1 FROM l1 WHERE ends > 12000 OR nodes > 6000) GROUP BY ALL),
+k2 AS (SELECT * FROM ee WHERE (way, edge) NOT IN (SELECT (way, edge) FROM ee JOIN d2 USING (bx, "by") WHERE rank <= up)) SELECT DISTINCT way, edge FROM k2""")
+def shed_edges(spark, sf_dir):
+    """AGG7: edges left after overfull cells raised their level, two rounds at most."""
+    return roads.shed(edge_ends(spark, sf_dir), 12_000, 6_000, 2)
+
+
+TURN_SQL = """WITH h AS (SELECT user_id % 400 AS node, CAST(row_number() OVER (PARTITION BY user_id % 400 ORDER BY event_id) - 1 AS INTEGER) AS seq, CAST(event_id % 9 AS INTEGER) AS class, CAST(event_id * 7919 % 3600 AS DOUBLE) / 10 AS heading FROM events),
+f AS (SELECT * FROM h WHERE seq < 5), c AS (SELECT *, count(*) OVER (PARTITION BY node) AS n FROM f WHERE class <= 7),
+p AS (SELECT a.node, a.seq AS a, b.seq AS c, row_number() OVER (PARTITION BY a.node ORDER BY a.seq, b.seq) - 1 AS j FROM c a JOIN c b ON a.node = b.node AND a.seq <> b.seq WHERE a.n >= 3 AND ((b.heading - a.heading) % 360 + 360) % 360 - 180 > 35)
+SELECT node, CAST(sum((a + 8 * c) * CAST(pow(2, 6 * j) AS BIGINT)) AS BIGINT) AS turns FROM p GROUP BY node HAVING count(*) <= 5"""
+
+
+@query(TURN_SQL)
+def left_turns(spark, sf_dir):
+    """AGG8: left turns packed by node, on five half-edges a node."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 400).alias("node"), "event_id")
+    h = e.select("node", (F.row_number().over(Window.partitionBy("node").orderBy("event_id")) - 1).alias("seq"), (F.col("event_id") % 9).cast("int").alias("class"), ((F.col("event_id") * 7919 % 3600).cast("double") / 10).alias("heading"))
+    return roads.left_turns(h.filter("seq < 5"))
+
+
+NAMES = "SELECT o_custkey % 12 AS cx, o_orderkey % 5 AS cy, concat('Street ', CASE WHEN o_custkey % 3 = 0 THEN 'of ' ELSE '' END, o_custkey % 40) AS name FROM orders"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT * FROM ({NAMES})) SELECT cx, cy, name, coalesce(4 * CAST(sum(len(string_split(name, ' '))) OVER (PARTITION BY cx, cy ORDER BY lower(name), name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset" FROM n""")
+def name_tables(spark, sf_dir):
+    """WIN6, AGG18, JON13: name tables of cells with word offsets."""
+    n = spark.sql(NAMES.replace("FROM orders", "FROM {o}"), o=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return roads.name_table(n.withColumn("sort_key", F.lower("name")))
+
+
+@query(ctes("v_trace") + SEGMENTS + """, d AS (SELECT *, bx - ax AS dx, by_ - ay AS dy, (SELECT min(ax) + 8000 FROM g) AS x0, (SELECT min(ax) + 20000 FROM g) AS x1, (SELECT min(ay) + 5000 FROM g) AS y0, (SELECT min(ay) + 15000 FROM g) AS y1 FROM g),
+cl AS (SELECT way, pos, greatest(0.0, CASE WHEN dx > 0 THEN (x0 - ax) / dx::DOUBLE WHEN dx < 0 THEN (x1 - ax) / dx::DOUBLE END, CASE WHEN dy > 0 THEN (y0 - ay) / dy::DOUBLE WHEN dy < 0 THEN (y1 - ay) / dy::DOUBLE END) AS t0,
+least(1.0, CASE WHEN dx > 0 THEN (x1 - ax) / dx::DOUBLE WHEN dx < 0 THEN (x0 - ax) / dx::DOUBLE END, CASE WHEN dy > 0 THEN (y1 - ay) / dy::DOUBLE WHEN dy < 0 THEN (y0 - ay) / dy::DOUBLE END) AS t1
+FROM d WHERE NOT (dx = 0 AND (ax < x0 OR ax > x1)) AND NOT (dy = 0 AND (ay < y0 OR ay > y1))),
+k AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(t1) OVER w >= 1 THEN 0 ELSE 1 END AS fresh FROM cl WHERE t0 <= t1 WINDOW w AS (PARTITION BY way ORDER BY pos)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY way ORDER BY pos) AS part FROM k) SELECT way, CAST(part AS BIGINT) AS part, count(*) AS segments, round(sum(t1 - t0), 6) AS share FROM n GROUP BY way, part""")
+def clipped_lines(spark, sf_dir):
+    """ASM5: traces clipped to a box, parts chained."""
+    g = trace_segments(spark, sf_dir)
+    low = g.agg(F.min("ax").alias("x"), F.min("ay").alias("y")).first()
+    box = [F.lit(v) for v in ((low.x or 0) + 8000, (low.y or 0) + 5000, (low.x or 0) + 20000, (low.y or 0) + 15000)]
+    parts = spatial.chain_parts(spatial.clip_segments(g, *box), ["way"])
+    return parts.groupBy("way", "part").agg(F.count("*").alias("segments"), F.round(F.sum(F.col("t1") - F.col("t0")), 6).alias("share"))
+
+
+@query(ctes("v_trace") + SEGMENTS + """, cx AS (SELECT way, pos, (k * 4096 - ax) / (bx - ax)::DOUBLE AS t FROM g, LATERAL (SELECT unnest(range(CAST(floor(least(ax, bx) / 4096.0) AS BIGINT) + 1, CAST(ceil(greatest(ax, bx) / 4096.0) AS BIGINT))) AS k) WHERE ax <> bx),
+cy AS (SELECT way, pos, (k * 4096 - ay) / (by_ - ay)::DOUBLE AS t FROM g, LATERAL (SELECT unnest(range(CAST(floor(least(ay, by_) / 4096.0) AS BIGINT) + 1, CAST(ceil(greatest(ay, by_) / 4096.0) AS BIGINT))) AS k) WHERE ay <> by_),
+ts AS (SELECT way, pos, 0.0::DOUBLE AS t FROM g UNION SELECT way, pos, 1.0 FROM g UNION SELECT * FROM cx UNION SELECT * FROM cy),
+pr AS (SELECT way, pos, t AS t0, lead(t) OVER (PARTITION BY way, pos ORDER BY t) AS t1 FROM ts),
+m AS (SELECT way, pos, floor((ax + (t0 + t1) / 2 * (bx - ax)) / 4096) AS cx, floor((ay + (t0 + t1) / 2 * (by_ - ay)) / 4096) AS cy, (t1 - t0) * sqrt(CAST((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS DOUBLE)) AS len FROM pr JOIN g USING (way, pos) WHERE t1 IS NOT NULL)
+SELECT CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, round(sum(len), 2) AS length FROM m GROUP BY ALL HAVING sum(len) > 0.001""")
+def split_lengths(spark, sf_dir):
+    """ASM7, ASM6: traces cut at cell borders, length by cell."""
+    parts = spatial.split_at_cells(trace_segments(spark, sf_dir), 4096)
+    size = F.sqrt((F.col("qx") - F.col("px")) * (F.col("qx") - F.col("px")) + (F.col("qy") - F.col("py")) * (F.col("qy") - F.col("py")))
+    return parts.groupBy("cx", "cy").agg(F.sum(size).alias("s")).filter("s > 0.001").select("cx", "cy", F.round("s", 2).alias("length"))
+
+
+@query(EDGES + """, t AS (SELECT DISTINCT way, CAST(floor(x / 65536) AS BIGINT) AS cx, CAST(floor(y / 65536) AS BIGINT) AS cy FROM s), m AS (SELECT DISTINCT cx, cy FROM t WHERE (cx + cy) % 2 = 0)
+SELECT cx, cy, count(*) AS ways FROM t JOIN m USING (cx, cy) GROUP BY ALL""")
+def masked_cells(spark, sf_dir):
+    """FLT2, JON11, FLT6: ways spread over cells, kept where a cell mask has the cell."""
+    t = segments(spark, sf_dir).select("way", grid.cell(F.col("x"), 65536).alias("cx"), grid.cell(F.col("y"), 65536).alias("cy")).distinct()
+    mask = t.select("cx", "cy").distinct().filter("(cx + cy) % 2 = 0")
+    return t.join(mask, ["cx", "cy"], "left_semi").groupBy("cx", "cy").agg(F.count("*").alias("ways"))
+
+
+@query(EDGES + """, pe AS (SELECT way % 20 AS cell, node, min(way * 100000 + edge * 2 + side) AS seq FROM (SELECT way, edge, a AS node, 0 AS side FROM e UNION ALL SELECT way, edge, b, 1 FROM e) GROUP BY ALL)
+SELECT cell, node, CAST(row_number() OVER (PARTITION BY cell ORDER BY seq) AS INTEGER) AS number FROM pe""")
+def piece_end_numbers(spark, sf_dir):
+    """WIN5: ends of street pieces numbered in a cell by first appearance."""
+    e = roads.edge_measures(segments(spark, sf_dir))
+    ends = e.select("way", "edge", F.posexplode(F.array("a", "b")).alias("side", "node"))
+    first = ends.groupBy((F.col("way") % 20).alias("cell"), "node").agg(F.min(F.col("way") * 100000 + F.col("edge") * 2 + F.col("side")).alias("seq"))
+    return first.select("cell", "node", F.row_number().over(Window.partitionBy("cell").orderBy("seq")).alias("number"))
+
+
+@query()
+def overview_lines(spark, sf_dir):
+    """ASM10: roads chained through nodes of degree two and simplified, one task per chain."""
+    e = roads.edge_measures(segments(spark, sf_dir))
+    pts = segments(spark, sf_dir).select("node", F.col("x"), F.col("y")).distinct()
+    return lines.simplified_chains(e.select("way", "edge", "a", "b"), pts, 512.0)
