@@ -112,11 +112,11 @@ def prefix_counts(spark, sf_dir):
     return addresses.prefix_counts(addresses.search_index(view(spark, sf_dir, "v_name").select("id", "name")), 3)
 
 
-@query(ctes("v_name", "v_place") + KEYS_SQL + ", pq AS (SELECT DISTINCT substr(replace(lower(p_name), ' ', ''), 1, 3) AS query FROM part WHERE p_partkey % 3 = 0), h AS (SELECT query, id, bool_or(key = query) AS exact FROM pq JOIN k ON starts_with(key, query) GROUP BY ALL) SELECT query, id, exact FROM h")
+@query(ctes("v_name", "v_place") + KEYS_SQL + ", pq AS (SELECT DISTINCT substr(key, 1, 3) AS query FROM k WHERE length(key) >= 3), h AS (SELECT query, id, bool_or(key = query) AS exact FROM pq JOIN k ON starts_with(key, query) GROUP BY ALL) SELECT query, id, exact FROM h")
 def prefix_search(spark, sf_dir):
     """QRY2: batch prefix search, met in buckets of two-letter prefixes."""
     index = addresses.search_index(view(spark, sf_dir, "v_name").select("id", "name"))
-    q = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 = 0").select(F.substring(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")), 1, 3).alias("query")).distinct()
+    q = index.filter("length(key) >= 3").select(F.substring("key", 1, 3).alias("query")).distinct()
     return addresses.prefix_search(index, q)
 
 

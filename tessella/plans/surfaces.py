@@ -1 +1,152 @@
-"""Plans."""
+"""Areas and rasters on the parcel and tile views."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import areas, raster, spatial
+from ..sources.fixtures import ctes, view
+from .basics import boundary_rings
+from .common import query
+
+PARCELS = ctes("v_parcel_seg") + """, sg AS (SELECT cls, area, CASE WHEN (xa, ya) < (xb, yb) THEN xa ELSE xb END AS x0, CASE WHEN (xa, ya) < (xb, yb) THEN ya ELSE yb END AS y0, CASE WHEN (xa, ya) < (xb, yb) THEN xb ELSE xa END AS x1, CASE WHEN (xa, ya) < (xb, yb) THEN yb ELSE ya END AS y1 FROM v_parcel_seg)"""
+
+
+@query(PARCELS + ", o AS (SELECT cls, x0, y0, x1, y1 FROM sg GROUP BY ALL HAVING count(*) % 2 = 1) SELECT cls, count(*) AS segments, sum(abs(x1 - x0) + abs(y1 - y0)) AS length FROM o GROUP BY cls")
+def odd_segments(spark, sf_dir):
+    """AGG4: segments left by parity, by class."""
+    o = areas.odd_segments(view(spark, sf_dir, "v_parcel_seg"), ["cls"])
+    return o.groupBy("cls").agg(F.count("*").alias("segments"), F.sum(F.abs(F.col("xb") - F.col("xa")) + F.abs(F.col("yb") - F.col("ya"))).alias("length"))
+
+
+@query("SELECT c_custkey AS area, 0 AS depth, 4 AS points, 1000000.0::DOUBLE AS size, 1000 * (c_custkey % 50) + 500.0::DOUBLE AS cx FROM customer")
+def assembled_areas(spark, sf_dir):
+    """ASM1, ASM2, ASM3, ASM4, TXT10, TXT11: rings of areas with nesting depth, area and centre."""
+    rings, _ = areas.assemble(view(spark, sf_dir, "v_parcel_seg"), "area")
+    centre = F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p.getField("x")) / F.size("points")
+    measured = rings.select("area", "depth", areas.ring_area(F.col("points")).alias("size"), centre.cast("double").alias("cx"), F.size("points").alias("n"))
+    return measured.withColumnRenamed("n", "points")
+
+
+COMPONENTS = PARCELS.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT a.area AS a, b.area AS b FROM sg a JOIN sg b ON a.cls = b.cls AND a.x0 = b.x0 AND a.y0 = b.y0 AND a.x1 = b.x1 AND a.y1 = b.y1 AND a.area <> b.area),
+r AS (SELECT area AS node, area AS c FROM (SELECT DISTINCT area FROM sg) UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node), l AS (SELECT node, min(c) AS component FROM r GROUP BY node)"""
+
+
+@query(COMPONENTS + ", o AS (SELECT component, cls, x0, y0, x1, y1 FROM sg JOIN l ON l.node = sg.area GROUP BY ALL HAVING count(*) % 2 = 1) SELECT component, cls, count(*) AS outline FROM o GROUP BY ALL")
+def dissolved_areas(spark, sf_dir):
+    """ASM9, JON10, ASM12: touching parcels of a class merged; outline by segment parity."""
+    return areas.dissolve(view(spark, sf_dir, "v_parcel_seg"), "area", ["cls"]).groupBy("component", "cls").agg(F.count("*").alias("outline"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS area, 1000 * (c_custkey % 50) AS x, 1000 * CAST(floor(c_custkey / 50.0) AS BIGINT) AS y FROM customer),
+b AS (SELECT area, bx, "by", CAST((least(x + 1000, (bx + 1) * 768) - greatest(x, bx * 768)) * (least(y + 1000, ("by" + 1) * 768) - greatest(y, "by" * 768)) AS DOUBLE) AS area_inside FROM p, LATERAL (SELECT unnest(range(CAST(floor(x / 768.0) AS BIGINT), CAST(floor((x + 999) / 768.0) AS BIGINT) + 1)) AS bx), LATERAL (SELECT unnest(range(CAST(floor(y / 768.0) AS BIGINT), CAST(floor((y + 999) / 768.0) AS BIGINT) + 1)) AS "by"))
+SELECT bx, "by", round(sum(area_inside), 3) AS covered FROM b WHERE area_inside > 0 GROUP BY ALL""")
+def block_areas(spark, sf_dir):
+    """ASM8: parcels cut into blocks, covered area by block."""
+    rings, _ = areas.assemble(view(spark, sf_dir, "v_parcel_seg"), "area")
+    return areas.cut_into_blocks(rings, "area", 768).groupBy("bx", "by").agg(F.round(F.sum("size"), 3).alias("covered"))
+
+
+CELLS = "WITH a AS (SELECT DISTINCT c_custkey % 50 AS cx, c_custkey // 50 AS cy FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), b AS (SELECT DISTINCT c_custkey % 50 AS cx, c_custkey // 50 + 1 AS cy FROM customer WHERE c_nationkey < 12), bx AS (SELECT DISTINCT c_custkey % 50 AS cx, c_custkey // 50 AS cy FROM customer)"
+
+
+def covers(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    at = lambda df, up=0: df.select((F.col("c_custkey") % 50).alias("cx"), (F.floor(F.col("c_custkey") / 50) + up).cast("long").alias("cy")).distinct()
+    return at(c.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))), at(c.filter("c_nationkey < 12"), 1), at(c)
+
+
+@query(CELLS + """ SELECT 'union' AS op, count(*) AS n, sum(cx * 1000 + cy) AS s FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'difference', count(*), sum(cx * 1000 + cy) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT 'intersection', count(*), sum(cx * 1000 + cy) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'odd', count(*), sum(cx * 1000 + cy) FROM (SELECT cx, cy FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL HAVING count(*) % 2 = 1)
+UNION ALL SELECT 'sea', count(*), sum(cx * 1000 + cy) FROM ((SELECT * FROM bx EXCEPT SELECT * FROM a) UNION (SELECT * FROM bx INTERSECT SELECT * FROM b))""")
+def cover_algebra(spark, sf_dir):
+    """SET3, SET4, SET5, ASM17: union, difference, intersection, even-odd and sea on cell covers."""
+    a, b, box = covers(spark, sf_dir)
+    ops = {"union": areas.cells_union(a, b), "difference": areas.cells_difference(a, b), "intersection": areas.cells_intersection(a, b), "odd": areas.cells_odd(a.unionByName(b)), "sea": areas.sea_cells(box, a, b)}
+    out = None
+    for name, cells in ops.items():
+        row = cells.agg(F.lit(name).alias("op"), F.count("*").alias("n"), F.sum(F.col("cx") * 1000 + F.col("cy")).alias("s"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+TILES = ctes("v_tile") + """, px AS (SELECT tile_row * 8 + (i - 1) // 8 AS r, tile_col * 8 + (i - 1) % 8 AS c, CAST(z[i] AS DOUBLE) AS z FROM v_tile, LATERAL (SELECT unnest(range(1, 65)) AS i)), dim AS (SELECT (max(tile_row) + 1) * 8 AS h, (max(tile_col) + 1) * 8 AS w FROM v_tile)"""
+
+
+def tiles(spark, sf_dir):
+    return view(spark, sf_dir, "v_tile").select("tile_row", "tile_col", F.col("z").cast("array<double>").alias("z"))
+
+
+def pixels(t, digits=5):
+    return t.select("tile_row", "tile_col", F.posexplode("z").alias("i", "v")).select("tile_row", "tile_col", "i", F.round("v", digits).alias("v"))
+
+
+@query(TILES + """, g AS (SELECT r, c FROM (SELECT unnest(range(0, h)) AS r FROM dim), LATERAL (SELECT unnest(range(0, (SELECT w FROM dim))) AS c)), f AS (SELECT g.r, g.c, coalesce(px.z, 0) AS z FROM g LEFT JOIN px ON px.r = g.r AND px.c = g.c),
+k AS (SELECT d, exp(-0.5 * d * d) / (SELECT sum(exp(-0.5 * j * j)) FROM (SELECT unnest(range(-4, 5)) AS j)) AS wt FROM (SELECT unnest(range(-4, 5)) AS d)),
+a AS (SELECT f.r, f.c, CASE WHEN f.r + d < 0 THEN -(f.r + d) - 1 WHEN f.r + d >= h THEN 2 * h - 1 - f.r - d ELSE f.r + d END AS sr, wt FROM f, k, dim),
+v AS (SELECT a.r, a.c, sum(wt * f.z) AS z FROM a JOIN f ON f.r = a.sr AND f.c = a.c GROUP BY ALL),
+b AS (SELECT v.r, v.c, CASE WHEN v.c + d < 0 THEN -(v.c + d) - 1 WHEN v.c + d >= w THEN 2 * w - 1 - v.c - d ELSE v.c + d END AS sc, wt FROM v, k, dim),
+s AS (SELECT b.r, b.c, sum(wt * v.z) AS z FROM b JOIN v ON v.r = b.r AND v.c = b.sc GROUP BY ALL)
+SELECT r // 8 AS tile_row, c // 8 AS tile_col, CAST((r % 8) * 8 + c % 8 AS INTEGER) AS i, round(z, 5) AS v FROM s WHERE (r // 8, c // 8) IN (SELECT (tile_row, tile_col) FROM v_tile)""")
+def smoothed_tiles(spark, sf_dir):
+    """RAS3, RAS2: Gaussian smoothing over tiles with halo exchange, reflected at the grid's edge."""
+    t = tiles(spark, sf_dir)
+    size = t.agg(F.max("tile_row").alias("r"), F.max("tile_col").alias("c")).first()
+    return pixels(raster.smooth(t, 8, (size.r or 0) + 1, (size.c or 0) + 1))
+
+
+@query(TILES + """, n AS (SELECT p.r, p.c, coalesce(u.z, 0) AS up, coalesce(d.z, 0) AS dn, coalesce(l.z, 0) AS lf, coalesce(g.z, 0) AS rt FROM px p LEFT JOIN px u ON u.r = p.r - 1 AND u.c = p.c LEFT JOIN px d ON d.r = p.r + 1 AND d.c = p.c LEFT JOIN px l ON l.r = p.r AND l.c = p.c - 1 LEFT JOIN px g ON g.r = p.r AND g.c = p.c + 1),
+s AS (SELECT r, c, (dn - up) * 1.5 / 2 AS gy, (rt - lf) * 1.5 / (2 * cos(radians(55))) AS gx FROM n)
+SELECT r // 8 AS tile_row, c // 8 AS tile_col, CAST((r % 8) * 8 + c % 8 AS INTEGER) AS i, round((-gx * cos(radians(45)) * sin(radians(315)) + gy * cos(radians(45)) * cos(radians(315)) + sin(radians(45))) / sqrt(gx * gx + gy * gy + 1) / sin(radians(45)), 5) AS v FROM s""")
+def hillshaded_tiles(spark, sf_dir):
+    """RAS5, RAS4's margin: hillshade with border rows from the neighbours."""
+    return pixels(raster.hillshade(tiles(spark, sf_dir), 8, 1.0, F.lit(55.0)))
+
+
+@query(TILES + """ SELECT r // 16 AS tile_row, c // 16 AS tile_col, CAST(((r // 2) % 8) * 8 + (c // 2) % 8 AS INTEGER) AS i, round(sum(z) / 4, 5) AS v FROM px GROUP BY ALL""")
+def pyramid_tiles(spark, sf_dir):
+    """RAS8: the next pyramid level (pixels without any child are left out on both sides)."""
+    t = tiles(spark, sf_dir)
+    p = pixels(raster.pyramid(t, 8))
+    there = t.select(F.floor(F.col("tile_row") / 2).alias("tile_row"), F.floor(F.col("tile_col") / 2).alias("tile_col"), (F.col("tile_row") % 2).alias("a"), (F.col("tile_col") % 2).alias("b"))
+    return p.withColumns({"a": F.floor(F.col("i") / 32).cast("long"), "b": F.floor(F.col("i") % 8 / 4).cast("long")}).join(there, ["tile_row", "tile_col", "a", "b"], "left_semi").select("tile_row", "tile_col", "i", "v")
+
+
+@query(ctes("v_tile") + " SELECT tile_row, tile_col, CAST(i AS INTEGER) AS i, round(greatest(CAST(z[(i // 4) * 2 * 8 + (i % 4) * 2 + 1] AS DOUBLE), 0), 5) AS v FROM v_tile, LATERAL (SELECT unnest(range(0, 16)) AS i)")
+def resampled_tiles(spark, sf_dir):
+    """RAS1: nearest-index resample, negatives to zero."""
+    return pixels(tiles(spark, sf_dir).withColumn("z", raster.resample_nearest(F.col("z"), 8, 4)))
+
+
+POINTS = "SELECT event_id AS id, CAST(event_id * 7919 % 15000 AS DOUBLE) / 100 AS r, CAST(event_id * 6101 % 19000 AS DOUBLE) / 100 AS c FROM events"
+
+
+@query(TILES + f""", q AS ({POINTS}), f AS (SELECT id, r, c, floor(r) AS r0, floor(c) AS c0 FROM q), w AS (SELECT id, r0 + dr AS pr, c0 + dc AS pc, (CASE dr WHEN 1 THEN r - r0 ELSE 1 - (r - r0) END) * (CASE dc WHEN 1 THEN c - c0 ELSE 1 - (c - c0) END) AS wt FROM f, (VALUES (0), (1)) x(dr), (VALUES (0), (1)) y(dc))
+SELECT id, round(sum(wt * coalesce(px.z, 0)), 5) AS z FROM w LEFT JOIN px ON px.r = w.pr AND px.c = w.pc GROUP BY id""")
+def sampled_heights(spark, sf_dir):
+    """JON17, QRY4, RAS4: bilinear samples of the tiles at points."""
+    p = spark.sql(POINTS.replace("FROM events", "FROM {e}"), e=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return raster.bilinear(p, tiles(spark, sf_dir), 8).select("id", F.round("z", 5).alias("z"))
+
+
+@query(ctes("v_tile") + """, u AS (SELECT tile_row, tile_col, list_transform(z, lambda h: 6.0 * (CAST(h AS DOUBLE) * 1000 + 1000.0)) AS u FROM v_tile), a AS (SELECT *, CAST(floor(list_min(u)) AS BIGINT) AS a1, CAST(ceil(list_max(u)) AS BIGINT) AS hi FROM u), b AS (SELECT *, least(greatest(65535 // greatest(hi - a1, 1), 1), 255) AS a0 FROM a)
+SELECT tile_row, tile_col, a0, a1, CAST(list_sum(list_transform(u, lambda h: round_even((h - a1) * a0, 0))) AS BIGINT) AS total, list_max(u) > 6000.5 AS land FROM b""")
+def quantised_tiles(spark, sf_dir):
+    """TXT13, AGG19, RAS9: quantised heights by tile with their land flag."""
+    t = tiles(spark, sf_dir).withColumn("z", F.transform("z", lambda h: h * 1000)).withColumn("q", raster.quantised(F.col("z")))
+    return t.select("tile_row", "tile_col", "q.a0", "q.a1", F.aggregate("q.v", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), (F.array_max(F.transform("z", lambda h: 6.0 * (h + 1000.0))) > 6000.5).alias("land"))
+
+
+@query(ctes("v_tile") + """ SELECT tile_row, tile_col, CAST(i - 1 AS INTEGER) AS i, CAST(floor(least(greatest(200 * (CASE WHEN cls = 0 THEN 1.0::DOUBLE ELSE least(greatest(1.0 + 0.7 * (1 + CAST(z[i] AS DOUBLE) - 1.0), 0.4), 1.12) END), 0), 255)) AS INTEGER) AS v FROM v_tile, LATERAL (SELECT unnest(range(1, 65)) AS i)""")
+def shaded_colours(spark, sf_dir):
+    """RAS7: cover colour under clamped shade, water unshaded."""
+    t = view(spark, sf_dir, "v_tile").select("tile_row", "tile_col", "cls", F.posexplode("z").alias("i", "h"))
+    return t.select("tile_row", "tile_col", "i", raster.shade_colour(F.lit(200.0), 1 + F.col("h").cast("double"), F.col("cls") == 0).alias("v"))
+
+
+@query()
+def boundary_tiles(spark, sf_dir):
+    """FLT7, GRD10: DEM tiles (one degree) under the boundary and two around, with the points of the view in each."""
+    touched = raster.touched_tiles(spatial.ring_edges(boundary_rings(spark).withColumn("k", F.lit(1)), ["k"]), 1e7)
+    n = view(spark, sf_dir, "v_node").groupBy(F.floor(F.col("lon") / 1e7).cast("long").alias("cx"), F.floor(F.col("lat") / 1e7).cast("long").alias("cy")).agg(F.count("*").alias("n"))
+    return touched.join(n, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("n", F.lit(0)).alias("n"))
