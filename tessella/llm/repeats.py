@@ -147,7 +147,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Data
 
 
 def _anchors(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """``key, unit, s, n``: the runs of windows of every text."""
+    """``key, unit, n``: the grams that stand for windows of a text, and how many runs of windows each has there."""
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).filter(F.octet_length("_text") >= length)
     rows = rows.select(F.unhex(F.md5("_text")).alias("unit"), F.encode("_text", "UTF-8").alias("_raw"))
 
@@ -155,8 +155,8 @@ def _anchors(docs: DataFrame, text_col: str, length: int) -> DataFrame:
         for batch in batches:
             held, size = [], 0
             for unit, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, s, n = window_runs(np.frombuffer(raw, np.uint8), length)
-                held.append((key, unit, s, n))
+                key, n = np.unique(window_runs(np.frombuffer(raw, np.uint8), length)[0], return_counts=True)
+                held.append((key, unit, n))
                 size += len(key)
                 if size > 100_000:
                     yield batch_of(held)
@@ -166,33 +166,37 @@ def _anchors(docs: DataFrame, text_col: str, length: int) -> DataFrame:
 
     def batch_of(held) -> pa.RecordBatch:
         units = pa.array([h[1] for h in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held])))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in held])), units, pa.array(np.concatenate([h[2] for h in held])), pa.array(np.concatenate([h[3] for h in held]))], ["key", "unit", "s", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in held])), units, pa.array(np.concatenate([h[2] for h in held]).astype(np.int32))], ["key", "unit", "n"])
 
-    return rows.mapInArrow(run, "key bigint, unit binary, s int, n int")
+    return rows.mapInArrow(run, "key bigint, unit binary, n int")
 
 
 def _contents(units: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``key, rep, unit, s, n, content`` for the runs in ``wanted`` (``unit, rep, runs``)."""
-    joined = units.select("unit", F.col("_order").alias("rep"), "z").join(wanted, ["unit", "rep"]).select("unit", "rep", "z", F.col("runs.key").alias("key"), F.col("runs.s").alias("s"), F.col("runs.n").alias("n"))
+    """``key, rep, unit, starts, n, content``: the runs of the grams in ``wanted`` (``unit, rep, keys``), equal runs of a text once."""
+    joined = units.select("unit", F.col("_order").alias("rep"), "z").join(wanted, ["unit", "rep"]).select("unit", "rep", "z", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for unit, rep, z, keys, s, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for unit, rep, z, keys in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 text = unpack(z)
-                for k, a, m in zip(keys, s, n):
-                    out.append((k, rep, unit, a, m, text[a : a + m + length - 1]))
+                key, s, n = window_runs(np.frombuffer(text, np.uint8), length)
+                of = np.flatnonzero(np.isin(key, np.array(keys, np.int64)))
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for k, a, m in zip(key[of].tolist(), s[of].tolist(), n[of].tolist()):
+                    found.setdefault((k, text[a : a + m + length - 1]), []).append(a)
+                out += [(k, rep, unit, starts, len(content) - length + 1, content) for (k, content), starts in found.items()]
                 if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
             if out:
                 yield batch_of(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["key", "rep", "unit", "s", "n", "content"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    names = ["key", "rep", "unit", "starts", "n", "content"]
     batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-    return joined.mapInArrow(run, "key bigint, rep bigint, unit binary, s int, n int, content binary")
+    return joined.mapInArrow(run, "key bigint, rep bigint, unit binary, starts array<int>, n int, content binary")
 
 
 def repeated_windows(contents: list[bytes], order: np.ndarray, length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -220,12 +224,14 @@ def _sort_in_task(length: int, keep_first: bool):
         earlier, later = repeated_windows([f[5] for f in firsts], rank, length)
         out = []
         for group, first, before, after in zip(groups.values(), firsts, earlier, later):
-            whole = len(group) > 1
+            whole = sum(len(m[3]) for m in group) > 1
+            flags = before if keep_first else before | after
             for m in group:
-                if whole and (not keep_first or m is not first):
-                    out.append((m[2], m[3], m[3] + m[4]))
-                else:
-                    out += [(m[2], m[3] + a, m[3] + b) for a, b in _runs(before if keep_first else before | after)]
+                for at in m[3]:
+                    if whole and not (keep_first and m is first and at == m[3][0]):
+                        out.append((m[2], at, at + m[4]))
+                    else:
+                        out += [(m[2], at + a, at + b) for a, b in _runs(flags)]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], ["unit", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +239,7 @@ def _sort_in_task(length: int, keep_first: bool):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if row[0] != last:
-                    if len(pending) > 1:
+                    if len(pending) > 1 or pending and len(pending[0][3]) > 1:
                         held += pending
                     pending, last = [], row[0]
                     if size > ARRAY_BYTES and held:
@@ -244,7 +250,7 @@ def _sort_in_task(length: int, keep_first: bool):
                 else:
                     size += len(row[5])
                 pending.append(row)
-        if len(pending) > 1:
+        if len(pending) > 1 or pending and len(pending[0][3]) > 1:
             held += pending
         if held:
             yield solve(held)
@@ -254,7 +260,7 @@ def _sort_in_task(length: int, keep_first: bool):
 def _count_as_rows(members: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """The same as ``_sort_in_task`` for hot grams, with aggregates and joins only between tasks."""
     id_ = F.struct("rep", "unit", "s")
-    members = members.withColumns({"c1": F.xxhash64("content"), "c2": F.unhex(F.md5("content"))})
+    members = members.withColumn("s", F.explode("starts")).drop("starts").withColumns({"c1": F.xxhash64("content"), "c2": F.unhex(F.md5("content"))})
     runs = materialize(members.groupBy("key", "c1", "c2").agg(F.count("*").alias("n_runs"), F.min(id_).alias("first")), "hot_runs")
     distinct = members.join(runs, ["key", "c1", "c2"]).filter(id_ == F.col("first")).select("key", "c1", "c2", "rep", "unit", "s", "content")
 
@@ -284,12 +290,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
     keep = [id_col] if keep is None else keep
     anchors = materialize(_anchors(docs, text_col, length), "anchors")
     # a table, so that the join below shuffles both sides and splits the grams of very common lines
-    grams = materialize(anchors.groupBy("key").agg(F.count("*").alias("n_key")).filter("n_key > 1"), "grams")
+    grams = materialize(anchors.groupBy("key").agg(F.sum("n").alias("n_key")).filter("n_key > 1"), "grams")
     units = _units(docs, id_col, text_col, keep)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     copies = materialize(docs.select(F.unhex(F.md5(text)).alias("unit"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_order")).groupBy("unit").agg(F.count("*").alias("copies"), F.min("_order").alias("rep")), "units")
-    candidates = anchors.join(grams, "key").select("unit", F.struct("key", "s", "n").alias("run"), (F.col("n_key") > hot).alias("hot"))
-    wanted = materialize(candidates.groupBy("unit", "hot").agg(F.collect_set("run").alias("runs")).join(copies, "unit"), "runs").drop("copies")  # a text's runs
+    candidates = anchors.join(grams, "key").select("unit", "key", (F.col("n_key") > hot).alias("hot"))
+    wanted = materialize(candidates.groupBy("unit", "hot").agg(F.collect_set("key").alias("keys")).join(copies, "unit"), "grams_of_texts").drop("copies")  # a text's grams
     drop_table(anchors)
     members = _contents(units, wanted.filter(~F.col("hot")).drop("hot"), length)
     found = members.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_sort_in_task(length, keep_first), "unit binary, a int, b int")
