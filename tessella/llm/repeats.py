@@ -89,27 +89,23 @@ def window_runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tupl
 
 def suffix_classes(text: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of the positions ``at`` by their first ``length`` bytes, and class numbers (equal prefixes) in that order."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(length, np.uint8)]).astype(np.uint64)
+    n, known = len(text), min(8, length)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     packed = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(known):
         packed = packed << np.uint64(8) | padded[k : n + k]
-    _, rank = np.unique(packed, return_inverse=True)
-    known = 8
-    while True:
+    pair = packed
+    while known < length:
+        _, rank = np.unique(pair, return_inverse=True)
         step = min(known, length - known)
-        last = known + step == length
-        base = np.int64(n + 1)
         follows = np.zeros(n, np.int64)
         follows[: n - step] = rank[step:] + 1
-        pair = rank.astype(np.int64) * base + follows
-        if last:
-            pair = pair[at]
-            order = np.argsort(pair)
-            pair = pair[order]
-            return order, np.cumsum(np.diff(pair, prepend=pair[:1]) != 0)
-        _, rank = np.unique(pair, return_inverse=True)
+        pair = rank.astype(np.int64) * np.int64(n + 1) + follows
         known += step
+    pair = pair[at]
+    order = np.argsort(pair)
+    pair = pair[order]
+    return order, np.cumsum(np.concatenate([[False], pair[1:] != pair[:-1]]))
 
 
 def earlier_and_later(order: np.ndarray, classes: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,0 +1,338 @@
+"""The corpus operators against brute force, public libraries and held-out accuracy, on small tables with awkward rows."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import ann, bpe, components, decontaminate, langid, pii, quality, repeats, simhash, token_rollup, urls
+
+AWKWARD = [(900, None, "a", "x"), (901, "", None, "x"), (902, "  \n\t ", "b", "x"), (903, "word " * 4000, "b", None), (904, "same text here", "b", "x"), (904, "same text here", "b", "x"), (905, "same text here", None, "y"), (906, "Größe ΑΣ 日本 🙂 " * 20, "c", "z")]
+SCHEMA = "doc_id bigint, text string, source string, lang string"
+SMALL = "/root/testdata/sf0.001"
+
+
+def table(spark, rows=None):
+    return spark.createDataFrame(AWKWARD if rows is None else rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def prose():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    return rng, lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+
+# ---- op1 ----
+def brute_repeats(docs, length, keep_first):
+    seen = defaultdict(list)
+    raws = [(d, i, (t or "").encode()) for i, (d, t) in enumerate(docs)]
+    for d, i, b in raws:
+        for p in range(len(b) - length + 1):
+            seen[b[p : p + length]].append((d, i, p))
+    out = {}
+    for d, i, b in raws:
+        covered = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            where = seen[b[p : p + length]]
+            if len(where) > 1 and (not keep_first or min(where) != (d, i, p)):
+                covered[p : p + length] = b"\1" * length
+        out[d] = (sum(covered), sum(1 for k in range(len(b)) if covered[k] and (k == 0 or not covered[k - 1])), bytes(x for x, c in zip(b, covered) if not c))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20000, 3])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeats(spark, prose, hot, keep_first):
+    rng, text = prose
+    passages = [text(rng.randint(30, 80)) for _ in range(5)]
+    docs = [(i, text(rng.randint(0, 50)) + " ".join(rng.choice([*passages, text(20), passages[0][:190]]) for _ in range(rng.randint(0, 3)))) for i in range(60)]
+    docs += [(100, None), (101, ""), (102, docs[3][1]), (103, "z" * 199), (104, "z" * 400), (105, "ab" * 300), (106, docs[3][1] + "é")]
+    want = brute_repeats(docs, 200, keep_first)
+    rows = repeats.find_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), keep_first=keep_first, hot=hot).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
+        assert r.n_removed == sum(s.end - s.start for s in r.spans)
+
+
+@pytest.mark.parametrize("length", [6, 8, 13, 20])
+def test_suffix_order_and_factors(length):
+    text = b"banana_bandana_banana_bandana_bandana_bananas"
+    n = len(text) - length + 1
+    order, classes = repeats.suffix_classes(np.frombuffer(text, np.uint8), np.arange(n), length)
+    prefixes = [text[i : i + length] for i in order]
+    assert prefixes == sorted(prefixes)
+    assert [a != b for a, b in zip(prefixes, prefixes[1:])] == [bool(a != b) for a, b in zip(classes, classes[1:])]
+    earlier, later = repeats.earlier_and_later(order, classes, np.arange(n))
+    for i in range(n):
+        assert earlier[i] == (text.find(text[i : i + length]) < i)
+        assert later[i] == (text.rfind(text[i : i + length]) > i)
+
+
+def test_remove_repeats_keeps_columns(spark):
+    out = repeats.remove_repeats(table(spark))
+    assert out.columns == ["doc_id", "text", "source", "lang"] and out.count() == len(AWKWARD)
+    assert repeats.find_repeats(table(spark, [])).count() == 0
+
+
+# ---- op2 ----
+def test_language(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    languages, model = langid.train(docs, F.col("doc_id") % 3 != 0)
+    rows = langid.documents_as_rows(docs.unionByName(table(spark), allowMissingColumns=True))
+    got = langid.identify(rows, languages, model, ["doc_id", "page_id"])
+    truth = docs.filter("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("truth"))
+    assert got.join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("truth")).cast("double"))).first()[0] > 0.95
+    assert got.filter("doc_id >= 900").count() == len(AWKWARD)
+    assert got.filter("lang IS NULL OR probability > 1.000001").count() == 0
+    assert langid.identify(rows, [], np.zeros((0, langid.GRAMS)), ["doc_id"]).filter("lang IS NOT NULL").count() == 0
+
+
+def test_page_evidence(spark):
+    rows = [(1, "http://a.example.de/x", '<html lang="DE-at"><style>p{}</style><p>das ist &amp; <b>so</b></p><script>var x="</p>"</script>'), (2, None, None), (3, "http://b", "<p>x")]
+    got = {r.page_id: r for r in langid.pages_as_rows(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1].declared == "de" and got[1].suffix == "de" and got[1].domain == "example.de" and got[1]._text.split() == ["das", "ist", "so"]
+    assert got[2].declared is None and got[2].suffix is None and got[3].declared is None
+
+
+# ---- op3 ----
+def test_simhash(spark, prose):
+    rng, text = prose
+    base = text(60)
+    docs = [(i, text(rng.randint(0, 40))) for i in range(80)] + [(100 + i, base + " " + text(i % 3)) for i in range(30)]
+    rows = [(d, t, None, None) for d, t in docs] + AWKWARD
+    got = simhash.near_duplicates(table(spark, rows), tile=7).collect()
+    prints = [(r.doc_id, r.fp & (2**64 - 1)) for r in got]
+    assert sorted(p for p in prints) == sorted((d, simhash.fingerprint(t) & (2**64 - 1)) for d, t, _, _ in rows)
+    parent = {d: d for d, _ in prints}
+    before = None
+    while before != parent:
+        before = dict(parent)
+        for d, a in prints:
+            for e, b in prints:
+                if bin(a ^ b).count("1") <= 3:
+                    parent[d] = parent[e] = min(parent[d], parent[e])
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, parent[d]) for d in parent}
+    kept = simhash.keep_one(table(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({parent[d] for d in parent}) and kept.columns == ["doc_id", "text", "source", "lang"]
+
+
+def test_fingerprint_hash_is_sparks(spark):
+    assert spark.sql("SELECT xxhash64('ab cd ef') AS h").first().h == simhash.fingerprint("AB cd\tef")
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_bit_sliced_distance(radius):
+    rng = np.random.default_rng(radius)
+    a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(6):
+        b ^= np.where(rng.random(3000) < 0.5, np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64), np.uint64(0))
+    assert (simhash.within_radius(a, b, radius, 700) == (np.bitwise_count(a ^ b) <= radius)).all()
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[150] == got[200] == 100
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# ---- op4 ----
+def test_rollups(spark, tmp_path):
+    versions = {"words": token_rollup.count_words}
+    counts = token_rollup.count_tokens(table(spark), versions)
+    log = token_rollup.RollupLog(spark, str(tmp_path / "log"))
+    assert log.totals().count() == 0
+    assert log.commit("a", token_rollup.inserted(counts)) and not log.commit("a", token_rollup.inserted(counts))
+    assert sum(r.docs for r in log.totals().collect()) == len(AWKWARD)
+    assert sum(r.tokens for r in log.totals().collect()) == sum(len((t or "").split()) for _, t, _, _ in AWKWARD)
+    log.commit("b", token_rollup.deleted(counts.filter("doc_id = 904")))
+    after = counts.filter("doc_id = 903").withColumn("n_tokens", F.lit(7).cast("long"))
+    log.commit("c", token_rollup.revised(counts.filter("doc_id = 903"), after))
+    total = {(r.source, r.lang): (r.docs, r.tokens) for r in log.totals().collect()}
+    assert total[("b", None)] == (1, 7) and total[("b", "x")] == (1, 0) and log.batches() == ["a", "b", "c"]
+    (tmp_path / "log/batch_id=c/_SUCCESS").unlink()  # a batch whose driver was lost
+    assert log.batches() == ["a", "b"]
+    with pytest.raises(ValueError):
+        log.commit("../x", counts)
+
+
+def test_text_parts_keep_counts():
+    public = pytest.importorskip("public_tokenizers")
+    count = token_rollup.rank_file_counter(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    text = "some words, and more of them 12 34. " * 6000
+    whole = token_rollup._encoding(public.path("byte_bpe_50k.tiktoken"), public.PATTERN).encode_ordinary(text)
+    assert count([text, ""]) == [len(whole), 0] and len(list(token_rollup._parts(text))) > 1
+
+
+# ---- op5 ----
+def test_urls(spark):
+    rows = [(1, "HTTP://A.Example.NET/en/x?q=/#f"), (2, "http://example.net/de/"), (3, "http://notexample.net"), (4, None), (5, "no scheme/"), (6, "x://b.example.com/de/1#a://c/"), (7, "http://z.org/fr/"), (8, "http://"), (9, "http://q.example.com/en/"), (1, "http://net/"), (10, "http://bad.host/1")]
+    outcomes = spark.createDataFrame([("bad.host", 1)] * 60 + [("q.example.com", 0)] * 60 + [("other.com", 1)] * 3 + [("other.com", 0)] * 40, "host string, bad int")
+    got = {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), outcomes).collect()}
+    assert got[(1, "a.example.net")] == ("/en/x", "example.net/en/", "allow") and got[(2, "example.net")] == ("/de/", "net/", "block")
+    assert got[(3, "notexample.net")][:2] == ("", None) and got[(4, "")][:2] == ("", None) and got[(5, "")][:2] == ("", None) and got[(8, "")][:2] == ("", None)
+    assert got[(6, "b.example.com")] == ("/de/1", "example.com/de/", "block") and got[(7, "z.org")] == ("/fr/", "org/fr/", "allow")
+    assert got[(9, "q.example.com")] == ("/en/", None, "allow") and got[(10, "bad.host")] == ("/1", None, "block") and len(got) == len(rows)
+    nothing = spark.createDataFrame([], "host string, bad int")
+    assert {r.verdict for r in urls.judge(spark.createDataFrame(rows[8:], "page_id bigint, url string"), nothing).collect()} == {"allow", "block"}
+    assert urls.filter_pages(spark.createDataFrame(rows, "page_id bigint, url string"), outcomes).filter("page_id IN (2, 6, 10)").count() == 0
+
+
+# ---- op6 ----
+def test_quality(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels, keep=lambda i: i % 3 != 0)
+    scored = quality.score(docs, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").toPandas()
+    assert ((scored.score >= quality.CUT) == (scored.quality == 1)).mean() > 0.95
+    rows = quality.score(table(spark), model).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 for r in rows)
+    assert quality.keep_good(table(spark), model).columns == ["doc_id", "text", "source", "lang"]
+    empty = quality.train(docs, labels.limit(0))
+    assert {r.score for r in quality.score(table(spark), empty).collect()} == {0.5}
+
+
+# ---- op7 ----
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[50:90] = x[0]  # one vector many times
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (800, [0.0] * 16), (900, [float("nan")] * 16), (1000, [1.0] * 3), (1100, [None] * 16), (None, [1.0] * 16)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), lambda i: i % 50 == 0, shard=200).collect()
+    y = x.astype(float)
+    found = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.vec_id, r.score))
+    assert set(found) == set(range(0, 600, 50)) and all(len(v) == 10 for v in found.values())
+    hit = 0
+    for q, near in found.items():
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort([np.arange(600), d])[:10]
+        hit += len({v for v, _ in near} & set(want.tolist()))
+        assert all(abs(s - d[v]) < 1e-9 for v, s in near) and near == sorted(near, key=lambda p: (p[1], p[0]))
+    assert hit / (10 * len(found)) >= 0.95
+    assert [v for v, _ in found[0]] == list(range(50, 60))
+    few = ann.nearest(spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<float>"), lambda i: i == 0).collect()
+    assert len(few) == 2
+    assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), lambda i: i == 0).count() == 0
+
+
+# ---- op8 ----
+@pytest.fixture(scope="module")
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("word_bpe_49k.json")
+    return path, tokenizers.Tokenizer.from_file(path), bpe.Transducer(path)
+
+
+def test_bpe_like_the_library(tokenizer):
+    _, library, own = tokenizer
+    rng = random.Random(1)
+    texts = ["Hello world's it'LL I’M <|endoftext|>foo<|startoftext|>", "naïve Ça ΑΣ ΣΑΣ İ ½²³Ⅷ 日本語 é a\xa0b a\x85b a\x1cb", "", "'s''s'ss 123 4.5%$ ##a", "in" * 500, "don't <|endoftext|"]
+    texts += ["".join(rng.choice("inthanerstcoaleu") for _ in range(rng.randint(100, 700))) for _ in range(30)]
+    texts += ["".join(rng.choice("aAbEé .'s0́Σß<|\n日x!?\x1f\x00\t") for _ in range(60)) for _ in range(200)]
+    for text, (ids, decoded) in zip(texts, own.render(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)) and decoded == library.decode(want, skip_special_tokens=False)
+
+
+def test_streaming_needs_only_the_lookahead(tokenizer):
+    path, library, own = tokenizer
+    small = bpe.Transducer(path, block=16)
+    rng = random.Random(2)
+    for _ in range(3):
+        word = "".join(rng.choice(["in", "the", "an", "er", "st", "x", "q"]) for _ in range(4000))
+        assert list(small.word(word.encode())) == library.encode(word, add_special_tokens=False).ids
+    assert own.lookahead >= max(map(len, own.vocabulary)) - len(own.suffix)
+
+
+def test_bpe_round_trip(spark, tokenizer):
+    path, _, own = tokenizer
+    coded = bpe.encode(table(spark), path)
+    assert coded.count() == len(AWKWARD)
+    back = {r.doc_id: r.text for r in bpe.decode(coded, path).collect()}
+    bare = lambda t: re.sub(r"\s+", "", (t or "").replace("Σ", "σ").lower())
+    assert all(bare(back[d]) == bare(t) for d, t, _, _ in AWKWARD)
+    pieces = list(own.decode(own.encode("größe 日本")))
+    assert "".join(pieces) == "größe 日本 " and all("\ufffd" not in p for p in pieces)
+
+
+# ---- op9 ----
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for i, (kind, pattern) in enumerate(KINDS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for k, c in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), i, m.end(), kind))
+    return sorted(out)
+
+
+def test_base_spans(spark):
+    rng = random.Random(3)
+    parts = ["a", "b", "@", ".", "1", "29", "255", "256", "00", "+", " ", "-", "(", ")", "é", "🙂", "_", "%", "4111 1111 1111 1111", "a@b.c", "1.2.3.4", "+1 (017) 555-7713"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["a" * 50000, "1" * 50000, "1 " * 20000, "a@" + "a." * 20000]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert [(s.start, s.kind_no, s.end, s.kind) for s in got[i] if s.kind != "term"] == brute_spans(text), text[:80]
+
+
+def test_disclosing_terms(spark):
+    rng = random.Random(8)
+    filler = lambda: " ".join(rng.choice(["one", "two", "six", "red", "sun", "sea"]) for _ in range(6))
+    docs = [(i, f"{filler()} nickname Zorblax {filler()} zor@mail.example {filler()}") for i in range(6)] + [(10 + i, filler() + (" nickname" if i % 2 else "")) for i in range(60)]
+    docs += [(100 + i, "copied words about quux quux@mail.example here") for i in range(5)] + [(None, "x zor@mail.example"), (200, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = pii.find(df).collect()
+    assert len(got) == len(docs)
+    words = {(r.doc_id, s.value) for r in got for s in r.spans if s.kind == "term"}
+    assert {(i, "Zorblax") for i in range(6)} <= words and not any(d is not None and d >= 10 for d, _ in words) and not any(w == "nickname" for _, w in words)
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert "Zorblax" not in clean[0] and "[term]" in clean[0] and "[email]" in clean[0] and clean[10] == docs[6][1] and clean[200] is None
+
+
+# ---- op10 ----
+def brute_hits(text, items, window=10):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hit, found = set(), set()
+    for item, item_text in items:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), item_text or ""))
+        k = min(window, len(own))
+        for a in range(len(own) - k + 1 if own else 0):
+            for p in range(len(words) - k + 1):
+                if words[p : p + k] == own[a : a + k]:
+                    hit |= set(range(p, p + k))
+                    found.add(item)
+    return len(words), len(hit), sorted(found, key=str)
+
+
+@pytest.mark.parametrize("block", [16_000_000, 300])
+def test_decontamination(spark, prose, block):
+    rng, text = prose
+    items = [(i, text(rng.choice([3, 9, 10, 14, 40]))) for i in range(20)] + [(20, None), (21, "..."), (3, "Ab cd"), (1000, text(12))]
+    docs = [(i, text(rng.randint(0, 60)) + " " + (items[rng.randint(0, 19)][1].upper() if i % 2 else "") + "; " + text(5), None, None) for i in range(40)] + AWKWARD
+    got = decontaminate.annotate(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), block_chars=block).collect()
+    want = defaultdict(set)
+    for d, t, _, _ in docs:
+        n, h, f = brute_hits(t, items)
+        want[d].add((n, h, tuple(f)))
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.n_words, r.n_hit, tuple(r.item_ids)) in want[r.doc_id]
+        assert (r.n_hit > 0) == bool(r.matches)
+    kept = decontaminate.remove_contaminated(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), block_chars=block)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, t, _, _ in docs if not brute_hits(t, items)[1])
+    assert decontaminate.annotate(table(spark, docs[:3]), spark.createDataFrame([], "item_id bigint, text string")).count() == 3

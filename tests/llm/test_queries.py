@@ -1,0 +1,50 @@
+"""The registered corpus queries: contract digests, SQL where there is some, and the pipeline against its parts."""
+
+import hashlib
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from tessella.llm import decontaminate, quality, queries
+from tessella.llm.common import read
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_url_filter_sql(spark):
+    con = duckdb.connect()
+    for t in ("pages", "labels", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE_SQL['op5_url_filter']})").fetchall(), key=str)
+    assert sorted(map(tuple, queries.op5_url_filter(spark, "/root/testdata/sf0.01").select("page_id", "host", "path", "rule", "verdict").collect()), key=str) == want
+
+
+def test_decontamination_digest(spark):
+    docs = {r.doc_id: r for r in decontaminate.annotate(read(spark, SMALL, "documents"), read(spark, SMALL, "benchmark")).collect()}
+    for r in queries.op10_decontaminate(spark, SMALL).collect():
+        ids = ",".join(sorted(map(str, docs[r.doc_id].item_ids)))
+        assert r.items_sha256 == hashlib.sha256(ids.encode()).hexdigest() and r.contaminated == (r.n_hit > 0)
+
+
+def test_token_digests(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in read(spark, SMALL, "documents").collect()}
+    for r in queries.op8_bpe(spark, SMALL).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_pipeline(spark):
+    docs = read(spark, SMALL, "documents")
+    model = quality.train(docs, read(spark, SMALL, "labels"))
+    good = {r.doc_id for r in quality.score(docs, model).filter(f"score >= {quality.CUT}").collect()}
+    leaked = {r.doc_id for r in decontaminate.annotate(docs, read(spark, SMALL, "benchmark")).filter("n_hit > 0").collect()}
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    rows = [r.doc_id for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) <= good - leaked and len(rows) > 0.5 * docs.count()
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "tokens"]
