@@ -7,7 +7,7 @@ array (prefix doubling up to ``length``). In suffix order, windows with a common
 the smaller positions before and after a window among them are its earlier matches, which is where its longest previous
 factor reaches ``length``. With ``keep_first`` the windows with an earlier match go, else also those with a later one.
 
-Grams with over ``HOT`` occurrences (a passage in a third of all documents) go to no single task: identical runs are
+Grams in over ``HOT`` texts (a passage in a third of all documents) go to no single task: identical runs are
 counted, the windows of the distinct ones become rows with a 128-bit digest, and equal digests are counted.
 Texts travel compressed. Equal texts are one unit, so copies add no work beyond the first passes.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 LENGTH, GRAM = 200, 32
-#: Occurrences of a gram beyond which its runs are counted as rows instead of sorted in one task.
+#: Texts with a gram beyond which its runs are counted as rows instead of sorted in one task (equal runs of a text go there once).
 HOT = 20_000
 #: Bytes of runs that one suffix array covers, unless one gram has more.
 ARRAY_BYTES = 2_000_000
@@ -286,11 +286,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
     keep = [id_col] if keep is None else keep
     anchors = materialize(_anchors(docs, text_col, length), "anchors")
     # a table, so that the join below shuffles both sides and splits the grams of very common lines
-    grams = materialize(anchors.groupBy("key").agg(F.sum("n").alias("n_key")).filter("n_key > 1"), "grams")
+    grams = anchors.groupBy("key").agg(F.sum("n").alias("n_runs"), F.count("*").alias("n_texts")).filter("n_runs > 1").select("key", (F.col("n_texts") > hot).alias("hot"))
+    grams = materialize(grams, "grams")
     units = _units(docs, id_col, text_col, keep)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     copies = materialize(docs.select(F.unhex(F.md5(text)).alias("unit"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_order")).groupBy("unit").agg(F.count("*").alias("copies"), F.min("_order").alias("rep")), "units")
-    candidates = anchors.join(grams, "key").select("unit", "key", (F.col("n_key") > hot).alias("hot"))
+    candidates = anchors.join(grams, "key").select("unit", "key", "hot")
     wanted = materialize(candidates.groupBy("unit", "hot").agg(F.collect_set("key").alias("keys")).join(copies, "unit"), "grams_of_texts").drop("copies")  # a text's grams
     drop_table(anchors)
     members = _contents(units, wanted.filter(~F.col("hot")).drop("hot"), length)
