@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import grid, rules, text
+from ..functions import grid, rules, seamarks, text
 from ..operators import entities, spatial
 from ..sources.fixtures import ctes, view
 from .common import query
@@ -258,3 +258,20 @@ def local_point_lists(spark, sf_dir):
     t = view(spark, sf_dir, "v_trace").select("way", "pos", F.rint(grid.unit_x(F.col("lon"))).alias("x"), F.rint(grid.unit_y(F.col("lat"))).alias("y"))
     lines = t.groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p.getField("x").alias("x"), p.getField("y").alias("y"))).alias("points"), F.min("x").alias("ox"), F.min("y").alias("oy"))
     return lines.withColumn("l", grid.local_points(F.col("points"), F.col("ox"), F.col("oy"))).filter("l IS NOT NULL").select("way", F.size("l").cast("long").alias("points"))
+
+
+SEAMARKS = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'conical' WHEN 1 THEN 'can' WHEN 2 THEN 'spherical' WHEN 3 THEN 'pillar' WHEN 4 THEN 'spar' WHEN 5 THEN 'barrel' ELSE 'odd' END AS shape,
+CASE event_id % 6 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'red;white' WHEN 3 THEN 'yellow' WHEN 4 THEN 'black;yellow;black' ELSE 'mauve' END AS colour, CASE event_id % 5 WHEN 0 THEN '3' WHEN 1 THEN '4.0' WHEN 2 THEN '2.5' ELSE '' END AS period FROM events"""
+
+
+@query(f"WITH b AS ({SEAMARKS})" + """ SELECT id, CAST(655360 + CASE shape WHEN 'conical' THEN 0 WHEN 'can' THEN 256 WHEN 'spherical' THEN 512 WHEN 'spar' THEN 1024 WHEN 'barrel' THEN 1280 ELSE 768 END AS BIGINT) AS category,
+CAST(CASE colour WHEN 'red' THEN 16 + 3 * 128 WHEN 'green' THEN 16 + 4 * 128 WHEN 'red;white' THEN 32 + 3 * 128 + 2048 WHEN 'yellow' THEN 16 + 8 * 128 WHEN 'black;yellow;black' THEN 48 + 2 * 128 + 8 * 2048 ELSE 0 END AS BIGINT) AS colour_bits,
+concat('Fl.', CASE colour WHEN 'red' THEN 'R' WHEN 'green' THEN 'G' WHEN 'red;white' THEN 'WR' WHEN 'mauve' THEN '' ELSE 'Y' END, CASE period WHEN '3' THEN '.3s' WHEN '4.0' THEN '.4s' WHEN '2.5' THEN '.2.5s' ELSE '' END) AS light FROM b""")
+def seamark_codes(spark, sf_dir):
+    """TAG13, TAG14, TAG16, TAG17: category, colour bits and light strings of lateral buoys."""
+    b = spark.sql(SEAMARKS.replace("FROM events", "FROM {e}"), e=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    tags = F.create_map(*[x if not isinstance(x, str) else F.lit(x) for kv in (("seamark:buoy_lateral:shape", F.col("shape")), ("seamark:buoy_lateral:colour", F.col("colour")), ("seamark:light:character", "Fl"),
+                          ("seamark:light:colour", F.col("colour")), ("seamark:light:period", F.col("period"))) for x in kv])
+    kind = F.lit("buoy_lateral")
+    b = b.withColumn("tags", tags).withColumn("ls", seamarks.lights(F.col("tags")))
+    return b.select("id", seamarks.category(kind, F.col("tags")).alias("category"), seamarks.body_colour(kind, F.col("tags")).alias("colour_bits"), seamarks.light_string(F.col("ls")).alias("light"))

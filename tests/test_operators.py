@@ -187,3 +187,25 @@ def test_entity_source(spark, tmp_path):
     nodes, ways, relations = osm.read_entities(spark, str(tmp_path / "out"))
     assert sorted((r.id, r.lon, r.lat, r.tags) for r in nodes.collect()) == [(10, 90000000, 550000000, {"amenity": "cafe"}), (15, 89999950, 550000100, {})]
     assert ways.first().refs == [10, 15] and relations.first().members[0].ref == 77 and relations.first().members[0].role == "outer"
+
+
+def test_seamarks(spark):
+    from tessella.functions import seamarks
+
+    def seamark(**kv):
+        row = spark.createDataFrame([({k.replace("__", ":"): v for k, v in kv.items()},)], "tags map<string,string>").withColumn("kind", F.col("tags")["seamark:type"])
+        kind, t = F.col("kind"), F.col("tags")
+        row = row.withColumn("ls", seamarks.lights(t))
+        ls = F.col("ls")
+        return row.select(seamarks.category(kind, t).alias("category"), seamarks.body_colour(kind, t).alias("colour"), seamarks.topmark(t).alias("top"), seamarks.attributes(kind, t, ls).alias("attributes"),
+                          seamarks.label(kind, t, ls).alias("label"), seamarks.sectors(ls).alias("sectors")).first()
+
+    buoy = seamark(seamark__type="buoy_lateral", seamark__buoy_lateral__shape="can", seamark__buoy_lateral__colour="red", seamark__buoy_lateral__category="port", seamark__topmark__shape="cylinder",
+                   seamark__topmark__colour="red", seamark__light__character="Fl", seamark__light__colour="red", seamark__light__period="3", seamark__light__range="4.0")
+    assert (buoy.category, buoy.colour, buoy.top) == (0x0A0100, 0x190, 0x685)
+    assert buoy.attributes == "19Port-hand Lateral Buoy|24Fl.R.3s4M" and buoy.label == "5Fl.R.3s4M"
+    light = seamark(seamark__type="light_minor", seamark__light__1__character="Oc", seamark__light__1__colour="red", seamark__light__1__period="12", seamark__light__1__range="9", seamark__light__1__sector_start="10",
+                    seamark__light__1__sector_end="20", seamark__light__2__colour="white", seamark__light__2__range="12", seamark__light__2__character="Oc", seamark__light__3__colour="green", seamark__fog_signal__category="horn")
+    assert light.attributes == "19Light minor|23Horn|24Oc.WRG.12s9-12M" and light.label == "0Horn|5Oc.WRG.12s9-12M"
+    assert [(s.colour, s.radius, s.label) for s in light.sectors] == [(1, 0, ""), (3, 370, "Oc.R.12s"), (4, 0, "")]
+    assert seamark(seamark__type="rock").attributes == "19Rock|45submerged" and seamark(seamark__type="nothing").category is None
