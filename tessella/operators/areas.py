@@ -188,3 +188,23 @@ def cut_into_blocks(rings: DataFrame, key: str, block: int) -> DataFrame:
 
     kind = rings.schema[key].dataType.simpleString()
     return spread.mapInPandas(clip, f"{key} {kind}, ring int, bx bigint, by bigint, size double").filter("size <> 0")
+
+
+def coastlines(ways: DataFrame, segments: DataFrame) -> DataFrame:
+    """``chain, closed, twice_area, kind`` of coast ways chained by their end nodes.
+
+    ``ways``: ``way, first, last`` (end nodes); ``segments``: ``way, xa, ya, xb, yb`` in drawing order, y north. Land lies on
+    the left: a ring that runs counter-clockwise is land, a clockwise one is water. An open chain is closed straight."""
+    ends = ways.select("way", F.explode(F.array("first", "last")).alias("node"))
+    least = ends.groupBy("node").agg(F.min("way").alias("a"))
+    links = ends.join(least, "node").filter("a <> way").select("a", F.col("way").alias("b"))
+    chain = components(ways.select(F.col("way").alias("node")), links).select(F.col("node").alias("way"), F.col("component").alias("chain"))
+    s = segments.join(chain, "way")
+    turn = s.groupBy("chain").agg(F.sum(F.col("xa") * F.col("yb") - F.col("xb") * F.col("ya")).alias("turn"))
+    out = s.select("chain", F.col("xa").alias("x"), F.col("ya").alias("y"), F.lit(1).alias("d")).unionByName(s.select("chain", F.col("xb").alias("x"), F.col("yb").alias("y"), F.lit(-1).alias("d")))
+    loose = out.groupBy("chain", "x", "y").agg(F.sum("d").alias("d")).filter("d <> 0")
+    gap = loose.groupBy("chain").agg(*[F.sum(F.when(F.col("d") == sign, F.col(c))).alias(f"{c}{sign % 3}") for sign in (1, -1) for c in ("x", "y")])
+    joined = turn.join(gap, "chain", "left")
+    closing = F.coalesce(F.col("x2") * F.col("y1") - F.col("x1") * F.col("y2"), F.lit(0))  # from the loose end back to the start
+    twice = F.col("turn") + closing
+    return joined.select("chain", F.col("x1").isNull().alias("closed"), twice.alias("twice_area"), F.when(twice > 0, "land").when(twice < 0, "water").alias("kind"))

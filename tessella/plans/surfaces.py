@@ -150,3 +150,15 @@ def boundary_tiles(spark, sf_dir):
     touched = raster.touched_tiles(spatial.ring_edges(boundary_rings(spark).withColumn("k", F.lit(1)), ["k"]), 1e7)
     n = view(spark, sf_dir, "v_node").groupBy(F.floor(F.col("lon") / 1e7).cast("long").alias("cx"), F.floor(F.col("lat") / 1e7).cast("long").alias("cy")).agg(F.count("*").alias("n"))
     return touched.join(n, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT c_custkey * 4 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS chain, c_custkey % 5 <> 0 AS closed, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2000000 ELSE 2000000 END * CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END AS BIGINT) AS twice_area,
+CASE WHEN c_custkey % 2 = 0 THEN 'water' ELSE 'land' END AS kind FROM customer""")
+def coastline_chains(spark, sf_dir):
+    """ASM11: coast ways chained by end nodes; odd parcels run counter-clockwise, every fifth one lacks a side."""
+    s = view(spark, sf_dir, "v_parcel_seg").withColumn("way", F.col("area") * 4 + F.col("pos")).filter("NOT (area % 5 = 0 AND pos = 0)")
+    swap = F.col("area") % 2 == 0
+    at = lambda own, other: F.when(swap, F.col(other)).otherwise(F.col(own))
+    s = s.select("area", "way", at("xa", "xb").alias("xa"), at("ya", "yb").alias("ya"), at("xb", "xa").alias("xb"), at("yb", "ya").alias("yb"))
+    node = lambda x, y: F.concat_ws(":", "area", x, y)
+    return areas.coastlines(s.select("way", node("xa", "ya").alias("first"), node("xb", "yb").alias("last")), s.select("way", "xa", "ya", "xb", "yb"))
