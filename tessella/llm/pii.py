@@ -41,6 +41,7 @@ PATTERNS = {
 }
 _SIGN = {"email": "@", "ip": ".", "phone": "+"}
 _NOT_WORD = r"[^\p{L}]+"
+_BLOCK = 128
 SPAN = "struct<start:int,kind_no:int,end:int,kind:string,value:string>"
 
 
@@ -72,16 +73,23 @@ def _none() -> Column:
 def _positions(text: Column, pattern: str, hits: Column, kind: str) -> Column:
     """Spans of ``hits``: between them stand the pieces of the text that splitting leaves."""
     gaps = F.transform(F.split(text, pattern), F.length)
-    end = lambda state: state.getField("end")
-    walked = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))),
-        F.struct(F.lit(0).alias("end"), _none().alias("out")),
-        lambda state, x: F.struct(
-            (end(state) + x.getField("gap") + F.length(x.getField("hit"))).alias("end"),
-            F.concat(state.getField("out"), F.array(F.struct(
-                (end(state) + x.getField("gap")).alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"),
-                (end(state) + x.getField("gap") + F.length(x.getField("hit"))).alias("end"), F.lit(kind).alias("kind"), x.getField("hit").alias("value")))).alias("out")),
-        lambda state: state.getField("out"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    end, out = (lambda state: state.getField("end")), (lambda state: state.getField("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        start = end(state) + x.getField("gap")
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (start + F.length(x.getField("hit"))).alias("end"), F.lit(kind).alias("kind"), x.getField("hit").alias("value"))
+        return F.struct((start + F.length(x.getField("hit"))).alias("end"), F.concat(out(state), F.array(span)).alias("out"))
+
+    def block(state: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(end(state).alias("end"), _none().alias("out")), step)
+        return F.struct(done.getField("end").alias("end"), F.concat(out(state), F.array(done.getField("out"))).alias("out"))
+
+    # in blocks, as appending one by one to a long array would copy it each time
+    numbers = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _BLOCK).cast("int"))
+    # the outer array of one binds the pairs to a variable, so that they are made once
+    blocks = F.flatten(F.transform(F.array(pairs), lambda p: F.transform(numbers, lambda k: F.slice(p, k * _BLOCK + 1, F.lit(_BLOCK)))))
+    walked = F.aggregate(blocks, F.struct(F.lit(0).alias("end"), F.array().cast(f"array<array<{SPAN}>>").alias("out")), block, lambda state: F.flatten(out(state)))
     return F.when(F.size(hits) > 0, walked).otherwise(_none())
 
 
