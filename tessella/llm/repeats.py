@@ -168,31 +168,31 @@ def _anchors(docs: DataFrame, text_col: str, length: int) -> DataFrame:
 
 
 def _contents(units: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``key, rep, unit, starts, n, content``: the runs of the grams in ``wanted`` (``unit, rep, keys``), equal runs of a text once."""
-    joined = units.select("unit", F.col("_order").alias("rep"), "z").join(wanted, ["unit", "rep"]).select("unit", "rep", "z", "keys")
+    """``key, rep, unit, starts, n, content, hot``: the runs of the grams in ``wanted`` (``unit, rep, keys, hot``), equal runs of a text once."""
+    joined = units.select("unit", F.col("_order").alias("rep"), "z").join(wanted, ["unit", "rep"]).select("unit", "rep", "z", "keys", "hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for unit, rep, z, keys in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for unit, rep, z, keys, hot in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 text = unpack(z)
                 key, s, n = window_runs(np.frombuffer(text, np.uint8), length)
                 of = np.flatnonzero(np.isin(key, np.array(keys, np.int64)))
                 found: dict[tuple[int, bytes], list[int]] = {}
                 for k, a, m in zip(key[of].tolist(), s[of].tolist(), n[of].tolist()):
                     found.setdefault((k, text[a : a + m + length - 1]), []).append(a)
-                out += [(k, rep, unit, starts, len(content) - length + 1, content) for (k, content), starts in found.items()]
+                out += [(k, rep, unit, starts, len(content) - length + 1, content, hot) for (k, content), starts in found.items()]
                 if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
             if out:
                 yield batch_of(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-    names = ["key", "rep", "unit", "starts", "n", "content"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.bool_()]
+    names = ["key", "rep", "unit", "starts", "n", "content", "hot"]
     batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-    return joined.mapInArrow(run, "key bigint, rep bigint, unit binary, starts array<int>, n int, content binary")
+    return joined.mapInArrow(run, "key bigint, rep bigint, unit binary, starts array<int>, n int, content binary, hot boolean")
 
 
 def repeated_windows(contents: list[bytes], order: np.ndarray, length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -294,10 +294,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
     candidates = anchors.join(grams, "key").select("unit", "key", "hot")
     wanted = materialize(candidates.groupBy("unit", "hot").agg(F.collect_set("key").alias("keys")).join(copies, "unit"), "grams_of_texts").drop("copies")  # a text's grams
     drop_table(anchors)
-    members = _contents(units, wanted.filter(~F.col("hot")).drop("hot"), length)
-    found = members.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_sort_in_task(length, keep_first), "unit binary, a int, b int")
-    if not wanted.filter("hot").isEmpty():
-        hot_members = materialize(_contents(units, wanted.filter("hot").drop("hot"), length), "hot_members")
+    # one pass over the texts writes the runs of all repeated grams, hot or not
+    members = materialize(_contents(units, wanted, length), "contents")
+    usual = members.filter(~F.col("hot")).drop("hot")
+    found = usual.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_sort_in_task(length, keep_first), "unit binary, a int, b int")
+    hot_members = members.filter("hot").drop("hot")
+    if not hot_members.isEmpty():
         found = found.unionByName(_count_as_rows(hot_members, length, keep_first))
     spans = materialize(found.groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "windows")  # a text's spans
 
