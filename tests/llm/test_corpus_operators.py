@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, components, decontaminate, langid, pii, quality, repeats, simhash, token_rollup, urls
+from tessella.llm import ann, bpe, components, decontaminate, langid, near, pii, quality, repeats, simhash, token_rollup, urls
 
 AWKWARD = [(900, None, "a", "x"), (901, "", None, "x"), (902, "  \n\t ", "b", "x"), (903, "word " * 4000, "b", None), (904, "same text here", "b", "x"), (904, "same text here", "b", "x"), (905, "same text here", None, "y"), (906, "Größe ΑΣ 日本 🙂 " * 20, "c", "z")]
 SCHEMA = "doc_id bigint, text string, source string, lang string"
@@ -122,6 +122,44 @@ def test_simhash(spark, prose):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({parent[d] for d in parent}) and kept.columns == ["doc_id", "text", "source", "lang"]
 
 
+def brute_firsts(docs):
+    """Smallest id of each group that pairs at Jaccard similarity 0.8 of five-word shingles join."""
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [(d, grams(t)) for d, t in docs], list(range(len(docs)))
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(sets):
+        groups[root(i)].append(d)
+    return sorted(min(g) for g in groups.values())
+
+
+def test_near_stage_takes_all_pairs_at_four_fifths(spark, prose):
+    rng, text = prose
+    docs = [(i, text(rng.randint(0, 60))) for i in range(40)] + [(d, t) for d, t, _, _ in AWKWARD] + [(950, "Same  TEXT\nhere"), (951, "two words"), (952, "other words")]
+    for group in range(25):  # copies with more and more words replaced: similarities from 1 down to about 0.5
+        words = text(150).split()
+        for k in range(8):
+            copy = list(words)
+            for at in rng.sample(range(150), k):
+                copy[at] = f"new{group}x{k}x{at}"
+            docs.append((2000 + 10 * group + k, " ".join(copy)))
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(d, t, None, None) for d, t in docs] + [(None, docs[0][1], None, None)], SCHEMA)
+    got = corpus_pipeline.near_duplicate_stage(spark, df, SMALL).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == brute_firsts(docs) and sum(r.doc_id is None for r in got) == 1
+
+
 def test_fingerprint_hash_is_sparks(spark):
     assert spark.sql("SELECT xxhash64('ab cd ef') AS h").first().h == simhash.fingerprint("AB cd\tef")
 
