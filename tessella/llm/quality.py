@@ -5,8 +5,9 @@ bad) give logistic losses on feature differences; their minimum is the Bradley-T
 the quantile of the labelled documents' strengths at the share of bad labels; the score maps strengths through a
 logistic curve in which that threshold has the score ``CUT``.
 
-The fit uses a bounded sample of the labelled rows (``MAX_LABELLED`` of each label, those with the smallest hash of
-the id), scoring covers every row. Labels, language, source and id are no inputs of a score.
+The weights are learnt from a bounded sample of the labelled rows (``MAX_LABELLED`` of each label, those with the smallest
+hash of the id); share, threshold and slope come from all labelled documents (exact order statistics, found in Spark), and
+scoring covers every row. Labels, language, source and id are no inputs of a score.
 
 Defined cases: null and empty texts get the score of a text without evidence (shrunken features, all zero); labels
 other than 0 and 1 and labels without a document are ignored; a document with several labels counts with each; with
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_table, materialize
+
 CUT = 0.3
 MAX_LABELLED = 6000
 PAIRS = 60_000
@@ -39,6 +42,8 @@ _MARKS = b".,;:!?'\"()-"
 _SYMBOLS = bytes(c for c in range(128) if c not in _LETTERS + _DIGITS + _SPACE + _MARKS)
 _SENTENCE_END = re.compile(rb"[.?!](?=\s|$)")
 N_FEATURES = 13
+#: Values of a distributed order statistic that the driver sorts at last.
+FEW = 10_000
 
 
 def features(text: str | None) -> list[float]:
@@ -105,9 +110,50 @@ def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "good"])
 
 
+def order_statistic(values: DataFrame, column: str, rank: int) -> float:
+    """The exact value at ``rank`` (from 0) of a column of finite doubles: bins around it are counted until few values are left."""
+    rest = values.select(F.col(column).alias("v"))
+    while True:
+        low, high, n = rest.agg(F.min("v"), F.max("v"), F.count("v")).first()
+        if n <= FEW or low == high:
+            return low if low == high else sorted(r.v for r in rest.collect())[rank]
+        place = F.least(F.floor((F.col("v") - low) / (high - low) * 1024), F.lit(1023)).cast("int")
+        for at, size in sorted(map(tuple, rest.groupBy(place.alias("bin")).count().collect())):
+            if rank < size:
+                break
+            rank -= size
+        rest = rest.filter(place == at)
+
+
+def quantile(values: DataFrame, column: str, n: int, share: float) -> float:
+    """The exact quantile of ``n`` values, between two of them in proportion (as numpy does by default)."""
+    at = (n - 1) * share
+    low = order_statistic(values, column, math.floor(at))
+    high = order_statistic(values, column, math.ceil(at)) if at % 1 else low
+    return low + (high - low) * (at % 1)
+
+
+def calibrate(model: Ranker, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Ranker:
+    """Threshold and slope from the strengths of all documents labelled in ``rows`` (``_id, good``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, N_FEATURES + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.strength(x), pa.float64())], ["_id", "strength"])
+
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    strengths = texts.mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, strength double")  # before the join, so that no text is shuffled
+    labelled = materialize(strengths.join(rows, "_id").select("strength", "good"), "strengths")
+    n, bad = labelled.agg(F.count("*"), F.sum(1 - F.col("good"))).first()
+    model.threshold = quantile(labelled, "strength", n, bad / n)
+    spread = labelled.select(F.abs(F.col("strength") - model.threshold).alias("d"))
+    model.slope = 1.0 / max(1e-6, quantile(spread, "d", n, 0.5) / 3)
+    drop_table(labelled)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "quality", keep=None) -> Ranker:
-    """Fit on at most ``max_labelled`` rows of each label. ``keep``: a Column on the label's id that admits it."""
+    """Weights from at most ``max_labelled`` rows of each label, threshold and slope from all. ``keep``: a Column on the label's id that admits it."""
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("good")).filter("good IN (0, 1) AND _id IS NOT NULL")
     if keep is not None:
         rows = rows.filter(keep(F.col("_id")))
@@ -119,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         return Ranker(None, None, None, 0.0, 1.0)
     x = np.array(got["x"].tolist(), float)
     order = np.lexsort([*x.T[::-1], got["good"].to_numpy()])  # arrival order must not matter
-    return fit(x[order], got["good"].to_numpy()[order] == 1)
+    model = fit(x[order], got["good"].to_numpy()[order] == 1)
+    return model if model.weights is None else calibrate(model, docs, rows, id_col, text_col)
 
 
 def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

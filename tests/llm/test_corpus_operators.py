@@ -237,6 +237,21 @@ def test_quality(spark):
     assert {r.score for r in quality.score(table(spark), empty).collect()} == {0.5}
 
 
+def test_quality_threshold_covers_all_labels(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels, max_labelled=20)  # far fewer than there are
+    rows = docs.join(labels, "doc_id").select("text", "quality").toPandas()
+    strength = model.strength(np.array([quality.features(t) for t in rows.text], float))
+    want = np.quantile(strength, (rows.quality == 0).mean())
+    assert (rows.quality == 0).sum() > 20 and abs(model.threshold - want) < 1e-9
+    assert abs(model.slope - 3 / np.median(np.abs(strength - want))) < 1e-6 * model.slope
+    monkeypatch.setattr(quality, "FEW", 5)
+    values = [0.5] * 30 + [-1e9, 1e-9, 2e-9, 3.0, 1e12] + np.random.default_rng(1).normal(size=60).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [quality.quantile(df, "v", len(values), q) for q in (0, 0.3, 0.77, 1)] == pytest.approx(np.quantile(values, (0, 0.3, 0.77, 1)).tolist(), rel=1e-12)
+
+
 # ---- op7 ----
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
