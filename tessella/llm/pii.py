@@ -1,15 +1,17 @@
 """Personal data: pattern matches, and information-theoretic sanitisation of the terms that give them away.
 
 Everything is DataFrame expressions. Four patterns give the base spans. Each matched value is a protected entity; the
-words beside it, over the whole corpus, tell how strongly a term reveals it: with N documents, n(e), n(t) and n(t, e)
-counted by document, a term's disclosure is PMI(t; e) = log2(n(t, e) N / (n(t) n(e))), and it discloses too much if that
-reaches ``ALPHA`` times the entity's information content log2(N / n(e)), in at least ``SUPPORT`` differing contexts
-(so that copies of one document prove nothing). Such terms are spans of kind ``term`` in the documents that hold the
+words of the documents that hold it, however far from it, tell how strongly a term reveals it: with N documents, n(e),
+n(t) and n(t, e) counted by document, a term's disclosure is PMI(t; e) = log2(n(t, e) N / (n(t) n(e))), and it discloses too much if that
+reaches ``ALPHA`` times the entity's information content log2(N / n(e)), in at least ``SUPPORT`` differing contexts: the
+``CONTEXT`` characters on either side of the value and the words on either side of the term, both where they first stand
+(so that copies of one document prove nothing). Terms are runs of letters and digits of any length outside base spans. Such terms are spans of kind ``term`` in the documents that hold the
 entity; redaction generalises every span to its kind.
 
 Patterns carry the same matches as their plain forms but start only where a run starts and never give a run back, so
-their time is linear in the text and their stack is flat. Word counts are aggregated before the shuffle; the entities'
-contexts are rows that no group gathers, so a value that a third of all documents share is no hot task.
+their time is linear in the text and their stack is flat. Word counts are aggregated before the shuffle; documents' entities
+and words meet by document, so a value that a third of all documents share is no hot task. As n(t, e) <= n(e), only terms
+with n(t) <= n(e)^ALPHA N^(1 - ALPHA) can disclose too much; no others are paired.
 
 Defined cases: null is the empty text; a text without matches has no spans; overlapping kinds are all reported;
 repeated rows count as documents of their own and are judged alike; a row without an id gets base spans only; other columns
@@ -28,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA = 0.9
 #: Differing contexts that must show a term beside an entity.
 SUPPORT = 3
-#: Characters on either side of a value that are its context.
+#: Characters on either side of a value that tell one context from another; terms count wherever they stand.
 CONTEXT = 60
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -40,7 +42,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _SIGN = {"email": "@", "ip": ".", "phone": "+"}
-_NOT_WORD = r"[^\p{L}]+"
+_WORD, _NOT_WORD = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 _BLOCK = 128
 SPAN = "struct<start:int,kind_no:int,end:int,kind:string,value:string>"
 
@@ -108,30 +110,36 @@ def with_base_spans(docs: DataFrame, text_col: str, out: str = "_spans") -> Data
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), _NOT_WORD)), lambda w: F.length(w) >= 3)
+    return F.filter(F.array_distinct(F.split(F.lower(text), _NOT_WORD)), lambda w: w != "")
 
 
 def disclosures(docs: DataFrame, private: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
     """``kind, entity, term, n_together, n_contexts, n_term, n_entity, pmi, information`` of the terms beyond the threshold.
-    ``private``: ``_id, _text, _spans`` of the documents with matches."""
+    ``private``: ``_row, _text, _spans`` of the documents with matches, ``_row`` a number of the row."""
+    n = float(max(1, docs.count()))
     text, s = F.col("_text"), F.col("s")
-    clean = lambda part: F.regexp_replace(part, r"\S*[@0-9]\S*", " ")
-    before = F.regexp_replace(F.substring(text, F.greatest(s.getField("start") - CONTEXT, F.lit(0)) + 1, s.getField("start") - F.greatest(s.getField("start") - CONTEXT, F.lit(0))), r"^\S*\s", "")
-    after = F.regexp_replace(F.substring(text, s.getField("end") + 1, F.lit(CONTEXT)), r"\s\S*$", "")
     value = F.coalesce(*[F.when(s.getField("kind") == kind, _normal(kind, s.getField("value"))) for kind in PATTERNS])
-    beside = (private.select("_id", "_text", F.explode("_spans").alias("s"))
-              .select("_id", s.getField("kind").alias("kind"), value.alias("entity"), F.concat(clean(before), F.lit(" "), clean(after)).alias("_context"))
-              .withColumn("_hash", F.xxhash64("_context")))
-    pairs = (beside.select("kind", "entity", "_hash", F.explode(_words(F.col("_context"))).alias("term"))
-             .groupBy("kind", "entity", "term", "_hash").agg(F.count("*").alias("n"))
-             .groupBy("kind", "entity", "term").agg(F.sum("n").alias("n_together"), F.count("*").alias("n_contexts"))
+    from_ = F.greatest(s.getField("start") - CONTEXT, F.lit(0))
+    around = F.xxhash64(F.substring(text, from_ + 1, s.getField("start") - from_), F.substring(text, s.getField("end") + 1, F.lit(CONTEXT)))
+    holders = (private.select("_row", "_text", F.explode("_spans").alias("s"))
+               .select("_row", s.getField("kind").alias("kind"), value.alias("entity"), F.struct(s.getField("start").alias("at"), around.alias("hash")).alias("place"))
+               .groupBy("_row", "kind", "entity").agg(F.min("place").getField("hash").alias("_beside")))
+    holders = materialize(holders, "entities_of_rows")
+    entities = holders.groupBy("kind", "entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
+    terms = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= support)
+    tokens = F.filter(F.split(F.lower(_generalised(text, F.col("_spans"), F.lit(" "))), _NOT_WORD), lambda w: w != "")
+    # only rows that hold an entity of enough documents; every token with the ones before and after it
+    rows = private.join(holders.join(entities, ["kind", "entity"]).select("_row").distinct(), "_row", "left_semi").select("_row", tokens.alias("after"))
+    rows = rows.select("_row", "after", F.concat(F.array(F.lit("")), "after").alias("term"), F.concat(F.array(F.lit(""), F.lit("")), "after").alias("before"))
+    words = (rows.select("_row", F.posexplode(F.arrays_zip("after", "term", "before")).alias("at", "w")).filter("w.term <> ''")
+             .groupBy("_row", F.col("w.term").alias("term")).agg(F.min(F.struct("at", F.xxhash64("w.before", "w.after").alias("hash"))).getField("hash").alias("_near")))
+    some = F.pow(F.col("n_entity"), F.lit(alpha)) * n ** (1 - alpha) * 1.000001  # beyond it no term reaches the threshold
+    pairs = (holders.join(entities, ["kind", "entity"]).join(words.join(terms, "term"), "_row").filter(F.col("n_term") <= some)
+             .groupBy("kind", "entity", "term", "n_entity", "n_term", F.xxhash64("_beside", "_near").alias("_hash")).agg(F.count("*").alias("n"))
+             .groupBy("kind", "entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_together"), F.count("*").alias("n_contexts"))
              .filter(F.col("n_contexts") >= support))
-    entities = beside.groupBy("kind", "entity").agg(F.count("*").alias("n_entity"))
-    terms = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counted = pairs.join(terms, "term").join(entities, ["kind", "entity"]).withColumn("n", F.lit(max(1, docs.count())))
-    pmi = F.log2(F.least("n_together", "n_term") * F.col("n") / (F.col("n_term") * F.least("n_entity", "n")))
-    information = F.log2(F.col("n") / F.least("n_entity", "n"))
-    return (counted.withColumns({"pmi": pmi, "information": information}).filter((F.col("information") > 0) & (F.col("pmi") >= alpha * F.col("information")))
+    pmi, information = F.log2(F.col("n_together") * n / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))
+    return (pairs.withColumns({"pmi": pmi, "information": information}).filter((F.col("information") > 0) & (F.col("pmi") >= alpha * F.col("information")))
             .select("kind", "entity", "term", "n_together", "n_contexts", "n_term", "n_entity", "pmi", "information"))
 
 
@@ -139,29 +147,29 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col:
     """``doc_id, spans`` for every row: base spans and disclosing terms, by start and kind. ``keep_text``: the text too, where there are spans."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     base = with_base_spans(rows, "_text").withColumn("_text", F.when(F.size("_spans") > 0, F.col("_text")))
-    base = materialize(base, "personal")
+    base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "personal")
     private = base.filter("size(_spans) > 0")
     found = disclosures(docs, private, alpha, support, text_col)
     value = F.coalesce(*[F.when(F.col("s.kind") == kind, _normal(kind, F.col("s.value"))) for kind in PATTERNS])
     holders = private.select("_id", F.explode("_spans").alias("s")).select("_id", F.col("s.kind").alias("kind"), value.alias("entity")).distinct()
     per_row = holders.join(found.select("kind", "entity", "term"), ["kind", "entity"]).groupBy("_id").agg(F.collect_set("term").alias("_terms"))
     text = F.col("_text")
-    word_hits = F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
-    marked = F.filter(_positions(text, r"\p{L}+", word_hits, "term"), lambda w: F.array_contains(F.col("_terms"), F.lower(w.getField("value")))
+    word_hits = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    marked = F.filter(_positions(text, _WORD, word_hits, "term"), lambda w: F.array_contains(F.col("_terms"), F.lower(w.getField("value")))
                       & ~F.exists("_spans", lambda s: (s.getField("start") < w.getField("end")) & (w.getField("start") < s.getField("end"))))
     all_spans = private.join(per_row, "_id", "left").withColumn("_spans", F.when(F.col("_terms").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", marked))))
     result = all_spans.select("_id", "_spans", "_text").unionByName(base.filter("size(_spans) = 0").select("_id", "_spans", F.lit(None).cast("string").alias("_text")))
     return result.select(F.col("_id").alias("doc_id"), F.col("_spans").alias("spans"), *([F.col("_text").alias("text")] if keep_text else []))
 
 
-def _generalised(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans are replaced once, by the first one's kind."""
+def _generalised(text: Column, spans: Column, put: Column | None = None) -> Column:
+    """The text with every span replaced by its kind in brackets or by ``put``; overlapping spans are replaced once, by the first one's kind."""
     walked = F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda state, s: F.struct(
             F.greatest(state.getField("at"), s.getField("end")).alias("at"),
             F.when(s.getField("start") >= state.getField("at"),
-                   F.concat(state.getField("out"), F.array(F.substring(text, state.getField("at") + 1, s.getField("start") - state.getField("at")), F.concat(F.lit("["), s.getField("kind"), F.lit("]")))))
+                   F.concat(state.getField("out"), F.array(F.substring(text, state.getField("at") + 1, s.getField("start") - state.getField("at")), F.concat(F.lit("["), s.getField("kind"), F.lit("]")) if put is None else put)))
             .otherwise(state.getField("out")).alias("out")),
         lambda state: F.concat(F.array_join(state.getField("out"), ""), F.substring(text, state.getField("at") + 1, F.length(text))))
     return walked
@@ -173,7 +181,7 @@ def redact(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col
     Rows with an id take the disclosing terms of that id; base spans come from each row's own text."""
     own = [c for c in docs.columns]
     private = with_base_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), "_text").filter("size(_spans) > 0")
-    private = materialize(private, "private")
+    private = materialize(private.withColumn("_row", F.monotonically_increasing_id()), "private")
     found = disclosures(docs, private, alpha, support, text_col)
     value = F.coalesce(*[F.when(F.col("s.kind") == kind, _normal(kind, F.col("s.value"))) for kind in PATTERNS])
     holders = private.select("_id", F.explode("_spans").alias("s")).select("_id", F.col("s.kind").alias("kind"), value.alias("entity")).distinct()
@@ -181,7 +189,7 @@ def redact(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col
     marked = with_base_spans(docs, text_col)
     with_spans = marked.filter("size(_spans) > 0").join(terms.withColumnRenamed("_id", "_key"), F.col(id_col) == F.col("_key"), "left")
     text = F.col(text_col)
-    words = F.filter(_positions(text, r"\p{L}+", F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), "term"),
+    words = F.filter(_positions(text, _WORD, F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), "term"),
                      lambda w: F.array_contains(F.col("_terms"), F.lower(w.getField("value"))) & ~F.exists("_spans", lambda s: (s.getField("start") < w.getField("end")) & (w.getField("start") < s.getField("end"))))
     spans = F.when(F.col("_terms").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", words)))
     changed = with_spans.withColumn("_all", spans).withColumn(text_col, _generalised(text, F.col("_all"))).select(*own)

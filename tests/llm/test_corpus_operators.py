@@ -357,6 +357,21 @@ def test_disclosing_terms(spark):
     assert "Zorblax" not in clean[0] and "[term]" in clean[0] and "[email]" in clean[0] and clean[10] == docs[6][1] and clean[200] is None
 
 
+def test_terms_far_from_the_value(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join(rng.choice(["one", "two", "six", "red", "sun", "sea"]) for _ in range(n))
+    docs = [(i, f"Dear Quuxley or 李 of B2x7, {filler(150)} write to zor@mail.example") for i in range(6)] + [(10 + i, filler(30)) for i in range(60)]
+    docs += [(100 + i, f"copied plugh {'sun ' * 100} quux@mail.example") for i in range(5)]  # copies prove nothing
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = {(i, w) for i in range(6) for w in ("Dear", "Quuxley", "or", "李", "of", "B2x7", "write", "to")}
+    got = {(r.doc_id, s.value) for r in pii.find(df).collect() for s in r.spans if s.kind == "term"}
+    assert {(i, w) for i in range(6) for w in ("Quuxley", "or", "李", "of", "B2x7", "write")} - got == set(), got
+    assert got <= want
+    private = pii.with_base_spans(df.withColumn("_text", F.col("text")), "_text").filter("size(_spans) > 0").withColumn("_row", F.col("doc_id"))
+    row = {r.term: r for r in pii.disclosures(df, private).collect()}["write"]
+    assert (row.n_together, row.n_term, row.n_entity) == (6, 6, 6)
+
+
 # ---- op10 ----
 def brute_hits(text, items, window=10):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
