@@ -88,12 +88,11 @@ def normal_ring(ring: list[tuple[int, int]], outer: bool) -> list[tuple[int, int
 
 
 def assemble(segments: DataFrame, key: str, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """Rings (``key, ring, depth, parent, points``) of every area, and the areas with over ``most`` segments, which are left out.
+    """Rings (``key, ring, depth, parent, points``) of every area, and the areas with over ``most`` segments, which are built too.
 
-    Pairs of segments cancel before any grouping, so a task sees outlines only; areas are whole inside one task."""
+    Pairs of segments cancel before any grouping, so a task sees outlines only; areas, however large, are whole inside one task."""
     odd = odd_segments(segments, [key])
     size = odd.groupBy(key).agg(F.count("*").alias("segments"))
-    fits = odd.join(size.filter(F.col("segments") <= most).select(key), key)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -104,7 +103,7 @@ def assemble(segments: DataFrame, key: str, most: int = 200_000) -> tuple[DataFr
         return pd.DataFrame(out, columns=[key, "ring", "depth", "parent", "points"])
 
     kind = segments.schema[key].dataType.simpleString()
-    rings = fits.groupBy(task_of(fits, key, 64 * 5000)).applyInPandas(build, f"{key} {kind}, ring int, depth int, parent int, points array<struct<x:bigint,y:bigint>>")
+    rings = odd.groupBy(task_of(odd, key, 64 * 5000)).applyInPandas(build, f"{key} {kind}, ring int, depth int, parent int, points array<struct<x:bigint,y:bigint>>")
     return rings, size.filter(F.col("segments") > most)
 
 

@@ -99,6 +99,14 @@ def test_pairs_and_components(spark):
     assert [label[i] for i in (1, 3, 5, 9, 7)] == [1, 1, 1, 1, 7]
 
 
+def test_large_areas_are_built(spark):
+    square = [(0, 0, 9, 0), (9, 0, 9, 9), (9, 9, 0, 9), (0, 9, 0, 0)]
+    df = spark.createDataFrame([(k, *(c + 20 * k for c in s)) for k in range(3) for s in square], "area bigint, xa bigint, ya bigint, xb bigint, yb bigint")
+    want = sorted(areas.assemble(df, "area")[0].collect())
+    rings, large = areas.assemble(df, "area", most=1)
+    assert len(want) == 3 and sorted(rings.collect()) == want and large.count() == 3
+
+
 def test_simplification():
     assert lines.douglas_peucker(np.array([(0, 0), (1, 0.1), (2, 0), (3, 5), (4, 0)], float), 1.0).tolist() == [True, False, True, True, True]
 
