@@ -224,7 +224,7 @@ def _sort_in_task(length: int, keep_first: bool):
             flags = before if keep_first else before | after
             for m in group:
                 for at in m[3]:
-                    if whole and not (keep_first and m is first and at == m[3][0]):
+                    if whole and not (keep_first and m[1:4] == first[1:4] and at == m[3][0]):  # by value: rows of equal id and text are all first
                         out.append((m[2], at, at + m[4]))
                     else:
                         out += [(m[2], at + a, at + b) for a, b in _runs(flags)]

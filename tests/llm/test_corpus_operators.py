@@ -80,6 +80,14 @@ def test_remove_repeats_keeps_columns(spark):
     assert repeats.find_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20000, 1])
+def test_repeated_rows_are_all_first(spark, prose, hot):
+    twin = prose[1](80)[:300]
+    rows = [(1, twin), (1, twin), (None, twin + "é"), (None, twin + "é"), (5, twin)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot).collect()
+    assert sorted(r.text for r in got if r.doc_id == 1) == [twin, twin] and [r.text for r in got if r.doc_id == 5] == [""] and len(got) == 5
+
+
 # ---- op2 ----
 def test_language(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
