@@ -7,34 +7,39 @@ array (prefix doubling up to ``length``). In suffix order, windows with a common
 the smaller positions before and after a window among them are its earlier matches, which is where its longest previous
 factor reaches ``length``. With ``keep_first`` the windows with an earlier match go, else also those with a later one.
 
-Grams in over ``HOT`` texts (a passage in a third of all documents) go to no single task: identical runs are
-counted, the windows of the distinct ones become rows with a 128-bit digest, and equal digests are counted.
-Texts travel compressed. Equal texts are one unit, so copies add no work beyond the first passes.
+No array covers more than about ``ARRAY_BYTES``. A gram with more than ``GROUP_RUNS`` runs (a passage in a third of all
+documents) is taken apart by the bytes around it: equal runs are counted as one, the windows of what is left are dealt
+out by their place relative to the gram, ``WIDTHS`` of them at a time, and meet by all bytes that such neighbours share. Each
+of the smaller groups goes through the same factor arrays, or is taken apart once more, down to single windows.
+Texts travel compressed. Equal texts (by MD5) are one unit, so copies add no work beyond the first passes.
 
 Defined cases: null is the empty text; texts shorter than ``length`` lose nothing; repeated rows are copies of each
-other; with ``keep_first`` the copy with the smallest id is the first (rows of equal id and text are all first); rows
-without an id come last; cuts inside a character drop its remaining bytes from ``text`` but not from ``kept``;
-an empty table gives an empty result.
+other; with ``keep_first`` the copy with the smallest id is the first (rows of equal id and text are all first); ids are
+numbers or strings; rows without an id come last; cuts inside a character drop its remaining bytes from ``text`` but not
+from ``kept``; columns of any name pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import drop_table, materialize
 
 LENGTH, GRAM = 200, 32
-#: Texts with a gram beyond which its runs are counted as rows instead of sorted in one task (equal runs of a text go there once).
-HOT = 20_000
-#: Bytes of runs that one suffix array covers, unless one gram has more.
-ARRAY_BYTES = 2_000_000
+#: Runs of one gram that meet in one task; the runs of more frequent grams are taken apart.
+GROUP_RUNS = 2000
+#: Bytes of distinct runs under one suffix array; its rows are at most an eightieth of that.
+ARRAY_BYTES = 800_000
+#: Neighbouring windows that stay together when a frequent gram's runs are taken apart, and once more.
+WIDTHS = (13, 1)
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -128,15 +133,26 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _text(docs: DataFrame, text_col: str) -> Column:
+    return F.coalesce(docs[text_col].cast("string"), F.lit(""))
+
+
+def _order(docs: DataFrame, id_col: str) -> Column:
+    """The id as a number or string in which rows without one come last."""
+    if isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1))
+    return F.coalesce(docs[id_col].cast("string"), F.lit("\U0010ffff" * 8))
+
+
 def _units(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """``unit`` (digest of the text), ``_order`` (id), ``z`` (compressed text) and the columns to keep."""
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_order"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    rows = rows.select(F.unhex(F.md5("_text")).alias("unit"), "_order", F.encode("_text", "UTF-8").alias("z"), *[f"k_{c}" for c in keep])
+    """``unit`` (digest of the text), ``_order`` (id), ``z`` (compressed text) and the columns to keep as ``k_0, k_1, ...``."""
+    text = _text(docs, text_col)
+    rows = docs.select(F.unhex(F.md5(text)).alias("unit"), _order(docs, id_col).alias("_order"), F.encode(text, "UTF-8").alias("z"), *[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            z = pa.array([pack(t) for t in batch.column(2).to_pylist()], pa.binary())
+            z = pa.array([pack(t.as_buffer()) for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], z, *batch.columns[3:]], batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
@@ -144,14 +160,14 @@ def _units(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Data
 
 def _anchors(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     """``key, unit, n``: the grams that stand for windows of a text, and how many runs of windows each has there."""
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).filter(F.octet_length("_text") >= length)
+    rows = docs.select(_text(docs, text_col).alias("_text")).filter(F.octet_length("_text") >= length)
     rows = rows.select(F.unhex(F.md5("_text")).alias("unit"), F.encode("_text", "UTF-8").alias("_raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for unit, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, n = np.unique(window_runs(np.frombuffer(raw, np.uint8), length)[0], return_counts=True)
+            for unit, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, n = np.unique(window_runs(np.frombuffer(raw.as_buffer(), np.uint8), length)[0], return_counts=True)
                 held.append((key, unit, n))
                 size += len(key)
                 if size > 100_000:
@@ -168,31 +184,37 @@ def _anchors(docs: DataFrame, text_col: str, length: int) -> DataFrame:
 
 
 def _contents(units: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``key, rep, unit, starts, n, content, hot``: the runs of the grams in ``wanted`` (``unit, rep, keys, hot``), equal runs of a text once."""
-    joined = units.select("unit", F.col("_order").alias("rep"), "z").join(wanted, ["unit", "rep"]).select("unit", "rep", "z", "keys", "hot")
+    """``key, rep, unit, starts, content, wide``: the runs of the grams in ``wanted`` (``unit, rep, keys, wide``), equal runs of a text once."""
+    joined = units.select("unit", F.col("_order").alias("rep"), "z").join(wanted, ["unit", "rep"]).select("unit", "rep", "z", "keys", "wide")
+    rep_type = joined.schema["rep"].dataType.simpleString()
+    kinds = [pa.int64(), pa.string() if rep_type == "string" else pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
+    names = ["key", "rep", "unit", "starts", "content", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for unit, rep, z, keys, hot in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            out, size = [], 0
+            for i in range(batch.num_rows):
+                unit, rep, z, keys, wide = (batch.column(k)[i].as_py() for k in range(5))
                 text = unpack(z)
                 key, s, n = window_runs(np.frombuffer(text, np.uint8), length)
                 of = np.flatnonzero(np.isin(key, np.array(keys, np.int64)))
                 found: dict[tuple[int, bytes], list[int]] = {}
                 for k, a, m in zip(key[of].tolist(), s[of].tolist(), n[of].tolist()):
                     found.setdefault((k, text[a : a + m + length - 1]), []).append(a)
-                out += [(k, rep, unit, starts, len(content) - length + 1, content, hot) for (k, content), starts in found.items()]
-                if len(out) > 20_000:
-                    yield batch_of(out)
-                    out = []
+                for (k, content), starts in found.items():
+                    out.append((k, rep, unit, starts, content, wide))
+                    size += len(content)
+                    if size > 4_000_000:
+                        yield batch_of(out)
+                        out, size = [], 0
             if out:
                 yield batch_of(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.bool_()]
-    names = ["key", "rep", "unit", "starts", "n", "content", "hot"]
-    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-    return joined.mapInArrow(run, "key bigint, rep bigint, unit binary, starts array<int>, n int, content binary, hot boolean")
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    return joined.mapInArrow(run, f"key bigint, rep {rep_type}, unit binary, starts array<int>, content binary, wide boolean")
 
 
 def repeated_windows(contents: list[bytes], order: np.ndarray, length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -208,120 +230,167 @@ def repeated_windows(contents: list[bytes], order: np.ndarray, length: int = LEN
     return np.split(earlier, cut), np.split(later, cut)
 
 
-def _sort_in_task(length: int, keep_first: bool):
-    """Members sorted by gram and content in, ``unit, a, b`` (windows to remove) out."""
+def _sort_in_task(length: int, keep_first: bool, array_bytes: int):
+    """Runs (``key, content, rep, unit, starts``) sorted by gram and content in, ``unit, run, a, b`` out: windows to remove, and
+    where their run starts."""
     def solve(members: list[tuple]) -> pa.RecordBatch:
         groups: dict[tuple, list[tuple]] = {}
         for m in members:
-            groups.setdefault((m[0], m[5]), []).append(m)
-        firsts = [min(g, key=lambda m: m[1:4]) for g in groups.values()]
+            groups.setdefault(m[:2], []).append(m[2:])
+        firsts = [min(g) for g in groups.values()]
         rank = np.empty(len(firsts), np.int64)
-        rank[sorted(range(len(firsts)), key=lambda i: firsts[i][1:4])] = np.arange(len(firsts))
-        earlier, later = repeated_windows([f[5] for f in firsts], rank, length)
+        rank[sorted(range(len(firsts)), key=firsts.__getitem__)] = np.arange(len(firsts))
+        earlier, later = repeated_windows([content for _, content in groups], rank, length)
         out = []
-        for group, first, before, after in zip(groups.values(), firsts, earlier, later):
-            whole = sum(len(m[3]) for m in group) > 1
-            flags = before if keep_first else before | after
+        for (_, content), group, first, before, after in zip(groups, groups.values(), firsts, earlier, later):
+            whole, n = sum(len(starts) for _, _, starts in group) > 1, len(content) - length + 1
+            flags = _runs(before if keep_first else before | after)
             for m in group:
-                for at in m[3]:
-                    if whole and not (keep_first and m[1:4] == first[1:4] and at == m[3][0]):  # by value: rows of equal id and text are all first
-                        out.append((m[2], at, at + m[4]))
+                for at in m[2]:
+                    if whole and not (keep_first and m == first and at == m[2][0]):  # by value: rows of equal id and text are all first
+                        out.append((m[1], at, at, at + n))
                     else:
-                        out += [(m[2], at + a, at + b) for a, b in _runs(flags)]
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], ["unit", "a", "b"])
+                        out += [(m[1], at, at + a, at + b) for a, b in flags]
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["unit", "run", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pending, size, last = [], [], 0, None  # held: finished grams; pending: rows of the last one
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if row[0] != last:
-                    if len(pending) > 1 or pending and len(pending[0][3]) > 1:
-                        held += pending
-                    pending, last = [], row[0]
-                    if size > ARRAY_BYTES and held:
-                        yield solve(held)
-                        held, size = [], 0
-                if pending and pending[-1][5] == row[5]:
-                    row = (*row[:5], pending[-1][5])  # equal runs share their bytes
-                else:
-                    size += len(row[5])
-                pending.append(row)
-        if len(pending) > 1 or pending and len(pending[0][3]) > 1:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for row in zip(*(part.column(i).to_pylist() for i in range(5))):
+                    if row[0] != last:
+                        if len(pending) > 1 or pending and len(pending[0][4]) > 1:
+                            held += pending
+                        pending, last = [], row[0]
+                        if held and (size > array_bytes // 2 or len(held) > array_bytes // 80):
+                            yield solve(held)
+                            held, size = [], 0
+                    if pending and pending[-1][1] == row[1]:
+                        row = (row[0], pending[-1][1], *row[2:])  # equal runs share their bytes
+                    else:
+                        size += len(row[1])
+                    pending.append(row)
+        if len(pending) > 1 or pending and len(pending[0][4]) > 1:
             held += pending
         if held:
             yield solve(held)
     return run
 
 
-def _count_as_rows(members: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same as ``_sort_in_task`` for hot grams, with aggregates and joins only between tasks."""
-    id_ = F.struct("rep", "unit", "s")
-    members = members.withColumn("s", F.explode("starts")).drop("starts").withColumns({"c1": F.xxhash64("content"), "c2": F.unhex(F.md5("content"))})
-    runs = materialize(members.groupBy("key", "c1", "c2").agg(F.count("*").alias("n_runs"), F.min(id_).alias("first")), "hot_runs")
-    distinct = members.join(runs, ["key", "c1", "c2"]).filter(id_ == F.col("first")).select("key", "c1", "c2", "rep", "unit", "s", "content")
+def _solved(runs: DataFrame, length: int, keep_first: bool, array_bytes: int) -> DataFrame:
+    """``unit, run, a, b`` of grams whose runs meet in one task."""
+    sorted_ = runs.select("key", "content", "rep", "unit", "starts").repartition("key").sortWithinPartitions("key", "content")
+    return sorted_.mapInArrow(_sort_in_task(length, keep_first, array_bytes), "unit binary, run int, a int, b int")
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _take_apart(length: int, width: int, gram: int = GRAM):
+    """Runs (``content, rep, unit, s``) in, their pieces of ``width`` windows at most out, dealt by place relative to the gram; the
+    key is a hash of the bytes that all such windows hold, so equal windows of all runs meet."""
+    names = ["key", "content", "rep", "unit", "s", "run"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, c1, c2, rep, unit, s, content = (batch.column(k)[i].as_py() for k in range(7))
-                digests = [hashlib.blake2b(content[a : a + length], digest_size=16).digest() for a in range(len(content) - length + 1)]
-                n = len(digests)
-                same = lambda x, t: pa.array([x] * n, t)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), same(key, pa.int64()), same(c1, pa.int64()), same(c2, pa.binary()), same(rep, pa.int64()), same(unit, pa.binary()), pa.array(range(s, s + n), pa.int32()), pa.array(range(n), pa.int32())],
-                                                 ["w", "key", "c1", "c2", "rep", "unit", "at", "o"])
-
-    rows = materialize(distinct.mapInArrow(windows, "w binary, key bigint, c1 bigint, c2 binary, rep bigint, unit binary, at int, o int"), "hot_windows")
-    place = F.struct("rep", "unit", "at")
-    counted = rows.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1")
-    hit = rows.join(counted, "w").filter((place != F.col("least")) if keep_first else F.lit(True)).groupBy("key", "c1", "c2").agg(F.collect_set("o").alias("hits"))  # a run's windows
-    all_runs = members.drop("content").join(runs, ["key", "c1", "c2"]).join(hit, ["key", "c1", "c2"], "left")
-    whole = (F.col("n_runs") > 1) & ((id_ != F.col("first")) if keep_first else F.lit(True))
-    found = F.when(whole, F.array(F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")))).otherwise(F.transform("hits", lambda o: F.struct((F.col("s") + o).alias("a"), (F.col("s") + o + 1).alias("b"))))
-    return all_runs.select("unit", F.explode(found).alias("x")).select("unit", "x.a", "x.b")
-
-
-def find_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """For every row ``n_bytes, n_removed, n_spans, spans`` (byte ranges, end exclusive), ``kept`` (bytes) and the columns
-    ``keep`` (the id by default)."""
-    keep = [id_col] if keep is None else keep
+            for at in range(0, batch.num_rows, 1000):
+                part, out = batch.slice(at, 1000), []
+                for content, rep, unit, s in zip(*(part.column(i).to_pylist() for i in range(4))):
+                    n = len(content) - length + 1
+                    p = int(gram_hashes(np.frombuffer(content[:length], np.uint8), gram).argmin())  # where the gram stands
+                    for q in range((p - n + 1) // width, p // width + 1):
+                        low, high = max(p - n + 1, q * width), min(p, q * width + width - 1)  # bytes from window to gram
+                        core = content[p - q * width : p - q * width - width + 1 + length]
+                        out.append((xxhash.xxh64_intdigest(core, q) - (1 << 63), content[p - high : p - low + length], rep, unit, s + p - high, s))
+                kinds = [pa.int64(), pa.binary(), part.schema.field(1).type, pa.binary(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names)
+    return run
+
+
+def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """``unit, run, a, b`` as ``_solved`` for grams of any frequency. ``members``: ``key, content, rep, unit, s`` (first window)
+    and ``run`` (the run that the windows come from)."""
+    place = F.struct("rep", "unit", "s")
+    digests = {"c1": F.xxhash64("content"), "c2": F.unhex(F.md5("content"))}
+    runs = materialize(members.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(place).alias("first")), "frequent_runs")
+    sizes = runs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")).filter("n > 1")
+    met = runs.select("key", "content", "first.rep", "first.unit", "first.s").join(sizes, "key")
+    fits = F.col("bytes") <= array_bytes
+    found = _solved(met.filter(fits if widths else F.lit(True)).withColumn("starts", F.array("s")), length, keep_first, array_bytes)
+    if widths:
+        many = materialize(met.filter(~fits).select("content", "rep", "unit", "s"), "frequent_groups")
+        if not many.isEmpty():
+            rep_type = many.schema["rep"].dataType.simpleString()
+            pieces = many.mapInArrow(_take_apart(length, widths[0]), f"key bigint, content binary, rep {rep_type}, unit binary, s int, run int")
+            found = found.unionByName(_solved_apart(materialize(pieces, "frequent_pieces"), length, keep_first, array_bytes, widths[1:]))
+    flags = found.groupBy("unit", "run").agg(F.collect_list(F.struct((F.col("a") - F.col("run")).alias("a"), (F.col("b") - F.col("run")).alias("b"))).alias("flags"))  # of one run
+    firsts = runs.withColumns(digests).select("key", "c1", "c2", "times", "first", F.col("first.unit").alias("unit"), F.col("first.s").alias("run"), (F.octet_length("content") - length + 1).alias("n"))
+    known = materialize(firsts.join(flags, ["unit", "run"], "left").filter("times > 1 OR flags IS NOT NULL").drop("unit", "run"), "frequent_flags")
+    drop_table(runs)
+    joined = members.withColumns(digests).drop("content").join(known, ["key", "c1", "c2"])  # two tables: the runs of a frequent one are split among tasks
+    whole = (F.col("times") > 1) & ((place != F.col("first")) if keep_first else F.lit(True))
+    spans = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("flags"))
+    return joined.select("unit", "run", "s", F.explode(spans).alias("x")).select("unit", "run", (F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b"))
+
+
+RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+
+
+def _find(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str, keep: list[str], group_runs: int, array_bytes: int) -> DataFrame:
+    """A row for every row: the columns ``keep`` as ``k_0, k_1, ...`` and then ``RESULTS``."""
     anchors = materialize(_anchors(docs, text_col, length), "anchors")
     # a table, so that the join below shuffles both sides and splits the grams of very common lines
-    grams = anchors.groupBy("key").agg(F.sum("n").alias("n_runs"), F.count("*").alias("n_texts")).filter("n_runs > 1").select("key", (F.col("n_texts") > hot).alias("hot"))
-    grams = materialize(grams, "grams")
+    grams = materialize(anchors.groupBy("key").agg(F.sum("n").alias("n_runs")).filter("n_runs > 1").select("key", (F.col("n_runs") > group_runs).alias("wide")), "grams")
     units = _units(docs, id_col, text_col, keep)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    copies = materialize(docs.select(F.unhex(F.md5(text)).alias("unit"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_order")).groupBy("unit").agg(F.count("*").alias("copies"), F.min("_order").alias("rep")), "units")
-    candidates = anchors.join(grams, "key").select("unit", "key", "hot")
-    wanted = materialize(candidates.groupBy("unit", "hot").agg(F.collect_set("key").alias("keys")).join(copies, "unit"), "grams_of_texts").drop("copies")  # a text's grams
+    copies = docs.select(F.unhex(F.md5(_text(docs, text_col))).alias("unit"), _order(docs, id_col).alias("_order")).groupBy("unit").agg(F.count("*").alias("copies"), F.min("_order").alias("rep"))
+    copies = materialize(copies, "units")
+    candidates = anchors.join(grams, "key").select("unit", "key", "wide")
+    by_unit = candidates.groupBy("unit", "wide").agg(F.collect_set("key").alias("keys"))  # a text's grams
+    wanted = materialize(by_unit.join(copies, "unit"), "grams_of_texts").drop("copies")
     drop_table(anchors)
-    # one pass over the texts writes the runs of all repeated grams, hot or not
+    drop_table(grams)
+    # one pass over the texts writes the runs of all repeated grams
     members = materialize(_contents(units, wanted, length), "contents")
-    usual = members.filter(~F.col("hot")).drop("hot")
-    found = usual.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_sort_in_task(length, keep_first), "unit binary, a int, b int")
-    hot_members = members.filter("hot").drop("hot")
-    if not hot_members.isEmpty():
-        found = found.unionByName(_count_as_rows(hot_members, length, keep_first))
+    drop_table(wanted)
+    found = _solved(members.filter(~F.col("wide")), length, keep_first, array_bytes)
+    frequent = members.filter("wide").select("key", "content", "rep", "unit", F.explode("starts").alias("s")).withColumn("run", F.col("s"))
+    if not frequent.isEmpty():
+        found = found.unionByName(_solved_apart(frequent, length, keep_first, array_bytes))
     spans = materialize(found.groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "windows")  # a text's spans
+    drop_table(members)
 
+    columns = [f"k_{i}" for i in range(len(keep))]
     rest = units.join(copies, "unit").join(spans, "unit", "left")
-    columns = [f"k_{c}" for c in keep]
-    rest = rest.select("z", "windows.a", "windows.b", ((F.col("copies") > 1) & (F.lit(True) if not keep_first else F.col("_order") > F.col("rep"))).alias("copy"), *columns)
+    copy = (F.col("copies") > 1) & (F.lit(True) if not keep_first else F.col("_order") > F.col("rep"))
+    rest = rest.select("z", "windows.a", "windows.b", copy.alias("copy"), *columns)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for z, a, b, copy in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = unpack(z)
-                ranges = [(0, len(raw))] if copy and len(raw) >= length else merged([(x, y + length - 1) for x, y in zip(a or (), b or ())])
-                cuts = [0, *(x for r in ranges for x in r), len(raw)]
-                kept = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-                out.append((len(raw), len(raw) - len(kept), len(ranges), [{"start": x, "end": y} for x, y in ranges], kept))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds))], [*keep, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            for at in range(0, batch.num_rows, 500):
+                yield finished(batch.slice(at, 500))
+
+    def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unpack, out = zstandard.ZstdDecompressor().decompress, []
+        for z, a, b, copy in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            raw = unpack(z)
+            ranges = [(0, len(raw))] if copy and len(raw) >= length else merged([(x, y + length - 1) for x, y in zip(a or (), b or ())])
+            cuts = [0, *(x for r in ranges for x in r), len(raw)]
+            kept = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
+            out.append((len(raw), len(raw) - len(kept), len(ranges), [{"start": x, "end": y} for x, y in ranges], kept))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        return pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds))], [*columns, *_NAMES])
+
+    kinds = "".join(f"k_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    return rest.mapInArrow(finish, kinds + RESULTS)
+
+
+_NAMES = [x.split()[0] for x in RESULTS.split(", ")]
+
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return rest.mapInArrow(finish, kinds + "n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+def find_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text",
+                 group_runs: int = GROUP_RUNS, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+    """For every row its id and ``n_bytes, n_removed, n_spans, spans`` (byte ranges, end exclusive) and ``kept`` (bytes)."""
+    found = _find(docs, length, keep_first, id_col, text_col, [id_col], group_runs, array_bytes)
+    return found.select(F.col("k_0").alias(id_col), *_NAMES)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -335,8 +404,10 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                   group_runs: int = GROUP_RUNS, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """``docs`` with all columns, later copies of repeated strings cut out of the text; a null text becomes empty."""
     others = [c for c in docs.columns if c != text_col]
-    found = find_repeats(docs, length, True, hot, id_col, text_col, others)
-    return found.withColumn(text_col, F.decode("kept", "UTF-8")).select(*docs.columns)
+    found = _find(docs, length, True, id_col, text_col, others, group_runs, array_bytes)
+    own = {c: F.col(f"k_{i}") for i, c in enumerate(others)} | {text_col: F.decode("kept", "UTF-8")}
+    return found.select(*[own[c].alias(c) for c in docs.columns])

@@ -45,15 +45,19 @@ def brute_repeats(docs, length, keep_first):
     return out
 
 
-@pytest.mark.parametrize("hot", [20000, 3])
+BOUNDS = [(2000, 800_000), (2, 800_000), (2, 900), (2, 1)]
+
+
+@pytest.mark.parametrize("group_runs,array_bytes", BOUNDS)
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_repeats(spark, prose, hot, keep_first):
+def test_repeats(spark, prose, group_runs, array_bytes, keep_first):
     rng, text = prose
     passages = [text(rng.randint(30, 80)) for _ in range(5)]
     docs = [(i, text(rng.randint(0, 50)) + " ".join(rng.choice([*passages, text(20), passages[0][:190]]) for _ in range(rng.randint(0, 3)))) for i in range(60)]
+    docs += [(200 + i, text(4) + passages[1][20:240] + text(4)) for i in range(20)]  # one passage, each time in another place
     docs += [(100, None), (101, ""), (102, docs[3][1]), (103, "z" * 199), (104, "z" * 400), (105, "ab" * 300), (106, docs[3][1] + "é")]
     want = brute_repeats(docs, 200, keep_first)
-    rows = repeats.find_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), keep_first=keep_first, hot=hot).collect()
+    rows = repeats.find_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), keep_first=keep_first, group_runs=group_runs, array_bytes=array_bytes).collect()
     assert len(rows) == len(docs)
     for r in rows:
         assert (r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
@@ -78,13 +82,22 @@ def test_remove_repeats_keeps_columns(spark):
     out = repeats.remove_repeats(table(spark))
     assert out.columns == ["doc_id", "text", "source", "lang"] and out.count() == len(AWKWARD)
     assert repeats.find_repeats(table(spark, [])).count() == 0
+    clash = table(spark).withColumns({"kept": F.lit(1), "spans": F.lit("s"), "k_0": F.lit(2), "unit": F.lit(3), "_order": F.lit(4), "z": F.lit(5)})
+    assert repeats.remove_repeats(clash).columns == clash.columns and {(r.kept, r.spans, r.unit) for r in repeats.remove_repeats(clash).collect()} == {(1, "s", 3)}
+
+
+def test_repeats_with_string_ids_and_a_long_text(spark, prose):
+    passage, long = prose[1](80), prose[1](160_000)
+    rows = [("b", passage + "x"), ("a", passage + "y"), (None, passage), ("c", long), ("d", "q" * 300_000), ("e", long[500_000:500_300])]
+    got = {r.doc_id: r.n_removed for r in repeats.find_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(long) > 1 << 19 and got == {"a": 0, "b": len(passage.encode()), None: len(passage.encode()), "c": 0, "d": 299_999, "e": len(rows[5][1].encode())}
 
 
-@pytest.mark.parametrize("hot", [20000, 1])
-def test_repeated_rows_are_all_first(spark, prose, hot):
+@pytest.mark.parametrize("group_runs,array_bytes", BOUNDS)
+def test_repeated_rows_are_all_first(spark, prose, group_runs, array_bytes):
     twin = prose[1](80)[:300]
     rows = [(1, twin), (1, twin), (None, twin + "é"), (None, twin + "é"), (5, twin)]
-    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot).collect()
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), group_runs=group_runs, array_bytes=array_bytes).collect()
     assert sorted(r.text for r in got if r.doc_id == 1) == [twin, twin] and [r.text for r in got if r.doc_id == 5] == [""] and len(got) == 5
 
 
