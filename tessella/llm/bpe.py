@@ -2,19 +2,21 @@
 
 A tokenizer file (byte-level alphabet, merge list, word-end suffix) gives the merge rules. Whether a rule fires at a
 place depends on text to its right only through rules of higher priority that overlap its end, those on still higher
-priorities, and so on; following these chains through the merge list gives the *sufficient lookahead*, the number of
-symbols beyond which nothing can change a token. The encoder reads a word in blocks, and emits every token that ends
-that far from the end of what it has read; what it holds never exceeds a block and the lookahead, however long the
-word is. Decoding is a state machine: token bytes go in, whole characters come out, an unfinished character stays in
-the state.
+priorities, and so on; following these chains through the merge list gives every rule's reach, and the longest reach is
+the *sufficient lookahead* of the list. Every word goes through one transducer: it reads ``WINDOW`` bytes, applies the
+merges inside them, and emits a token once it is stable, that is, once what has been read goes as far as the rules that
+could start where the token starts reach; the word's end makes all tokens stable. What it holds never exceeds a window, which
+grows to the sufficient lookahead at most, however long the word is. Long texts are read in pieces that end before white space.
+
+Decoding reads ids only: a state machine takes the tokens' bytes and gives whole characters, an unfinished character
+stays in the state.
 
 Normalisation and word splitting follow the file: NFC, white space to blanks, lower case; words are runs of letters,
 single digits, runs of other signs and seven contractions. The two special tokens keep their ids where they occur in
-a text. Words repeat, so a bounded two-generation cache keeps the results of recent words, and the new short words of
-a batch, which all end within the first block, are merged together as columns of one table.
+a text. Words repeat, so a bounded two-generation memory keeps what the transducer gave for recent short ones.
 
 Defined cases: null is the empty text and has no tokens; an empty table gives an empty result; repeated rows are
-encoded one by one; columns of the same names in the input are not read.
+encoded one by one; columns of the same names in the input are not read; null ids decode to the empty text.
 """
 
 from __future__ import annotations
@@ -25,18 +27,19 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096
-#: Words in each of the cache's two generations.
-CACHE = 250_000
-#: Longest word, in bytes, that is merged together with others.
-SHORT = 40
+#: Bytes of a word that the transducer holds, unless the rules at hand reach further.
+WINDOW = 128
+#: Words in each of the memory's two generations, and the longest of them.
+CACHE, CACHED_LENGTH = 250_000, 64
+#: Characters of a text that are split into words at once, and tokens that are decoded at once.
+PIECE, TOKENS = 1 << 16, 1 << 16
 #: Bytes of text in one output batch.
 BATCH_BYTES = 2_000_000
 
@@ -54,12 +57,12 @@ def byte_symbols() -> dict[int, str]:
     return table
 
 
-def sufficient_lookahead(rules: Iterable[tuple[str, str]], suffix: str) -> int:
-    """Symbols from the start of a token that decide on it. ``rules``: merges by priority, highest first."""
+def reaches(rules: Iterable[tuple[str, str]], suffix: str) -> dict[str, int]:
+    """For each merged text the symbols from its start that decide on the merge. ``rules``: merges by priority, highest first."""
     best: dict[str, int] = {}  # of the rules so far that start with the key and go on
-    most = 1
+    out: dict[str, int] = {}
     for left, right in rules:
-        text = left + right
+        merged = text = left + right
         final = text.endswith(suffix)
         if final:
             text = text[: -len(suffix)]
@@ -72,52 +75,53 @@ def sufficient_lookahead(rules: Iterable[tuple[str, str]], suffix: str) -> int:
         for to in range(1, n + 1 if final else n):
             if best.get(text[:to], 0) < reach:
                 best[text[:to]] = reach
-        most = max(most, reach)
-    return most
+        out[merged] = reach
+    return out
 
 
 class Transducer:
     """Encoder and decoder for one tokenizer file."""
 
-    def __init__(self, path: str, cache: int = CACHE, block: int = BLOCK):
+    def __init__(self, path: str, cache: int = CACHE, window: int = WINDOW):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.vocabulary: dict[str, int] = model["vocab"]
         rules = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.lookahead = sufficient_lookahead(rules, self.suffix)
+        self._reach = reaches(rules, self.suffix)
+        self.lookahead = max(self._reach.values(), default=1)
+        self._longest = max((len(t) for t in self._reach), default=1)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.strings = {i: s for s, i in self.vocabulary.items()} | {i: s for s, i in self.specials.items()}
-        self._rank = {(self.vocabulary[a], self.vocabulary[b]): (rank, self.vocabulary[a + b]) for rank, (a, b) in enumerate(rules)}
+        # a pair of tokens gives its rule's priority and what it becomes, in one number
+        self._base = max(self.strings) + 1
+        self._rank = {(self.vocabulary[a], self.vocabulary[b]): rank * self._base + self.vocabulary[a + b] for rank, (a, b) in enumerate(rules)}
         symbols = byte_symbols()
-        self._symbol = np.array([self.vocabulary[symbols[b]] for b in range(256)])
-        self._final = np.array([self.vocabulary[symbols[b] + self.suffix] for b in range(256)])
+        self._letters = [symbols[b] for b in range(256)]
+        self._symbol = [self.vocabulary[symbols[b]] for b in range(256)]
+        self._final = [self.vocabulary[symbols[b] + self.suffix] for b in range(256)]
         self._bytes = {s: b for b, s in symbols.items()}
-        self._base = max(self.strings) + 1
-        pairs = np.array([a * self._base + b for a, b in self._rank], np.int64)
-        order = np.argsort(pairs)
-        self._pairs, self._ranks, self._merged = pairs[order], order.astype(np.int32), np.array([new for _, new in self._rank.values()], np.int32)
-        self._text = [(str(i), self.strings.get(i, "")) for i in range(self._base)]
-        self.block, self._limit, self._new, self._old = block, cache, {}, {}
+        self._special_ids = set(self.specials.values())
+        self.window, self._limit, self._new, self._old = window, cache, {}, {}
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to a bounded run of symbols, best rule first, left to right."""
-        get = self._rank.get
+        get, none = self._rank.get, len(self._rank) * self._base
         while len(ids) > 1:
-            best, pair = None, None
-            for p in zip(ids, ids[1:]):
-                r = get(p)
-                if r is not None and (best is None or r < best):
-                    best, pair = r, p
-            if best is None:
+            ranks = list(map(get, zip(ids, ids[1:]), repeat(none)))
+            best = min(ranks)
+            if best == none:
                 break
-            a, b, new = *pair, best[1]
-            out, i, last = [], 0, len(ids) - 1
+            at = ranks.index(best)
+            if ranks.count(best) == 1:
+                ids[at : at + 2] = [best % self._base]
+                continue
+            out, i, last = ids[:at], at, len(ids) - 1
             while i <= last:
-                if i < last and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
+                if i < last and ranks[i] == best:
+                    out.append(best % self._base)
                     i += 2
                 else:
                     out.append(ids[i])
@@ -132,68 +136,36 @@ class Transducer:
 
     def word(self, data: bytes) -> Iterator[int]:
         """Tokens of one word, each as soon as it is stable."""
-        at, symbol = 0, self._symbol
-        while len(data) - at > self.block + self.lookahead:
-            done = 0
-            for token in self._merge(symbol[list(data[at : at + self.block + self.lookahead])].tolist()):
-                if done + self.width(token) > self.block:
+        at, symbol, size = 0, self._symbol, self.window
+        while len(data) - at > size:
+            read = data[at : at + size]
+            text, done = "".join([self._letters[b] for b in read]), 0
+            for token in self._merge([symbol[b] for b in read]):
+                decided = max([self._reach.get(text[done : done + n], n) for n in range(1, self._longest + 1)])
+                if done + decided > size:
                     break
                 yield token
                 done += self.width(token)
             at += done
-        ids = symbol[list(data[at:])].tolist()
-        ids[-1] = int(self._final[data[-1]])
+            size = self.window if done else 2 * size  # up to the sufficient lookahead, where the first token is stable
+        ids = [symbol[b] for b in data[at:]]
+        ids[-1] = self._final[data[-1]]
         yield from self._merge(ids)
 
-    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) * self._base + right
-        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
-        return np.where((self._pairs[at] == key) & (right >= 0), self._ranks[at], np.int32(len(self._pairs)))
-
-    def together(self, found: list[bytes]) -> list[list[int]]:
-        """Tokens of many words of at most ``SHORT`` bytes."""
-        none, out = len(self._pairs), [[]] * len(found)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        for low, high in ((0, 8), (8, 14), (14, 22), (22, SHORT)):
-            of = np.flatnonzero((sizes > low) & (sizes <= high))
-            if not len(of):
-                continue
-            n = sizes[of]
-            raw = np.frombuffer(b"".join(found[i].ljust(high, b"\0") for i in of), np.uint8).reshape(len(of), high)
-            ids = np.where(np.arange(high) < n[:, None], self._symbol[raw], -1).astype(np.int32)
-            ids[np.arange(len(of)), n - 1] = self._final[raw[np.arange(len(of)), n - 1]]
-            rank = self._rank_of(ids[:, :-1], ids[:, 1:])
-            while len(of):
-                at = rank.argmin(1)
-                best = rank[np.arange(len(of)), at]
-                done = best == none
-                for i, row, size in zip(of[done].tolist(), ids[done].tolist(), n[done].tolist()):
-                    out[i] = row[:size]
-                go = ~done
-                of, n, at, best, ids, rank = of[go], n[go] - 1, at[go], best[go], ids[go], rank[go]
-                if not len(of):
-                    break
-                rows = np.arange(len(of))
-                ids[rows, at] = self._merged[best]
-                # the merged pair's right half goes, what follows moves up
-                shift = np.arange(ids.shape[1] - 1) + (np.arange(ids.shape[1] - 1) > at[:, None])
-                ids = np.take_along_axis(ids, shift, 1)
-                if ids.shape[1] == 1:
-                    rank = np.full((len(of), 1), none, np.int32)
-                    continue
-                rank = np.take_along_axis(rank, np.minimum(shift[:, :-1] + (shift[:, :-1] == at[:, None]), rank.shape[1] - 1), 1)
-                inside = at < rank.shape[1]
-                rank[rows[inside], at[inside]] = self._rank_of(ids[rows[inside], at[inside]], ids[rows[inside], at[inside] + 1])
-                inside = at > 0
-                rank[rows[inside], at[inside] - 1] = self._rank_of(ids[rows[inside], at[inside] - 1], ids[rows[inside], at[inside]])
-        return out
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text, the special tokens among them."""
+    def words(self, text: str) -> Iterator[list[str]]:
+        """Words of a text in lists, the special tokens among them."""
+        at = 0
+        while len(text) - at > PIECE:
+            end = next((m.start() for m in _BLANK.finditer(text, at + PIECE)), len(text))
+            yield self._split(text[at:end])
+            at = end
+        yield self._split(text[at:] if at else text)
+
+    def _split(self, text: str) -> list[str]:
         out, at = [], 0
         if self._special is not None and "<" in text:
             for m in self._special.finditer(text):
-                out += self.split(text[at : m.start()])
+                out += self._split(text[at : m.start()])
                 out.append(m[0])
                 at = m.end()
             text = text[at:] if at else text
@@ -203,56 +175,60 @@ class Transducer:
             return out + _WORD.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
         return out + _LATIN_WORD.findall(text.lower())
 
-    def learn(self, found: set[str]) -> None:
-        """Put words into the cache."""
-        short, data = [], []
-        for w in found:
-            if w in self._old:
-                self._new[w] = self._old[w]
-            elif w in self.specials:
-                self._new[w] = self._text[self.specials[w]]
-            elif len(b := w.encode("utf-8")) <= SHORT:
-                short.append(w)
-                data.append(b)
-        text = self._text
-        for w, ids in zip(short, self.together(data)):
-            self._new[w] = text[ids[0]] if len(ids) == 1 else (" ".join([text[i][0] for i in ids]), " ".join([text[i][1] for i in ids]))
-
-    def render(self, texts: list[str]) -> list[tuple[str, str]]:
-        """For each text its decimal ids, and its tokens' strings, each joined by one blank."""
-        if len(self._new) >= self._limit:
-            self._old, self._new = self._new, {}
-        split = [self.split(t) for t in texts]
-        self.learn(set().union(*split).difference(self._new))
-        out, text = [], self._text
-        for found in split:
-            got = list(map(self._new.get, found))
-            if None in got:  # long words
-                for i, w in enumerate(found):
-                    if got[i] is None:
-                        ids = list(self.word(w.encode("utf-8")))
-                        got[i] = " ".join([text[k][0] for k in ids]), " ".join([text[k][1] for k in ids])
-            out.append((" ".join([r[0] for r in got]), " ".join([r[1] for r in got])))
-        return out
+    def _encoded(self, word: str) -> str:
+        """Decimal ids of a word, joined by blanks: from memory or through the transducer."""
+        found = self._old.get(word)
+        if found is None:
+            found = str(self.specials[word]) if word in self.specials else " ".join(map(str, self.word(word.encode("utf-8"))))
+        if len(word) <= CACHED_LENGTH:
+            if len(self._new) >= self._limit:
+                self._old, self._new = self._new, {}
+            self._new[word] = found
+        return found
+
+    def render(self, text: str | None) -> str:
+        """Decimal ids of a text, joined by blanks."""
+        out = []
+        for found in self.words(text or ""):
+            known = list(map(self._new.get, found))
+            if None in known:
+                known = [self._new.get(w) or self._encoded(w) for w in found]
+            if known:
+                out.append(" ".join(known))
+        return " ".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.render([text or ""])[0][0].split()]
-
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text, piece by piece: word ends become blanks; bytes wait in the state until a character is whole."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            s = self.strings[i]
-            if i in self.specials.values():
-                yield state.decode(b"", True) + s
-                state.reset()
-                continue
+        return [int(i) for i in self.render(text).split()]
+
+    @property
+    def readable(self) -> dict[str, bytes]:
+        """What each token stands for, as bytes: a word's end is a blank."""
+        def of(i: int, s: str) -> bytes:
+            if i in self._special_ids:
+                return s.encode("utf-8")
             final = s.endswith(self.suffix)
-            piece = state.decode(bytes(self._bytes[c] for c in (s[: -len(self.suffix)] if final else s)), final)
-            if final:
-                state.reset()
-            if piece or final:
-                yield piece + " " * final
+            return bytes(self._bytes[c] for c in (s[: -len(self.suffix)] if final else s)) + b" " * final
+        return {str(i): of(i, s) for i, s in self.strings.items()}
+
+    @property
+    def spelled(self) -> dict[str, bytes]:
+        """Each token's string in the vocabulary and a blank, as a tokenizer without a decoder writes it."""
+        return {str(i): s.encode("utf-8") + b" " for i, s in self.strings.items()}
+
+
+def decode_stream(ids: str | None, table: dict[str, bytes]) -> Iterator[str]:
+    """Text of decimal ids (blank-joined), piece by piece; bytes wait in the state until a character is whole."""
+    state, at = codecs.getincrementaldecoder("utf-8")("replace"), 0
+    ids = ids or ""
+    while at < len(ids):
+        end = ids.find(" ", at + TOKENS)
+        end = len(ids) if end < 0 else end
+        yield state.decode(b"".join(map(table.__getitem__, ids[at:end].split())))
+        at = end
+    yield state.decode(b"", True)
+
+
+_BLANK = re.compile(r"[ \t\n\r]")
 
 
 @lru_cache(maxsize=2)
@@ -274,28 +250,37 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         yield batch.slice(at)
 
 
+@lru_cache(maxsize=4)
+def _table(path: str, form: str) -> dict[str, bytes]:
+    return getattr(transducer(path), form)
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` (decimal, blank-joined: ``split`` and cast give an array) and ``decoded`` (the tokens'
-    vocabulary strings, blank-joined, as a tokenizer without a decoder gives them)."""
+    """``doc_id, n_tokens, ids`` (decimal, blank-joined: ``split`` and cast give an array)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         for whole in batches:
             for batch in _slices(whole, 1, BATCH_BYTES):
-                rows = machine.render([t or "" for t in batch.column(1).to_pylist()])
-                counts = [r[0].count(" ") + 1 if r[0] else 0 for r in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                ids = [machine.render(t) for t in batch.column(1).to_pylist()]
+                counts = [x.count(" ") + 1 if x else 0 for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string())], ["doc_id", "n_tokens", "ids"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids string, decoded string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids string")
+
 
+def decode(tokens: DataFrame, tokenizer: str, form: str = "readable") -> DataFrame:
+    """``tokens`` (``ids`` among its columns) and ``decoded``: ``readable`` text, lower-cased as the tokenizer sees it, or the
+    tokens ``spelled`` as in the vocabulary; a ``decoded`` that was there is replaced."""
+    own = [c for c in tokens.columns if c.lower() != "decoded"]
+    where = own.index("ids")
 
-def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, text``: readable text of ``encode``'s ids, lower-cased as the tokenizer sees it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(tokenizer)
-        for batch in batches:
-            texts = ["".join(machine.decode(map(int, (x or "").split()))).rstrip(" ") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        table = _table(tokenizer, form)
+        for whole in batches:
+            for batch in _slices(whole, where, BATCH_BYTES):
+                texts = ["".join(decode_stream(x, table)).removesuffix(" ") for x in batch.column(where).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, "decoded"])
 
-    id_type = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, text string")
+    kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in own)
+    return tokens.select(*[f"`{c}`" for c in own]).mapInArrow(run, f"{kinds}, decoded string")

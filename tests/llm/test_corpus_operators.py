@@ -308,35 +308,61 @@ def tokenizer():
     return path, tokenizers.Tokenizer.from_file(path), bpe.Transducer(path)
 
 
-def test_bpe_like_the_library(tokenizer):
+def test_bpe_like_the_library(tokenizer, monkeypatch):
     _, library, own = tokenizer
     rng = random.Random(1)
     texts = ["Hello world's it'LL I’M <|endoftext|>foo<|startoftext|>", "naïve Ça ΑΣ ΣΑΣ İ ½²³Ⅷ 日本語 é a\xa0b a\x85b a\x1cb", "", "'s''s'ss 123 4.5%$ ##a", "in" * 500, "don't <|endoftext|"]
     texts += ["".join(rng.choice("inthanerstcoaleu") for _ in range(rng.randint(100, 700))) for _ in range(30)]
     texts += ["".join(rng.choice("aAbEé .'s0́Σß<|\n日x!?\x1f\x00\t") for _ in range(60)) for _ in range(200)]
-    for text, (ids, decoded) in zip(texts, own.render(texts)):
-        want = library.encode(text, add_special_tokens=False).ids
-        assert ids == " ".join(map(str, want)) and decoded == library.decode(want, skip_special_tokens=False)
-
-
-def test_streaming_needs_only_the_lookahead(tokenizer):
+    for piece in (bpe.PIECE, 7):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        monkeypatch.setattr(bpe, "TOKENS", piece)
+        for text in texts:
+            want = library.encode(text, add_special_tokens=False).ids
+            ids = own.render(text)
+            assert ids == " ".join(map(str, want))
+            assert "".join(bpe.decode_stream(ids, own.spelled)).removesuffix(" ") == library.decode(want, skip_special_tokens=False)
+
+
+def test_every_word_streams(tokenizer):
+    """Tokens come out as soon as their rules are decided, whatever the window; what is held stays bounded."""
     path, library, own = tokenizer
-    small = bpe.Transducer(path, block=16)
     rng = random.Random(2)
-    for _ in range(3):
-        word = "".join(rng.choice(["in", "the", "an", "er", "st", "x", "q"]) for _ in range(4000))
-        assert list(small.word(word.encode())) == library.encode(word, add_special_tokens=False).ids
+    small, held = bpe.Transducer(path, window=8), []
+    merge = small._merge
+    small._merge = lambda ids: held.append(len(ids)) or merge(ids)
+    for k in range(200):
+        letters = ["in", "the", "an", "er", "st", "x", "q", "é", "日"] if k % 2 else list("aeionst") + ["!", "?"][: k % 3]
+        word = "".join(rng.choice(letters) for _ in range(rng.choice([3, 20, 60, 300])))
+        for part in own._split(word):
+            assert list(small.word(part.encode())) == library.encode(part, add_special_tokens=False).ids
+    assert max(held) <= 2 * own.lookahead and sorted(held)[len(held) // 2] <= 64
     assert own.lookahead >= max(map(len, own.vocabulary)) - len(own.suffix)
 
 
+def test_a_word_of_a_megabyte(tokenizer):
+    _, library, own = tokenizer
+    rng = random.Random(5)
+    word = "".join(rng.choice(["in", "the", "an", "er", "st", "zq"]) for _ in range(480_000))
+    held, merge = [], own._merge
+    own._merge = lambda ids: held.append(len(ids)) or merge(ids)
+    try:
+        assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
+    finally:
+        del own._merge
+    assert len(word) > 1_000_000 and max(held) <= 2 * own.lookahead
+
+
 def test_bpe_round_trip(spark, tokenizer):
     path, _, own = tokenizer
-    coded = bpe.encode(table(spark), path)
-    assert coded.count() == len(AWKWARD)
-    back = {r.doc_id: r.text for r in bpe.decode(coded, path).collect()}
+    coded = bpe.encode(table(spark).withColumns({"ids": F.lit("no ids"), "decoded": F.lit(1)}), path)
+    assert coded.count() == len(AWKWARD) and bpe.encode(table(spark, []), path).count() == 0
+    back = bpe.decode(coded, path)
+    assert back.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     bare = lambda t: re.sub(r"\s+", "", (t or "").replace("Σ", "σ").lower())
-    assert all(bare(back[d]) == bare(t) for d, t, _, _ in AWKWARD)
-    pieces = list(own.decode(own.encode("größe 日本")))
+    texts = {r.doc_id: r.decoded for r in back.collect()}
+    assert all(bare(texts[d]) == bare(t) for d, t, _, _ in AWKWARD)
+    pieces = list(bpe.decode_stream(own.render("größe 日本"), own.readable))
     assert "".join(pieces) == "größe 日本 " and all("\ufffd" not in p for p in pieces)
 
 
