@@ -164,7 +164,8 @@ def brute_firsts(docs):
     return sorted(min(g) for g in groups.values())
 
 
-def test_near_stage_takes_all_pairs_at_four_fifths(spark, prose):
+@pytest.mark.parametrize("tile", [512, 3])
+def test_near_stage_takes_all_pairs_at_four_fifths(spark, prose, tile, monkeypatch):
     rng, text = prose
     docs = [(i, text(rng.randint(0, 60))) for i in range(40)] + [(d, t) for d, t, _, _ in AWKWARD] + [(950, "Same  TEXT\nhere"), (951, "two words"), (952, "other words")]
     for group in range(25):  # copies with more and more words replaced: similarities from 1 down to about 0.5
@@ -174,11 +175,26 @@ def test_near_stage_takes_all_pairs_at_four_fifths(spark, prose):
             for at in rng.sample(range(150), k):
                 copy[at] = f"new{group}x{k}x{at}"
             docs.append((2000 + 10 * group + k, " ".join(copy)))
+    base = text(200).split()
+    for k in range(60):  # many copies of one text, most of them further from each other than from it
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 6)):
+            copy[at] = f"other{k}x{at}"
+        docs.append((5000 + k, " ".join(copy)))
+    chain = text(120).split()
+    for k in range(30):  # each near the one before only
+        chain = chain[2:] + [f"link{k}", f"more{k}"]
+        docs.append((6000 + k, " ".join(chain)))
+    links = near.near_links
+    monkeypatch.setattr(near, "near_links", lambda docs, text_col: links(docs, text_col, tile))
     import corpus_pipeline
 
-    df = spark.createDataFrame([(d, t, None, None) for d, t in docs] + [(None, docs[0][1], None, None)], SCHEMA)
-    got = corpus_pipeline.near_duplicate_stage(spark, df, SMALL).collect()
+    df = spark.createDataFrame([(d, t, None, None) for d, t in docs] + [(None, docs[0][1], None, None)], SCHEMA).withColumns({"_unit": F.lit(1), "_id": F.lit(2), "unit": F.lit(3)})
+    out = corpus_pipeline.near_duplicate_stage(spark, df, SMALL)
+    got = out.collect()
+    assert out.columns == df.columns and {(r._unit, r._id, r.unit) for r in got} == {(1, 2, 3)}
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == brute_firsts(docs) and sum(r.doc_id is None for r in got) == 1
+    assert corpus_pipeline.near_duplicate_stage(spark, df.limit(0), SMALL).count() == 0
 
 
 def test_fingerprint_hash_is_sparks(spark):
