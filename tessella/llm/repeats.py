@@ -231,8 +231,8 @@ def repeated_windows(contents: list[bytes], order: np.ndarray, length: int = LEN
 
 
 def _sort_in_task(length: int, keep_first: bool, array_bytes: int):
-    """Runs (``key, content, rep, unit, starts``) sorted by gram and content in, ``unit, run, a, b`` out: windows to remove, and
-    where their run starts."""
+    """Runs (``key, content, rep, unit, starts``) sorted by gram and content in; out, for each run that has any, the ranges of
+    windows to remove: ``unit, run`` (where the run starts), ``a, b`` (arrays)."""
     def solve(members: list[tuple]) -> pa.RecordBatch:
         groups: dict[tuple, list[tuple]] = {}
         for m in members:
@@ -248,11 +248,11 @@ def _sort_in_task(length: int, keep_first: bool, array_bytes: int):
             for m in group:
                 for at in m[2]:
                     if whole and not (keep_first and m == first and at == m[2][0]):  # by value: rows of equal id and text are all first
-                        out.append((m[1], at, at, at + n))
-                    else:
-                        out += [(m[1], at, at + a, at + b) for a, b in flags]
+                        out.append((m[1], at, [at], [at + n]))
+                    elif flags:
+                        out.append((m[1], at, [at + x for x, _ in flags], [at + y for _, y in flags]))
         columns = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["unit", "run", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["unit", "run", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pending, size, last = [], [], 0, None  # held: finished grams; pending: rows of the last one
@@ -282,7 +282,7 @@ def _sort_in_task(length: int, keep_first: bool, array_bytes: int):
 def _solved(runs: DataFrame, length: int, keep_first: bool, array_bytes: int) -> DataFrame:
     """``unit, run, a, b`` of grams whose runs meet in one task."""
     sorted_ = runs.select("key", "content", "rep", "unit", "starts").repartition("key").sortWithinPartitions("key", "content")
-    return sorted_.mapInArrow(_sort_in_task(length, keep_first, array_bytes), "unit binary, run int, a int, b int")
+    return sorted_.mapInArrow(_sort_in_task(length, keep_first, array_bytes), "unit binary, run int, a array<int>, b array<int>")
 
 
 def _take_apart(length: int, width: int, gram: int = GRAM):
@@ -322,14 +322,16 @@ def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes
             rep_type = many.schema["rep"].dataType.simpleString()
             pieces = many.mapInArrow(_take_apart(length, widths[0]), f"key bigint, content binary, rep {rep_type}, unit binary, s int, run int")
             found = found.unionByName(_solved_apart(materialize(pieces, "frequent_pieces"), length, keep_first, array_bytes, widths[1:]))
-    flags = found.groupBy("unit", "run").agg(F.collect_list(F.struct((F.col("a") - F.col("run")).alias("a"), (F.col("b") - F.col("run")).alias("b"))).alias("flags"))  # of one run
+    ranges = F.flatten(F.collect_list(F.arrays_zip("a", "b")))  # of one run
+    flags = found.groupBy("unit", "run").agg(ranges.alias("flags")).withColumn("flags", F.transform("flags", lambda x: F.struct((x.getField("a") - F.col("run")).alias("a"), (x.getField("b") - F.col("run")).alias("b"))))
     firsts = runs.withColumns(digests).select("key", "c1", "c2", "times", "first", F.col("first.unit").alias("unit"), F.col("first.s").alias("run"), (F.octet_length("content") - length + 1).alias("n"))
     known = materialize(firsts.join(flags, ["unit", "run"], "left").filter("times > 1 OR flags IS NOT NULL").drop("unit", "run"), "frequent_flags")
     drop_table(runs)
     joined = members.withColumns(digests).drop("content").join(known, ["key", "c1", "c2"])  # two tables: the runs of a frequent one are split among tasks
     whole = (F.col("times") > 1) & ((place != F.col("first")) if keep_first else F.lit(True))
     spans = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("flags"))
-    return joined.select("unit", "run", "s", F.explode(spans).alias("x")).select("unit", "run", (F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b"))
+    joined = joined.select("unit", "run", "s", spans.alias("x")).filter("x IS NOT NULL")
+    return joined.select("unit", "run", F.transform("x.a", lambda v: v + F.col("s")).alias("a"), F.transform("x.b", lambda v: v + F.col("s")).alias("b"))
 
 
 RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -355,7 +357,7 @@ def _find(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col:
     frequent = members.filter("wide").select("key", "content", "rep", "unit", F.explode("starts").alias("s")).withColumn("run", F.col("s"))
     if not frequent.isEmpty():
         found = found.unionByName(_solved_apart(frequent, length, keep_first, array_bytes))
-    spans = materialize(found.groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "windows")  # a text's spans
+    spans = materialize(found.groupBy("unit").agg(F.flatten(F.collect_list(F.arrays_zip("a", "b"))).alias("windows")), "windows")  # a text's spans
     drop_table(members)
 
     columns = [f"k_{i}" for i in range(len(keep))]
