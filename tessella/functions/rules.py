@@ -54,7 +54,7 @@ POI_ATTRIBUTES = (
     ("11", ("description",)), ("16", ("fax", "contact:fax")), ("17", ("email", "contact:email")), ("18", ("operator",)), ("74", ("access",)),
 )
 #: Land use, natural and man-made values by area class; water and settlement areas have arrays of their own.
-WATER, SETTLEMENT = "water", "settlement"
+WATER, SETTLEMENT = "c6", "c3"
 LANDUSE = (
     (("residential",), SETTLEMENT, None), (("forest", "scrub"), "c5", 6), (("farmland", "farmyard", "allotments", "orchard", "vineyard"), "c5", 8),
     (("meadow", "grass", "greenfield", "village_green", "greenhouse_horticulture"), "c5", 7), (("industrial", "quarry", "construction", "railway", "landfill"), "c5", 4),
@@ -78,6 +78,8 @@ COVER = (
 CLASS_ORDER = (4, 3, 10, 1, 0, 9, 11, 2, 5, 17, 8, 6, 7, 16)
 PLACES = ("city", "town", "village", "hamlet", "suburb", "quarter", "neighbourhood", "locality", "isolated_dwelling", "borough", "island", "islet", "farm")
 ADMIN_LEVELS = (4, 5, 6, 7, 8)
+#: An area has one of these keys.
+AREA_KEYS = ("landuse", "natural", "leisure", "man_made", "waterway", "water", "military", "aeroway", "amenity", "tourism")
 # ---- end of fixed values ---------------------------------------------------------------------------------------------
 
 
@@ -236,12 +238,14 @@ def region_level(tags: Column) -> Column:
     return F.when(is_multipolygon(tags) & _is(tag(tags, "boundary"), "administrative") & tag(tags, "name").isNotNull() & level.isin(*ADMIN_LEVELS), level)
 
 
-AREA_KEYS = ("landuse", "natural", "leisure", "man_made", "waterway", "water", "place", "boundary", "building", "amenity")
+def keeps_area(tags: Column) -> Column:
+    """An object with one of the area keys that is no coastline and isn't declared to be no area."""
+    return F.arrays_overlap(F.map_keys(tags), F.array(*[F.lit(k) for k in AREA_KEYS])) & ~_is(tag(tags, "area"), "no") & ~is_coastline(tags)
 
 
-def keeps_area(tags: Column) -> Column:
-    """An object with one of the area keys that isn't declared to be no area."""
-    return F.arrays_overlap(F.map_keys(tags), F.array(*[F.lit(k) for k in AREA_KEYS])) & ~_is(tag(tags, "area"), "no")
+def is_coastline(tags: Column) -> Column:
+    """Coast ways are chained instead of being areas."""
+    return _is(tag(tags, "natural"), "coastline")
 
 
 def draw_order(cls: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import CELL, METRES_PER_UNIT, cell, to_lat
+from ..functions.grid import METRES_PER_UNIT, cell, to_lat
 from ..functions.text import search_keys
-from .spatial import nearest
+from .spatial import nearest, split_at_cells
 
 # Fixed values of the map model.
 #: Farthest street of an address, in map units (100 m).
@@ -15,21 +15,32 @@ NUMBER_REACH = 100.0 / 0.149
 SETTLEMENT_METRES = {"city": 12000.0, "town": 5000.0, "village": 2000.0, "hamlet": 800.0}
 SUBURB_METRES = {"suburb": 2500.0, "borough": 4000.0, "quarter": 1500.0, "neighbourhood": 800.0}
 LONGEST_INTERPOLATION = 400
+# ---- end of fixed values ----
+#: Letters of the longest query.
+LONGEST_QUERY = 255
+#: Side of the cells in which numbers and segments meet, at least ``NUMBER_REACH``.
+JOIN_CELL = 1024
 
 
 def match_numbers(numbers: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``id, n, piece, distance, t, right_side``: each number (``id, n, name, x, y``) on the nearest piece of its street.
-
-    Pieces are segments (``piece, pos, name, ax, ay, bx, by, cx, cy``) inside one cell. The number visits the 3 by 3 cells
-    around its own; keys are (name, cell), so that a common street name is spread over its cells, and the nearest is an
-    aggregate with partial sums instead of a window."""
-    around = numbers.withColumn("cx", F.explode(F.sequence(cell(F.col("x")) - 1, cell(F.col("x")) + 1))).withColumn("cy", F.explode(F.sequence(cell(F.col("y")) - 1, cell(F.col("y")) + 1)))
+    """``id, n, piece, distance, t, right_side``: each number (``id, n, name, x, y``) on the nearest piece of its street, within
+    ``NUMBER_REACH``; ``t`` is the share of the piece's length before it.
+
+    ``pieces``: segments ``piece, pos, name, ax, ay, bx, by`` with ``before`` and ``total``, the lengths of the piece before the segment
+    and in all. Segments stand in the cells of ``JOIN_CELL`` units that they cross and a number visits the 3 by 3 cells around
+    its own, so a number meets what is near and a common name is spread. The nearest (to a millionth of a unit, then the first piece) is an
+    aggregate with partial sums."""
+    around = lambda c: F.sequence(cell(F.col(c), JOIN_CELL) - 1, cell(F.col(c), JOIN_CELL) + 1)
+    visits = numbers.withColumn("cx", F.explode(around("x"))).withColumn("cy", F.explode(around("y")))
+    placed = split_at_cells(pieces.select("piece", "pos", "name", "before", "total", "ax", "ay", "bx", "by"), JOIN_CELL).select("piece", "pos", "name", "before", "total", "ax", "ay", "bx", "by", "cx", "cy").distinct()
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))))
-    met = around.join(pieces, ["name", "cx", "cy"]).withColumn("t", t)
-    met = met.withColumn("distance", F.hypot(F.col("x") - F.col("ax") - F.col("t") * dx, F.col("y") - F.col("ay") - F.col("t") * dy)).filter(F.col("distance") <= NUMBER_REACH)
+    squared = F.greatest(dx * dx + dy * dy, F.lit(1e-9))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / squared))
+    met = visits.join(placed, ["name", "cx", "cy"]).withColumn("t", t)
+    met = met.withColumn("distance", F.round(F.hypot(F.col("x") - F.col("ax") - F.col("t") * dx, F.col("y") - F.col("ay") - F.col("t") * dy), 6)).filter(F.col("distance") <= NUMBER_REACH)
     side = (dx * (F.col("y") - F.col("ay")) - dy * (F.col("x") - F.col("ax"))) > 0
-    best = met.groupBy("id", "n").agg(F.min(F.struct("distance", "piece", "pos", "t", side.alias("right_side"))).alias("m"))
+    along = F.when(F.col("total") > 0, (F.col("before") + F.col("t") * F.sqrt(squared)) / F.col("total")).otherwise(0.5)
+    best = met.groupBy("id", "n").agg(F.min(F.struct("distance", "piece", "pos", along.alias("t"), side.alias("right_side"))).alias("m"))
     return best.select("id", "n", "m.piece", "m.pos", "m.distance", "m.t", "m.right_side")
 
 
@@ -62,17 +73,37 @@ def best_place(points: DataFrame, places: DataFrame, radii: dict[str, float], k:
 
 
 def place_votes(votes: DataFrame, street: str, alt: str, share: float = 0.1, most: int = 12) -> DataFrame:
-    """The places of a street by weight: at least ``share`` of the total, at most ``most``."""
-    w = Window.partitionBy(street)
-    ranked = votes.withColumns({"k": F.row_number().over(w.orderBy(F.desc("weight"), alt)), "total": F.sum("weight").over(w)})
-    return ranked.filter((F.col("k") <= most) & (F.col("weight") >= share * F.col("total"))).drop("total")
+    """The places of a street by weight: the first one, and others with at least ``share`` of the total, ``most`` at most; of the
+    names of the form "Town, Suburb" only the first, which doesn't count towards ``most``."""
+    w, ranked_by = Window.partitionBy(street), (F.desc("weight"), alt)
+    suburb = F.contains(F.col(alt).cast("string"), F.lit(", "))
+    ranked = votes.withColumns({"k": F.row_number().over(w.orderBy(*ranked_by)), "total": F.sum("weight").over(w), "_suburb": suburb})
+    fits = ranked.filter((F.col("k") == 1) | (F.col("weight") >= share * F.col("total"))).withColumn("_n", F.row_number().over(Window.partitionBy(street, "_suburb").orderBy(*ranked_by)))
+    return fits.filter(F.when(F.col("_suburb"), F.col("_n") == 1).otherwise(F.col("_n") <= most)).drop("total", "_suburb", "_n")
 
 
 def interpolate(lines: DataFrame) -> DataFrame:
-    """``id, n, share``: the numbers of interpolation lines (``id, a, b, kind``), every one or every second one."""
-    fits = lines.filter((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= LONGEST_INTERPOLATION) & F.col("kind").isin("odd", "even", "all"))
-    n = fits.withColumn("n", F.explode(F.sequence("a", "b", F.when(F.col("kind") == "all", 1).otherwise(2).cast("long"))))
-    return n.withColumn("share", (F.col("n") - F.col("a")) / (F.col("b") - F.col("a")).cast("double"))
+    """``id, n, x, y``: the numbers strictly between the ends of interpolation lines, in either direction, placed by their share of
+    the line's length.
+
+    ``lines``: ``id, a, b, kind`` (odd, even: every second number, all: every one) and ``points`` (array of ``x, y``). A line gives nothing
+    if its ends are equal, further apart than ``LONGEST_INTERPOLATION`` or no multiple of the step."""
+    step = F.when(F.col("kind") == "all", 1).when(F.col("kind").isin("odd", "even"), 2).cast("long")
+    span = F.abs(F.col("b") - F.col("a"))
+    fits = lines.withColumns({"_step": step, "_span": span}).filter((F.col("_span") > F.col("_step")) & (F.col("_span") <= LONGEST_INTERPOLATION) & (F.col("_span") % F.col("_step") == 0) & (F.size("points") > 1))
+    x, y = (lambda p: p.getField("x").cast("double")), (lambda p: p.getField("y").cast("double"))
+    ends = F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("p"), F.slice("points", 2, F.size("points")).alias("q"))
+    sides = F.transform(ends, lambda e: F.struct(e.getField("p").alias("p"), e.getField("q").alias("q"), F.hypot(x(e.getField("q")) - x(e.getField("p")), y(e.getField("q")) - y(e.getField("p"))).alias("size")))
+    walked = F.aggregate("_sides", F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("before")), lambda s, e: F.struct((s.getField("at") + e.getField("size")).alias("at"), F.concat(s.getField("before"), F.array(s.getField("at"))).alias("before")))
+    rows = fits.withColumn("_sides", sides).withColumn("_walk", walked)
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_span div _step - 1"))))
+    rows = rows.withColumn("_d", F.col("_walk.at") * (F.col("_i") * F.col("_step")) / F.col("_span"))
+    hit = F.get(F.filter(F.arrays_zip(F.col("_sides").alias("e"), F.col("_walk.before").alias("f")), lambda s: F.col("_d") <= s.getField("f") + s.getField("e").getField("size") + 1e-9), 0)
+    rows = rows.withColumn("_s", hit)
+    f = F.when(F.col("_s.e.size") > 0, F.least(F.lit(1.0), (F.col("_d") - F.col("_s.f")) / F.col("_s.e.size"))).otherwise(0.0)
+    on = lambda c: (F.col(f"_s.e.p.{c}") + f * (F.col(f"_s.e.q.{c}") - F.col(f"_s.e.p.{c}"))).alias(c)
+    n = F.col("a") + F.col("_i") * F.col("_step") * F.when(F.col("b") > F.col("a"), 1).otherwise(-1)
+    return rows.select("id", n.alias("n"), on("x"), on("y"))
 
 
 def search_index(results: DataFrame) -> DataFrame:
@@ -86,11 +117,13 @@ def prefix_counts(index: DataFrame, longest: int) -> DataFrame:
     return p.select("prefix", "id").distinct().groupBy("prefix").agg(F.count("*").alias("results"))
 
 
-def prefix_search(index: DataFrame, queries: DataFrame, bucket: int = 2) -> DataFrame:
-    """``query, id, exact`` for a table of queries of at least ``bucket`` letters."""
-    left = queries.withColumn("_b", F.substring("query", 1, bucket))
-    right = index.select("id", "key", F.substring("key", 1, bucket).alias("_b"))
-    return left.join(right, "_b").filter(F.startswith("key", F.col("query"))).groupBy("query", "id").agg(F.bool_or(F.col("key") == F.col("query")).alias("exact"))
+def prefix_search(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query, id, exact`` for a table of queries: each key gives its prefixes of the lengths that the queries have, so both sides
+    meet in whole queries."""
+    lengths = [r.n for r in queries.select(F.length("query").alias("n")).distinct().orderBy("n").limit(LONGEST_QUERY).collect()]  # a few numbers
+    prefixes = F.array(*[F.when(F.length("key") >= n, F.substring("key", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    keyed = index.withColumn("query", F.explode(F.array_compact(prefixes))).groupBy("query", "id").agg(F.bool_or(F.col("key") == F.col("query")).alias("exact"))
+    return keyed.join(queries.select("query").distinct(), "query").select("query", "id", "exact")
 
 
 def find(index: DataFrame, text: str, every: bool = False, most: int = 40) -> DataFrame:
@@ -103,9 +136,9 @@ def find(index: DataFrame, text: str, every: bool = False, most: int = 40) -> Da
 
 
 def geocode(wanted: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``id, piece, t`` for ``id, street, n``: the first piece (``street, piece, lo, hi, mixed, ascending``) whose range holds the
-    number with its parity, and how far along it; 0.5 without a number."""
-    met = wanted.join(ranges, "street").filter(F.col("n").isNull() | ((F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi")) & (F.col("mixed") | (F.col("n") % 2 == F.col("lo") % 2))))
+    """``id, piece, t`` for ``id, place, street, n``: the first piece (``place, street, piece, lo, hi, mixed, ascending``) whose range
+    holds the number with its parity, and how far along it; 0.5 without a number."""
+    met = wanted.join(ranges, ["place", "street"]).filter(F.col("n").isNull() | ((F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi")) & (F.col("mixed") | (F.col("n") % 2 == F.col("lo") % 2))))
     t = (F.col("n") - F.col("lo") + 0.5) / (F.col("hi") - F.col("lo") + 1)
     t = F.when(F.col("n").isNull(), 0.5).otherwise(F.when(F.col("ascending"), t).otherwise(1 - t))
     return met.groupBy("id").agg(F.min_by(F.struct("piece", t.alias("t")), "piece").alias("m")).select("id", "m.*")

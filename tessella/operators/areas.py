@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .lines import task_of
+from .tables import materialize
 
 
 def odd_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,35 +19,6 @@ def odd_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
     return odd.select(*keys, F.col("p.x").alias("xa"), F.col("p.y").alias("ya"), F.col("q.x").alias("xb"), F.col("q.y").alias("yb"))
 
 
-def walk_rings(segments: list[tuple[tuple[int, int], tuple[int, int]]]) -> list[list[tuple[int, int]]] | None:
-    """Closed rings of a segment set, each segment used once, smallest first; None if a ring stays open.
-
-    Rings that touch themselves are split where a vertex repeats; fewer than three points are dropped."""
-    segments = sorted(segments)
-    meets: dict[tuple[int, int], list[int]] = {}
-    for i, (p, q) in enumerate(segments):
-        meets.setdefault(p, []).append(i)
-        meets.setdefault(q, []).append(i)
-    if any(len(m) % 2 for m in meets.values()):
-        return None
-    used = [False] * len(segments)
-    rings = []
-    for i, (start, at) in enumerate(segments):
-        if used[i]:
-            continue
-        used[i] = True
-        path = [start]
-        while at != start:
-            path.append(at)
-            k = next((k for k in meets[at] if not used[k]), None)
-            if k is None:
-                return None
-            used[k] = True
-            at = segments[k][1] if segments[k][0] == at else segments[k][0]
-        rings += split_ring(path)
-    return rings
-
-
 def split_ring(points: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     out, stack, place = [], [], {}
     for p in points:
@@ -67,18 +39,6 @@ def twice_area(ring: list[tuple[int, int]]) -> int:
     return sum((ax - x0) * (by - y0) - (bx - x0) * (ay - y0) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]))
 
 
-def _inside(p: tuple[int, int], ring: list[tuple[int, int]]) -> bool:
-    x, y = p
-    return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])) % 2 == 1
-
-
-def nest(rings: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """Depth and innermost parent (-1: none) of each ring, from a vertex that isn't on the other ring."""
-    sizes = [abs(twice_area(r)) for r in rings]
-    within = [[j for j, other in enumerate(rings) if j != i and sizes[j] > sizes[i] and _inside(next((p for p in ring if p not in set(other)), ring[0]), other)] for i, ring in enumerate(rings)]
-    return [(len(w), min(w, key=lambda j: sizes[j], default=-1)) for w in within]
-
-
 def normal_ring(ring: list[tuple[int, int]], outer: bool) -> list[tuple[int, int]]:
     """Start at the smallest vertex; outer rings run counter-clockwise, holes clockwise."""
     if (twice_area(ring) > 0) != outer:
@@ -87,24 +47,72 @@ def normal_ring(ring: list[tuple[int, int]], outer: bool) -> list[tuple[int, int
     return ring[at:] + ring[:at]
 
 
-def assemble(segments: DataFrame, key: str, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """Rings (``key, ring, depth, parent, points``) of every area, and the areas with over ``most`` segments, which are built too.
+def _closed_walk(links: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Points of one ring in order. Each link ``x, y, s, t`` is a visit to a vertex, between the segments ``s`` and ``t``."""
+    visits: dict[int, list[int]] = {}
+    for i, (_, _, s, t) in enumerate(links):
+        visits.setdefault(s, []).append(i)
+        visits.setdefault(t, []).append(i)
+    at = min(range(len(links)), key=links.__getitem__)
+    segment, points = links[at][3], []
+    for _ in links:
+        x, y, s, t = links[at]
+        points.append((x, y))
+        segment = s + t - segment  # leave by the other segment
+        one, other = visits[segment]
+        at = one + other - at
+    return points
 
-    Pairs of segments cancel before any grouping, so a task sees outlines only; areas, however large, are whole inside one task."""
-    odd = odd_segments(segments, [key])
-    size = odd.groupBy(key).agg(F.count("*").alias("segments"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+def _inner_point(ring: list[tuple[int, int]]) -> tuple[float, float]:
+    """A point inside a simple ring: between the first two crossings of a line just above its lowest vertices."""
+    y0, y1 = sorted({y for _, y in ring})[:2]
+    y = (y0 + y1) / 2
+    x = sorted(ax + (y - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]) if (ay > y) != (by > y))
+    return (x[0] + x[1]) / 2, y
+
+
+def assemble(segments: DataFrame, key: str, band: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
+    """Rings (``key, ring, depth, parent, points``) of every area, and the areas (``key``) whose outline doesn't close.
+
+    Pairs of segments cancel; at every vertex the segments left are paired in the order of their angles; what the pairs join is
+    a ring, found by components over segments. So areas are spread over tasks, and one task orders the points of a ring, which are one
+    row afterwards. Rings that touch themselves fall apart where a vertex repeats. Depth and parent come from
+    crossing counts of a point inside each ring with the edges of the area's larger rings, met in bands of ``band`` units."""
+    odd = materialize(odd_segments(segments, [key]).withColumn("s", F.monotonically_increasing_id()), "outline")
+    end = lambda a, b: odd.select(key, "s", F.col(f"x{a}").alias("x"), F.col(f"y{a}").alias("y"), F.atan2(F.col(f"y{b}") - F.col(f"y{a}"), F.col(f"x{b}") - F.col(f"x{a}")).alias("angle"))
+    at_vertex = Window.partitionBy(key, "x", "y")
+    ends = end("a", "b").unionByName(end("b", "a")).withColumn("pair", F.floor((F.row_number().over(at_vertex.orderBy("angle", "s")) - 1) / 2))
+    pairs = materialize(ends.groupBy(key, "x", "y", "pair").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n")), "pairs")
+    open_ = materialize(pairs.filter("n = 1").select(key).distinct(), "open_areas")
+    closed = pairs.join(open_, key, "left_anti").select(key, "x", "y", "a", "b")
+    label = components(odd.select(F.col("s").alias("node")), closed.select("a", "b")).withColumnRenamed("node", "a")
+    links = materialize(closed.join(label, "a"), "links")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for area, one in pdf.groupby(key, sort=True):
-            rings = walk_rings([((a, b), (c, d)) for a, b, c, d in one[["xa", "ya", "xb", "yb"]].itertuples(index=False)])
-            for i, (ring, (depth, parent)) in enumerate(zip(rings or (), nest(rings or []))):
-                out.append((area, i, depth, parent, [{"x": x, "y": y} for x, y in normal_ring(ring, depth % 2 == 0)]))
-        return pd.DataFrame(out, columns=[key, "ring", "depth", "parent", "points"])
+        for (area, _), one in pdf.groupby([key, "component"], sort=True):
+            for ring in split_ring(_closed_walk(list(one[["x", "y", "a", "b"]].itertuples(index=False, name=None)))):
+                points, (px, py) = normal_ring(ring, True), _inner_point(ring)
+                out.append((area, px, py, abs(twice_area(ring)), [{"x": x, "y": y} for x, y in points]))
+        return pd.DataFrame(out, columns=[key, "px", "py", "size", "points"])
 
     kind = segments.schema[key].dataType.simpleString()
-    rings = odd.groupBy(task_of(odd, key, 64 * 5000)).applyInPandas(build, f"{key} {kind}, ring int, depth int, parent int, points array<struct<x:bigint,y:bigint>>")
-    return rings, size.filter(F.col("segments") > most)
+    rings = links.groupBy(task_of(links, "component", links.count())).applyInPandas(walk, f"{key} {kind}, px double, py double, size bigint, points array<struct<x:bigint,y:bigint>>")
+    first = F.get("points", 0)
+    order = Window.partitionBy(key).orderBy(first.getField("x"), first.getField("y"), "size", "px", "py")
+    rings = materialize(rings.withColumn("ring", (F.row_number().over(order) - 1).cast("int")), "rings")
+    several = rings.filter("ring > 0").select(key).distinct()
+    inner = rings.join(several, key, "left_semi").select(key, "ring", "size", "px", "py", F.floor(F.col("py") / band).alias("band"))
+    edges = rings.join(several, key, "left_semi").select(key, F.col("ring").alias("other"), F.col("size").alias("larger"), F.explode(F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", 2, F.size("points")), F.array(first)).alias("q"))).alias("e"))
+    edges = edges.select(key, "other", "larger", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by")).filter("ay <> by")
+    edges = edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("ay", "by") / band), F.floor(F.greatest("ay", "by") / band))))
+    crosses = ((F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))) & (F.col("px") < (F.col("bx") - F.col("ax")) * (F.col("py") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
+    around = inner.join(edges, [key, "band"]).filter((F.col("larger") > F.col("size")) & crosses).groupBy(key, "ring", "other", "larger").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    nested = around.groupBy(key, "ring").agg(F.count("*").cast("int").alias("depth"), F.min_by("other", F.struct("larger", "other")).alias("parent"))
+    placed = rings.join(nested, [key, "ring"], "left").withColumns({"depth": F.coalesce("depth", F.lit(0)), "parent": F.coalesce("parent", F.lit(-1))})
+    clockwise = F.concat(F.slice("points", 1, 1), F.reverse(F.slice("points", 2, F.size("points"))))
+    return placed.select(key, "ring", "depth", "parent", F.when(F.col("depth") % 2 == 0, F.col("points")).otherwise(clockwise).alias("points")), open_
 
 
 def ring_area(points: Column) -> Column:
@@ -129,6 +137,26 @@ def dissolve(segments: DataFrame, key: str, by: list[str]) -> DataFrame:
     return odd_segments(segments.join(label, key), ["component", *by])
 
 
+def large_polygons(rings: DataFrame, key: str, least: float, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """``rings`` (of ``assemble``) without outer rings and holes under ``least`` square units, and without outer rings whose box
+    misses ``box`` (``x0, y0, x1, y1``); the holes of what goes, go too."""
+    xs, ys = F.transform("points", lambda p: p.getField("x")), F.transform("points", lambda p: p.getField("y"))
+    keeps = F.abs(ring_area(F.col("points"))) >= least
+    if box is not None:
+        x0, y0, x1, y1 = box
+        keeps = keeps & ((F.col("depth") % 2 == 1) | ~((F.array_max(xs) < x0) | (F.array_min(xs) > x1) | (F.array_max(ys) < y0) | (F.array_min(ys) > y1)))
+    kept = rings.filter(keeps)
+    outer = kept.filter("depth % 2 = 0").select(key, F.col("ring").alias("parent"))
+    return kept.filter("depth % 2 = 0").unionByName(kept.filter("depth % 2 = 1").join(outer, [key, "parent"], "left_semi").select(*kept.columns))
+
+
+def islets(coast: DataFrame, least: float) -> DataFrame:
+    """Closed coast ways (``points``, first and last equal) tagged as islets (``islet``) of at least ``least`` square units, as areas of class 11."""
+    ring = F.slice("points", 1, F.size("points") - 1)
+    closed = coast.filter(F.col("islet") & (F.size("points") >= 4) & (F.get("points", 0) == F.element_at("points", -1)))
+    return closed.withColumn("points", ring).filter(F.abs(ring_area(F.col("points"))) >= least).withColumns({"array": F.lit("c5"), "class": F.lit(11)})
+
+
 def cells_union(*covers: DataFrame) -> DataFrame:
     out = covers[0]
     for c in covers[1:]:

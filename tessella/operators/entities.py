@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import route_bits
@@ -46,3 +46,10 @@ def shared_nodes(way_refs: DataFrame) -> DataFrame:
 def most_common(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The value with the largest ``n`` for each key; ties go to the one first seen (smallest ``seq``)."""
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col("seq"))).alias(value), F.max("n").alias("n"))
+
+
+def top_shares(counted: DataFrame, keys: list[str], most: int = 3, share: float = 0.25) -> DataFrame:
+    """The ``most`` most frequent values of each group (``n``, ties to the smaller ``seq``) with at least ``share`` of its total."""
+    group = Window.partitionBy(*keys)
+    ranked = counted.withColumns({"k": F.row_number().over(group.orderBy(F.desc("n"), "seq")), "total": F.sum("n").over(group)})
+    return ranked.filter((F.col("k") <= most) & (F.col("n") >= share * F.col("total")))

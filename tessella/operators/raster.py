@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE_SCHEMA = "tile_row long, tile_col long, z array<double>"
@@ -130,27 +130,36 @@ def pyramid(tiles: DataFrame, side: int) -> DataFrame:
     return four.mapInPandas(join, TILE_SCHEMA)
 
 
-def bilinear(points: DataFrame, tiles: DataFrame, side: int, key: str = "id") -> DataFrame:
-    """``key, z`` for points at grid positions ``r, c``: the four pixels around each, wherever their tiles are; absent ones are zero."""
+def bilinear(points: DataFrame, tiles: DataFrame, side: int, rows: int, cols: int, key: str = "id") -> DataFrame:
+    """``key, z`` for points at positions ``r, c`` of a grid of ``rows`` by ``cols`` pixels: the four pixels around each, wherever
+    their tiles are; absent ones are zero, positions on the last row or column are held just inside, points off the grid are zero."""
+    off = (F.col("r") < 0) | (F.col("c") < 0) | (F.col("r") > rows) | (F.col("c") > cols)
+    held = points.withColumns({"_off": off, "r": F.least(F.greatest(F.col("r"), F.lit(0.0)), F.lit(rows - 1.001)), "c": F.least(F.greatest(F.col("c"), F.lit(0.0)), F.lit(cols - 1.001))})
     r0, c0 = F.floor("r"), F.floor("c")
     corners = [(dr, dc) for dr in (0, 1) for dc in (0, 1)]
-    weight = lambda dr, dc: (F.col("r") - r0 if dr else 1 - (F.col("r") - r0)) * (F.col("c") - c0 if dc else 1 - (F.col("c") - c0))
-    four = points.select(key, F.explode(F.array(*[F.struct((r0 + dr).alias("pr"), (c0 + dc).alias("pc"), weight(dr, dc).alias("w")) for dr, dc in corners])).alias("p"))
+    weight = lambda dr, dc: F.when(F.col("_off"), 0.0).otherwise((F.col("r") - r0 if dr else 1 - (F.col("r") - r0)) * (F.col("c") - c0 if dc else 1 - (F.col("c") - c0)))
+    four = held.select(key, F.explode(F.array(*[F.struct((r0 + dr).alias("pr"), (c0 + dc).alias("pc"), weight(dr, dc).alias("w")) for dr, dc in corners])).alias("p"))
     at = four.select(key, F.floor(F.col("p.pr") / side).cast("long").alias("tile_row"), F.floor(F.col("p.pc") / side).cast("long").alias("tile_col"), ((F.col("p.pr") % side) * side + F.col("p.pc") % side).cast("int").alias("i"), F.col("p.w").alias("w"))
     met = at.join(tiles.select("tile_row", "tile_col", "z"), ["tile_row", "tile_col"], "left")
     return met.groupBy(key).agg(F.sum(F.col("w") * F.coalesce(F.get("z", F.col("i")), F.lit(0.0))).alias("z"))
 
 
 def touched_tiles(edges: DataFrame, size: float, grow: int = 2) -> DataFrame:
-    """Tiles under edges ``x0, y0, x1, y1``, grown by ``grow`` tiles on every side."""
-    def samples(a, b):
-        n = F.greatest(F.ceil(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))) / size * 2), F.lit(1)).cast("int")
-        return F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((F.col(a[0]) + (F.col(b[0]) - F.col(a[0])) * i / n).alias("x"), (F.col(a[1]) + (F.col(b[1]) - F.col(a[1])) * i / n).alias("y"))))
-
-    p = edges.select(samples(("x0", "y0"), ("x1", "y1")).alias("p"))
-    t = p.select(F.floor(F.col("p.x") / size).cast("long").alias("cx"), F.floor(F.col("p.y") / size).cast("long").alias("cy")).distinct()
+    """Tiles that an area with the edges ``x0, y0, x1, y1`` touches, grown by ``grow`` tiles on every side: those that an edge runs
+    through, and those inside, whose centre lies between two crossings of a line through the middle of their row."""
+    steps = F.ceil(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))) / size * 10).cast("int") + 1
+    along = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / steps
+    p = edges.select(F.explode(F.transform(F.sequence(F.lit(0), steps), lambda i: F.struct(along("x0", "x1", i).alias("x"), along("y0", "y1", i).alias("y")))).alias("p"))
+    under = p.select(F.floor(F.col("p.x") / size).cast("long").alias("cx"), F.floor(F.col("p.y") / size).cast("long").alias("cy")).distinct()
+    row = lambda v: F.floor(v / size - 0.5).cast("long")
+    crossed = edges.withColumn("cy", F.explode(F.sequence(row(F.least("y0", "y1")), row(F.greatest("y0", "y1")) + 1))).withColumn("_y", (F.col("cy") + 0.5) * size)
+    crossed = crossed.filter((F.col("y0") > F.col("_y")) != (F.col("y1") > F.col("_y"))).select("cy", (F.col("x0") + (F.col("_y") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).alias("x"))
+    w = Window.partitionBy("cy").orderBy("x")
+    gaps = crossed.withColumns({"n": F.row_number().over(w), "to": F.lead("x").over(w)}).filter("n % 2 = 1 AND to IS NOT NULL")
+    first, last = F.ceil(F.col("x") / size - 0.5).cast("long"), F.floor(F.col("to") / size - 0.5).cast("long")
+    inside = gaps.filter(first <= last).select(F.explode(F.sequence(first, last)).alias("cx"), "cy")
     around = F.sequence(F.lit(-grow), F.lit(grow))
-    return t.withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).select((F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy")).distinct()
+    return under.unionByName(inside).distinct().withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).select((F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy")).distinct()
 
 
 def quantised(z: Column, most: int = 255) -> Column:

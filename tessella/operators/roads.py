@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import GRAPH_CELL, cell, graph_position, heading, segment_length, unit_x, unit_y
+from .spatial import split_at_cells
 from .tables import materialize
 
 
@@ -62,22 +63,41 @@ def cell_load(edges: DataFrame) -> DataFrame:
     return edges.groupBy("bx", "by").agg(F.count("*").alias("ends"), F.countDistinct("node").alias("nodes"))
 
 
+def shed_level(cls: Column, category: Column) -> Column:
+    """The level from which a full cell drops a road of this class and category; null for never. Steps and footways,
+    service roads, paths, tracks."""
+    return F.when(cls.isin(11, 14), 1).when((cls == 7) & (category == 6), 2).when(cls == 13, 3).when(cls == 12, 4)
+
+
 def shed(ends: DataFrame, most_ends: int = 1 << 19, most_nodes: int = 1 << 18, levels: int = 4) -> DataFrame:
-    """Edges (``way, edge``) that stay when overfull cells give up their least important roads.
-
-    ``ends``: ``way, edge, node, bx, by, rank``; rank is the level (1: footways, 2: service, 3: paths, 4: tracks) from which
-    a cell drops an edge, null for never. An edge goes if either of its cells drops it. At most ``levels`` rounds."""
-    drop = None
-    left = ends
-    for _ in range(levels):
-        full = cell_load(left).filter((F.col("ends") > most_ends) | (F.col("nodes") > most_nodes)).select("bx", "by", F.lit(1).alias("up"))
+    """Edges (``way, edge``) that stay when full cells (``most_ends`` edge ends or ``most_nodes`` nodes, or more) give up their least needed roads.
+
+    ``ends``: ``way, edge, node, bx, by, rank`` (of ``shed_level``). A full cell goes up one level a round; an edge goes if
+    either of its cells has reached its rank. A cell that is full at the last level is an error."""
+    left, reached = ends, None
+    while True:
+        full = cell_load(left).filter((F.col("ends") >= most_ends) | (F.col("nodes") >= most_nodes)).select("bx", "by", F.lit(1).alias("up"))
         if full.isEmpty():
-            break
-        drop = full if drop is None else drop.unionByName(full)
-        drop = materialize(drop.groupBy("bx", "by").agg(F.sum("up").cast("int").alias("up")), "levels")
-        gone = ends.join(drop, ["bx", "by"]).filter("rank <= up").select("way", "edge").distinct()
+            return left.select("way", "edge").distinct()
+        reached = full if reached is None else reached.unionByName(full)
+        reached = materialize(reached.groupBy("bx", "by").agg(F.sum("up").cast("int").alias("up")), "levels")
+        if not reached.filter(F.col("up") > levels).isEmpty():
+            raise ValueError(f"a cell is full even without the roads of level {levels}")
+        gone = ends.join(reached, ["bx", "by"]).filter("rank <= up").select("way", "edge").distinct()
         left = materialize(ends.join(gone, ["way", "edge"], "left_anti"), "left")
-    return left.select("way", "edge").distinct()
+
+
+def street_pieces(segments: DataFrame, size: int) -> DataFrame:
+    """``way, edge, part, pos, before, total, ax, ay, bx, by, cx, cy``: the parts of road segments (``road_edges`` with both ends) in
+    street pieces, which end at junctions and at cell borders; ``before`` and ``total`` are lengths along the piece."""
+    parts = split_at_cells(segments.select("way", "edge", "pos", "ax", "ay", "bx", "by"), size)
+    along, edge = Window.partitionBy("way", "edge").orderBy("pos", "t0"), Window.partitionBy("way", "edge", "part").orderBy("pos", "t0")
+    moved = F.coalesce((F.lag("cx").over(along) != F.col("cx")) | (F.lag("cy").over(along) != F.col("cy")), F.lit(False))
+    parts = parts.withColumn("_moved", moved.cast("int")).withColumn("part", F.sum("_moved").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    parts = parts.withColumn("_size", F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")))
+    whole = edge.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.withColumns({"before": F.coalesce(F.sum("_size").over(edge.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "total": F.sum("_size").over(whole)})
+    return parts.select("way", "edge", "part", "pos", "t0", "before", "total", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("qx").alias("bx"), F.col("qy").alias("by"), "cx", "cy")
 
 
 def left_turns(half: DataFrame, angle: float = 35.0, road_class: int = 7, most: int = 5) -> DataFrame:

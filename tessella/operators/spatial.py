@@ -51,17 +51,22 @@ def inside_boundary(points: DataFrame, rings: DataFrame, point_keys: list[str],
     return points.join(kept, point_keys, "left_semi")
 
 
-def close_pairs(points: DataFrame, radius: int, key: str = "id", by: list[str] | None = None, metric: str = "euclid") -> DataFrame:
-    """Pairs ``a < b`` of points ``key, x, y`` (equal in columns ``by``) within a radius, each once.
+def close_pairs(points: DataFrame, radius: float, key: str = "id", by: list[str] | None = None, metric: str = "euclid") -> DataFrame:
+    """Pairs ``a < b`` of points ``key, x, y`` (equal in columns ``by``, nulls too) within a radius, each once; ``open``: nearer than that.
 
     One side stays in its own cell, the other visits the 3 by 3 cells around it."""
     by = by or []
-    home = points.select(*by, F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell(F.col("x"), radius).alias("cx"), cell(F.col("y"), radius).alias("cy"))
-    around = (points.select(*by, F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-              .withColumn("cx", F.explode(F.sequence(cell(F.col("bx"), radius) - 1, cell(F.col("bx"), radius) + 1))).withColumn("cy", F.explode(F.sequence(cell(F.col("by"), radius) - 1, cell(F.col("by"), radius) + 1))))
+    size = max(1, int(radius + 1))
+    same = [F.struct(*by).alias("_same")] if by else [F.lit(0).alias("_same")]  # a struct, as its nulls are equal in grouping
+    same = [F.xxhash64(*by).alias("_hash"), *same] if by else [F.lit(0).cast("long").alias("_hash"), *same]
+    home = points.select(*same, F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+    around = (points.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), same[0], same[1].alias("_other"))
+              .withColumn("cx", F.explode(F.sequence(cell(F.col("bx"), size) - 1, cell(F.col("bx"), size) + 1))).withColumn("cy", F.explode(F.sequence(cell(F.col("by"), size) - 1, cell(F.col("by"), size) + 1))))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    near = (F.greatest(F.abs(dx), F.abs(dy)) <= radius) if metric == "box" else (dx * dx + dy * dy <= radius * radius)
-    return home.join(around, [*by, "cx", "cy"]).filter((F.col("a") < F.col("b")) & near).select(*by, "a", "b")
+    wide = F.greatest(F.abs(dx), F.abs(dy))
+    near = {"box": wide <= radius, "open_box": wide < radius, "open": dx * dx + dy * dy < radius * radius, "euclid": dx * dx + dy * dy <= radius * radius}[metric]
+    met = home.join(around, ["_hash", "cx", "cy"]).filter((F.col("a") < F.col("b")) & near & F.col("_same").eqNullSafe(F.col("_other")))
+    return met.select(*[F.col("_same").getField(c).alias(c) for c in by], "a", "b")
 
 
 def nearest(queries: DataFrame, points: DataFrame, radius: float, k: int, by: list[str] | None = None, query_key: str = "q", point_key: str = "p") -> DataFrame:

@@ -138,19 +138,21 @@ def line_tags(spark, sf_dir):
 
 
 AREA_TAGS = """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'forest' WHEN 1 THEN 'reservoir' WHEN 2 THEN 'retail' WHEN 3 THEN 'residential' WHEN 4 THEN 'unknown' END AS landuse,
-CASE p_partkey % 5 WHEN 0 THEN 'water' WHEN 1 THEN 'heath' WHEN 2 THEN 'wood' END AS nat, CASE WHEN p_partkey % 3 = 0 THEN 'river' END AS water, CASE WHEN p_partkey % 4 = 0 THEN 'no' END AS area FROM part"""
+CASE p_partkey % 5 WHEN 0 THEN 'water' WHEN 1 THEN 'heath' WHEN 2 THEN 'wood' WHEN 3 THEN 'coastline' END AS nat, CASE WHEN p_partkey % 3 = 0 THEN 'river' END AS water, CASE WHEN p_partkey % 4 = 0 THEN 'no' END AS area,
+CASE p_partkey % 11 WHEN 0 THEN 'building' WHEN 1 THEN 'military' WHEN 2 THEN 'aeroway' WHEN 3 THEN 'tourism' WHEN 4 THEN 'place' WHEN 5 THEN 'boundary' END AS other FROM part"""
 
 
-@query(f"WITH b AS ({AREA_TAGS})" + """ SELECT id, CASE WHEN landuse IN ('forest', 'retail') THEN 'c5' WHEN landuse = 'residential' THEN 'settlement' WHEN landuse = 'reservoir' THEN CASE WHEN water IS NULL THEN 'water' END
-WHEN nat = 'water' THEN CASE WHEN water IS NULL THEN 'water' END WHEN nat = 'heath' THEN 'c5' END AS array_name,
+@query(f"WITH b AS ({AREA_TAGS})" + """ SELECT id, CASE WHEN landuse IN ('forest', 'retail') THEN 'c5' WHEN landuse = 'residential' THEN 'c3' WHEN landuse = 'reservoir' THEN CASE WHEN water IS NULL THEN 'c6' END
+WHEN nat = 'water' THEN CASE WHEN water IS NULL THEN 'c6' END WHEN nat = 'heath' THEN 'c5' END AS array_name,
 CAST(CASE WHEN landuse = 'forest' THEN 6 WHEN landuse = 'retail' THEN 1 WHEN landuse IN ('residential', 'reservoir') THEN NULL WHEN nat = 'heath' THEN 6 END AS INTEGER) AS class,
 CASE WHEN nat = 'water' THEN 'water' WHEN nat = 'heath' THEN 'heath' WHEN nat = 'wood' THEN 'forest' WHEN landuse = 'forest' THEN 'forest' WHEN landuse = 'reservoir' THEN 'water' WHEN landuse IN ('retail', 'residential') THEN 'urban' END AS cover,
-(landuse IS NOT NULL OR nat IS NOT NULL OR water IS NOT NULL) AND area IS NULL AS keeps FROM b""")
+(landuse IS NOT NULL OR nat IS NOT NULL OR water IS NOT NULL OR coalesce(other IN ('military', 'aeroway', 'tourism'), false)) AND area IS NULL AND nat IS DISTINCT FROM 'coastline' AS keeps FROM b""")
 def area_tags(spark, sf_dir):
     """TAG9, TAG10, TAG21: area class, land cover of the first tag in order (natural before land use here), keep rule."""
     b = spark.sql(AREA_TAGS.replace("FROM part", "FROM {p}"), p=spark.read.parquet(f"{sf_dir}/part.parquet"))
     listed = lambda *kv: F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in kv]), lambda t: t.getField("v").isNotNull())
-    tags = F.map_from_entries(listed(("landuse", "landuse"), ("natural", "nat"), ("water", "water"), ("area", "area")))
+    other = F.when(F.col("other").isNotNull(), F.array(F.struct(F.col("other").alias("k"), F.lit("yes").alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+    tags = F.map_from_entries(F.concat(listed(("landuse", "landuse"), ("natural", "nat"), ("water", "water"), ("area", "area")), other))
     found = rules.area_class(tags)
     return b.select("id", found["array"].alias("array_name"), found["class"].alias("class"), rules.cover_class(listed(("natural", "nat"), ("landuse", "landuse"))).alias("cover"), rules.keeps_area(tags).alias("keeps"))
 

@@ -57,12 +57,12 @@ def shared_nodes(spark, sf_dir):
 
 
 @query(ctes("v_way_ref", "v_addr") + """, e AS (SELECT way, min(pos) AS p0, max(pos) AS p1 FROM v_way_ref GROUP BY way)
-SELECT r.way, r.pos, a.hn FROM v_way_ref r JOIN e ON e.way = r.way AND (r.pos = p0 OR r.pos = p1) JOIN v_addr a ON a.id = r.node % 1500""")
+SELECT r.way, r.pos, a.hn FROM v_way_ref r JOIN e ON e.way = r.way AND (r.pos = p0 OR r.pos = p1) JOIN v_addr a ON a.id = r.node // 100""")
 def interpolation_ends(spark, sf_dir):
-    """JON4: house numbers at both ends of interpolation ways (node ids folded onto the addresses)."""
+    """JON4: house numbers at both ends of interpolation ways (a hundred nodes of the fixture share an address)."""
     refs, addresses = view(spark, sf_dir, "v_way_ref"), view(spark, sf_dir, "v_addr")
     ends = refs.groupBy("way").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    return refs.join(ends, "way").filter("pos = p0 OR pos = p1").withColumn("id", F.col("node") % 1500).join(addresses.select("id", "hn"), "id").select("way", "pos", "hn")
+    return refs.join(ends, "way").filter("pos = p0 OR pos = p1").withColumn("id", F.floor(F.col("node") / 100)).join(addresses.select("id", "hn"), "id").select("way", "pos", "hn")
 
 
 @query(ctes("v_node", "v_way_ref", "v_way_node", "v_member") + """, w AS (SELECT way, avg(lon) AS lon, avg(lat) AS lat FROM v_way_ref r JOIN v_way_node n ON n.id = r.node GROUP BY way)
@@ -99,9 +99,9 @@ def point_components(spark, sf_dir):
 
 @query()
 def greedy_deduplication(spark, sf_dir):
-    """WIN7: drop a point near an earlier kept one of its type and name; sequential only inside components of close points."""
-    p = view(spark, sf_dir, "v_node_dense").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "typ", "name_id")
-    return places.drop_repeats(p, 1500, ["typ", "name_id"]).select("id")
+    """WIN7: drop a point near an earlier kept one of its type and name; unnamed points stay."""
+    p = view(spark, sf_dir, "v_node_dense").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "typ", F.when(F.col("name_id") > 0, F.col("name_id").cast("string")).alias("name"))
+    return places.drop_repeats(p, 1500, ["typ", "name"], name="name").select("id")
 
 
 @query(ctes("v_node", "v_admin") + "SELECT a.id AS area, count(*) AS n, min(v.id) AS first_id FROM v_node v JOIN v_admin a ON v.lon > a.x0 AND v.lon < a.x1 AND v.lat > a.y0 AND v.lat < a.y1 GROUP BY a.id")
@@ -122,9 +122,8 @@ def most_common_values(spark, sf_dir):
     return entities.most_common(c, ["street"], "value")
 
 
-@query(ctes("v_node") + ", c AS (SELECT user_id % 50 AS street, name_id, count(*) AS n, min(id) AS seq FROM v_node GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY street ORDER BY n DESC, seq) AS k, sum(n) OVER (PARTITION BY street) AS total FROM c) SELECT street, name_id, n FROM r WHERE k <= 3 AND n >= 0.11 * total")
+@query(ctes("v_node") + ", c AS (SELECT user_id AS street, CAST(floor(sqrt(name_id)) AS BIGINT) AS name_id, count(*) AS n, min(id) AS seq FROM v_node GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY street ORDER BY n DESC, seq) AS k, sum(n) OVER (PARTITION BY street) AS total FROM c) SELECT street, name_id, n FROM r WHERE k <= 3 AND n >= 0.25 * total")
 def top_shares(spark, sf_dir):
     """AGG10, SRT3: up to three values of a group with a least share."""
-    c = view(spark, sf_dir, "v_node").groupBy((F.col("user_id") % 50).alias("street"), "name_id").agg(F.count("*").alias("n"), F.min("id").alias("seq"))
-    ranked = c.withColumns({"k": F.row_number().over(Window.partitionBy("street").orderBy(F.desc("n"), "seq")), "total": F.sum("n").over(Window.partitionBy("street"))})
-    return ranked.filter("k <= 3 AND n >= 0.11 * total").select("street", "name_id", "n")
+    c = view(spark, sf_dir, "v_node").groupBy(F.col("user_id").alias("street"), F.floor(F.sqrt("name_id")).cast("long").alias("name_id")).agg(F.count("*").alias("n"), F.min("id").alias("seq"))
+    return entities.top_shares(c, ["street"]).select("street", "name_id", "n")

@@ -73,7 +73,7 @@ def build_match_rates(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT n_name AS name, lower(n_name) AS id, CASE WHEN n_regionkey < 3 THEN r_name END AS parent, n_nationkey AS k FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, r_name, NULL, 100 + r_regionkey FROM region),
-c AS (SELECT id, parent, CASE WHEN parent IS NOT NULL AND parent <> 'AMERICA' THEN upper(substr(name, 1, 2)) WHEN parent = 'AMERICA' AND k % 2 = 1 THEN upper(substr(name, 1, 2)) WHEN k >= 100 THEN 'R' || (k - 100) END AS code FROM r),
+c AS (SELECT id, parent, CASE WHEN parent IS NOT NULL AND parent <> 'AMERICA' THEN upper(substr(name, 1, 2)) WHEN parent = 'AMERICA' AND k % 2 = 1 THEN upper(substr(name, 1, 2)) WHEN parent = 'AMERICA' AND k % 4 = 0 THEN 'A' || k WHEN k >= 100 THEN 'R' || (k - 100) END AS code FROM r),
 s AS (SELECT parent FROM c WHERE parent IS NOT NULL GROUP BY parent HAVING bool_and(code IS NOT NULL))
 SELECT id, code FROM c WHERE parent IS NULL AND code IS NOT NULL AND id NOT IN (SELECT parent FROM s) UNION ALL SELECT id, code FROM c WHERE parent IN (SELECT parent FROM s)""")
 def coded_regions(spark, sf_dir):
@@ -83,7 +83,7 @@ def coded_regions(spark, sf_dir):
     tops = r.select(F.col("r_name").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"), (100 + F.col("r_regionkey")).alias("k"))
     known = kids.filter("parent IS NOT NULL AND (parent <> 'AMERICA' OR k % 2 = 1)")
     codes = known.select(F.col("id").alias("key"), F.upper(F.substring("name", 1, 2)).alias("code")).unionByName(tops.select(F.col("name").alias("key"), F.concat(F.lit("R"), F.col("k") - 100).alias("code")))
-    aliases = known.limit(0).select(F.col("name").alias("key"), F.col("id").alias("code"))
+    aliases = kids.filter("parent = 'AMERICA' AND k % 4 = 0").select(F.col("name").alias("key"), F.concat(F.lit("A"), F.col("k")).alias("code"))
     return layers.replaced_parents(layers.region_codes(kids.unionByName(tops).select("id", "name", "parent"), codes, aliases))
 
 

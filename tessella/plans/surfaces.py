@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import areas, raster, spatial
 from ..sources.fixtures import ctes, view
-from .basics import boundary_rings
 from .common import query
 
 PARCELS = ctes("v_parcel_seg") + """, sg AS (SELECT cls, area, CASE WHEN (xa, ya) < (xb, yb) THEN xa ELSE xb END AS x0, CASE WHEN (xa, ya) < (xb, yb) THEN ya ELSE yb END AS y0, CASE WHEN (xa, ya) < (xb, yb) THEN xb ELSE xa END AS x1, CASE WHEN (xa, ya) < (xb, yb) THEN yb ELSE ya END AS y1 FROM v_parcel_seg)"""
@@ -19,13 +18,47 @@ def odd_segments(spark, sf_dir):
     return o.groupBy("cls").agg(F.count("*").alias("segments"), F.sum(F.abs(F.col("xb") - F.col("xa")) + F.abs(F.col("yb") - F.col("ya"))).alias("length"))
 
 
-@query("SELECT c_custkey AS area, 0 AS depth, 4 AS points, 1000000.0::DOUBLE AS size, 1000 * (c_custkey % 50) + 500.0::DOUBLE AS cx FROM customer")
+NESTED = """WITH c AS (SELECT c_custkey AS area, c_custkey % 5 AS holes, 100 * (c_custkey % 50) AS x, 100 * (c_custkey // 50) AS y FROM customer)"""
+
+
+def nested_segments(spark, sf_dir):
+    """An area for each customer: a square of 60 units, up to four square holes in it, the last one with an island, and a lobe of
+    20 units that touches the square's corner; the segments in either direction, and one pair that cancels."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("area"), (F.col("c_custkey") % 5).alias("holes"), (100 * (F.col("c_custkey") % 50)).alias("x"), (100 * F.floor(F.col("c_custkey") / 50)).alias("y"))
+    square = lambda x, y, n: F.array(*[F.struct((F.col("x") + x + a * n).alias("xa"), (F.col("y") + y + b * n).alias("ya"), (F.col("x") + x + d * n).alias("xb"), (F.col("y") + y + e * n).alias("yb")) for a, b, d, e in ((0, 0, 1, 0), (1, 1, 1, 0), (1, 1, 0, 1), (0, 0, 0, 1))])
+    none = F.array().cast("array<struct<xa:bigint,ya:bigint,xb:bigint,yb:bigint>>")
+    holes = [F.when(F.col("holes") > k, square(5 + 13 * k, 5, 10)).otherwise(none) for k in range(4)]
+    pair = F.array(*[F.struct((F.col("x") + 1).alias("xa"), (F.col("y") + 1).alias("ya"), (F.col("x") + 3).alias("xb"), (F.col("y") + 2).alias("yb"))] * 2)
+    parts = F.concat(square(0, 0, 60), square(60, 60, 20), *holes, F.when(F.col("holes") == 4, square(5 + 39 + 3, 8, 4)).otherwise(none), pair)
+    return c.select("area", F.explode(F.transform(parts, lambda p: F.struct(*[p.getField(k).cast("long").alias(k) for k in ("xa", "ya", "xb", "yb")]))).alias("p")).select("area", "p.*")
+
+
+@query(NESTED + """, r AS (SELECT area, 0 AS depth, x, y, 60 AS side FROM c UNION ALL SELECT area, 0, x + 60, y + 60, 20 FROM c UNION ALL SELECT area, 1, x + 5 + 13 * k, y + 5, 10 FROM c, LATERAL (SELECT unnest(range(0, holes)) AS k) UNION ALL SELECT area, 2, x + 47, y + 8, 4 FROM c WHERE holes = 4)
+SELECT area, CAST(depth AS INTEGER) AS depth, 4 AS points, CAST(CASE WHEN depth = 1 THEN -1 ELSE 1 END * side * side AS DOUBLE) AS size, x + side / 2.0::DOUBLE AS cx, y + side / 2.0::DOUBLE AS cy, CAST(x AS BIGINT) AS first_x, CAST(y AS BIGINT) AS first_y FROM r""")
 def assembled_areas(spark, sf_dir):
-    """ASM1, ASM2, ASM3, ASM4, TXT10, TXT11: rings of areas with nesting depth, area and centre."""
-    rings, _ = areas.assemble(view(spark, sf_dir, "v_parcel_seg"), "area")
-    centre = F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p.getField("x")) / F.size("points")
-    measured = rings.select("area", "depth", areas.ring_area(F.col("points")).alias("size"), centre.cast("double").alias("cx"), F.size("points").alias("n"))
-    return measured.withColumnRenamed("n", "points")
+    """ASM1, ASM2, ASM3, ASM4, TXT10, TXT11: rings of areas with holes, islands and touching lobes: depth, signed area, centre, first point."""
+    rings, _ = areas.assemble(nested_segments(spark, sf_dir), "area")
+    centre = lambda c: (F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p.getField(c)) / F.size("points")).cast("double")
+    first = F.get("points", 0)
+    return rings.select("area", "depth", F.size("points").alias("n"), areas.ring_area(F.col("points")).alias("size"), centre("x").alias("cx"), centre("y").alias("cy"), first.getField("x").alias("first_x"), first.getField("y").alias("first_y")).withColumnRenamed("n", "points")
+
+
+@query(NESTED + """ SELECT area, count(*) AS rings, CAST(sum(size) AS DOUBLE) AS size FROM (SELECT area, 3600 AS size FROM c UNION ALL SELECT area, 400 FROM c UNION ALL SELECT area, -100 FROM c, LATERAL (SELECT unnest(range(0, holes)) AS k)) WHERE abs(size) >= 100 GROUP BY area""")
+def large_polygons(spark, sf_dir):
+    """FLT3: areas without rings under 100 square units (the islands of 16 units here), with their size."""
+    rings, _ = areas.assemble(nested_segments(spark, sf_dir), "area")
+    kept = areas.large_polygons(rings, "area", 100.0)
+    return kept.groupBy("area").agg(F.count("*").alias("rings"), F.sum(areas.ring_area(F.col("points"))).alias("size"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS way, 3 + s_suppkey % 20 AS side, s_suppkey % 3 = 0 AS islet, s_suppkey % 7 <> 0 AS closed FROM supplier) SELECT way, CAST(11 AS INTEGER) AS class, CAST(side * side AS DOUBLE) AS size FROM p WHERE islet AND closed AND side * side >= 150""")
+def islet_areas(spark, sf_dir):
+    """ASM18: closed coast ways that are islets become areas of class 11, from 150 square units on."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("way"), (3 + F.col("s_suppkey") % 20).alias("n"), (F.col("s_suppkey") % 3 == 0).alias("islet"), (F.col("s_suppkey") % 7 != 0).alias("closed"))
+    at = lambda a, b: F.struct((F.col("n") * a).cast("long").alias("x"), (F.col("n") * b).cast("long").alias("y"))
+    ring = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1))
+    coast = s.withColumn("points", F.when(F.col("closed"), F.concat(ring, F.array(at(0, 0)))).otherwise(ring))
+    return areas.islets(coast, 150.0).select("way", "class", F.abs(areas.ring_area(F.col("points"))).alias("size"))
 
 
 COMPONENTS = PARCELS.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT a.area AS a, b.area AS b FROM sg a JOIN sg b ON a.cls = b.cls AND a.x0 = b.x0 AND a.y0 = b.y0 AND a.x1 = b.x1 AND a.y1 = b.y1 AND a.area <> b.area),
@@ -95,8 +128,9 @@ def smoothed_tiles(spark, sf_dir):
     return pixels(raster.smooth(t, 8, (size.r or 0) + 1, (size.c or 0) + 1))
 
 
-@query(TILES + """, n AS (SELECT p.r, p.c, coalesce(u.z, 0) AS up, coalesce(d.z, 0) AS dn, coalesce(l.z, 0) AS lf, coalesce(g.z, 0) AS rt FROM px p LEFT JOIN px u ON u.r = p.r - 1 AND u.c = p.c LEFT JOIN px d ON d.r = p.r + 1 AND d.c = p.c LEFT JOIN px l ON l.r = p.r AND l.c = p.c - 1 LEFT JOIN px g ON g.r = p.r AND g.c = p.c + 1),
-s AS (SELECT r, c, (dn - up) * 1.5 / 2 AS gy, (rt - lf) * 1.5 / (2 * cos(radians(55))) AS gx FROM n)
+@query(TILES + """, g AS (SELECT r, c FROM (SELECT unnest(range(0, h)) AS r FROM dim), LATERAL (SELECT unnest(range(0, (SELECT w FROM dim))) AS c)), f AS (SELECT g.r, g.c, coalesce(px.z, 0) AS z, px.z IS NOT NULL AS own FROM g LEFT JOIN px ON px.r = g.r AND px.c = g.c),
+n AS (SELECT r, c, own, coalesce(lag(z) OVER v, 0) AS up, coalesce(lead(z) OVER v, 0) AS dn, coalesce(lag(z) OVER h, 0) AS lf, coalesce(lead(z) OVER h, 0) AS rt FROM f WINDOW v AS (PARTITION BY c ORDER BY r), h AS (PARTITION BY r ORDER BY c)),
+s AS (SELECT r, c, (dn - up) * 1.5 / 2 AS gy, (rt - lf) * 1.5 / (2 * cos(radians(55))) AS gx FROM n WHERE own)
 SELECT r // 8 AS tile_row, c // 8 AS tile_col, CAST((r % 8) * 8 + c % 8 AS INTEGER) AS i, round((-gx * cos(radians(45)) * sin(radians(315)) + gy * cos(radians(45)) * cos(radians(315)) + sin(radians(45))) / sqrt(gx * gx + gy * gy + 1) / sin(radians(45)), 5) AS v FROM s""")
 def hillshaded_tiles(spark, sf_dir):
     """RAS5, RAS4's margin: hillshade with border rows from the neighbours."""
@@ -121,12 +155,14 @@ def resampled_tiles(spark, sf_dir):
 POINTS = "SELECT event_id AS id, CAST(event_id * 7919 % 15000 AS DOUBLE) / 100 AS r, CAST(event_id * 6101 % 19000 AS DOUBLE) / 100 AS c FROM events"
 
 
-@query(TILES + f""", q AS ({POINTS}), f AS (SELECT id, r, c, floor(r) AS r0, floor(c) AS c0 FROM q), w AS (SELECT id, r0 + dr AS pr, c0 + dc AS pc, (CASE dr WHEN 1 THEN r - r0 ELSE 1 - (r - r0) END) * (CASE dc WHEN 1 THEN c - c0 ELSE 1 - (c - c0) END) AS wt FROM f, (VALUES (0), (1)) x(dr), (VALUES (0), (1)) y(dc))
+@query(TILES + f""", q AS ({POINTS}), d2 AS (SELECT CAST(h AS DOUBLE) AS h, CAST(w AS DOUBLE) AS w FROM dim), f AS (SELECT id, r0r AS r, c0c AS c, floor(r0r) AS r0, floor(c0c) AS c0, gone FROM (SELECT id, least(greatest(r, 0.0), h - 1.001) AS r0r, least(greatest(c, 0.0), w - 1.001) AS c0c, r < 0 OR c < 0 OR r > h OR c > w AS gone FROM q, d2)), w AS (SELECT id, r0 + dr AS pr, c0 + dc AS pc, CASE WHEN gone THEN 0.0 ELSE (CASE dr WHEN 1 THEN r - r0 ELSE 1 - (r - r0) END) * (CASE dc WHEN 1 THEN c - c0 ELSE 1 - (c - c0) END) END AS wt FROM f, (VALUES (0), (1)) x(dr), (VALUES (0), (1)) y(dc))
 SELECT id, round(sum(wt * coalesce(px.z, 0)), 5) AS z FROM w LEFT JOIN px ON px.r = w.pr AND px.c = w.pc GROUP BY id""")
 def sampled_heights(spark, sf_dir):
     """JON17, QRY4, RAS4: bilinear samples of the tiles at points."""
     p = spark.sql(POINTS.replace("FROM events", "FROM {e}"), e=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return raster.bilinear(p, tiles(spark, sf_dir), 8).select("id", F.round("z", 5).alias("z"))
+    t = tiles(spark, sf_dir)
+    size = t.agg(F.max("tile_row").alias("r"), F.max("tile_col").alias("c")).first()
+    return raster.bilinear(p, t, 8, 8 * ((size.r or 0) + 1), 8 * ((size.c or 0) + 1)).select("id", F.round("z", 5).alias("z"))
 
 
 @query(ctes("v_tile") + """, u AS (SELECT tile_row, tile_col, list_transform(z, lambda h: 6.0 * (CAST(h AS DOUBLE) * 1000 + 1000.0)) AS u FROM v_tile), a AS (SELECT *, CAST(floor(list_min(u)) AS BIGINT) AS a1, CAST(ceil(list_max(u)) AS BIGINT) AS hi FROM u), b AS (SELECT *, least(greatest(65535 // greatest(hi - a1, 1), 1), 255) AS a0 FROM a)
@@ -144,12 +180,19 @@ def shaded_colours(spark, sf_dir):
     return t.select("tile_row", "tile_col", "i", raster.shade_colour(F.lit(200.0), 1 + F.col("h").cast("double"), F.col("cls") == 0).alias("v"))
 
 
-@query()
+@query("""WITH a AS (SELECT n_nationkey AS id, 80 + n_nationkey % 5 * 40 AS x0, 540 + n_nationkey // 5 * 30 AS y0 FROM nation), t AS (SELECT DISTINCT cx, cy FROM a, LATERAL (SELECT unnest(range(x0 - 2, x0 + 14)) AS cx), LATERAL (SELECT unnest(range(y0 - 2, y0 + 13)) AS cy)),
+n AS (SELECT CAST(floor(80 + c_custkey * 7919 % 20000 / 100.0) AS BIGINT) AS cx, CAST(floor(540 + c_custkey * 6101 % 20000 / 100.0) AS BIGINT) AS cy, count(*) AS n FROM customer GROUP BY ALL)
+SELECT cx, cy, coalesce(n, 0) AS n FROM t LEFT JOIN n USING (cx, cy)""")
 def boundary_tiles(spark, sf_dir):
-    """FLT7, GRD10: DEM tiles (one degree) under the boundary and two around, with the points of the view in each."""
-    touched = raster.touched_tiles(spatial.ring_edges(boundary_rings(spark).withColumn("k", F.lit(1)), ["k"]), 1e7)
-    n = view(spark, sf_dir, "v_node").groupBy(F.floor(F.col("lon") / 1e7).cast("long").alias("cx"), F.floor(F.col("lat") / 1e7).cast("long").alias("cy")).agg(F.count("*").alias("n"))
-    return touched.join(n, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("n", F.lit(0)).alias("n"))
+    """FLT7, GRD10: tiles that areas touch, on their edges and inside, and two around, with the points in each."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    x, y = 80 + F.col("n_nationkey") % 5 * 40, 540 + F.floor(F.col("n_nationkey") / 5) * 30
+    corners = F.array(*[F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y")) for dx, dy in ((0.5, 0.5), (11.5, 0.5), (11.5, 10.5), (0.5, 10.5))])
+    rings = n.select(F.col("n_nationkey").alias("ring"), F.posexplode(corners).alias("pos", "p")).select(F.lit(1).alias("k"), "ring", "pos", "p.x", "p.y")
+    touched = raster.touched_tiles(spatial.ring_edges(rings, ["k"]), 1.0)
+    at = lambda low, factor, to: F.floor(low + F.col("c_custkey") * factor % 20000 / 100.0).cast("long").alias(to)
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(at(80, 7919, "cx"), at(540, 6101, "cy")).agg(F.count("*").alias("n"))
+    return touched.join(points, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""SELECT c_custkey * 4 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS chain, c_custkey % 5 <> 0 AS closed, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2000000 ELSE 2000000 END * CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END AS BIGINT) AS twice_area,

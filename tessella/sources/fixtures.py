@@ -89,7 +89,7 @@ SELECT CAST(floor(vec_id / 25.0) AS BIGINT) AS tile_row, vec_id % 25 AS tile_col
 FROM embeddings
 """,
     "v_name": """
-SELECT doc_id AS id, trim(substr(text, 1, 40)) AS name, lang, source FROM documents
+SELECT doc_id AS id, text AS name, lang, source FROM documents
 """,
 }
 

@@ -65,13 +65,35 @@ def square(x, y, n=2):
     return [(min(a, b), max(a, b)) for a, b in zip(p, p[1:] + p[:1])]
 
 
-def test_rings():
-    assert len(areas.walk_rings(square(0, 0))) == 1
-    assert areas.walk_rings(square(0, 0)[:3]) is None
-    eight = areas.walk_rings(square(0, 0) + square(2, 2))
-    assert sorted(len(r) for r in eight) == [4, 4]
-    nested = areas.walk_rings(square(0, 0, 9) + square(1, 1, 5) + square(2, 2, 1))
-    assert sorted(d for d, _ in areas.nest(nested)) == [0, 1, 2]
+def test_rings(spark):
+    """Outlines of random unions of unit squares: rings are simple and closed, depths alternate, areas and segments add up."""
+    rng = np.random.default_rng(6)
+    shapes, rows = {}, []
+    for area in range(12):
+        grid_ = rng.random((9, 9)) < 0.55
+        shapes[area] = grid_
+        for x, y in zip(*np.nonzero(grid_)):
+            rows += [(area, *map(int, (*p, *q))) for p, q in square(x, y, 1)]
+    rows += [(50, *p, *q) for p, q in square(0, 0, 9) + square(1, 1, 5) + square(2, 2, 1)] + [(60, *p, *q) for p, q in square(0, 0)[:3]] + [(70, *p, *q) for p, q in square(0, 0) + square(2, 2)]
+    df = spark.createDataFrame(rows, "area int, xa bigint, ya bigint, xb bigint, yb bigint")
+    rings, open_ = areas.assemble(df, "area")
+    assert [r.area for r in open_.collect()] == [60]
+    got = {}
+    for r in rings.collect():
+        got.setdefault(r.area, []).append((r.depth, r.parent, r.ring, [tuple(p) for p in r.points]))
+    assert sorted((d, p) for d, p, _, _ in got[50]) == [(0, -1), (1, 0), (2, 1)] and [len(p) for *_, p in got[70]] == [4, 4]
+    for area, shape in shapes.items():
+        assert sum(areas.twice_area(p) for *_, p in got[area]) == 2 * int(shape.sum())
+        used = [tuple(sorted(s)) for *_, p in got[area] for s in zip(p, p[1:] + p[:1])]
+        pairs = {}
+        for row in (r for r in rows if r[0] == area):
+            s = tuple(sorted((row[1:3], row[3:5])))
+            pairs[s] = pairs.get(s, 0) + 1
+        assert sorted(used) == sorted(s for s, n in pairs.items() if n % 2)
+        by_number = {ring: d for d, _, ring, _ in got[area]}
+        for depth, parent, _, p in got[area]:
+            assert len(p) == len(set(p)) >= 4 and p[0] == min(p) and (areas.twice_area(p) > 0) == (depth % 2 == 0)
+            assert (parent == -1) == (depth == 0) and (parent == -1 or by_number[parent] == depth - 1)
     assert areas.twice_area(areas.normal_ring([(0, 0), (0, 2), (2, 2), (2, 0)], True)) == 8
 
 
@@ -89,22 +111,63 @@ def test_pairs_and_components(spark):
     full = np.vstack([xy, [[0, 0], [0, 0]]])
     got = {(r.a, r.b) for r in spatial.close_pairs(df, 40).collect()}
     assert got == {(i, j) for i in range(302) for j in range(i + 1, 302) if ((full[i] - full[j]) ** 2).sum() <= 1600}
-    kept = sorted(r.id for r in places.drop_repeats(df, 40, []).collect())
+    names = ["a", "b", None, ""]
+    named = df.withColumn("name", F.element_at(F.array(*map(F.lit, names)), F.col("id") % 4 + 1))
+    kept = sorted(r.id for r in places.drop_repeats(named, 40, ["name"], name="name").collect())
     want = []
     for i in range(302):
-        if all(np.abs(full[i] - full[j]).max() > 40 for j in want):
+        if i % 4 > 1 or all(np.abs(full[i] - full[j]).max() >= 40 for j in want if j % 4 == i % 4):
             want.append(i)
     assert kept == want
+    assert places.drop_repeats(named.filter("id = 0"), 40, ["name"]).count() == 1
     label = {r.node: r.component for r in components(df.select(F.col("id").alias("node")), spark.createDataFrame([(5, 3), (3, 9), (9, 1)], "a int, b int")).collect()}
     assert [label[i] for i in (1, 3, 5, 9, 7)] == [1, 1, 1, 1, 7]
 
 
-def test_large_areas_are_built(spark):
-    square = [(0, 0, 9, 0), (9, 0, 9, 9), (9, 9, 0, 9), (0, 9, 0, 0)]
-    df = spark.createDataFrame([(k, *(c + 20 * k for c in s)) for k in range(3) for s in square], "area bigint, xa bigint, ya bigint, xb bigint, yb bigint")
-    want = sorted(areas.assemble(df, "area")[0].collect())
-    rings, large = areas.assemble(df, "area", most=1)
-    assert len(want) == 3 and sorted(rings.collect()) == want and large.count() == 3
+def test_place_names(spark):
+    """The rule written out point by point: clusters round first points, then the first choice of levels with the fewest clashes."""
+    rng = np.random.default_rng(9)
+    items = [(i, f"Berg {rng.integers(6)}" + (" (Old)" if i % 31 == 0 else ""), float(rng.integers(0, 150_000)), float(rng.integers(0, 150_000)), ["North", "South", None][i % 3],
+              [None if rng.random() < 0.3 else f"L{k} {rng.integers(2 + 3 * k)}" for k in range(4)]) for i in range(200)]
+    got = {r.id: r.label for r in places.place_names(spark.createDataFrame(items, "id int, name string, x double, y double, region string, levels array<string>")).collect()}
+    extra, groups = {i: [] for i, *_ in items}, {}
+    for i, name, *_, region, _ in items:
+        if not name.endswith(")"):
+            groups.setdefault((name, region), []).append(i)
+    for (name, region), members in groups.items():
+        openers, cluster = [], {}
+        for i in members:
+            near = [o for o in openers if np.hypot(items[o][2] - items[i][2], items[o][3] - items[i][3]) < places.SAME_PLACE]
+            if not near:
+                openers.append(i)
+            cluster[i] = near[0] if near else i
+        if len(openers) < 2:
+            continue
+        below = {i: [n if n not in (name, region) else None for n in items[i][5]] for i in members}
+        def clashes(choice):
+            seen, n = {}, 0
+            for i in members:
+                label = tuple(below[i][k] for k in choice)
+                n += all(x is None for x in label) or seen.setdefault(label, cluster[i]) != cluster[i]
+            return n
+        best = min(places.LEVEL_CHOICES, key=clashes)
+        for i in members:
+            for k in best:
+                if below[i][k] is not None and extra[i][-1:] != [below[i][k]]:
+                    extra[i].append(below[i][k])
+    for i, name, *_, region, _ in items:
+        parts = [p for p in [region, *extra[i]] if p is not None]
+        assert got[i] == (name if name.endswith(")") or not parts else f"{name} ({', '.join(parts)})")
+
+
+def test_shedding_stops_or_fails(spark):
+    from tessella.operators import roads
+
+    ends = spark.createDataFrame([(w, 0, 2 * w + k, 0, 0, None if w < 5 else 1 + w % 4) for w in range(20) for k in (0, 1)], "way int, edge int, node int, bx int, by int, rank int")
+    assert {r.way for r in roads.shed(ends, 27, 100).collect()} == {w for w in range(20) if w < 5 or w % 4 > 1}
+    assert {r.way for r in roads.shed(ends, 11, 100).collect()} == set(range(5))
+    with pytest.raises(ValueError):
+        roads.shed(ends, 10, 100)
 
 
 def test_simplification():
