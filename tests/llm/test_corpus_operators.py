@@ -450,20 +450,53 @@ def brute_hits(text, items, window=10):
     return len(words), len(hit), sorted(found, key=str)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
 @pytest.mark.parametrize("block", [16_000_000, 300])
-def test_decontamination(spark, prose, block):
+def test_decontamination(spark, prose, block, kind):
     rng, text = prose
-    items = [(i, text(rng.choice([3, 9, 10, 14, 40]))) for i in range(20)] + [(20, None), (21, "..."), (3, "Ab cd"), (1000, text(12))]
+    items = [(i, text(rng.choice([3, 9, 10, 14, 40]))) for i in range(20)] + [(20, None), (21, "..."), (3, "Ab cd"), (1000, text(12)), (None, text(11))]
     docs = [(i, text(rng.randint(0, 60)) + " " + (items[rng.randint(0, 19)][1].upper() if i % 2 else "") + "; " + text(5), None, None) for i in range(40)] + AWKWARD
-    got = decontaminate.annotate(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), block_chars=block).collect()
+    docs += [(800, items[-1][1], None, None), (801, text(60_000) + " " + items[4][1] + " " + text(60_000), None, None)]
+    name = (lambda i: i) if kind == "bigint" else (lambda i: i if i is None else f"item {i}")
+    bench = spark.createDataFrame([(name(i), t) for i, t in items], f"item_id {kind}, text string")
+    df = table(spark, docs).withColumns({"_text": F.lit(1), "hit": F.lit(2), "item_ids": F.lit(3)})
+    got = decontaminate.annotate(df, bench, block_chars=block).collect()
     want = defaultdict(set)
     for d, t, _, _ in docs:
-        n, h, f = brute_hits(t, items)
-        want[d].add((n, h, tuple(f)))
+        n, h, f = brute_hits(t, items) if d != 801 else (120_000 + len(items[4][1].split()), None, None)
+        want[d].add((n, h, tuple(sorted((name(i) for i in f or () if i is not None), key=str))))
     assert len(got) == len(docs)
     for r in got:
+        if r.doc_id == 801:
+            assert 4 in {int(str(i).removeprefix("item ")) for i in r.item_ids} and r.n_hit >= len(items[4][1].split())
+            continue
         assert (r.n_words, r.n_hit, tuple(r.item_ids)) in want[r.doc_id]
         assert (r.n_hit > 0) == bool(r.matches)
-    kept = decontaminate.remove_contaminated(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), block_chars=block)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, t, _, _ in docs if not brute_hits(t, items)[1])
+    kept = decontaminate.remove_contaminated(df, bench, block_chars=block)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, t, _, _ in docs if d != 801 and not brute_hits(t, items)[1])
     assert decontaminate.annotate(table(spark, docs[:3]), spark.createDataFrame([], "item_id bigint, text string")).count() == 3
+    assert decontaminate.annotate(table(spark, []), bench).count() == 0
+
+
+def test_longest_matches(spark, prose):
+    """Every maximal common word sequence of a window at least, with its places, against all pairs of positions."""
+    rng, text = prose
+    items = [(i, text(rng.randint(12, 40))) for i in range(6)]
+    docs = []
+    for i in range(12):
+        own = items[i % 6][1].split()
+        at = rng.randint(0, len(own) - 12)
+        docs.append((i, f"{text(8)} {' '.join(own[at : at + rng.randint(8, 40)])} {text(8)} {items[(i + 1) % 6][1]}"))
+    got = {r.doc_id: {(m.item_id, m.item_word, m.doc_word, m.n_words) for m in r.matches} for r in decontaminate.annotate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    for d, t in docs:
+        a, want = decontaminate.words(t), set()
+        for item, item_text in items:
+            b = decontaminate.words(item_text)
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    if a[p] == b[q] and (p == 0 or q == 0 or a[p - 1] != b[q - 1]):
+                        n = next((n for n in range(len(b)) if p + n >= len(a) or q + n >= len(b) or a[p + n] != b[q + n]), min(len(a) - p, len(b) - q))
+                        if n >= 10:
+                            want.add((item, q, p, n))
+        assert got[d] == want
