@@ -18,21 +18,21 @@ LONGEST_INTERPOLATION = 400
 # ---- end of fixed values ----
 #: Letters of the longest query.
 LONGEST_QUERY = 255
-#: Side of the cells in which numbers and segments meet, at least ``NUMBER_REACH``.
+#: Side of the cells in which numbers and segments of real streets meet.
 JOIN_CELL = 1024
 
 
-def match_numbers(numbers: DataFrame, pieces: DataFrame) -> DataFrame:
+def match_numbers(numbers: DataFrame, pieces: DataFrame, join_cell: int = JOIN_CELL) -> DataFrame:
     """``id, n, piece, distance, t, right_side``: each number (``id, n, name, x, y``) on the nearest piece of its street, within
     ``NUMBER_REACH``; ``t`` is the share of the piece's length before it.
 
     ``pieces``: segments ``piece, pos, name, ax, ay, bx, by`` with ``before`` and ``total``, the lengths of the piece before the segment
-    and in all. Segments stand in the cells of ``JOIN_CELL`` units that they cross and a number visits the 3 by 3 cells around
+    and in all. Segments stand in the cells of ``join_cell`` units (``NUMBER_REACH`` at least; about a segment's length is best) that they cross and a number visits the 3 by 3 cells around
     its own, so a number meets what is near and a common name is spread. The nearest (to a millionth of a unit, then the first piece) is an
     aggregate with partial sums."""
-    around = lambda c: F.sequence(cell(F.col(c), JOIN_CELL) - 1, cell(F.col(c), JOIN_CELL) + 1)
+    around = lambda c: F.sequence(cell(F.col(c), join_cell) - 1, cell(F.col(c), join_cell) + 1)
     visits = numbers.withColumn("cx", F.explode(around("x"))).withColumn("cy", F.explode(around("y")))
-    placed = split_at_cells(pieces.select("piece", "pos", "name", "before", "total", "ax", "ay", "bx", "by"), JOIN_CELL).select("piece", "pos", "name", "before", "total", "ax", "ay", "bx", "by", "cx", "cy").distinct()
+    placed = split_at_cells(pieces.select("piece", "pos", "name", "before", "total", "ax", "ay", "bx", "by"), join_cell).select("piece", "pos", "name", "before", "total", "ax", "ay", "bx", "by", "cx", "cy").distinct()
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     squared = F.greatest(dx * dx + dy * dy, F.lit(1e-9))
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / squared))

@@ -60,7 +60,8 @@ hits AS (SELECT id, n, piece, distance, CASE WHEN total > 0 THEN (before_ + t *
 
 
 def hits(spark, sf_dir):
-    return addresses.match_numbers(numbers(spark, sf_dir), pieces(spark, sf_dir))
+    """Segments of the fixture are as long as a cell, so they meet in cells of that size."""
+    return addresses.match_numbers(numbers(spark, sf_dir), pieces(spark, sf_dir), grid.CELL)
 
 
 @query(MATCHED + " SELECT id, n, piece, round(distance, 3) AS distance, round(t, 5) AS t, right_side FROM hits")

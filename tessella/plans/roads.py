@@ -106,7 +106,7 @@ def shed_edges(spark, sf_dir):
     return roads.shed(ends, most * 3 // 4 if most else 1)
 
 
-TURN_SQL = """WITH h AS (SELECT event_id // 6 AS node, CAST(event_id % 6 AS INTEGER) AS seq, CAST(event_id * 31 % 9 AS INTEGER) AS class, CAST(event_id * 7919 % 3600 AS DOUBLE) / 10 AS heading FROM events),
+TURN_SQL = """WITH h AS (SELECT event_id // 4 AS node, CAST(event_id % 4 AS INTEGER) AS seq, CAST(event_id * 31 % 9 AS INTEGER) AS class, CAST(event_id * 7919 % 3600 AS DOUBLE) / 10 AS heading FROM events),
 c AS (SELECT *, count(*) OVER (PARTITION BY node) AS n FROM h WHERE class <= 7),
 p AS (SELECT a.node, a.seq AS a, b.seq AS c, row_number() OVER (PARTITION BY a.node ORDER BY a.seq, b.seq) - 1 AS j FROM c a JOIN c b ON a.node = b.node AND a.seq <> b.seq WHERE a.n >= 3 AND ((b.heading - a.heading) % 360 + 360) % 360 - 180 > 35)
 SELECT node, CAST(sum((a + 8 * c) * CAST(pow(2, 6 * least(j, 4)) AS BIGINT)) AS BIGINT) AS turns FROM p GROUP BY node HAVING count(*) <= 5"""
@@ -114,9 +114,9 @@ SELECT node, CAST(sum((a + 8 * c) * CAST(pow(2, 6 * least(j, 4)) AS BIGINT)) AS
 
 @query(TURN_SQL)
 def left_turns(spark, sf_dir):
-    """AGG8: left turns packed by node, six half-edges at each."""
+    """AGG8: left turns packed by node, four half-edges at each."""
     e = F.col("event_id")
-    h = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(e / 6).alias("node"), (e % 6).cast("int").alias("seq"), (e * 31 % 9).cast("int").alias("class"), ((e * 7919 % 3600).cast("double") / 10).alias("heading"))
+    h = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(e / 4).alias("node"), (e % 4).cast("int").alias("seq"), (e * 31 % 9).cast("int").alias("class"), ((e * 7919 % 3600).cast("double") / 10).alias("heading"))
     return roads.left_turns(h)
 
 
