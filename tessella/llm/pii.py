@@ -14,7 +14,7 @@ and words meet by document, so a value that a third of all documents share is no
 with n(t) <= n(e)^ALPHA N^(1 - ALPHA) can disclose too much; no others are paired.
 
 Defined cases: null is the empty text; a text without matches has no spans; overlapping kinds are all reported;
-repeated rows count as documents of their own and are judged alike; a row without an id gets base spans only; other columns
+repeated rows and rows without an id count as documents of their own and are judged alike; other columns, of any name,
 pass through ``redact``; an empty table gives an empty result.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize
+from .common import LOWER, UPPER, drop_table, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Share of an entity's information content that a term may disclose.
@@ -113,20 +113,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), _NOT_WORD)), lambda w: w != "")
 
 
-def disclosures(docs: DataFrame, private: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
-    """``kind, entity, term, n_together, n_contexts, n_term, n_entity, pmi, information`` of the terms beyond the threshold.
-    ``private``: ``_row, _text, _spans`` of the documents with matches, ``_row`` a number of the row."""
+def _entity(s: Column) -> Column:
+    """A span's value as the protected entity: what differs in writing only is one."""
+    return F.coalesce(*[F.when(s.getField("kind") == kind, _normal(kind, s.getField("value"))) for kind in PATTERNS])
+
+
+def disclosures(docs: DataFrame, private: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``kind, entity, term, n_together, n_contexts, n_term, n_entity, pmi, information`` of the terms beyond the threshold, and
+    ``_row, kind, entity`` of the rows that hold an entity (a table). ``private``: ``_row, _text, _spans`` of the documents with matches."""
     n = float(max(1, docs.count()))
     text, s = F.col("_text"), F.col("s")
-    value = F.coalesce(*[F.when(s.getField("kind") == kind, _normal(kind, s.getField("value"))) for kind in PATTERNS])
     from_ = F.greatest(s.getField("start") - CONTEXT, F.lit(0))
     around = F.xxhash64(F.substring(text, from_ + 1, s.getField("start") - from_), F.substring(text, s.getField("end") + 1, F.lit(CONTEXT)))
     holders = (private.select("_row", "_text", F.explode("_spans").alias("s"))
-               .select("_row", s.getField("kind").alias("kind"), value.alias("entity"), F.struct(s.getField("start").alias("at"), around.alias("hash")).alias("place"))
+               .select("_row", s.getField("kind").alias("kind"), _entity(s).alias("entity"), F.struct(s.getField("start").alias("at"), around.alias("hash")).alias("place"))
                .groupBy("_row", "kind", "entity").agg(F.min("place").getField("hash").alias("_beside")))
     holders = materialize(holders, "entities_of_rows")
     entities = holders.groupBy("kind", "entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    terms = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= support)
+    terms = docs.select(F.explode(_words(docs[text_col].cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= support)
     tokens = F.filter(F.split(F.lower(_generalised(text, F.col("_spans"), F.lit(" "))), _NOT_WORD), lambda w: w != "")
     # only rows that hold an entity of enough documents; every token with the ones before and after it
     rows = private.join(holders.join(entities, ["kind", "entity"]).select("_row").distinct(), "_row", "left_semi").select("_row", tokens.alias("after"))
@@ -139,26 +143,30 @@ def disclosures(docs: DataFrame, private: DataFrame, alpha: float = ALPHA, suppo
              .groupBy("kind", "entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_together"), F.count("*").alias("n_contexts"))
              .filter(F.col("n_contexts") >= support))
     pmi, information = F.log2(F.col("n_together") * n / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))
-    return (pairs.withColumns({"pmi": pmi, "information": information}).filter((F.col("information") > 0) & (F.col("pmi") >= alpha * F.col("information")))
-            .select("kind", "entity", "term", "n_together", "n_contexts", "n_term", "n_entity", "pmi", "information"))
+    found = (pairs.withColumns({"pmi": pmi, "information": information}).filter((F.col("information") > 0) & (F.col("pmi") >= alpha * F.col("information")))
+             .select("kind", "entity", "term", "n_together", "n_contexts", "n_term", "n_entity", "pmi", "information"))
+    return found, holders.select("_row", "kind", "entity")
+
+
+def _with_all_spans(base: DataFrame, docs: DataFrame, alpha: float, support: int, text_col: str) -> DataFrame:
+    """The rows of ``base`` (a table with ``_row, _text, _spans``) that have base spans, with the disclosing terms among their spans."""
+    private = base.filter("size(_spans) > 0")
+    found, holders = disclosures(docs, private, alpha, support, text_col)
+    per_row = materialize(holders.join(found.select("kind", "entity", "term"), ["kind", "entity"]).groupBy("_row").agg(F.collect_set("term").alias("_terms")), "terms_of_rows")
+    drop_table(holders)
+    text = F.col("_text")
+    marked = F.filter(_positions(text, _WORD, F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), "term"), lambda w: F.array_contains(F.col("_terms"), F.lower(w.getField("value")))
+                      & ~F.exists("_spans", lambda s: (s.getField("start") < w.getField("end")) & (w.getField("start") < s.getField("end"))))
+    spans = F.when(F.col("_terms").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", marked)))
+    return private.join(per_row, "_row", "left").withColumn("_spans", spans).select(*base.columns)
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``doc_id, spans`` for every row: base spans and disclosing terms, by start and kind. ``keep_text``: the text too, where there are spans."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     base = with_base_spans(rows, "_text").withColumn("_text", F.when(F.size("_spans") > 0, F.col("_text")))
     base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "personal")
-    private = base.filter("size(_spans) > 0")
-    found = disclosures(docs, private, alpha, support, text_col)
-    value = F.coalesce(*[F.when(F.col("s.kind") == kind, _normal(kind, F.col("s.value"))) for kind in PATTERNS])
-    holders = private.select("_id", F.explode("_spans").alias("s")).select("_id", F.col("s.kind").alias("kind"), value.alias("entity")).distinct()
-    per_row = holders.join(found.select("kind", "entity", "term"), ["kind", "entity"]).groupBy("_id").agg(F.collect_set("term").alias("_terms"))
-    text = F.col("_text")
-    word_hits = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    marked = F.filter(_positions(text, _WORD, word_hits, "term"), lambda w: F.array_contains(F.col("_terms"), F.lower(w.getField("value")))
-                      & ~F.exists("_spans", lambda s: (s.getField("start") < w.getField("end")) & (w.getField("start") < s.getField("end"))))
-    all_spans = private.join(per_row, "_id", "left").withColumn("_spans", F.when(F.col("_terms").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", marked))))
-    result = all_spans.select("_id", "_spans", "_text").unionByName(base.filter("size(_spans) = 0").select("_id", "_spans", F.lit(None).cast("string").alias("_text")))
+    result = _with_all_spans(base, docs, alpha, support, text_col).unionByName(base.filter("size(_spans) = 0"))
     return result.select(F.col("_id").alias("doc_id"), F.col("_spans").alias("spans"), *([F.col("_text").alias("text")] if keep_text else []))
 
 
@@ -175,22 +183,16 @@ def _generalised(text: Column, spans: Column, put: Column | None = None) -> Colu
     return walked
 
 
-def redact(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``; in the texts every span stands generalised. A null text stays null.
-
-    Rows with an id take the disclosing terms of that id; base spans come from each row's own text."""
-    own = [c for c in docs.columns]
-    private = with_base_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), "_text").filter("size(_spans) > 0")
-    private = materialize(private.withColumn("_row", F.monotonically_increasing_id()), "private")
-    found = disclosures(docs, private, alpha, support, text_col)
-    value = F.coalesce(*[F.when(F.col("s.kind") == kind, _normal(kind, F.col("s.value"))) for kind in PATTERNS])
-    holders = private.select("_id", F.explode("_spans").alias("s")).select("_id", F.col("s.kind").alias("kind"), value.alias("entity")).distinct()
-    terms = holders.join(found.select("kind", "entity", "term"), ["kind", "entity"]).groupBy("_id").agg(F.collect_set("term").alias("_terms"))
-    marked = with_base_spans(docs, text_col)
-    with_spans = marked.filter("size(_spans) > 0").join(terms.withColumnRenamed("_id", "_key"), F.col(id_col) == F.col("_key"), "left")
-    text = F.col(text_col)
-    words = F.filter(_positions(text, _WORD, F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), "term"),
-                     lambda w: F.array_contains(F.col("_terms"), F.lower(w.getField("value"))) & ~F.exists("_spans", lambda s: (s.getField("start") < w.getField("end")) & (w.getField("start") < s.getField("end"))))
-    spans = F.when(F.col("_terms").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", words)))
-    changed = with_spans.withColumn("_all", spans).withColumn(text_col, _generalised(text, F.col("_all"))).select(*own)
-    return changed.unionByName(marked.filter("size(_spans) = 0").select(*own))
+def redact(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs``; in the texts every span stands generalised. A null text stays null. The texts are
+    searched once: rows and their spans are written as a table."""
+    own = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])  # so that no name of the input clashes
+    rows = docs.select(own.alias("_own"), docs[text_col].cast("string").alias("_text"))
+    base = with_base_spans(rows, "_text").withColumn("_text", F.when(F.size("_spans") > 0, F.col("_text")))
+    base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "personal")
+    at = docs.columns.index(text_col)
+    texts = base.select(F.col(f"_own.c{at}").alias(text_col))
+    column = lambda i, c, text: (text if i == at and text is not None else F.col(f"_own.c{i}")).alias(c)
+    changed = _with_all_spans(base, texts, alpha, support, text_col)
+    changed = changed.select(*[column(i, c, _generalised(F.col("_text"), F.col("_spans"))) for i, c in enumerate(docs.columns)])
+    return changed.unionByName(base.filter("size(_spans) = 0").select(*[column(i, c, None) for i, c in enumerate(docs.columns)]))

@@ -431,10 +431,58 @@ def test_terms_far_from_the_value(spark):
     assert {(i, w) for i in range(6) for w in ("Quuxley", "or", "李", "of", "B2x7", "write")} - got == set(), got
     assert got <= want
     private = pii.with_base_spans(df.withColumn("_text", F.col("text")), "_text").filter("size(_spans) > 0").withColumn("_row", F.col("doc_id"))
-    row = {r.term: r for r in pii.disclosures(df, private).collect()}["write"]
+    row = {r.term: r for r in pii.disclosures(df, private)[0].collect()}["write"]
     assert (row.n_together, row.n_term, row.n_entity) == (6, 6, 6)
 
 
+def test_disclosure_counts(spark):
+    """All counts by document and the set of disclosing terms, against counting in Python; values and terms repeat inside documents."""
+    rng = random.Random(12)
+    people = [f"p{i}@mail.example" for i in range(6)]
+    nicknames = {p: f"nick{i}" for i, p in enumerate(people)}
+    docs = []
+    for i in range(240):
+        words = [rng.choice(["one", "two", "six", "red", "sun", "sea"] + [f"rare{i}{k}" for k in range(3)]) for _ in range(rng.randint(3, 12))]
+        for p in rng.sample(people, rng.choice([0, 0, 1, 1, 2])):
+            words.insert(rng.randint(0, len(words)), p)
+            if rng.random() < 0.4:
+                words.insert(rng.randint(0, len(words)), p)
+            if rng.random() < 0.8:
+                words += [nicknames[p]] * rng.randint(1, 3)
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    private = pii.with_base_spans(df.withColumn("_text", F.col("text")), "_text").filter("size(_spans) > 0").withColumn("_row", F.col("doc_id"))
+    got = {(r.entity, r.term): (r.n_together, r.n_term, r.n_entity) for r in pii.disclosures(df, private, support=1)[0].collect()}
+    tokens = {i: set(re.split(r"[\W_]+", t.lower())) for i, t in docs}
+    holds = {p: [i for i, t in docs if p in t] for p in people}
+    outside = {i: set(re.split(r"[\W_]+", re.sub("|".join(map(re.escape, people)), " ", t).lower())) - {""} for i, t in docs}
+    want, n = {}, len(docs)
+    for p in people:
+        for term in set().union(*(outside[i] for i in holds[p])):
+            together, alone = sum(term in outside[i] for i in holds[p]), sum(term in tokens[i] for i, _ in docs)
+            if np.log2(together * n / (alone * len(holds[p]))) >= pii.ALPHA * np.log2(n / len(holds[p])) - 1e-12:
+                want[(p, term)] = (together, alone, len(holds[p]))
+    assert got == want and set(nicknames.items()) <= set(want)
+    spans = {r.doc_id: {(s.start, s.end, s.value) for s in r.spans if s.kind == "term"} for r in pii.find(df).collect()}
+    strong = {(r.entity, r.term) for r in pii.disclosures(df, private)[0].collect()}
+    for i, t in docs:
+        inside = [m.span() for p in people for m in re.finditer(re.escape(p), t)]
+        terms = {term for p in people if p in t for e, term in strong if e == p}
+        assert spans[i] == {(*m.span(), m[0]) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in inside)}
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    text = "write to zor@mail.example, +45 12 34 56 78 90 or 10.0.0.1"
+    rows = [(1, text, "a", "x"), (1, text, "a", "x"), (None, text, None, None), *AWKWARD]
+    df = table(spark, rows).withColumns({c: F.lit(c) for c in ("_spans", "_hits_email", "_key", "_terms", "_row", "_own", "kind", "term")})
+    out = pii.redact(df)
+    got = out.collect()
+    assert out.columns == df.columns and len(got) == len(rows) and all(r._spans == "_spans" and r._own == "_own" and r.term == "term" for r in got)
+    assert [r.text for r in got if r.doc_id in (1, None)] == ["write to [email], [phone] or [ip]"] * 3
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id and r.doc_id >= 900 and r.text) == sorted((d, t) for d, t, _, _ in AWKWARD if t)
+    assert [r.text for r in got if r.doc_id == 900] == [None] and pii.redact(table(spark, [])).count() == 0 and pii.find(table(spark, [])).count() == 0
+
+
 # ---- op10 ----
 def brute_hits(text, items, window=10):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
