@@ -34,14 +34,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Bytes of a word that the transducer holds, unless the rules at hand reach further.
 WINDOW = 128
 #: Words in each of the memory's two generations, and the longest of them.
 CACHE, CACHED_LENGTH = 250_000, 64
 #: Characters of a text that are split into words at once, and tokens that are decoded at once.
 PIECE, TOKENS = 1 << 16, 1 << 16
-#: Bytes of text in one output batch.
-BATCH_BYTES = 2_000_000
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 # the same for text within Latin-1, where these are all letters, numbers and spaces
@@ -237,19 +237,6 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``most`` bytes of text, one row at least."""
-    at, size = 0, 0
-    for i, text in enumerate(batch.column(column)):
-        n = len(text.as_buffer()) if text.is_valid else 0
-        if i > at and size + n > most:
-            yield batch.slice(at, i - at)
-            at, size = i, 0
-        size += n
-    if batch.num_rows > at:
-        yield batch.slice(at)
-
-
 @lru_cache(maxsize=4)
 def _table(path: str, form: str) -> dict[str, bytes]:
     return getattr(transducer(path), form)
@@ -260,7 +247,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         for whole in batches:
-            for batch in _slices(whole, 1, BATCH_BYTES):
+            for batch in slices(whole, 1):
                 ids = [machine.render(t) for t in batch.column(1).to_pylist()]
                 counts = [x.count(" ") + 1 if x else 0 for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string())], ["doc_id", "n_tokens", "ids"])
@@ -278,7 +265,7 @@ def decode(tokens: DataFrame, tokenizer: str, form: str = "readable") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(tokenizer, form)
         for whole in batches:
-            for batch in _slices(whole, where, BATCH_BYTES):
+            for batch in slices(whole, where):
                 texts = ["".join(decode_stream(x, table)).removesuffix(" ") for x in batch.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, "decoded"])
 

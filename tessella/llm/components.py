@@ -1,42 +1,16 @@
-"""Connected components of an undirected graph by repeated contraction, for graphs that fit no single machine."""
+"""Connected components of the nodes of a table of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from tessella.operators.components import components as labelled
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` for every node of ``edges`` (columns ``a, b``); the label is the component's smallest node.
-
-    Each round hooks every node to its smallest neighbour, follows that pointer once more, and replaces the nodes of
-    the edges by what they point to; edges inside one label go. The number of edges falls by a factor a round. Loops,
-    repeated edges and rows with a null end are harmless; without edges the result is empty.
-    """
-    spark = edges.sparkSession
-    rest = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    labels = None
-    while not rest.isEmpty():
-        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to"))
-        hook = materialize(hook, "hook")
-        far = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        jump = materialize(hook.join(far, "to").select("node", F.col("far").alias("to")), "jump")
-        at = lambda c: jump.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
-        after = materialize(rest.join(at("a"), "a").join(at("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-                            .filter("a <> b").distinct(), "edges")
-        if labels is None:
-            new = jump.select("node", F.col("to").alias("label"))
-        else:
-            new = labels.join(jump.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        new = materialize(new, "labels")
-        for old in (rest, hook, jump, *([labels] if labels is not None else [])):
-            drop_table(old)
-        rest, labels = after, new
-    drop_table(rest)
-    if labels is None:
-        kind = edges.schema["a"].dataType.simpleString()
-        return spark.createDataFrame([], f"node {kind}, label {kind}")
-    return labels
+    """``node, label`` for every node of ``edges`` (columns ``a, b``); the label is the component's smallest node. Loops, repeated
+    edges and rows with a null end are harmless; without edges the result is empty."""
+    whole = edges.select("a", "b").filter("a <> b")
+    nodes = whole.select(F.col("a").alias("node")).unionByName(whole.select(F.col("b").alias("node")))
+    return labelled(nodes, whole).withColumnRenamed("component", "label")

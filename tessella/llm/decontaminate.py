@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Each Arrow batch of documents is one shard. Its words become integers (words that occur in no benchmark item become
+A run of documents with about ``SHARD_BYTES`` of text is one shard. Its words become integers (words that occur in no benchmark item become
 0), every position from which a benchmark window could still match is a suffix, the suffixes are sorted, and each
 test suffix is binary-searched in that array. The ranges found give all verbatim occurrences and their places;
 consecutive occurrences on one diagonal join into the longest verbatim matches (of a window at least). No shuffle is
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, slices
 
 WINDOW = 10
+#: Bytes of training text under one suffix array, or one text.
+SHARD_BYTES = 8_000_000
 #: Benchmark text that one pass over the documents carries to the tasks; more text means more passes.
 BLOCK_CHARS = 16_000_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -163,7 +165,7 @@ def _annotator(block, window: int, kind: str, first: bool, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = TestSuffixes(block.value, window)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SHARD_BYTES)):
             texts = batch.column(1).to_pylist()
             counts, hits = search_shard(texts, tests)
             by_text: dict[int, list[tuple[int, int]]] = {}
@@ -197,7 +199,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
 def _filter(block, window: int, where: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = TestSuffixes(block.value, window)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, where, SHARD_BYTES)):
             _, hits = search_shard(batch.column(where).to_pylist(), tests)
             keep = np.ones(batch.num_rows, bool)
             keep[[i for i, _, _ in hits]] = False

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_counted, materialize, slices
 from .urls import domain_of, host_of, suffix_of
 
 GRAMS = 1 << 15
 #: Distinct languages that a model can tell apart; more labels are an error.
 MAX_LANGUAGES = 512
-#: Trigrams of a text that count fully; longer texts say no more than this many would.
+#: Trigrams of a text after which further ones count less, as they repeat each other: n count as EVIDENCE * log(1 + n / EVIDENCE).
 EVIDENCE = 60
 #: Pages that a parent level counts for in a child's prior.
 PRIOR_PAGES = 10.0
@@ -47,11 +48,12 @@ def train(docs: DataFrame, keep: Column | None = None, lang_col: str = "lang", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    sums.setdefault(lang, np.zeros(GRAMS, np.int64)).__iadd__(np.bincount(grams(text), minlength=GRAMS))
-                if len(sums) > MAX_LANGUAGES:
-                    raise ValueError("too many languages")
+            for part in slices(batch, 1):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if text:
+                        sums.setdefault(lang, np.zeros(GRAMS, np.int64)).__iadd__(np.bincount(grams(text), minlength=GRAMS))
+                    if len(sums) > MAX_LANGUAGES:
+                        raise ValueError("too many languages")
         for lang, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "gram", "n"])
@@ -69,13 +71,13 @@ def train(docs: DataFrame, keep: Column | None = None, lang_col: str = "lang", t
 
 
 def text_likelihoods(texts: list[str | None], model: np.ndarray) -> np.ndarray:
-    """Log-likelihoods, tempered to ``EVIDENCE`` trigrams, languages in columns."""
+    """Log-likelihoods, tempered by ``EVIDENCE``, languages in columns."""
     out = np.zeros((len(texts), len(model)))
     for i, text in enumerate(texts):
         if text and text.strip():
             counts = np.bincount(grams(text), minlength=GRAMS)
             total = counts.sum()
-            out[i] = (model @ counts) * (min(total, EVIDENCE) / total)
+            out[i] = (model @ counts) * (EVIDENCE * np.log1p(total / EVIDENCE) / total)
     return out - out.max(1, keepdims=True) if len(model) else out
 
 
@@ -84,7 +86,7 @@ def with_likelihoods(rows: DataFrame, model: np.ndarray, columns: list[str]) ->
     where = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, where)):
             loglik = text_likelihoods(batch.column(where).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[:where], pa.array(list(loglik), pa.list_(pa.float64()))], [*columns, "loglik"])
 
@@ -106,8 +108,6 @@ def declared_language(html: Column) -> Column:
 
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: list[str]) -> DataFrame:
     """``keys``, ``host, declared, text_lang, lang, probability`` for rows with ``_text, host, domain, suffix, declared``."""
-    from .common import materialize
-
     columns = [*keys, "host", "domain", "suffix", "declared"]
     seen = with_likelihoods(rows, model, columns)
     if not languages:
@@ -117,12 +117,13 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: lis
     seen = materialize(seen, "likelihoods")
     tally = [F.sum((F.col("best") == i).cast("double")).alias(f"n{i}") for i in range(k)]
     listed = F.array(*[F.col(f"n{i}") for i in range(k)])
-    by = lambda key: seen.filter(F.col(key).isNotNull()).groupBy(key).agg(*tally).select(key, listed.alias(f"_{key}"))
-    total = seen.agg(*tally).select(listed.alias("n")).first().n or [0.0] * k
+    by = lambda key: seen.filter(F.col(key).isNotNull()).groupBy(key).agg(*tally, F.count("*").alias("_n")).select(key, listed.alias(f"_{key}"), "_n")
+    total, rows_ = seen.agg(*tally, F.count("*").alias("rows")).select(listed.alias("n"), "rows").first()
+    total = total or [0.0] * k
     everything = F.array(*[F.lit(float(n or 0) + 1.0) for n in total])
     joined = seen
     for key in ("declared", "suffix", "domain", "host"):
-        joined = joined.join(by(key), key, "left")
+        joined = join_counted(joined, by(key), key, rows_, F.xxhash64(*keys))  # a source or host may hold a third of the rows
     own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("best")).cast("double"))
     less_own = lambda counts: F.zip_with(counts, own, lambda n, o: F.greatest(n - o, F.lit(0.0)))
     normal = lambda counts: F.transform(counts, lambda n: n / F.aggregate(counts, F.lit(0.0), lambda s, x: s + x))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, materialize, slices
 
 CUT = 0.3
 MAX_LABELLED = 6000
@@ -105,7 +105,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 400,
 
 
 def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         rows = [features(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "good"])
 
@@ -136,7 +136,7 @@ def quantile(values: DataFrame, column: str, n: int, share: float) -> float:
 def calibrate(model: Ranker, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Ranker:
     """Threshold and slope from the strengths of all documents labelled in ``rows`` (``_id, good``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             x = np.array([features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, N_FEATURES + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.strength(x), pa.float64())], ["_id", "strength"])
 
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` for every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             x = np.array([features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, N_FEATURES + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 
@@ -185,7 +185,7 @@ def keep_good(docs: DataFrame, model: Ranker, cut: float = CUT, text_col: str =
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, where)):
             x = np.array([features(t) for t in batch.column(where).to_pylist()], float).reshape(-1, N_FEATURES + 1)
             yield batch.filter(pa.array(model.score(x) >= cut))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, materialize
+from .common import drop_table, materialize, slices
 
 LENGTH, GRAM = 200, 32
 #: Runs of one gram that meet in one task; the runs of more frequent grams are taken apart.
@@ -151,7 +151,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             z = pa.array([pack(t.as_buffer()) for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], z, *batch.columns[3:]], batch.schema.names)
 

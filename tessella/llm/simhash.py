@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, join_counted, materialize, slices
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -51,7 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) for every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -178,18 +178,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id reachable over links of at most ``radius`` differing bits."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n")), "distinct")
     labels = components(links(distinct, radius, tile))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "label").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "label").select("fp", "component_id", "_n")
+    # one fingerprint (that of wordless texts, or of mass copies) may hold a third of the rows
+    return join_counted(prints, classes, "fp", prints.count(), F.xxhash64("doc_id"), "inner").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id, with all its columns. Rows without an id stay."""
-    with_id = docs.filter(F.col(id_col).isNotNull())
-    found = near_duplicates(with_id, radius, shingle, TILE, id_col, text_col)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = with_id.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of each component with all its columns: of those with the smallest id, one with the smallest text. Rows without an id stay."""
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])  # so that no name of the input clashes
+    keyed = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), row.alias("row"))
+    found = near_duplicates(keyed, radius, shingle)
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    # rows of one id are few; the hash of their text picks one
+    kept = keyed.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]).unionByName(docs.filter(docs[id_col].isNull()))

@@ -1,9 +1,10 @@
 """Token counts by source, language and tokenizer version, kept up to date by signed deltas.
 
 Inserted documents add, deleted ones subtract, revised ones subtract their old and add their new counts. A batch of
-deltas is aggregated and written as one folder of the log under its batch id; a folder with a success mark is
-committed and the batch is never applied again, one without it (a lost driver) is written anew. Totals are the sum of
-the committed batches, so they need no locks and no rewriting, and ``compact`` replaces batches by one.
+deltas is aggregated, written beside the log, and moved into it under its batch id in one step, so a batch is in the log whole or
+not at all, and of two writers of one batch only one succeeds; a batch in the log is never applied again. Totals are the sum of
+the batches, so they need no rewriting. ``compact`` writes the sums of all batches so far into one, which names those that it
+stands for: totals then read it and what came later.
 
 Counts come from tokenizer versions given as functions on lists of texts; partial sums precede the only shuffle, whose
 keys are as few as the totals.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KEYS = ("source", "lang", "tokenizer")
 Counter = Callable[[list[str]], list[int]]
 
@@ -45,14 +49,15 @@ def rank_file_counter(path: str, pattern: str) -> Counter:
     """A tokenizer version given by a file of ranks and its splitting pattern."""
     def count(texts: list[str]) -> list[int]:
         encode = _encoding(path, pattern).encode_ordinary
-        return [sum(len(encode(part)) for part in _parts(t)) for t in texts]
+        return [sum(len(encode(part)) for part in parts(t)) for t in texts]
     return count
 
 
-def _parts(text: str, size: int = 100_000) -> Iterator[str]:
-    """A very long text in parts that end before a blank after a letter, where no token of the pattern goes across."""
+def parts(text: str, size: int = 100_000) -> Iterator[str]:
+    """A text in parts of at least ``size`` characters that end before a blank between letters, where no token of the pattern goes
+    across; the last part may be shorter."""
     at = 0
-    for m in re.finditer(r"(?<=[^\W\d_])(?= [^\W\d_])", text) if len(text) > size else ():
+    for m in re.finditer(r"(?<=[^\W\d_])(?= [^\W\d_])", text):
         if m.start() - at >= size:
             yield text[at : m.start()]
             at = m.start()
@@ -64,7 +69,7 @@ def count_tokens(docs: DataFrame, versions: dict[str, Counter], id_col: str = "d
     names = list(versions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             texts = [t or "" for t in batch.column(3).to_pylist()]
             for name in names:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * len(texts), pa.string()), pa.array(versions[name](texts), pa.int64())],
@@ -105,24 +110,65 @@ class RollupLog:
         return f"{self.path}/batch_id={batch_id}"
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._of(f"{self._folder(batch_id)}/_SUCCESS"))
+        return batch_id in self.batches()
+
+    def _put(self, folder: str, rows: DataFrame) -> bool:
+        """Write rows beside the log and move them in; whether this call's rows are the ones in the log."""
+        aside = self._of(f"{self.path}/_aside/{uuid.uuid4().hex}")
+        rows.write.parquet(aside.toString())
+        self._fs.mkdirs(self._of(self.path))
+        target = self._of(folder)
+        moved = not self._fs.exists(target) and self._fs.rename(aside, target)
+        # a rename onto a folder that came up in between puts the rows inside it, where nothing reads them
+        inside = self._of(f"{folder}/{aside.getName()}")
+        if moved and self._fs.exists(inside):
+            self._fs.delete(inside, True)
+            moved = False
+        if not moved:
+            self._fs.delete(aside, True)
+        return moved
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Apply a batch once; whether this call applied it."""
-        if self.committed(batch_id):
-            return False
-        _summed(deltas).write.mode("overwrite").parquet(self._folder(batch_id))
-        return True
+        folder = self._folder(batch_id)
+        return not self.committed(batch_id) and self._put(folder, _summed(deltas))
 
-    def batches(self) -> list[str]:
+    def _names(self, prefix: str) -> list[str]:
         if not self._fs.exists(self._of(self.path)):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._of(self.path))]
-        return sorted(n[len("batch_id=") :] for n in names if n.startswith("batch_id=") and self.committed(n[len("batch_id=") :]))
+        return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
+
+    def _compacted(self) -> tuple[str | None, list[str]]:
+        """The newest compaction and the batches that it stands for."""
+        found = self._names("compact=")
+        if not found:
+            return None, []
+        names = self.spark.read.schema("id string").json(f"{self.path}/compact={found[-1]}/batches")
+        return found[-1], [r.id for r in names.collect()]
+
+    def batches(self) -> list[str]:
+        return sorted({*self._names("batch_id="), *self._compacted()[1]})
+
+    def compact(self) -> None:
+        """Sum all batches so far into one file set; the batches' own folders are deleted afterwards, their ids stay committed."""
+        before, held = self._compacted()
+        own = self._names("batch_id=")
+        number = f"{int(before or 0) + 1:09d}"
+        aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
+        self.totals().coalesce(1).write.parquet(f"{aside}/totals")  # as few rows as the totals
+        self.spark.createDataFrame([(b,) for b in sorted({*own, *held})], "id string").coalesce(1).write.json(f"{aside}/batches")
+        if self._fs.exists(self._of(f"{self.path}/compact={number}")) or not self._fs.rename(self._of(aside), self._of(f"{self.path}/compact={number}")):
+            raise RuntimeError("another compaction came first")
+        for name in own:
+            self._fs.delete(self._of(self._folder(name)), True)
+        if before:
+            self._fs.delete(self._of(f"{self.path}/compact={before}"), True)
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, docs, tokens`` over all committed batches."""
         schema = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
-        found = self.batches()
-        rows = self.spark.read.schema(schema).parquet(*map(self._folder, found)) if found else self.spark.createDataFrame([], schema)
+        newest, held = self._compacted()
+        found = [self._folder(b) for b in self._names("batch_id=") if b not in held] + ([f"{self.path}/compact={newest}/totals"] if newest else [])
+        rows = self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
         return _summed(rows)

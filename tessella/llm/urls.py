@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, join_counted, materialize
 
 #: Host, path prefix, verdict; a rule holds for its host and all subdomains, the longest one wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 BLOCK_RATE = 0.4
 Z = 1.0
+#: Second-level labels under which country suffixes register domains.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
 
@@ -38,7 +40,9 @@ def path_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the last two labels, three where the last two are a public suffix of the form ``co.uk``."""
+    second = F.substring_index(F.substring_index(host, ".", -2), ".", 1)
+    return F.when(second.isin(*SECOND_LEVEL) & (F.length(suffix_of(host)) == 2), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
@@ -72,6 +76,7 @@ def prior_strength(children: DataFrame) -> float:
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """From ``host, bad`` rows: posteriors (``rate, bound``) by host, domain and suffix, and the overall ones."""
     hosts = outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("bad")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = materialize(hosts, "hosts")  # all levels, strengths and posteriors come from these counts
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -94,15 +99,18 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tu
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, rate, bound`` for every page. ``outcomes``: ``host, bad`` of labelled pages."""
-    url = F.col(url_col).cast("string")
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    url = pages[url_col].cast("string")
+    rows = pages.select(pages[id_col].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     hosts, domains, suffixes, (rate, bound) = reputation(outcomes)
     level = lambda df, keys, name: df.select(*keys, F.col("rate").alias(f"{name}_rate"), F.col("bound").alias(f"{name}_bound"))
     # one row per host: the pages are joined once, with a table of their distinct hosts
-    known = rows.select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    seen = rows.groupBy("host").agg(F.count("*").alias("_n"))
+    known = seen.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     known = known.join(level(hosts, ["host"], "h"), "host", "left").join(level(domains, ["domain", "suffix"], "d"), ["domain", "suffix"], "left").join(level(suffixes, ["suffix"], "s"), "suffix", "left")
-    known = known.select("host", F.coalesce("h_rate", "d_rate", "s_rate", F.lit(rate)).alias("rate"), F.coalesce("h_bound", "d_bound", "s_bound", F.lit(bound)).alias("bound"))
-    ruled = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)).join(known, "host")
+    known = known.select("host", F.coalesce("h_rate", "d_rate", "s_rate", F.lit(rate)).alias("rate"), F.coalesce("h_bound", "d_bound", "s_bound", F.lit(bound)).alias("bound"), "_n")
+    known = materialize(known, "known_hosts")
+    total = known.agg(F.sum("_n")).first()[0] or 0
+    ruled = join_counted(rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)), known, "host", total, F.xxhash64("page_id", "path"), "inner")
     learnt = F.when(F.col("bound") > block_rate, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), learnt).alias("verdict"), "rate", "bound")
 
@@ -116,18 +124,17 @@ def page_outcomes(pages: DataFrame, labels: DataFrame, url_col: str = "url") ->
 
 
 def filter_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The rows of ``pages`` whose verdict isn't ``block``, with all their columns. Rows without an id go by their url alone."""
-    url = F.col(url_col).cast("string")
-    allowed = judge(pages, outcomes, rules, block_rate, id_col, url_col).select("host", "path", "verdict").distinct().filter("verdict = 'allow'")
-    keyed = pages.withColumns({"_host": host_of(url), "_path": path_of(url)})
-    return keyed.join(allowed.select(F.col("host").alias("_host"), F.col("path").alias("_path")), ["_host", "_path"], "left_semi").select(*pages.columns)
+    """The rows of ``pages`` whose verdict isn't ``block``, with all their columns, of whatever name. Rows are judged by their url alone."""
+    row = F.struct(*[pages[c].alias(f"c{i}") for i, c in enumerate(pages.columns)])
+    judged = judge(pages.select(row.alias("row"), pages[url_col].cast("string").alias("url")), outcomes, rules, block_rate, "row", "url")
+    return judged.filter("verdict = 'allow'").select(*[F.col(f"page_id.c{i}").alias(c) for i, c in enumerate(pages.columns)])
 
 
 ORACLE = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-d AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE host END AS domain,
+d AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(list_slice(string_split(host, '.'), CASE WHEN length(string_split(host, '.')[-1]) = 2 AND string_split(host, '.')[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN -3 ELSE -2 END, -1), '.') ELSE host END AS domain,
       string_split(host, '.')[-1] AS suffix FROM p),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 o AS (SELECT host, domain, suffix, bad FROM d JOIN l ON l.doc_id = try_cast(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1) AS BIGINT)),

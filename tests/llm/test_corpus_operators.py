@@ -232,10 +232,16 @@ def test_rollups(spark, tmp_path):
     log.commit("c", token_rollup.revised(counts.filter("doc_id = 903"), after))
     total = {(r.source, r.lang): (r.docs, r.tokens) for r in log.totals().collect()}
     assert total[("b", None)] == (1, 7) and total[("b", "x")] == (1, 0) and log.batches() == ["a", "b", "c"]
-    (tmp_path / "log/batch_id=c/_SUCCESS").unlink()  # a batch whose driver was lost
-    assert log.batches() == ["a", "b"]
+    before = sorted(log.totals().collect(), key=str)
+    log.compact()
+    assert sorted(log.totals().collect(), key=str) == before and log.batches() == ["a", "b", "c"] and not log.commit("b", token_rollup.deleted(counts))
+    assert log.commit("d", token_rollup.inserted(counts)) and sum(r.docs for r in log.totals().collect()) == sum(r.docs for r in before) + len(AWKWARD)
+    before = sorted(log.totals().collect(), key=str)
+    log.compact()
+    assert sorted(log.totals().collect(), key=str) == before and log.batches() == ["a", "b", "c", "d"]
     with pytest.raises(ValueError):
         log.commit("../x", counts)
+    assert token_rollup.count_tokens(table(spark, []), versions).count() == 0
 
 
 def test_text_parts_keep_counts():
@@ -243,7 +249,8 @@ def test_text_parts_keep_counts():
     count = token_rollup.rank_file_counter(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     text = "some words, and more of them 12 34. " * 6000
     whole = token_rollup._encoding(public.path("byte_bpe_50k.tiktoken"), public.PATTERN).encode_ordinary(text)
-    assert count([text, ""]) == [len(whole), 0] and len(list(token_rollup._parts(text))) > 1
+    assert count([text, ""]) == [len(whole), 0] and len(list(token_rollup.parts(text))) > 1
+    assert [len(list(token_rollup.parts(t))) for t in ("", "a b", text)][:2] == [1, 1] and "".join(token_rollup.parts(text)) == text
 
 
 # ---- op5 ----
@@ -257,7 +264,24 @@ def test_urls(spark):
     assert got[(9, "q.example.com")] == ("/en/", None, "allow") and got[(10, "bad.host")] == ("/1", None, "block") and len(got) == len(rows)
     nothing = spark.createDataFrame([], "host string, bad int")
     assert {r.verdict for r in urls.judge(spark.createDataFrame(rows[8:], "page_id bigint, url string"), nothing).collect()} == {"allow", "block"}
-    assert urls.filter_pages(spark.createDataFrame(rows, "page_id bigint, url string"), outcomes).filter("page_id IN (2, 6, 10)").count() == 0
+    clash = spark.createDataFrame(rows, "page_id bigint, url string").withColumns({c: F.lit(c) for c in ("_host", "_path", "host", "path", "verdict", "row", "_n", "_salt")})
+    kept = urls.filter_pages(clash, outcomes)
+    assert kept.columns == clash.columns and kept.filter("page_id IN (2, 6, 10) OR _host <> '_host' OR verdict <> 'verdict'").count() == 0 and kept.count() == 7
+    assert urls.filter_pages(clash.limit(0), outcomes).count() == 0 and urls.judge(clash.select("page_id", "url").limit(0), nothing).count() == 0
+
+
+def test_registered_domains(spark):
+    hosts = ["a.example.com", "example.com", "www.bbc.co.uk", "co.uk", "x.y.ac.jp", "localhost", "", "a.com.example"]
+    got = [r.d for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(urls.domain_of(F.col("h")).alias("d")).collect()]
+    assert got == ["example.com", "example.com", "bbc.co.uk", "co.uk", "y.ac.jp", "localhost", "", "com.example"]
+
+
+def test_reputation_blocks_by_host_and_domain(spark):
+    """The method decides, not the rules: bad hosts go, their siblings without pages follow the domain, rare hosts are shrunk."""
+    outcomes = [(f"h{i}.bad.example", 1) for i in range(6) for _ in range(30)] + [(f"h{i}.good.example", int(k == 0)) for i in range(20) for k in range(30)] + [("rare.good.example", 1)]
+    pages = spark.createDataFrame([(1, "http://h1.bad.example/x"), (2, "http://new.bad.example/"), (3, "http://h1.good.example/x"), (4, "http://rare.good.example/"), (5, "http://elsewhere.example/")], "page_id bigint, url string")
+    got = {r.page_id: (r.verdict, r.rule) for r in urls.judge(pages, spark.createDataFrame(outcomes, "host string, bad int")).collect()}
+    assert got == {1: ("block", None), 2: ("block", None), 3: ("allow", None), 4: ("allow", None), 5: ("allow", None)}
 
 
 # ---- op6 ----
