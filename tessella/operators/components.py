@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import drop_table, materialize
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -13,14 +13,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Every round each node points to its smallest neighbour or itself, pointers are followed once more, and edges move to
     where their ends point; the loop ends when no edge joins two components. Rounds grow with the logarithm of the size."""
-    label = materialize(nodes.select("node", F.col("node").alias("component")).distinct(), "labels")
     rest = materialize(edges.select("a", "b").filter("a <> b").distinct(), "links")
+    label = materialize(nodes.select("node", F.col("node").alias("component")).distinct(), "labels")
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
         to = to.join(to.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p"))
         to = materialize(to, "pointers")
         move = lambda c: to.select(F.col("a").alias(c), F.col("p").alias(f"{c}_p"))
-        rest = materialize(rest.join(move("a"), "a").join(move("b"), "b").select(F.least("a_p", "b_p").alias("a"), F.greatest("a_p", "b_p").alias("b")).filter("a <> b").distinct(), "links")
-        label = materialize(label.join(to.select(F.col("a").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        after = materialize(rest.join(move("a"), "a").join(move("b"), "b").select(F.least("a_p", "b_p").alias("a"), F.greatest("a_p", "b_p").alias("b")).filter("a <> b").distinct(), "links")
+        new = materialize(label.join(to.select(F.col("a").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        for old in (rest, to, label):
+            drop_table(old)
+        rest, label = after, new
+    drop_table(rest)
     return label
