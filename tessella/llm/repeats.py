@@ -10,7 +10,7 @@ factor reaches ``length``. With ``keep_first`` the windows with an earlier match
 No array covers more than about ``ARRAY_BYTES``. A gram with more than ``GROUP_RUNS`` runs (a passage in a third of all
 documents) is taken apart by the bytes around it: equal runs are counted as one, the windows of what is left are dealt
 out by their place relative to the gram, ``WIDTHS`` of them at a time, and meet by all bytes that such neighbours share. Each
-of the smaller groups goes through the same factor arrays, or is taken apart once more, down to single windows.
+of the smaller groups goes through the same factor arrays, or is taken apart again, down to single windows.
 Texts travel compressed. Equal texts (by MD5) are one unit, so copies add no work beyond the first passes.
 
 Defined cases: null is the empty text; texts shorter than ``length`` lose nothing; repeated rows are copies of each
@@ -38,8 +38,8 @@ LENGTH, GRAM = 200, 32
 GROUP_RUNS = 2000
 #: Bytes of distinct runs under one suffix array; its rows are at most an eightieth of that.
 ARRAY_BYTES = 800_000
-#: Neighbouring windows that stay together when a frequent gram's runs are taken apart, and once more.
-WIDTHS = (13, 1)
+#: Neighbouring windows that stay together when a frequent gram's runs are taken apart, and again and again.
+WIDTHS = (43, 11, 3, 1)
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -306,12 +306,11 @@ def _take_apart(length: int, width: int, gram: int = GRAM):
     return run
 
 
-def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes: int, used: list[DataFrame], widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``unit, run, a, b`` as ``_solved`` for grams of any frequency. ``members``: ``key, content, rep, unit, s`` (first window)
-    and ``run`` (the run that the windows come from)."""
-    place = F.struct("rep", "unit", "s")
+    and ``run`` (the run that the windows come from); ``used`` takes the tables to delete afterwards."""
     digests = {"c1": F.xxhash64("content"), "c2": F.unhex(F.md5("content"))}
-    runs = materialize(members.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(place).alias("first")), "frequent_runs")
+    runs = materialize(members.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(F.struct("rep", "unit", "s", "run")).alias("first")), "frequent_runs")
     sizes = runs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")).filter("n > 1")
     met = runs.select("key", "content", "first.rep", "first.unit", "first.s").join(sizes, "key")
     fits = F.col("bytes") <= array_bytes
@@ -321,17 +320,22 @@ def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes
         if not many.isEmpty():
             rep_type = many.schema["rep"].dataType.simpleString()
             pieces = many.mapInArrow(_take_apart(length, widths[0]), f"key bigint, content binary, rep {rep_type}, unit binary, s int, run int")
-            found = found.unionByName(_solved_apart(materialize(pieces, "frequent_pieces"), length, keep_first, array_bytes, widths[1:]))
-    ranges = F.flatten(F.collect_list(F.arrays_zip("a", "b")))  # of one run
-    flags = found.groupBy("unit", "run").agg(ranges.alias("flags")).withColumn("flags", F.transform("flags", lambda x: F.struct((x.getField("a") - F.col("run")).alias("a"), (x.getField("b") - F.col("run")).alias("b"))))
-    firsts = runs.withColumns(digests).select("key", "c1", "c2", "times", "first", F.col("first.unit").alias("unit"), F.col("first.s").alias("run"), (F.octet_length("content") - length + 1).alias("n"))
-    known = materialize(firsts.join(flags, ["unit", "run"], "left").filter("times > 1 OR flags IS NOT NULL").drop("unit", "run"), "frequent_flags")
-    drop_table(runs)
-    joined = members.withColumns(digests).drop("content").join(known, ["key", "c1", "c2"])  # two tables: the runs of a frequent one are split among tasks
-    whole = (F.col("times") > 1) & ((place != F.col("first")) if keep_first else F.lit(True))
-    spans = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("flags"))
-    joined = joined.select("unit", "run", "s", spans.alias("x")).filter("x IS NOT NULL")
-    return joined.select("unit", "run", F.transform("x.a", lambda v: v + F.col("s")).alias("a"), F.transform("x.b", lambda v: v + F.col("s")).alias("b"))
+            pieces = materialize(pieces, "frequent_pieces")
+            used.append(pieces)
+            found = found.unionByName(_solved_apart(pieces, length, keep_first, array_bytes, used, widths[1:]))
+        used.append(many)
+    used.append(runs)
+    # runs that occur once, and with keep_first the first ones, lose what matches other runs
+    own = runs.filter(F.lit(True) if keep_first else F.col("times") == 1).select("first.unit", F.col("first.s").alias("run"), F.col("first.run").alias("_run"))
+    firsts = found.join(own, ["unit", "run"]).select("unit", F.col("_run").alias("run"), "a", "b")
+    # the others go whole; two tables meet: the runs of a frequent one are split among tasks
+    several = materialize(runs.filter("times > 1").select("key", "content", "first").withColumns(digests).drop("content"), "frequent_copies")
+    used.append(several)
+    n = F.octet_length("content") - length + 1
+    copies = members.withColumns(digests | {"n": n}).drop("content").join(several, ["key", "c1", "c2"])
+    if keep_first:
+        copies = copies.filter(F.struct("rep", "unit", "s", "run") != F.col("first"))
+    return firsts.unionByName(copies.select("unit", "run", F.array("s").alias("a"), F.array(F.col("s") + F.col("n")).alias("b")))
 
 
 RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -355,10 +359,12 @@ def _find(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col:
     drop_table(wanted)
     found = _solved(members.filter(~F.col("wide")), length, keep_first, array_bytes)
     frequent = members.filter("wide").select("key", "content", "rep", "unit", F.explode("starts").alias("s")).withColumn("run", F.col("s"))
+    used = [members]
     if not frequent.isEmpty():
-        found = found.unionByName(_solved_apart(frequent, length, keep_first, array_bytes))
+        found = found.unionByName(_solved_apart(frequent, length, keep_first, array_bytes, used))
     spans = materialize(found.groupBy("unit").agg(F.flatten(F.collect_list(F.arrays_zip("a", "b"))).alias("windows")), "windows")  # a text's spans
-    drop_table(members)
+    for table in used:
+        drop_table(table)
 
     columns = [f"k_{i}" for i in range(len(keep))]
     rest = units.join(copies, "unit").join(spans, "unit", "left")
