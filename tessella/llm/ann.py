@@ -1,11 +1,11 @@
 """Approximate nearest neighbours with robust-pruned directed graphs, one per shard.
 
-Vectors are dealt by a hash of their id into shards of about ``SHARD`` rows, so that shards grow in number and not in
-size. Each shard gets its graph: from a start near the shard's centre, a greedy beam search for every vector proposes
+Vectors are dealt by a hash of their id into shards whose size grows with the square root of their number, from
+``SHARD`` to ``MOST`` rows. Each shard gets its graph: from a start near the shard's centre, a greedy beam search for every vector proposes
 neighbours among those it visits; relaxed distance pruning (a candidate goes if an already chosen neighbour is nearer
 to it by the factor ``ALPHA``) keeps few edges in many directions; reverse edges are added and pruned alike. Beam
-search then answers all queries in every shard, and the shards' best are merged, with distances computed again in
-double precision on the original vectors.
+search then answers all queries in every shard, where distances are computed again in double precision on the original
+vectors; the best ``k + 1`` of each shard are merged in two steps.
 
 Graphs are rows (``shard, ids, vectors, edges``), so an index can be stored and read again. A group never holds more
 than a shard; queries reach the shards in blocks of ``QUERY_BLOCK`` rows.
@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARD, DEGREE, BEAM, ALPHA = 4000, 40, 64, 1.2
+#: Rows of the largest shard, and rows of a shard for each square root of a row.
+MOST, GROWTH = 100_000, 16
+#: Groups in which a query's answers from all shards are merged first.
+MERGES = 64
 SEARCH_BEAM, QUERY_BLOCK, BUILD_BLOCK = 100, 1024, 512
 
 
@@ -153,49 +157,58 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def build(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
-    """The index of ``usable`` vectors: a row per shard (``shard, ids, vectors, edges, start``)."""
-    shards = max(1, math.ceil(vectors.count() / shard))
+    """The index of ``usable`` vectors: a row per shard (``shard, ids, vectors, edges, start``); ``shard``: its rows at least."""
+    n = vectors.count()
+    shards = max(1, math.ceil(n / min(max(shard, int(GROWTH * n**0.5)), max(shard, MOST))))
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        base = np.array(pdf["v"].tolist(), np.float32)
-        scale = np.abs(base).max()  # distances stay within single precision
-        edges, start = build_graph(base / scale if np.isfinite(scale) and scale > 0 else base, degree, beam, alpha)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["id"].to_numpy()], "vectors": [base.ravel()], "edges": [edges.ravel().astype(np.int32)], "start": [start]})
+        exact = np.array(pdf["v"].tolist(), np.float64)
+        edges, start = build_graph(_scaled(exact)[0], degree, beam, alpha)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["id"].to_numpy()], "vectors": [exact.ravel()], "edges": [edges.ravel().astype(np.int32)], "start": [start]})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(graph, "shard int, ids array<bigint>, vectors array<float>, edges array<int>, start int")
+    return dealt.groupBy("shard").applyInPandas(graph, "shard int, ids array<bigint>, vectors array<double>, edges array<int>, start int")
 
 
-def search(index: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
-    """``query_id, vec_id, score`` of at least the ``k + 1`` nearest indexed rows that each shard finds for every row of
-    ``queries`` (``id, v``), with double-precision distances to ``vectors`` (``id, v``)."""
+def _scaled(exact: np.ndarray, query: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Single-precision copies in which distances neither overflow nor vanish."""
+    scale = np.abs(exact).max(initial=0.0)
+    scale = scale if np.isfinite(scale) and scale > 0 else 1.0
+    return (exact / scale).astype(np.float32), None if query is None else (query / scale).astype(np.float32)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
+    """``query_id, vec_id, score, shard``: the ``k + 1`` nearest indexed rows that each shard finds for every row of ``queries``
+    (``id, v``), with distances in double precision."""
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     blocked = queries.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v").groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    blocked = blocked.select("block", F.col("queries.id").alias("own"), F.flatten("queries.v").alias("asked"))
     # each shard meets each block of queries: every query asks every shard, as the method has it
     shards = index.agg(F.max("shard").alias("n")).first().n
     asked = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(0 if shards is None else shards))))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.array(row["ids"])
-                base = np.array(row["vectors"], np.float32).reshape(len(ids), -1)
-                edges = np.array(row["edges"], np.int64).reshape(len(ids) + 1, -1)
-                own = np.array([q["id"] for q in row["queries"]])
-                query = np.array([q["v"] for q in row["queries"]], np.float32)
-                scale = np.abs(base).max()
-                base, query = base / scale, query / scale
-                for at in range(0, len(query), 256):
-                    found, _ = beam_search(base, edges, row["start"], query[at : at + 256], max(beam, 2 * k + 2))
+            for i in range(batch.num_rows):
+                own, flat, ids, vectors, edges = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(5))
+                start, number = batch.column(5)[i].as_py(), batch.column(6)[i].as_py()
+                exact, query = vectors.reshape(len(ids), -1), flat.reshape(len(own), -1)
+                edges = edges.astype(np.int64).reshape(len(ids) + 1, -1)
+                base, near = _scaled(exact, query)
+                for at in range(0, len(own), 256):
+                    found, _ = beam_search(base, edges, start, near[at : at + 256], max(beam, 2 * k + 2))
                     found = found[:, : 2 * k + 2]  # more than k + 1, as single precision may swap neighbours
-                    some = found >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[at : at + 256], some.sum(1))), pa.array(ids[found[some]])], ["query_id", "vec_id"])
+                    difference = exact[np.maximum(found, 0)] - query[at : at + 256, None, :]
+                    score = np.where(found >= 0, np.sqrt(np.einsum("qcd,qcd->qc", difference, difference)), np.inf)
+                    vec = np.where(found >= 0, ids[np.maximum(found, 0)], np.iinfo(np.int64).max)
+                    best = np.lexsort([vec, score])[:, : k + 1]
+                    score, vec = np.take_along_axis(score, best, 1), np.take_along_axis(vec, best, 1)
+                    some = np.isfinite(score)
+                    asking = np.repeat(own[at : at + 256], some.sum(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(asking), pa.array(vec[some]), pa.array(score[some]), pa.array(np.full(len(asking), number, np.int32))], ["query_id", "vec_id", "score", "shard"])
 
-    found = asked.join(index, "shard").select("queries", "ids", "vectors", "edges", "start").mapInArrow(answer, "query_id bigint, vec_id bigint")
-    distance = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    return (found.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(vectors.select(F.col("id").alias("vec_id"), "v"), "vec_id")
-            .select("query_id", "vec_id", distance.alias("score")))
+    return asked.join(index, "shard").select("own", "asked", "ids", "vectors", "edges", "start", "shard").mapInArrow(answer, "query_id bigint, vec_id bigint, score double, shard int")
 
 
 def _smallest(members: DataFrame, most: int, salts: int = 64) -> DataFrame:
@@ -216,8 +229,12 @@ def nearest(vectors: DataFrame, queries, k: int = 10, shard: int = SHARD, id_col
     rows = rows.filter(F.col("_n") == (lengths[0]["_n"] if lengths else 0)).drop("_n")
     distinct = materialize(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct_vectors")
     index = materialize(build(distinct.select("id", "v"), shard), "graphs")
-    found = search(index, rows.filter(queries(F.col("id"))), distinct, k)
+    found = search(index, rows.filter(queries(F.col("id"))), k)
+    best_of = lambda df, most, *keys: df.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, most).alias("best"))
+    few = best_of(found, k + 1, "query_id", F.pmod("shard", F.lit(MERGES)).alias("merge"))  # each merge sees its share of the shards
+    found = few.select("query_id", F.explode("best").alias("x")).select("query_id", "x.*")
+    found = best_of(found, k + 1, "query_id").select("query_id", F.explode("best").alias("x")).select("query_id", "x.*")
     members = rows.join(distinct.filter("n > 1").select("v", F.col("id").alias("vec_id")), "v").select("vec_id", F.col("id").alias("member"))
-    exact = found.join(_smallest(members, k + 1), "vec_id", "left").select("query_id", F.coalesce("member", "vec_id").alias("vec_id"), "score").filter("query_id <> vec_id")
-    best = exact.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))  # a few k a shard
+    every = found.join(_smallest(members, k + 1), "vec_id", "left").select("query_id", F.coalesce("member", "vec_id").alias("vec_id"), "score").filter("query_id <> vec_id")
+    best = best_of(every, k, "query_id")  # k + 1 vectors with k + 1 rows each at most
     return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -334,6 +334,8 @@ def test_neighbours(spark):
         assert all(abs(s - d[v]) < 1e-9 for v, s in near) and near == sorted(near, key=lambda p: (p[1], p[0]))
     assert hit / (10 * len(found)) >= 0.95
     assert [v for v, _ in found[0]] == list(range(50, 60))
+    clash = spark.createDataFrame(rows[:100], "vec_id bigint, embedding array<float>").withColumns({c: F.lit(1) for c in ("id", "v", "n", "shard", "score")})
+    assert ann.nearest(clash, lambda i: i == 0, k=3).select("vec_id").collect() == [(50,), (51,), (52,)]
     few = ann.nearest(spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<float>"), lambda i: i == 0).collect()
     assert len(few) == 2
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), lambda i: i == 0).count() == 0
