@@ -102,6 +102,19 @@ def segment_length(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return 2 * EARTH_RADIUS_M * LENGTH_FACTOR * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def compensated_sum(values: Column) -> Column:
+    """Sum of an array of doubles in its order with the lost low bits added at the end (Neumaier)."""
+    def add(state: Column, x: Column) -> Column:
+        s, c = state.getField("s"), state.getField("c")
+        lost = F.when(F.abs(s) >= F.abs(x), (s - (s + x)) + x).otherwise((x - (s + x)) + s)
+        return F.struct((s + x).alias("s"), (c + lost).alias("c"))
+    return F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), add, lambda state: state.getField("s") + state.getField("c"))
+
+
+def compensated_mean(values: Column) -> Column:
+    return compensated_sum(values) / F.when(F.size(values) > 0, F.size(values))
+
+
 def heading(dx: Column, dy: Column, y: Column) -> Column:
     """Direction in degrees counter-clockwise from east, x scaled by the latitude's cosine."""
     return F.degrees(F.atan2(-dy, dx * F.cos(F.radians(to_lat(y)))))

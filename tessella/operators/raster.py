@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TILE_SCHEMA = "tile_row long, tile_col long, z array<double>"
@@ -130,6 +130,55 @@ def pyramid(tiles: DataFrame, side: int) -> DataFrame:
     return four.mapInPandas(join, TILE_SCHEMA)
 
 
+def pyramid_levels(tiles: DataFrame, side: int, levels: int = 3) -> DataFrame:
+    """``level, tile_row, tile_col, z``: the tiles (level 0) and ``levels`` halvings; a parent exists if any of its children does."""
+    out, now = tiles.select(F.lit(0).alias("level"), F.col("tile_row").cast("long"), F.col("tile_col").cast("long"), F.col("z").cast("array<double>")), tiles
+    for level in range(1, levels + 1):
+        now = pyramid(now, side)
+        out = out.unionByName(now.select(F.lit(level).alias("level"), "tile_row", "tile_col", "z"))
+    return out
+
+
+def crop_cells(tiles: DataFrame, side: int, cell: int, land: float = 0.5) -> DataFrame:
+    """``tile_row, tile_col, row, col, z``: tiles cut into squares of ``cell`` pixels; those without a value above ``land`` are left out."""
+    n = side // cell
+    pixel = lambda row, col: F.transform(F.sequence(F.lit(0), F.lit(cell * cell - 1)), lambda i: F.get("z", ((row * cell + F.floor(i / cell)) * side + col * cell + i % cell).cast("int")))
+    cells = tiles.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return cells.select("tile_row", "tile_col", "row", "col", pixel(F.col("row"), F.col("col")).alias("z")).filter(F.array_max("z") > land)
+
+
+def rasterise(rings: DataFrame, pixel: float) -> DataFrame:
+    """``row, col, ink``: pixels (of ``pixel`` units) whose centre lies in a ring (``paint, ink, points``), with the ink of the ring painted
+    last, in the order of ``paint`` (any column that sorts). A hole is a ring of its own, painted after its outer ring in what shows through.
+    Rings whose box is smaller than a pixel are left out.
+
+    No tile is gathered: each ring gives the pixels between every second pair of crossings of a row's centre line, and the
+    last paint of a pixel is an aggregate with partial sums."""
+    x, y = F.transform("points", lambda p: p.getField("x")), F.transform("points", lambda p: p.getField("y"))
+    large = rings.filter((F.array_max(x) - F.array_min(x) >= pixel) | (F.array_max(y) - F.array_min(y) >= pixel)).withColumn("_ring", F.monotonically_increasing_id())
+    closed = F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1)).alias("q"))
+    e = large.select("_ring", "paint", "ink", F.explode(closed).alias("e")).select("_ring", "paint", "ink", F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
+    line = lambda v: F.ceil(v / pixel - 0.5).cast("long")  # noqa: E731  the first row or column with its centre at or after a place
+    first, last = line(F.least("y0", "y1")), line(F.greatest("y0", "y1")) - 1
+    crossed = e.filter(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    crossed = crossed.withColumn("x", F.col("x0") + ((F.col("row") + 0.5) * pixel - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))
+    w = Window.partitionBy("_ring", "row").orderBy("x")
+    gaps = crossed.withColumns({"n": F.row_number().over(w), "to": F.lead("x").over(w)}).filter("n % 2 = 1 AND to IS NOT NULL")
+    inside = gaps.filter(line(F.col("x")) < line(F.col("to"))).select("row", F.explode(F.sequence(line(F.col("x")), line(F.col("to")) - 1)).alias("col"), "paint", "ink")
+    return inside.groupBy("row", "col").agg(F.max_by("ink", "paint").alias("ink"))
+
+
+def write_grid(tiles: DataFrame, path: str) -> None:
+    """A stored height grid: rows by tile, near ones in one file, so that a box reads few files."""
+    tiles.repartitionByRange("tile_row", "tile_col").sortWithinPartitions("tile_row", "tile_col").write.mode("overwrite").parquet(path)
+
+
+def read_grid(spark: SparkSession, path: str, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The tiles of a stored grid, or those in ``box`` (first and last tile row, first and last tile column)."""
+    rows = spark.read.parquet(path)
+    return rows if box is None else rows.filter(F.col("tile_row").between(*box[:2]) & F.col("tile_col").between(*box[2:]))
+
+
 def bilinear(points: DataFrame, tiles: DataFrame, side: int, rows: int, cols: int, key: str = "id") -> DataFrame:
     """``key, z`` for points at positions ``r, c`` of a grid of ``rows`` by ``cols`` pixels: the four pixels around each, wherever
     their tiles are; absent ones are zero, positions on the last row or column are held just inside, points off the grid are zero."""

@@ -277,3 +277,11 @@ def seamark_codes(spark, sf_dir):
     kind = F.lit("buoy_lateral")
     b = b.withColumn("tags", tags).withColumn("ls", seamarks.lights(F.col("tags")))
     return b.select("id", seamarks.category(kind, F.col("tags")).alias("category"), seamarks.body_colour(kind, F.col("tags")).alias("colour_bits"), seamarks.light_string(F.col("ls")).alias("light"))
+
+
+@query("SELECT user_id, round(fsum(value * 1e6 + event_id), 3) AS total, round(fsum(value * 1e6 + event_id) / count(*), 6) AS mean FROM events GROUP BY user_id")
+def compensated_sums(spark, sf_dir):
+    """TXT12: compensated sums and means in a fixed order."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.struct("event_id", (F.col("value") * 1e6 + F.col("event_id")).alias("v")).alias("x"))
+    listed = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.getField("v")).alias("vs"))
+    return listed.select("user_id", F.round(grid.compensated_sum(F.col("vs")), 3).alias("total"), F.round(grid.compensated_mean(F.col("vs")), 6).alias("mean"))

@@ -179,7 +179,8 @@ def piece_end_numbers(spark, sf_dir):
 
 @query()
 def overview_lines(spark, sf_dir):
-    """ASM10: roads chained through nodes of degree two and simplified, one task per chain."""
-    e = roads.edge_measures(segments(spark, sf_dir))
-    pts = segments(spark, sf_dir).select("node", F.col("x"), F.col("y")).distinct()
-    return lines.simplified_chains(e.select("way", "edge", "a", "b"), pts, 512.0)
+    """ASM10: roads of the classes 0 to 3, class by class, chained through nodes of degree two and simplified."""
+    s = segments(spark, sf_dir)
+    ways = tagged_ways(spark, sf_dir).select("way", rules.road_class(F.col("tags")).alias("class")).filter("class BETWEEN 0 AND 3")
+    e = roads.edge_measures(s).join(ways, "way")
+    return lines.simplified_chains(e.select("way", "edge", "class", "a", "b"), s.select("node", "x", "y").distinct(), 512.0)

@@ -146,6 +146,42 @@ def pyramid_tiles(spark, sf_dir):
     return p.withColumns({"a": F.floor(F.col("i") / 32).cast("long"), "b": F.floor(F.col("i") % 8 / 4).cast("long")}).join(there, ["tile_row", "tile_col", "a", "b"], "left_semi").select("tile_row", "tile_col", "i", "v")
 
 
+@query(TILES + """, l AS (SELECT unnest(range(1, 4)) AS level), q AS (SELECT level, CAST(pow(2, level) AS BIGINT) AS f, r, c, z FROM px, l)
+SELECT CAST(level AS INTEGER) AS level, r // f // 8 AS tile_row, c // f // 8 AS tile_col, CAST((r // f) % 8 * 8 + (c // f) % 8 AS INTEGER) AS i, round(sum(z) / (f * f), 5) AS v FROM q GROUP BY level, f, r // f, c // f""")
+def pyramid_levels(spark, sf_dir):
+    """RAS8: three halvings (pixels without any child are left out on both sides)."""
+    t = tiles(spark, sf_dir)
+    p = raster.pyramid_levels(t, 8).filter("level > 0").select("level", "tile_row", "tile_col", F.posexplode("z").alias("i", "v"))
+    p = p.withColumns({"r": F.col("tile_row") * 8 + F.floor(F.col("i") / 8), "c": F.col("tile_col") * 8 + F.col("i") % 8})
+    source = t.select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("level"), "tile_row", "tile_col").withColumn("n", F.expr("shiftright(8, level)"))
+    span = lambda c: F.sequence(F.col(c) * F.col("n"), F.col(c) * F.col("n") + F.col("n") - 1)
+    there = source.withColumn("r", F.explode(span("tile_row"))).withColumn("c", F.explode(span("tile_col"))).select("level", "r", "c").distinct()
+    return p.join(there, ["level", "r", "c"], "left_semi").select("level", "tile_row", "tile_col", "i", F.round("v", 5).alias("v"))
+
+
+@query(TILES + """ SELECT r // 8 AS tile_row, c // 8 AS tile_col, CAST(r % 8 // 4 AS INTEGER) AS "row", CAST(c % 8 // 4 AS INTEGER) AS col, round(max(z), 5) AS top, round(sum(z * ((r % 4) * 4 + c % 4 + 1)), 4) AS weighted FROM px GROUP BY ALL HAVING max(z) > 0.5""")
+def cropped_cells(spark, sf_dir):
+    """RAS9, AGG19: tiles cut into cells of four by four pixels, those without land left out."""
+    cells = raster.crop_cells(tiles(spark, sf_dir), 8, 4)
+    weighted = F.aggregate(F.transform("z", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return cells.select("tile_row", "tile_col", "row", "col", F.round(F.array_max("z"), 5).alias("top"), F.round(weighted, 4).alias("weighted"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 9 AS cls, 37 * (c_custkey % 50) + c_custkey * 7 % 90 AS x, 41 * (c_custkey // 50) + c_custkey * 11 % 70 AS y, c_custkey % 80 AS side FROM customer),
+r AS (SELECT cls, k, 0 AS hole, cls + 2 AS ink, x AS x0, y AS y0, x + side AS x1, y + side AS y1 FROM c UNION ALL SELECT cls, k, 1, 1, x + 10, y + 10, x + 35, y + 35 FROM c WHERE side >= 50),
+p AS (SELECT *, unnest(range(CAST(ceil(y0 / 10.0 - 0.5) AS BIGINT), CAST(ceil(y1 / 10.0 - 0.5) AS BIGINT))) AS "row" FROM r WHERE x1 - x0 >= 10 OR y1 - y0 >= 10), q AS (SELECT *, unnest(range(CAST(ceil(x0 / 10.0 - 0.5) AS BIGINT), CAST(ceil(x1 / 10.0 - 0.5) AS BIGINT))) AS col FROM p)
+SELECT "row", col, CAST(arg_max(ink, (cls, k, hole)) AS INTEGER) AS ink FROM q GROUP BY "row", col""")
+def painted_cover(spark, sf_dir):
+    """RAS6, FLT9: overlapping squares painted in the order of their class, their holes painted back in land."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("k"), (k % 9).cast("int").alias("cls"), (37 * (k % 50) + k * 7 % 90).alias("x"), (41 * F.floor(k / 50) + k * 11 % 70).alias("y"), (k % 80).alias("side"))
+    square = lambda d, n: F.array(*[F.struct((F.col("x") + d + a * n).cast("double").alias("x"), (F.col("y") + d + b * n).cast("double").alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    paint = lambda hole: F.struct("cls", "k", F.lit(hole).alias("hole")).alias("paint")
+    outer = c.select(paint(0), (F.col("cls") + 2).alias("ink"), square(0, F.col("side")).alias("points"))
+    holes = c.filter("side >= 50").select(paint(1), F.lit(1).alias("ink"), square(10, 25).alias("points"))
+    return raster.rasterise(outer.unionByName(holes), 10.0)
+
+
 @query(ctes("v_tile") + " SELECT tile_row, tile_col, CAST(i AS INTEGER) AS i, round(greatest(CAST(z[(i // 4) * 2 * 8 + (i % 4) * 2 + 1] AS DOUBLE), 0), 5) AS v FROM v_tile, LATERAL (SELECT unnest(range(0, 16)) AS i)")
 def resampled_tiles(spark, sf_dir):
     """RAS1: nearest-index resample, negatives to zero."""

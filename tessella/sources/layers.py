@@ -53,6 +53,21 @@ def dump(objects: DataFrame, columns: list[str]) -> DataFrame:
     return objects.select(F.concat_ws("\t", *clean).alias("line"))
 
 
+def write_dump(objects: DataFrame, columns: list[str], path: str) -> None:
+    """The canonical dump: all lines of ``dump``, sorted over all files, so that two builds can be compared line by line."""
+    dump(objects, columns).orderBy("line").write.mode("overwrite").text(path)
+
+
+def canonical_order(objects: DataFrame, tags: list[str]) -> DataFrame:
+    """Objects (``x, y`` and tag columns) in their canonical order: by position, then by tags, an absent tag before all others."""
+    return objects.orderBy("x", "y", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tags])
+
+
+def append_report(report: DataFrame, path: str) -> None:
+    """Add rows (``region, status``) to the report of runs that ``work_list`` reads."""
+    report.write.mode("append").parquet(path)
+
+
 def work_list(regions: DataFrame, report: DataFrame, largest: int) -> DataFrame:
     """Regions (``region, size``) not yet built (``region, status``) and not too large."""
     return regions.join(report.filter("status = 'ok'").select("region").distinct(), "region", "left_anti").filter(F.col("size") <= largest)

@@ -10,7 +10,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -144,10 +144,12 @@ class EntitySource(DataSource):
         return EntityReader(self.options["path"])
 
 
-def ingest(spark: SparkSession, path: str, out: str) -> None:
-    """Write ``nodes``, ``ways`` and ``relations`` as Parquet, with the most used keys as columns for pushdown."""
+def ingest(spark: SparkSession, path: str, out: str, keep: Column | None = None) -> None:
+    """Write ``nodes``, ``ways`` and ``relations`` as Parquet, with the most used keys as columns for pushdown; ``keep``: a condition on
+    ``kind`` and ``tags`` that ways and relations have to meet (nodes stay, as ways need them)."""
     spark.dataSource.register(EntitySource)
     rows = spark.read.format("osmpbf").load(path)
+    rows = rows if keep is None else rows.filter((F.col("kind") == "n") | F.coalesce(keep, F.lit(False)))
     for key in ("highway", "name", "place", "landuse", "natural", "amenity", "shop"):
         rows = rows.withColumn(key, F.try_element_at("tags", F.lit(key)))
     rows.repartition("kind", F.pmod(F.xxhash64("id"), F.lit(64))).write.partitionBy("kind").parquet(out)

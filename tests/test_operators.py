@@ -193,6 +193,82 @@ def test_quantisation(spark):
     assert np.allclose([(v / q.a0 + q.a1) / 6 - 1000 for v in q.v], z, atol=1 / 6 / q.a0)
 
 
+def test_compensated_sum(spark):
+    rng = np.random.default_rng(3)
+    values = [1e16, 1.0, -1e16, *(rng.normal(size=200) * 10.0 ** rng.integers(-8, 9, 200)).tolist()]
+    got = spark.createDataFrame([(values,), ([],)], "v array<double>").select(grid.compensated_sum(F.col("v")).alias("s"), grid.compensated_mean(F.col("v")).alias("m")).collect()
+    assert got[0].s == sum(values) and got[0].m == sum(values) / len(values) and got[1].s == 0 and got[1].m is None  # sum() compensates alike
+
+
+def test_rasterise_star_and_grid(spark, tmp_path):
+    """A self-crossing ring by the even-odd rule at pixel centres, and a small one left out; stored tiles read by box."""
+    star = [(50 + 45 * np.sin(4 * np.pi * k / 5), 50 - 45 * np.cos(4 * np.pi * k / 5)) for k in range(5)]
+    rows = [(1, 7, star), (2, 8, [(3.0, 3.0), (3.4, 3.0), (3.2, 3.4)])]
+    df = spark.createDataFrame([(p, i, [{"x": float(x), "y": float(y)} for x, y in r]) for p, i, r in rows], "paint int, ink int, points array<struct<x:double,y:double>>")
+    want = set()
+    for r in range(-5, 105):
+        for c in range(-5, 105):
+            x, y = c + 0.5, r + 0.5
+            n = sum((ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(star, star[1:] + star[:1]))
+            if n % 2:
+                want.add((r, c, 7))
+    assert {tuple(r) for r in raster.rasterise(df, 1.0).collect()} == want
+    tiles = spark.createDataFrame([(r, c, [float(r * 10 + c)]) for r in range(4) for c in range(4)], raster.TILE_SCHEMA)
+    raster.write_grid(tiles, str(tmp_path / "grid"))
+    assert {(r.tile_row, r.tile_col) for r in raster.read_grid(spark, str(tmp_path / "grid"), (1, 2, 0, 1)).collect()} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+
+
+def test_overview_chains_by_class(spark):
+    """Every line is a path of one class whose inner nodes have two edges of that class; every edge is in one line; thinning keeps the ends."""
+    rng = np.random.default_rng(8)
+    edges = [(w, 0, int(w % 3), int(a), int(b)) for w, (a, b) in enumerate(rng.integers(0, 60, (70, 2))) if a != b]
+    nodes = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 1000, (60, 2)))]
+    e, n = spark.createDataFrame(edges, "way int, edge int, class int, a bigint, b bigint"), spark.createDataFrame(nodes, "node bigint, x double, y double")
+    paths = {}
+    for r in lines.simplified_chains(e, n, -1.0).orderBy("class", "chain", "line", "pos").collect():
+        paths.setdefault((r["class"], r.chain, r.line), []).append(r.node)
+    degree = {}
+    for _, _, cls, a, b in edges:
+        for v in (a, b):
+            degree[(cls, v)] = degree.get((cls, v), 0) + 1
+    used = sorted((cls, *sorted(p)) for (cls, _, _), path in paths.items() for p in zip(path, path[1:]))
+    assert used == sorted((cls, *sorted((a, b))) for _, _, cls, a, b in edges)
+    for (cls, _, _), path in paths.items():
+        assert all(degree[(cls, v)] == 2 for v in path[1:-1]) and (path[0] == path[-1] or degree[(cls, path[0])] != 2 and degree[(cls, path[-1])] != 2)
+    thin = {}
+    for r in lines.simplified_chains(e, n, 300.0).orderBy("class", "chain", "line", "pos").collect():
+        thin.setdefault((r["class"], r.chain, r.line), []).append(r.node)
+    assert set(thin) == set(paths) and all(thin[k][0] == p[0] and thin[k][-1] == p[-1] and len(thin[k]) <= len(p) for k, p in paths.items())
+
+
+def test_layers_are_built_and_read(spark, tmp_path):
+    from tessella.sources import extracts, layers
+
+    nodes = spark.createDataFrame([(1, 10, 20, {"amenity": "cafe", "name": "A"}), (2, 11, 21, {"addr:housenumber": "5", "addr:street": "S"}), (3, 12, 22, {"place": "town", "name": "T"}), (4, 13, 23, {})], "id bigint, lon bigint, lat bigint, tags map<string,string>")
+    ways = spark.createDataFrame([(7, [1, 2], {"highway": "residential", "name": "R"}), (8, [2, 3], {"natural": "coastline", "place": "islet"}), (9, [1, 2, 3, 1], {"landuse": "forest"}), (10, [1], {"building": "yes"})], "id bigint, refs array<bigint>, tags map<string,string>")
+    relations = spark.createDataFrame([(20, {"type": "multipolygon", "tourism": "zoo"}), (21, {"type": "route", "landuse": "forest"})], "id bigint, tags map<string,string>")
+    builders = {"poi": lambda i: extracts.points_of_interest(i["n"], i["w"], i["r"]), "street": lambda i: extracts.streets(i["w"]), "area": lambda i: extracts.areas(i["w"], i["r"]), "coast": lambda i: extracts.coast(i["w"]),
+                "address": lambda i: extracts.addresses(i["n"]), "place": lambda i: extracts.places(i["n"]), "none": lambda i: extracts.places(i["n"].limit(0))}
+    path = str(tmp_path / "build")
+    report = layers.build({"n": nodes, "w": ways, "r": relations}, builders, path)
+    assert dict(report) == {k: "empty" if k == "none" else "ok" for k in builders} and layers.build({"n": nodes}, builders, path, only=["place"]) == [("place", "ok")]
+    of = lambda name, *cs: {tuple(r) for r in spark.read.parquet(f"{path}/{name}").select(*cs).collect()}
+    assert of("poi", "kind", "id") == {("n", 1), ("r", 20)} and of("street", "id", "class", "name") == {(7, 7, "R")} and of("area", "kind", "id") == {("w", 9), ("r", 20)}
+    assert of("coast", "id", "islet") == {(8, True)} and of("address", "id", "hn", "street") == {(2, "5", "S")} and of("place", "id", "place") == {(3, "town")}
+    objects = spark.createDataFrame([("poi", x // 4, y // 4, x, y, f"{x}:{y}:{k}") for x in range(6) for y in range(6) for k in range(2)], "layer string, tile_x int, tile_y int, cx int, cy int, item string")
+    layers.write(layers.cells(objects), str(tmp_path / "layer"))
+    back = layers.read(spark, str(tmp_path / "layer"), "poi")
+    assert layers.compare(layers.cells(objects), back).count() == 0 and layers.statistics(back).first()[1:] == (4, 36, 72)
+    layers.write_dump(nodes.withColumn("name", F.col("tags")["name"]), ["id", "name", "lon"], str(tmp_path / "dump"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "dump")).coalesce(1).collect()] == sorted(["1\tA\t10", "2\t\t11", "3\tT\t12", "4\t\t13"])
+    order = layers.canonical_order(spark.createDataFrame([(2, 1, "b"), (1, 5, None), (1, 5, "a"), (2, 1, "a")], "x int, y int, t string"), ["t"]).collect()
+    assert [tuple(r) for r in order] == [(1, 5, None), (1, 5, "a"), (2, 1, "a"), (2, 1, "b")]
+    layers.append_report(spark.createDataFrame([("A", "ok")], "region string, status string"), str(tmp_path / "report"))
+    layers.append_report(spark.createDataFrame([("B", "failed")], "region string, status string"), str(tmp_path / "report"))
+    left = layers.work_list(spark.createDataFrame([("A", 1), ("B", 1), ("C", 99)], "region string, size int"), spark.read.parquet(str(tmp_path / "report")), 50)
+    assert [r.region for r in left.collect()] == ["B"]
+
+
 def test_boundary_file(spark, tmp_path):
     (tmp_path / "a.poly").write_text("name\n1\n   1.0E+01 5.5E+01\n   11.0 55.0\n   11.0 56.0\nEND\n!2\n   10.5 55.2\n   10.6 55.2\n   10.6 55.3\nEND\nEND\n")
     rows = files.boundary(spark, str(tmp_path / "a.poly")).orderBy("ring", "pos").collect()
@@ -254,6 +330,8 @@ def test_entity_source(spark, tmp_path):
     header = message((1, b"OSMData"), (3, len(blob)))
     path = tmp_path / "x.pbf"
     path.write_bytes(struct.pack(">I", len(header)) + header + blob)
+    osm.ingest(spark, str(path), str(tmp_path / "some"), F.col("tags")["amenity"] == "bar")
+    assert [x.count() for x in osm.read_entities(spark, str(tmp_path / "some"))] == [2, 0, 0]
     osm.ingest(spark, str(path), str(tmp_path / "out"))
     nodes, ways, relations = osm.read_entities(spark, str(tmp_path / "out"))
     assert sorted((r.id, r.lon, r.lat, r.tags) for r in nodes.collect()) == [(10, 90000000, 550000000, {"amenity": "cafe"}), (15, 89999950, 550000100, {})]
