@@ -13,9 +13,14 @@ _ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîï
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def house_numbers(text: Column) -> Column:
     """``12`` and ``12a`` give [12], ``12-16`` gives [12, 16], anything else gives none."""
-    text = F.trim(text)
+    text = _stripped(text)
     pair = r"^([0-9]{1,18})\s*[A-Za-z]?\s*[-–/]\s*([0-9]{1,18})\s*[A-Za-z]?$"
     one = r"^([0-9]{1,18})\s*[A-Za-z]{0,2}$"
     number = lambda p, i: F.regexp_extract(text, p, i).try_cast("long")
@@ -24,7 +29,7 @@ def house_numbers(text: Column) -> Column:
 
 def postcode_key(code: Column) -> Column:
     """The outward part of a British code, else the first word if it is short and has a digit."""
-    code = F.upper(F.trim(code))
+    code = F.upper(_stripped(code))
     british = r"^([A-Z]{1,2}[0-9][A-Z0-9]?) ?[0-9][A-Z]{2}$"
     word = F.get(F.split(code, r"\s+"), 0)
     return F.when(code.rlike(british), F.regexp_extract(code, british, 1)).when(word.rlike(r"^[A-Z0-9-]{1,10}$") & word.rlike("[0-9]"), word)
@@ -33,7 +38,7 @@ def postcode_key(code: Column) -> Column:
 def fold(name: Column, ae: str = "a") -> Column:
     """Lower case without accents; Danish and German letters spelled out. Latin letters only; see ``fold_exact``."""
     lowered = F.lower(name)
-    for old, new in (("ø", "o"), ("æ", ae), ("ß", "ss")):
+    for old, new in (("ø", "o"), ("æ", ae), ("ß", "ss"), ("ς", "σ")):
         lowered = F.replace(lowered, F.lit(old), F.lit(new))
     return F.translate(lowered, _ACCENTED, _PLAIN)
 
@@ -44,14 +49,16 @@ def fold_exact(names: pd.Series) -> pd.Series:
     def one(name):
         if name is None:
             return None
-        lowered = name.lower().replace("ø", "o").replace("æ", "a").replace("ß", "ss")
+        lowered = name.lower().replace("ø", "o").replace("æ", "a").replace("ß", "ss").replace("ς", "σ")
         return "".join(c for c in unicodedata.normalize("NFKD", lowered) if not unicodedata.combining(c))
     return names.map(one, na_action="ignore")
 
 
-def search_keys(name: Column) -> Column:
-    """Every word and every part of several words of a name, without the region in brackets at its end; distinct, sorted."""
+def search_keys(name: Column, exact: bool = True) -> Column:
+    """Every word and every part of several words of a name, without the region in brackets at its end; distinct, sorted.
+    ``exact``: letters of all scripts are decomposed (an Arrow UDF), else Latin ones only."""
     bare = F.regexp_replace(name, r"^(.*) \(.*\)$", "$1")
+    bare = fold_exact(bare) if exact else bare
     parts = F.transform(F.split(bare, ", "), lambda p: F.filter(F.split(F.regexp_replace(F.regexp_replace(fold(p), "['’]", ""), "[^a-z0-9]", " "), r"\s+"), lambda w: w != ""))
     words = F.flatten(parts)
     phrases = F.transform(F.filter(parts, lambda p: F.size(p) > 1), lambda p: F.array_join(p, " "))
@@ -63,12 +70,16 @@ def capitalize(text: Column) -> Column:
 
 
 def title(text: Column) -> Column:
-    return F.initcap(F.replace(text, F.lit("_"), F.lit(" ")))
+    """Every run of letters with a capital at its start, after signs and digits too; underscores are blanks."""
+    runs = F.regexp_extract_all(F.replace(text, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, capitalize), "")
 
 
 def bare_number(text: Column) -> Column:
-    """A number without a trailing ``.0``."""
-    return F.regexp_replace(text, r"\.0$", "")
+    """A number in its shortest form (``4.0`` is ``4``, ``2.50`` is ``2.5``); anything else stays."""
+    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    size = F.abs(number)
+    return F.when((number == F.floor(number)) & (size < 1e15), F.floor(number).cast("long").cast("string")).when((size >= 1e-3) & (size < 1e7), number.cast("string")).otherwise(text)
 
 
 def loose(name: Column) -> Column:

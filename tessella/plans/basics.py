@@ -225,10 +225,12 @@ def name_search_keys(spark, sf_dir):
     return view(spark, sf_dir, "v_name").select("id", F.explode(text.search_keys(F.col("name"))).alias("key"))
 
 
-@query("""SELECT p_partkey AS id, concat(upper(substr(p_name, 1, 1)), lower(substr(p_name, 2))) AS capital, regexp_replace(CAST(p_size AS VARCHAR) || '.0', '\\.0$', '') AS size FROM part""")
+@query("""SELECT p_partkey AS id, concat(upper(substr(p_name, 1, 1)), lower(substr(p_name, 2))) AS capital, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || '.5' ELSE p_size || 'x' END AS size,
+array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '-7 ') || CASE WHEN p_partkey % 2 = 0 THEN ' (Ab''C)' ELSE '' END AS title FROM part""")
 def text_forms(spark, sf_dir):
     """TXT5: capitals and numbers without a decimal zero."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), text.capitalize(F.col("p_name")).alias("capital"), text.bare_number(F.concat(F.col("p_size").cast("string"), F.lit(".0"))).alias("size"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), text.capitalize(F.col("p_name")).alias("capital"), text.bare_number(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, (".00", ".50", "x"))), (F.col("p_partkey") % 3 + 1).cast("int")))).alias("size"),
+        text.title(F.concat(F.replace("p_name", F.lit(" "), F.lit("-7_")), F.when(F.col("p_partkey") % 2 == 0, " (ab'c)").otherwise(""))).alias("title"))
 
 
 HAVERSINE = "2 * 6371000.0 * (5 * 33554432 / (2 * pi() * 6371000.0)) * asin(sqrt(least(1.0, pow(sin(radians((ay - by_) / (268435456.0 / 360.0)) / 2), 2) + cos(radians(90.0 - ay / (268435456.0 / 360.0))) * cos(radians(90.0 - by_ / (268435456.0 / 360.0))) * pow(sin(radians((bx - ax) / (268435456.0 / 360.0)) / 2), 2))))"

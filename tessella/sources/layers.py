@@ -92,7 +92,7 @@ def match_rates(ours: DataFrame, other: DataFrame, keys: list[str], columns: lis
 
 def region_codes(regions: DataFrame, codes: DataFrame, aliases: DataFrame) -> DataFrame:
     """``id, code``: by the region's own id, else its alias, else its full name, else the name's first word."""
-    by = lambda source, key, name: F.broadcast(source.select(F.col(key).alias(name), F.col("code").alias(f"c_{name}")))  # noqa: E731  a few hundred codes
+    by = lambda source, key, name: source.select(F.col(key).alias(name), F.col("code").alias(f"c_{name}"))
     r = regions.withColumn("head", F.get(F.split("name", " "), 0))
     r = r.join(by(codes, "key", "id"), "id", "left").join(by(aliases, "key", "name"), "name", "left").withColumn("full", F.col("name")).join(by(codes, "key", "full"), "full", "left").join(by(codes, "key", "head"), "head", "left")
     return r.select("id", "parent", F.coalesce("c_id", "c_name", "c_full", "c_head").alias("code"))

@@ -41,7 +41,7 @@ def test_road_rules(spark):
     assert one(spark, rules.area_class(tags(natural="water", water="river"))) is None
 
 
-@pytest.mark.parametrize("value,want", [("12a", [12]), ("12 – 14", [12, 14]), ("12-16", [12, 16]), ("Flat 3", []), ("12abc", []), ("", [])])
+@pytest.mark.parametrize("value,want", [("12a", [12]), ("12 – 14", [12, 14]), ("12-16", [12, 16]), ("Flat 3", []), ("12abc", []), ("", []), ("\u00a012a\t", [12])])
 def test_house_numbers(spark, value, want):
     assert one(spark, text.house_numbers(F.lit(value))) == want
 
@@ -51,7 +51,7 @@ def test_postcodes(spark, value, want):
     assert one(spark, text.postcode_key(F.lit(value))) == want
 
 
-@pytest.mark.parametrize("value,want", [("King's Lynn", ["kings", "kings lynn", "lynn"]), ("Borken (Nordrhein-Westfalen)", ["borken"]), ("Ærø, Søby", ["aro", "soby"])])
+@pytest.mark.parametrize("value,want", [("King's Lynn", ["kings", "kings lynn", "lynn"]), ("Borken (Nordrhein-Westfalen)", ["borken"]), ("Ærø, Søby", ["aro", "soby"]), ("Đà Nẵng ﬁn Ｔｏｋｙｏ", ["a", "a nang fin tokyo", "fin", "nang", "tokyo"])])
 def test_search_keys(spark, value, want):
     assert one(spark, text.search_keys(F.lit(value))) == want
 
