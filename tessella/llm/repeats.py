@@ -38,6 +38,8 @@ LENGTH, GRAM = 200, 32
 GROUP_RUNS = 2000
 #: Bytes of distinct runs under one suffix array; its rows are at most an eightieth of that.
 ARRAY_BYTES = 800_000
+#: Equal runs are common if they are more than one in so many; then all tasks know them.
+COMMON = 10_000
 #: Neighbouring windows that stay together when a frequent gram's runs are taken apart, and again and again.
 WIDTHS = (43, 11, 3, 1)
 
@@ -309,7 +311,6 @@ def _take_apart(length: int, width: int, gram: int = GRAM):
 def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes: int, used: list[DataFrame], widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``unit, run, a, b`` as ``_solved`` for grams of any frequency. ``members``: ``key, content, rep, unit, s`` (first window)
     and ``run`` (the run that the windows come from); ``used`` takes the tables to delete afterwards."""
-    digests = {"c1": F.xxhash64("content"), "c2": F.unhex(F.md5("content"))}
     runs = materialize(members.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(F.struct("rep", "unit", "s", "run")).alias("first")), "frequent_runs")
     sizes = runs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")).filter("n > 1")
     met = runs.select("key", "content", "first.rep", "first.unit", "first.s").join(sizes, "key")
@@ -328,14 +329,21 @@ def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes
     # runs that occur once, and with keep_first the first ones, lose what matches other runs
     own = runs.filter(F.lit(True) if keep_first else F.col("times") == 1).select("first.unit", F.col("first.s").alias("run"), F.col("first.run").alias("_run"))
     firsts = found.join(own, ["unit", "run"]).select("unit", F.col("_run").alias("run"), "a", "b")
-    # the others go whole; two tables meet: the runs of a frequent one are split among tasks
-    several = materialize(runs.filter("times > 1").select("key", "content", "first").withColumns(digests).drop("content"), "frequent_copies")
+    # the others go whole: the most common ones are known to all tasks, the rest meets by digest
+    several = runs.filter("times > 1").select("times", "first", F.md5("content").alias("digest"))
+    several = materialize(several, "frequent_copies")
     used.append(several)
-    n = F.octet_length("content") - length + 1
-    copies = members.withColumns(digests | {"n": n}).drop("content").join(several, ["key", "c1", "c2"])
+    total = runs.agg(F.sum("times")).first()[0] or 0
+    common = several.filter(F.col("times") * COMMON > total).collect()  # fewer than COMMON rows
+    first = F.struct("rep", "unit", "s", "run")
+    spots = members.select("unit", "run", "s", (F.octet_length("content") - length + 1).alias("n"), F.md5("content").alias("digest"), first.alias("place"), F.concat_ws(":", F.hex("unit"), "s", "run").alias("spot"))
+    known = F.col("digest").isin([r.digest for r in common])
+    at_once, rest = spots.filter(known), spots.filter(~known).join(several.filter(F.col("times") * COMMON <= total).drop("times"), "digest")
     if keep_first:
-        copies = copies.filter(F.struct("rep", "unit", "s", "run") != F.col("first"))
-    return firsts.unionByName(copies.select("unit", "run", F.array("s").alias("a"), F.array(F.col("s") + F.col("n")).alias("b")))
+        at_once = at_once.filter(~F.col("spot").isin([f"{bytes(r.first.unit).hex().upper()}:{r.first.s}:{r.first.run}" for r in common]))
+        rest = rest.filter(F.col("place") != F.col("first"))
+    whole = lambda df: df.select("unit", "run", F.array("s").alias("a"), F.array(F.col("s") + F.col("n")).alias("b"))
+    return firsts.unionByName(whole(at_once)).unionByName(whole(rest))
 
 
 RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"

@@ -50,7 +50,8 @@ BOUNDS = [(2000, 800_000), (2, 800_000), (2, 900), (2, 1)]
 
 @pytest.mark.parametrize("group_runs,array_bytes", BOUNDS)
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_repeats(spark, prose, group_runs, array_bytes, keep_first):
+def test_repeats(spark, prose, group_runs, array_bytes, keep_first, monkeypatch):
+    monkeypatch.setattr(repeats, "COMMON", 10_000 if array_bytes > 900 else 20)
     rng, text = prose
     passages = [text(rng.randint(30, 80)) for _ in range(5)]
     docs = [(i, text(rng.randint(0, 50)) + " ".join(rng.choice([*passages, text(20), passages[0][:190]]) for _ in range(rng.randint(0, 3)))) for i in range(60)]
