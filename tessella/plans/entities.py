@@ -97,7 +97,11 @@ def point_components(spark, sf_dir):
     return components(p.select(F.col("id").alias("node")), pairs.select("a", "b"))
 
 
-@query()
+@query(ctes("v_node_dense").replace("WITH", "WITH RECURSIVE", 1) + """, q AS (SELECT id, lon AS x, lat AS y, typ, name_id, row_number() OVER (PARTITION BY typ, name_id ORDER BY id) AS n FROM v_node_dense WHERE name_id > 0),
+g AS (SELECT typ, name_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, x BIGINT, y BIGINT)[]) AS kept FROM (SELECT DISTINCT typ, name_id FROM q)
+UNION ALL SELECT g.typ, g.name_id, q.n, CASE WHEN len(list_filter(kept, lambda k: abs(k.x - q.x) < 1500 AND abs(k.y - q.y) < 1500)) > 0 THEN kept ELSE list_append(kept, {'id': q.id, 'x': q.x, 'y': q.y}) END FROM g JOIN q ON q.typ = g.typ AND q.name_id = g.name_id AND q.n = g.n + 1),
+l AS (SELECT arg_max(kept, n) AS kept FROM g GROUP BY typ, name_id)
+SELECT id FROM v_node_dense WHERE name_id = 0 UNION ALL SELECT k.id FROM (SELECT unnest(kept) AS k FROM l)""")
 def greedy_deduplication(spark, sf_dir):
     """WIN7: drop a point near an earlier kept one of its type and name; unnamed points stay."""
     p = view(spark, sf_dir, "v_node_dense").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "typ", F.when(F.col("name_id") > 0, F.col("name_id").cast("string")).alias("name"))

@@ -159,10 +159,10 @@ def pyramid_levels(spark, sf_dir):
     return p.join(there, ["level", "r", "c"], "left_semi").select("level", "tile_row", "tile_col", "i", F.round("v", 5).alias("v"))
 
 
-@query(TILES + """ SELECT r // 8 AS tile_row, c // 8 AS tile_col, CAST(r % 8 // 4 AS INTEGER) AS "row", CAST(c % 8 // 4 AS INTEGER) AS col, round(max(z), 5) AS top, round(sum(z * ((r % 4) * 4 + c % 4 + 1)), 4) AS weighted FROM px GROUP BY ALL HAVING max(z) > 0.5""")
+@query(TILES + """ SELECT r // 8 AS tile_row, c // 8 AS tile_col, CAST(r % 8 // 4 AS INTEGER) AS "row", CAST(c % 8 // 4 AS INTEGER) AS col, round(max(2 * z), 5) AS top, round(sum(2 * z * ((r % 4) * 4 + c % 4 + 1)), 4) AS weighted FROM px GROUP BY ALL HAVING max(2 * z) > 0.5""")
 def cropped_cells(spark, sf_dir):
     """RAS9, AGG19: tiles cut into cells of four by four pixels, those without land left out."""
-    cells = raster.crop_cells(tiles(spark, sf_dir), 8, 4)
+    cells = raster.crop_cells(tiles(spark, sf_dir).withColumn("z", F.transform("z", lambda h: 2 * h)), 8, 4)
     weighted = F.aggregate(F.transform("z", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return cells.select("tile_row", "tile_col", "row", "col", F.round(F.array_max("z"), 5).alias("top"), F.round(weighted, 4).alias("weighted"))
 
