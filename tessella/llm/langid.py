@@ -10,7 +10,7 @@ The model is two tables whose size does not depend on the data: languages (``MAX
 
 Defined cases: null and empty texts have even text likelihoods and follow the other evidence; a missing declaration or
 suffix says nothing; ties go to the language first in alphabet; rows are judged one by one, repeated ones alike; rows
-without a language label teach nothing; without any label the answer is null with probability null.
+without a language label teach nothing; other columns are not read; without any label the answer is null with probability null.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ hash of the id); share, threshold and slope come from all labelled documents (ex
 scoring covers every row. Labels, language, source and id are no inputs of a score.
 
 Defined cases: null and empty texts get the score of a text without evidence (shrunken features, all zero); labels
-other than 0 and 1 and labels without a document are ignored; a document with several labels counts with each; with
+other than 0 and 1 and labels without a document are ignored; a document with several labels counts with each; of
+documents that share an id one is learnt from; with
 no pair to learn from, every document scores 0.5 and is kept; repeated rows are scored one by one.
 """
 
@@ -107,7 +108,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 400,
 def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, 0)):
         rows = [features(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "good"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "good", "_id"])
 
 
 def order_statistic(values: DataFrame, column: str, rank: int) -> float:
@@ -160,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     each = [rows.filter(f"good = {g}").orderBy(F.xxhash64("_id"), "_id").limit(max_labelled) for g in (0, 1)]
     sample = F.broadcast(each[0].unionByName(each[1]))  # 2 * max_labelled small rows
     drawn = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(sample, "_id")
-    got = drawn.select("text", "good").mapInArrow(_featuriser, "x array<double>, good int").toPandas()
+    shapes = drawn.select("text", "good", "_id").mapInArrow(_featuriser, f"x array<double>, good int, _id {drawn.schema['_id'].dataType.simpleString()}")
+    got = shapes.groupBy("_id", "good").agg(F.min("x").alias("x")).toPandas()  # one row for each id and label, however many documents share it
     if not len(got):
         return Ranker(None, None, None, 0.0, 1.0)
     x = np.array(got["x"].tolist(), float)

@@ -295,6 +295,8 @@ def test_quality(spark):
     rows = quality.score(table(spark), model).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 for r in rows)
     assert quality.keep_good(table(spark), model).columns == ["doc_id", "text", "source", "lang"]
+    twice = quality.train(docs.unionByName(docs), labels, keep=lambda i: i % 3 != 0)
+    assert np.allclose(twice.weights, model.weights)  # rows repeated under one id are learnt from once
     empty = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.score(table(spark), empty).collect()} == {0.5}
 
