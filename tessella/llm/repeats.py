@@ -309,9 +309,10 @@ def _take_apart(length: int, width: int, gram: int = GRAM):
 
 
 def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes: int, used: list[DataFrame], widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """``unit, run, a, b`` as ``_solved`` for grams of any frequency. ``members``: ``key, content, rep, unit, s`` (first window)
-    and ``run`` (the run that the windows come from); ``used`` takes the tables to delete afterwards."""
-    runs = materialize(members.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(F.struct("rep", "unit", "s", "run")).alias("first")), "frequent_runs")
+    """``unit, run, a, b`` as ``_solved`` for grams of any frequency. ``members``: ``key, content, rep, unit, starts`` (first
+    windows of the equal runs of a text) and ``run`` (the run that the windows come from); ``used`` takes the tables to delete afterwards."""
+    place = F.struct("rep", "unit", F.get("starts", 0).alias("s"), "run")
+    runs = materialize(members.groupBy("key", "content").agg(F.sum(F.size("starts")).alias("times"), F.min(place).alias("first")), "frequent_runs")
     sizes = runs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")).filter("n > 1")
     met = runs.select("key", "content", "first.rep", "first.unit", "first.s").join(sizes, "key")
     fits = F.col("bytes") <= array_bytes
@@ -321,7 +322,7 @@ def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes
         if not many.isEmpty():
             rep_type = many.schema["rep"].dataType.simpleString()
             pieces = many.mapInArrow(_take_apart(length, widths[0]), f"key bigint, content binary, rep {rep_type}, unit binary, s int, run int")
-            pieces = materialize(pieces, "frequent_pieces")
+            pieces = materialize(pieces.withColumn("starts", F.array("s")).drop("s"), "frequent_pieces")
             used.append(pieces)
             found = found.unionByName(_solved_apart(pieces, length, keep_first, array_bytes, used, widths[1:]))
         used.append(many)
@@ -335,14 +336,16 @@ def _solved_apart(members: DataFrame, length: int, keep_first: bool, array_bytes
     used.append(several)
     total = runs.agg(F.sum("times")).first()[0] or 0
     common = several.filter(F.col("times") * COMMON > total).collect()  # fewer than COMMON rows
-    first = F.struct("rep", "unit", "s", "run")
-    spots = members.select("unit", "run", "s", (F.octet_length("content") - length + 1).alias("n"), F.md5("content").alias("digest"), first.alias("place"), F.concat_ws(":", F.hex("unit"), "s", "run").alias("spot"))
+    n = F.octet_length("content") - length + 1
+    spots = members.select("unit", "run", "starts", n.alias("n"), F.md5("content").alias("digest"), place.alias("place"))
     known = F.col("digest").isin([r.digest for r in common])
     at_once, rest = spots.filter(known), spots.filter(~known).join(several.filter(F.col("times") * COMMON <= total).drop("times"), "digest")
-    if keep_first:
-        at_once = at_once.filter(~F.col("spot").isin([f"{bytes(r.first.unit).hex().upper()}:{r.first.s}:{r.first.run}" for r in common]))
-        rest = rest.filter(F.col("place") != F.col("first"))
-    whole = lambda df: df.select("unit", "run", F.array("s").alias("a"), F.array(F.col("s") + F.col("n")).alias("b"))
+    if keep_first:  # the first of all stays
+        spot = F.concat_ws(":", F.hex("unit"), F.get("starts", 0), "run")
+        others = lambda first: F.when(first, F.slice("starts", 2, F.size("starts"))).otherwise(F.col("starts"))
+        at_once = at_once.withColumn("starts", others(spot.isin([f"{bytes(r.first.unit).hex().upper()}:{r.first.s}:{r.first.run}" for r in common])))
+        rest = rest.withColumn("starts", others(F.col("place") == F.col("first")))
+    whole = lambda df: df.filter(F.size("starts") > 0).select("unit", "run", F.col("starts").alias("a"), F.transform("starts", lambda x: x + F.col("n")).alias("b"))
     return firsts.unionByName(whole(at_once)).unionByName(whole(rest))
 
 
@@ -366,7 +369,7 @@ def _find(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col:
     members = materialize(_contents(units, wanted, length), "contents")
     drop_table(wanted)
     found = _solved(members.filter(~F.col("wide")), length, keep_first, array_bytes)
-    frequent = members.filter("wide").select("key", "content", "rep", "unit", F.explode("starts").alias("s")).withColumn("run", F.col("s"))
+    frequent = members.filter("wide").select("key", "content", "rep", "unit", "starts", F.get("starts", 0).alias("run"))
     used = [members]
     if not frequent.isEmpty():
         found = found.unionByName(_solved_apart(frequent, length, keep_first, array_bytes, used))
