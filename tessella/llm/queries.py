@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, pii, quality, repeats, simhash, token_rollup, urls, warc, whiten
+from . import ann, bpe, decontaminate, langid, phrases, pii, quality, repeats, simhash, token_rollup, urls, warc, whiten
 from .common import materialize, read, shared_dir
 
 
@@ -90,6 +90,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -98,5 +102,5 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/tessella/warc-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_language, op3_simhash, op4_token_counts, op5_url_filter, op6_quality, op7_neighbours, op8_bpe, op9_pii, op10_decontaminate, op12_whitening, op13_warc)}
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op13_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_language, op3_simhash, op4_token_counts, op5_url_filter, op6_quality, op7_neighbours, op8_bpe, op9_pii, op10_decontaminate, op11_phrases, op12_whitening, op13_warc)}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op11_phrases": phrases.ORACLE, "op13_warc": warc.ORACLE}
