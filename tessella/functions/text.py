@@ -54,12 +54,17 @@ def fold_exact(names: pd.Series) -> pd.Series:
     return names.map(one, na_action="ignore")
 
 
-def search_keys(name: Column, exact: bool = True) -> Column:
-    """Every word and every part of several words of a name, without the region in brackets at its end; distinct, sorted.
+def key_words(name: Column, exact: bool = True) -> Column:
+    """The words of each part of a name (parts end at ", ") as they stand in the search index, without the region in brackets at its end.
     ``exact``: letters of all scripts are decomposed (an Arrow UDF), else Latin ones only."""
     bare = F.regexp_replace(name, r"^(.*) \(.*\)$", "$1")
     bare = fold_exact(bare) if exact else bare
-    parts = F.transform(F.split(bare, ", "), lambda p: F.filter(F.split(F.regexp_replace(F.regexp_replace(fold(p), "['’]", ""), "[^a-z0-9]", " "), r"\s+"), lambda w: w != ""))
+    return F.transform(F.split(bare, ", "), lambda p: F.filter(F.split(F.regexp_replace(F.regexp_replace(fold(p), "['’]", ""), "[^a-z0-9]", " "), r"\s+"), lambda w: w != ""))
+
+
+def search_keys(name: Column, exact: bool = True) -> Column:
+    """Every word and every part of several words of a name; distinct, sorted."""
+    parts = key_words(name, exact)
     words = F.flatten(parts)
     phrases = F.transform(F.filter(parts, lambda p: F.size(p) > 1), lambda p: F.array_join(p, " "))
     return F.array_sort(F.array_distinct(F.concat(words, phrases)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import METRES_PER_UNIT, cell, to_lat
-from ..functions.text import search_keys
+from ..functions.text import key_words, search_keys
 from .spatial import nearest, split_at_cells
 
 # Fixed values of the map model.
@@ -16,8 +16,8 @@ SETTLEMENT_METRES = {"city": 12000.0, "town": 5000.0, "village": 2000.0, "hamlet
 SUBURB_METRES = {"suburb": 2500.0, "borough": 4000.0, "quarter": 1500.0, "neighbourhood": 800.0}
 LONGEST_INTERPOLATION = 400
 # ---- end of fixed values ----
-#: Letters of the longest query.
-LONGEST_QUERY = 255
+#: Lengths of prefixes on which queries and keys meet: all that queries have, if there are so few, else powers of two.
+MOST_CUTS = 32
 #: Side of the cells in which numbers and segments of real streets meet.
 JOIN_CELL = 1024
 
@@ -107,7 +107,7 @@ def interpolate(lines: DataFrame) -> DataFrame:
 
 
 def search_index(results: DataFrame) -> DataFrame:
-    """``id, name, key``: the inverted index of results (``id, name``)."""
+    """The inverted index of results (``id, name`` and what else they carry, as their type): a row for each ``key``."""
     return results.withColumn("key", F.explode(search_keys(F.col("name"))))
 
 
@@ -118,20 +118,33 @@ def prefix_counts(index: DataFrame, longest: int) -> DataFrame:
 
 
 def prefix_search(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, id, exact`` for a table of queries: each key gives its prefixes of the lengths that the queries have, so both sides
-    meet in whole queries."""
-    lengths = [r.n for r in queries.select(F.length("query").alias("n")).distinct().orderBy("n").limit(LONGEST_QUERY).collect()]  # a few numbers
-    prefixes = F.array(*[F.when(F.length("key") >= n, F.substring("key", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
-    keyed = index.withColumn("query", F.explode(F.array_compact(prefixes))).groupBy("query", "id").agg(F.bool_or(F.col("key") == F.col("query")).alias("exact"))
-    return keyed.join(queries.select("query").distinct(), "query").select("query", "id", "exact")
+    """``query, id, exact`` for a table of queries of any length: keys and queries meet on prefixes of a few lengths, then whole queries
+    decide."""
+    asked = queries.select("query").filter("query IS NOT NULL").distinct()
+    sizes = asked.select(F.length("query").alias("n")).distinct()
+    cuts = [r.n for r in sizes.orderBy("n").limit(MOST_CUTS + 1).collect()]
+    if len(cuts) > MOST_CUTS:
+        cuts = [0, *(1 << k for k in range(sizes.agg(F.max("n")).first()[0].bit_length()))]
+    if not cuts:
+        return index.limit(0).select(F.col("key").alias("query"), "id", F.lit(True).alias("exact"))
+    at = lambda text: F.array(*[F.when(F.length(text) >= n, F.lit(n)) for n in cuts])
+    keyed = index.select("id", "key", F.explode(F.array_compact(at("key"))).alias("cut")).withColumn("prefix", F.expr("substring(key, 1, cut)"))
+    asked = asked.withColumn("cut", F.array_max(at("query"))).withColumn("prefix", F.expr("substring(query, 1, cut)"))
+    met = keyed.join(asked, ["cut", "prefix"]).filter(F.startswith("key", F.col("query")))
+    return met.groupBy("query", "id").agg(F.bool_or(F.col("key") == F.col("query")).alias("exact"))
 
 
 def find(index: DataFrame, text: str, every: bool = False, most: int = 40) -> DataFrame:
-    """Results of one query, exact ones first: the first ``most``, or all."""
-    from ..functions.text import fold
-
-    folded = fold(F.lit(text))
-    hits = index.filter(F.startswith("key", folded)).groupBy("id", "name").agg(F.bool_or(F.col("key") == folded).alias("exact")).orderBy(F.desc("exact"), "name", "id")
+    """Results of one query, exact ones first: the first ``most``, or all, with all that the index carries for each.
+
+    The text is folded as names are; of several parts ("Town, Suburb") each must begin a key of the result."""
+    parts = index.sparkSession.range(1).select(F.array_distinct(F.filter(F.transform(key_words(F.lit(text)), lambda p: F.array_join(p, " ")), lambda p: p != ""))).first()[0]
+    begins = [F.startswith("key", F.lit(p)) for p in parts]
+    kept = [c for c in index.columns if c != "key"]
+    met = [F.bool_or(b) for b in begins] or [F.lit(False)]
+    exact = [F.bool_or(F.col("key") == p) for p in parts] or [F.lit(False)]
+    hits = index.filter(F.exists(F.array(*begins), lambda b: b) if begins else F.lit(False)).groupBy(*kept)
+    hits = hits.agg(F.array_min(F.array(*exact)).alias("exact"), F.array_min(F.array(*met)).alias("_all")).filter("_all").drop("_all").orderBy(F.desc("exact"), "name", "id")
     return hits if every else hits.limit(most)
 
 
