@@ -7,7 +7,7 @@ all that is read from then on, and texts are read once. A phrase counts in the c
 every occurrence counts once, times the chunk's frequency.
 
 Of the phrases only frequent ones matter, for a part of a frequent phrase is frequent, too. Phrases are counted by their
-64-bit hashes first, from words on: a longer one only where both parts that are a word shorter may be frequent, by a bitmap of at most
+64-bit hashes first: words, then pairs of words that may be frequent, then longer ones whose pairs all may, by bitmaps of at most
 ``MOST_BITS``. Equal hashes can only let too much through. The last pass over the dictionary spells what is left, and counts and
 filters it by its words. All keys are summed in tasks before they are shuffled.
 
@@ -34,8 +34,10 @@ PERIOD = 16
 INSIDE = 100
 #: Bits, as a power of two, of the bitmap of hashes that may be frequent: 16 for each that is, 32 MB at most.
 LEAST_BITS, MOST_BITS = 16, 28
-#: Hashes that a task sorts at once.
-SORT = 1_000_000
+#: Bytes of chunks that a task looks at together, and hashes that it sorts at once.
+BATCH, SORT = 2_000_000, 2_000_000
+#: Phrases that a task sums before it hands them on.
+HELD = 400_000
 #: Parts in which a language's best phrases are found first.
 PARTS = 64
 
@@ -43,6 +45,9 @@ _BLANKS, _BREAKS = b" \t", b".,;:!?\n\v\f\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_NUMBERS = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NUMBERS[:, 32] = 0
+_PLACES = np.cumprod(np.array([[1] + [x] * 255 for x in _SEEDS], np.uint64), axis=1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,14 +58,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = _SEEDS[0]) -> np.ndarray:
-    """64-bit hashes of the words ``raw[start:end]``, in order and apart: sums of a mixed number for each byte and its place."""
-    sizes = ends - starts
-    offsets = np.cumsum(sizes) - sizes
-    within = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(offsets, sizes)
-    letters = raw[np.repeat(starts, sizes) + within]
-    mixed = _mix((within.astype(np.uint64) * np.uint64(256) + letters + np.uint64(1)) * np.uint64(seed))
-    return _mix(np.add.reduceat(mixed, offsets) if len(offsets) else np.zeros(0, np.uint64))
+def word_hashes(clean: np.ndarray, starts: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words that stand in order, each with one blank after it: sums of a number for each byte times one for its place."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    within = np.arange(len(clean), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(starts, append=len(clean)))
+    numbers = _NUMBERS[seed]
+    if within.max() >= len(numbers):
+        places = np.full(int(within.max()) + 1, _SEEDS[seed], np.uint64)
+        places[0] = 1
+        places = np.cumprod(places)
+    else:
+        places = _PLACES[seed]
+    mixed = numbers[clean]
+    mixed *= places[within]
+    return _mix(np.add.reduceat(mixed, starts))
 
 
 def _longer(h: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
@@ -84,7 +96,11 @@ def parse(texts: list[bytes], period: int = PERIOD, longest: int = LONGEST) -> t
         return raw[:0], np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
     piece = np.cumsum(kind == 2)[starts]
     first = np.diff(piece, prepend=-1) != 0
-    h = window = word_hashes(raw, starts, ends)
+    clean, kept = raw, word
+    clean[ends], kept[ends] = 32, True
+    place = np.cumsum(kept) - kept
+    clean = clean[kept]
+    h = window = word_hashes(clean, place[starts])
     for k in range(2, lap + 1):
         window = _longer(window, h, k)
     fits = np.zeros(n, bool)
@@ -95,10 +111,6 @@ def parse(texts: list[bytes], period: int = PERIOD, longest: int = LONGEST) -> t
     after = np.append(opens[1:], n)
     last = after == end
     stop = np.where(last, end, after + lap)
-    clean, kept = raw, word
-    clean[ends], kept[ends] = 32, True
-    place = np.cumsum(kept) - kept
-    clean = clean[kept]
     begins, sizes = place[starts[opens]], place[ends[stop - 1]] + 1 - place[starts[opens]]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     gather = np.repeat(begins - offsets[:-1], sizes) + np.arange(offsets[-1])
@@ -125,27 +137,44 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 class _Chunks:
     """The words of a batch of the dictionary as arrays."""
 
-    def __init__(self, batch: pa.RecordBatch, longest: int, seed: int = _SEEDS[0]) -> None:
-        chunk = batch.column("chunk")
-        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
-        self.raw = np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    def __init__(self, batch: pa.RecordBatch, longest: int) -> None:
+        offsets = _offsets(batch.column("chunk"))
+        self.raw = np.frombuffer(batch.column("chunk").buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         self.ends = np.flatnonzero(self.raw == 32)
         self.starts = np.concatenate([[0], self.ends[:-1] + 1])
-        self.row = np.searchsorted(offsets - offsets[0], self.starts, "right") - 1
-        self.lang = batch.column("lang")
-        seeds = {x: xxhash.xxh64_intdigest(x.encode(), seed=7) for x in set(self.lang.to_pylist())}
-        languages = np.array([seeds[x] for x in self.lang.to_pylist()], np.uint64)
+        behind = np.searchsorted(self.ends, offsets[1:] - offsets[0])
+        self.row = np.repeat(np.arange(batch.num_rows), np.diff(behind, prepend=0))
+        self.lang = batch.column("lang").dictionary_encode()
+        seeds = np.array([xxhash.xxh64_intdigest(x.encode(), seed=7) for x in self.lang.dictionary.to_pylist()], np.uint64)
         #: Words from each one to its chunk's end, and times that the chunk stands in the parse.
-        self.left = np.cumsum(np.bincount(self.row, minlength=len(chunk)))[self.row] - np.arange(len(self.row))
+        self.left = behind[self.row] - np.arange(len(self.row))
         self.times = batch.column("times").to_numpy(zero_copy_only=False)[self.row]
-        last = batch.column("last").to_numpy(zero_copy_only=False)[self.row]
-        self.own = self.left > np.where(last, 0, longest - 1)
-        self.words = word_hashes(self.raw, self.starts, self.ends, seed)
-        self.first = _mix(self.words ^ languages[self.row])
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (part for whole in batches if whole.num_rows for part in slices(whole, whole.schema.get_field_index("chunk")))
+        last = batch.column("last").to_numpy(zero_copy_only=False)
+        self.own = self.left > np.where(last, 0, longest - 1)[self.row]
+        self.words = word_hashes(self.raw, self.starts)
+        self.first = _mix(self.words ^ seeds[self.lang.indices.to_numpy()][self.row])
+
+
+def _offsets(text: pa.Array) -> np.ndarray:
+    return np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes of chunks, one row at least."""
+    held, size = [], 0
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        offsets = _offsets(whole.column("chunk"))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(offsets, offsets[0] + np.arange(most, offsets[-1] - offsets[0], most)), [whole.num_rows]]))
+        for a, b in zip(cuts, cuts[1:]):
+            if held and size + offsets[b] - offsets[a] > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(whole.slice(a, b - a))
+            size += offsets[b] - offsets[a]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _summed(h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,21 +191,28 @@ def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def frequent_hashes(chunks: DataFrame, k: int, shorter: np.ndarray | None, least: int, longest: int) -> DataFrame:
-    """``h``: hashes of the phrases of ``k`` words that may stand ``least`` times; ``shorter``: bitmap of those a word shorter."""
+def frequent_hashes(chunks: DataFrame, sizes: range, shorter: np.ndarray | None, least: int, longest: int) -> DataFrame:
+    """``h``: hashes of the phrases of ``sizes`` words that may stand ``least`` times. ``shorter``: bitmap of those a word shorter than the
+    first size; all their like in a phrase must be in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in _split(batches):
+        for batch in _gathered(batches):
             c = _Chunks(batch, longest)
-            h, keep = c.first, c.own & (c.left >= k)
-            for j in range(2, k + 1):
-                before, h = h, _longer(h, c.words, j)
-            if k > 1:
-                at = np.flatnonzero(keep)
-                at = at[_passes(shorter, before[at])]
-                keep = at[_passes(shorter, before[at + 1])]
-            held.append((h[keep], c.times[keep]))
-            size += len(held[-1][0])
+            h, ahead = c.first, None
+            for k in range(2, sizes[0] + 1):
+                ahead, h = h, _longer(h, c.words, k)
+            if shorter is None:
+                at = np.flatnonzero(c.own)
+            else:  # both parts of the first size, and for each further word one more
+                may = _passes(shorter, ahead)
+                at = np.flatnonzero(c.own[:-1] & (c.left[:-1] >= sizes[0]) & may[:-1] & may[1:])
+            for k in sizes:
+                if k > sizes[0]:
+                    h = _longer(h, c.words, k)
+                    at = at[c.left[at] >= k]
+                    at = at[may[at + k - sizes[0] + 1]]
+                held.append((h[at], c.times[at]))
+                size += len(at)
             if size >= SORT:
                 yield batch_of(held)
                 held, size = [], 0
@@ -202,37 +238,56 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 
 
 def frequent_phrases(chunks: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST) -> DataFrame:
-    """``lang, phrase, words, f`` of all phrases of 1 to ``longest`` words that stand ``least`` times or more; ``chunks``: a written dictionary."""
+    """``lang, phrase, words, f`` of all phrases of 1 to ``longest`` words that stand ``least`` times or more; ``chunks``: a written dictionary.
+
+    Words are counted first, then pairs of them, then all longer phrases together."""
     bitmaps: list[np.ndarray] = []
-    for k in range(1, longest + 1):
-        hashes = materialize(frequent_hashes(chunks, k, bitmaps[-1] if bitmaps else None, least, longest), "frequent")
-        bitmaps.append(bitmap_of(hashes))
-        drop_table(hashes)
-        if not bitmaps[-1].any():
-            break
+    for sizes in (range(1, 2), range(2, min(3, longest + 1)), range(3, longest + 1)):
+        if sizes and (not bitmaps or bitmaps[-1].any()):
+            hashes = materialize(frequent_hashes(chunks, sizes, bitmaps[-1] if bitmaps else None, least, longest), "frequent")
+            bitmaps.append(bitmap_of(hashes))
+            drop_table(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _split(batches):
-            c = _Chunks(batch, longest)
-            check_words = word_hashes(c.raw, c.starts, c.ends, _SEEDS[1])
-            h, check, may = c.first, check_words, np.ones(len(c.own), bool)
-            for k, bitmap in enumerate(bitmaps, 1):
-                if k > 1:
-                    h, check = _longer(h, c.words, k), _longer(check, check_words, k)
-                may &= c.left >= k
-                at = np.flatnonzero(may)
-                passed = _passes(bitmap, h[at])
-                may[at[~passed]] = False
-                at = at[passed & c.own[at]]
-                if not len(at):
-                    continue
-                order = at[np.lexsort((check[at], h[at]))]
-                new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])]))
-                times, shown = np.add.reduceat(c.times[order], new), order[new]
-                begins, sizes = c.starts[shown], c.ends[shown + k - 1] - c.starts[shown]
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                data = c.raw[np.repeat(begins - offsets[:-1], sizes) + np.arange(offsets[-1])]
-                yield pa.RecordBatch.from_arrays([c.lang.take(pa.array(c.row[shown])), _string_array(data, offsets), pa.array(np.full(len(shown), k, np.int32)), pa.array(times)], ["lang", "phrase", "words", "f"])
+        held: list[pa.RecordBatch] = []
+        for batch in _gathered(batches):
+            held += found(_Chunks(batch, longest))
+            if sum(b.num_rows for b in held) >= HELD:
+                held = summed(held)
+                if sum(b.num_rows for b in held) >= HELD // 2:
+                    yield from held
+                    held = []
+        yield from summed(held)
+
+    def summed(held: list) -> list[pa.RecordBatch]:
+        if not held:
+            return []
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("f", "sum")])
+        return table.rename_columns(["lang", "phrase", "words", "f"]).combine_chunks().to_batches()
+
+    def found(c: _Chunks) -> Iterator[pa.RecordBatch]:
+        check_words = word_hashes(c.raw, c.starts, 1)
+        h, check, at = c.first, check_words, np.arange(len(c.own))
+        for k in range(1, min(longest, len(bitmaps) if len(bitmaps) < 3 else longest) + 1):
+            if k > 1:
+                h, check = _longer(h, c.words, k), _longer(check, check_words, k)
+            at = at[c.left[at] >= k]
+            at = at[_passes(bitmaps[min(k, 3) - 1], h[at])]
+            own = at[c.own[at]]
+            if not len(own):
+                continue
+            order = own[np.argsort(h[own])]
+            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+            if (check[order][1:] != check[order][:-1])[~new[1:]].any():  # two phrases with one hash
+                order = own[np.lexsort((check[own], h[own]))]
+                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])])
+            new = np.flatnonzero(new)
+            times, shown = np.add.reduceat(c.times[order], new), order[new]
+            begins, sizes = c.starts[shown], c.ends[shown + k - 1] - c.starts[shown]
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            data = c.raw[np.repeat(begins - offsets[:-1], sizes) + np.arange(offsets[-1])]
+            lang = c.lang.take(pa.array(c.row[shown])).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([lang, _string_array(data, offsets), pa.array(np.full(len(shown), k, np.int32)), pa.array(times)], ["lang", "phrase", "words", "f"])
 
     rows = chunks.mapInArrow(run, "lang string, phrase string, words int, f long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)

@@ -92,10 +92,11 @@ def test_chunks_follow_content():
 
 def test_word_hashes_differ():
     words = list({bytes(np.random.default_rng(i).integers(97, 100, i % 9 + 1, np.uint8)) for i in range(4000)})
+    words += [b"a" * 300, b"a" * 299 + b"b", b"a" * 299]
     raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    ends = np.flatnonzero(raw == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    assert len(set(phrases.word_hashes(raw, starts, ends).tolist())) == len(words)
+    starts = np.concatenate([[0], np.flatnonzero(raw == 32)[:-1] + 1])
+    for seed in (0, 1):
+        assert len(set(phrases.word_hashes(raw, starts, seed).tolist())) == len(words)
 
 
 def test_bitmap_holds_its_hashes(spark):
