@@ -177,10 +177,34 @@ def piece_end_numbers(spark, sf_dir):
     return first.select("cell", "node", F.row_number().over(Window.partitionBy("cell").orderBy("seq")).alias("number"))
 
 
-@query()
+#: Deviation that overview lines may have here, in map units: segments of the fixture are long.
+OVERVIEW_TOLERANCE = 16384.0
+
+OVERVIEW = EDGES.replace("WITH ", "WITH RECURSIVE " + ctes("v_way")[5:] + ", ", 1) + f""", oe AS (SELECT CASE highway WHEN 'motorway' THEN 0 ELSE 2 END AS class, s.way, pos, before AS a, node AS b FROM s JOIN v_way w ON w.way = s.way WHERE before IS NOT NULL AND highway IN ('motorway', 'primary')),
+dt AS (SELECT (class, way, pos) AS id, true AS ahead, a AS tail, b AS head, class FROM oe UNION ALL SELECT (class, way, pos), false, b, a, class FROM oe),
+lv AS (SELECT class, tail AS node, min((id, ahead)) AS p, max((id, ahead)) AS q FROM dt GROUP BY ALL HAVING count(*) = 2),
+jt AS (SELECT class, node, p[1] AS p, p[2] AS pa, q[1] AS q, q[2] AS qa FROM (SELECT class, node, row(p[1], p[2]) AS p, row(q[1], q[2]) AS q FROM lv) WHERE p[1] <> q[1]),
+nx AS (SELECT dt.*, CASE WHEN jt.p = dt.id THEN jt.q ELSE jt.p END AS nid, CASE WHEN jt.p = dt.id THEN jt.qa ELSE jt.pa END AS na FROM dt LEFT JOIN jt ON jt.class = dt.class AND jt.node = dt.head),
+wk AS (SELECT id AS sid, ahead AS sa, tail AS st, id, ahead, 0 AS k FROM nx WHERE (id, ahead) NOT IN (SELECT (nid, na) FROM nx WHERE nid IS NOT NULL) UNION ALL SELECT sid, sa, st, nx.nid, nx.na, k + 1 FROM wk JOIN nx ON nx.id = wk.id AND nx.ahead = wk.ahead WHERE nx.nid IS NOT NULL),
+rg AS (SELECT id AS sid, ahead AS sa, tail AS st, id, ahead, 0 AS k FROM nx WHERE id NOT IN (SELECT id FROM wk) UNION ALL SELECT sid, sa, st, nx.nid, nx.na, k + 1 FROM rg JOIN nx ON nx.id = rg.id AND nx.ahead = rg.ahead WHERE NOT (nx.nid = sid AND nx.na = sa)),
+ls AS (SELECT * FROM wk UNION ALL SELECT rg.* FROM rg JOIN (SELECT sid, sa FROM (SELECT a.sid, a.sa, row_number() OVER (PARTITION BY a.sid[1], c.low ORDER BY a.st, (a.sid, a.sa)) AS o FROM (SELECT DISTINCT sid, sa, st FROM rg) a JOIN (SELECT sid, sa, min(x.tail) AS low FROM rg JOIN nx x USING (id, ahead) GROUP BY ALL) c USING (sid, sa)) WHERE o = 1) USING (sid, sa)),
+ed AS (SELECT sid, sa, arg_max(id, k) AS lid, arg_max(ahead, k) AS la FROM ls GROUP BY ALL),
+tk AS (SELECT ed.sid, ed.sa FROM ed JOIN nx f ON f.id = ed.sid AND f.ahead = ed.sa JOIN nx l ON l.id = ed.lid AND l.ahead = ed.la WHERE (f.tail, ed.sid, ed.sa) <= (l.head, ed.lid, NOT ed.la) OR ed.sid IN (SELECT id FROM rg)),
+on_ AS (SELECT ls.sid, k, id, ahead FROM ls JOIN tk USING (sid, sa)),
+pn AS (SELECT sid, 0 AS pos, tail AS node FROM on_ JOIN nx USING (id, ahead) WHERE k = 0 UNION ALL SELECT sid, k + 1, head FROM on_ JOIN nx USING (id, ahead)),
+pt AS MATERIALIZED (SELECT sid, pos, pn.node, x, y FROM pn JOIN (SELECT node, min(x) AS x, min(y) AS y FROM s GROUP BY node) n ON n.node = pn.node),
+sp AS (SELECT sid, 0 AS a, CAST(max(pos) AS INTEGER) AS b FROM pt GROUP BY sid UNION ALL SELECT sid, unnest([a, p]), unnest([p, b]) FROM (
+SELECT sp.sid, sp.a, sp.b, CAST(arg_max(m.pos, (round(@far, 6), -m.pos)) AS INTEGER) AS p, max(@far) AS d FROM sp JOIN pt f ON f.sid = sp.sid AND f.pos = sp.a JOIN pt l ON l.sid = sp.sid AND l.pos = sp.b JOIN pt m ON m.sid = sp.sid AND m.pos > sp.a AND m.pos < sp.b GROUP BY ALL HAVING max(@far) > {OVERVIEW_TOLERANCE}) u)
+SELECT sid[1] AS class, sid[1] || ':' || sid[2] || ':' || sid[3] AS chain, 0 AS line, CAST(pos AS INTEGER) AS pos, node, x, y FROM pt WHERE (sid, pos) IN (SELECT (sid, a) FROM sp UNION SELECT (sid, b) FROM sp)"""
+_T = "CASE WHEN pow(l.x - f.x, 2) + pow(l.y - f.y, 2) > 0 THEN least(1.0, greatest(0.0, ((m.x - f.x) * (l.x - f.x) + (m.y - f.y) * (l.y - f.y)) / (pow(l.x - f.x, 2) + pow(l.y - f.y, 2)))) ELSE 0.0 END"
+OVERVIEW = OVERVIEW.replace("@far", f"sqrt(pow(m.x - f.x - {_T} * (l.x - f.x), 2) + pow(m.y - f.y - {_T} * (l.y - f.y), 2))")
+
+
+@query(OVERVIEW)
 def overview_lines(spark, sf_dir):
-    """ASM10: roads of the classes 0 to 3, class by class, chained through nodes of degree two and simplified."""
+    """ASM10: roads of the classes 0 to 3, class by class, joined through nodes of degree two with all their points, and simplified."""
     s = segments(spark, sf_dir)
     ways = tagged_ways(spark, sf_dir).select("way", rules.road_class(F.col("tags")).alias("class")).filter("class BETWEEN 0 AND 3")
-    e = roads.edge_measures(s).join(ways, "way")
-    return lines.simplified_chains(e.select("way", "edge", "class", "a", "b"), s.select("node", "x", "y").distinct(), 512.0)
+    before = F.lag("node").over(Window.partitionBy("way").orderBy("pos"))
+    e = s.withColumn("a", before).filter("a IS NOT NULL").select("way", F.col("pos").alias("edge"), "a", F.col("node").alias("b")).join(ways, "way")
+    return lines.simplified_chains(e, s.select("node", "x", "y").distinct(), OVERVIEW_TOLERANCE)
