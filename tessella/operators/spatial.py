@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import cell
+from ..functions.grid import cell, local_points
 
 
 def ring_edges(rings: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,3 +114,88 @@ def split_at_cells(segments: DataFrame, size: int) -> DataFrame:
     at = lambda a, b, t: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
     parts = parts.withColumns({"px": at("ax", "bx", "t0"), "py": at("ay", "by", "t0"), "qx": at("ax", "bx", "t1"), "qy": at("ay", "by", "t1")})
     return parts.withColumns({"cx": cell((F.col("px") + F.col("qx")) / 2, size), "cy": cell((F.col("py") + F.col("qy")) / 2, size)}).drop("_t", "_k")
+
+
+def cells_along(segments: DataFrame, size: int, grow: float) -> DataFrame:
+    """Segments ``ax, ay, bx, by`` with a row for every cell ``cx, cy`` whose box, grown by ``grow``, their box reaches in its column.
+
+    A long segment takes the cells beside it in every column, not all of its box."""
+    low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
+    rows = segments.withColumn("cx", F.explode(F.sequence(cell(low("ax", "bx") - grow, size), cell(high("ax", "bx") + grow, size))))
+    dx = (F.col("bx") - F.col("ax")).cast("double")
+    at = lambda x: F.when(dx != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("ax")) / dx)))
+    y = lambda t: F.col("ay") + t * (F.col("by") - F.col("ay"))
+    # where the segment enters and leaves the grown column; all of it if it runs down the column
+    p, q = F.coalesce(y(at(F.col("cx") * size - grow)), F.col("ay")), F.coalesce(y(at((F.col("cx") + 1) * size + grow)), F.col("by"))
+    slack = grow + 1e-6 * size
+    return rows.withColumn("cy", F.explode(F.sequence(cell(F.least(p, q) - slack, size), cell(F.greatest(p, q) + slack, size))))
+
+
+def cut_with_margin(segments: DataFrame, keys: list[str], size: int, margin: float) -> DataFrame:
+    """``keys, cx, cy, part, pos, px, py, qx, qy``: lines (``keys, pos`` in steps of one, ``ax, ay, bx, by``) cut into the cells that they
+    reach, each with a margin all round, so that a line near a border stands in several cells. Parts are numbered from 1 in a cell."""
+    met = cells_along(segments.select(*keys, "pos", "ax", "ay", "bx", "by"), size, margin)
+    low = lambda c: F.col(c) * size - margin
+    high = lambda c: (F.col(c) + 1) * size + margin
+    inside = chain_parts(clip_segments(met, low("cx"), low("cy"), high("cx"), high("cy")), [*keys, "cx", "cy"])
+    at = lambda a, b, t: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
+    return inside.select(*keys, "cx", "cy", "part", "pos", at("ax", "bx", "t0").alias("px"), at("ay", "by", "t0").alias("py"), at("ax", "bx", "t1").alias("qx"), at("ay", "by", "t1").alias("qy"))
+
+
+def placed_lines(segments: DataFrame, keys: list[str], size: int, margin: int) -> DataFrame:
+    """``keys, cx, cy, part, points``: lines cut with a margin, as packed points relative to each cell (``local_points``). Parts that shrink
+    to a point when rounded are left out; a row holds what one cell holds of one line."""
+    parts = cut_with_margin(segments, keys, size, margin)
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = parts.groupBy(*keys, "cx", "cy", "part").agg(F.array_sort(F.collect_list(F.struct("pos", point("px", "py").alias("p"), point("qx", "qy").alias("q")))).alias("s"))
+    line = F.concat(F.array(F.get("s", F.lit(0)).getField("p")), F.transform("s", lambda e: e.getField("q")))
+    placed = rows.withColumn("points", local_points(line, F.col("cx") * size, F.col("cy") * size, margin))
+    return placed.filter("points IS NOT NULL").select(*keys, "cx", "cy", "part", "points")
+
+
+def segment_box_distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Distance between a segment ``ax, ay, bx, by`` and a box."""
+    ax, ay, bx, by = (F.col(c).cast("double") for c in ("ax", "ay", "bx", "by"))
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+
+    def outside(x: Column, y: Column) -> Column:
+        """Squared distance of a point from the box."""
+        u, v = F.greatest(x0 - x, x - x1, F.lit(0.0)), F.greatest(y0 - y, y - y1, F.lit(0.0))
+        return u * u + v * v
+
+    def away(x: Column, y: Column) -> Column:
+        """Squared distance of a corner from the segment."""
+        t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - ax) * dx + (y - ay) * dy) / size))).otherwise(0.0)
+        u, v = x - ax - t * dx, y - ay - t * dy
+        return u * u + v * v
+
+    sides = [(-dx, ax - x0), (dx, x1 - ax), (-dy, ay - y0), (dy, y1 - ay)]
+    t0 = F.greatest(F.lit(0.0), *[F.when(p < 0, q / p) for p, q in sides])
+    t1 = F.least(F.lit(1.0), *[F.when(p > 0, q / p) for p, q in sides])
+    out = F.lit(False)
+    for p, q in sides:
+        out = out | ((p == 0) & (q < 0))
+    nearest = F.least(outside(ax, ay), outside(bx, by), *[away(x, y) for x in (x0, x1) for y in (y0, y1)])
+    return F.when(~out & (t0 <= t1), 0.0).otherwise(F.sqrt(nearest))
+
+
+def buffered_cells(rings: DataFrame, size: int, reach: float) -> DataFrame:
+    """``cx, cy``: cells whose box is no farther than ``reach`` from a boundary: what lies in an outer ring and in no hole.
+
+    ``rings``: ``ring, hole, pos, x, y``, holes inside the outer rings that they belong to. A cell counts if it is near an edge, or its centre is
+    inside; cells far from all edges are inside or outside as a whole."""
+    edges = ring_edges(rings.select("hole", "ring", "pos", "x", "y"), ["hole"])
+    along = cells_along(edges.select(F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by")), size, reach)
+    low = lambda c: (F.col(c) * size).cast("double")
+    near = along.filter(segment_box_distance(low("cx"), low("cy"), low("cx") + size, low("cy") + size) <= reach).select("cx", "cy").distinct()
+    whole = cover(edges, ["hole", "ring"], size).filter("NOT border").select("hole", "cx", "cy")
+    inside = whole.groupBy("cx", "cy").agg(F.bool_or(~F.col("hole")).alias("outer"), F.bool_or("hole").alias("hole")).filter("outer AND NOT hole").select("cx", "cy")
+    return near.unionByName(inside).distinct()
+
+
+def boxes_on_cells(boxes: DataFrame, cells: DataFrame, key: str, size: float) -> DataFrame:
+    """Boxes (``key, x0, y0, x1, y1``) that overlap one of ``cells`` (``cx, cy``) at least."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long")))
+    spread = boxes.select(key, span("x0", "x1").alias("cx"), "y0", "y1").select(key, "cx", span("y0", "y1").alias("cy"))
+    return boxes.join(spread.join(cells.select("cx", "cy"), ["cx", "cy"], "left_semi").select(key).distinct(), key, "left_semi")

@@ -158,15 +158,72 @@ def split_lengths(spark, sf_dir):
     return parts.groupBy("cx", "cy").agg(F.sum(size).alias("s")).filter("s > 0.001").select("cx", "cy", F.round("s", 2).alias("length"))
 
 
-@query(EDGES + """, t AS (SELECT DISTINCT way, CAST(floor(x / 65536) AS BIGINT) AS cx, CAST(floor(y / 65536) AS BIGINT) AS cy FROM s), m AS (SELECT DISTINCT cx, cy FROM t WHERE (cx + cy) % 2 = 0)
-SELECT cx, cy, count(*) AS ways FROM t JOIN m USING (cx, cy) GROUP BY ALL""")
+#: Cells and reach of the boundary here: an eighth of the model's, as the fixture spans a few cells only.
+MASK_CELL, MASK_REACH = 4096, 4096.0
+MASK = """, nr AS (SELECT n_nationkey AS k, 140930000 + n_nationkey % 5 * 33000 AS x, 25615000 + n_nationkey // 5 * 24000 AS y FROM nation),
+rv AS (SELECT k * 2 AS ring, false AS hole, unnest([0, 1, 2]) AS pos, unnest([x, x + 17000, x + 3000]) AS x, unnest([y, y + 6000, y + 17000]) AS y FROM nr UNION ALL SELECT k * 2 + 1, true, unnest([0, 1, 2]), unnest([x + 3000, x + 13000, x + 4000]), unnest([y + 3000, y + 6500, y + 13000]) FROM nr WHERE k % 3 = 0),
+re AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w2) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w2) AS y1 FROM rv WINDOW w AS (PARTITION BY ring ORDER BY pos), w2 AS (PARTITION BY ring ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+gc AS (SELECT cx, cy, cx * 4096.0::DOUBLE AS gx, cy * 4096.0::DOUBLE AS gy FROM (SELECT unnest(range(34400, 34450)) AS cx), (SELECT unnest(range(6240, 6290)) AS cy)),
+hit AS (SELECT cx, cy FROM gc JOIN re ON least(x, x1) <= gx + 8192 AND greatest(x, x1) >= gx - 4096 AND least(y, y1) <= gy + 8192 AND greatest(y, y1) >= gy - 4096, LATERAL (SELECT unnest(range(0, 2001)) / 2000.0 AS t) u GROUP BY cx, cy
+HAVING min(pow(greatest(gx - (x + t * (x1 - x)), x + t * (x1 - x) - gx - 4096, 0), 2) + pow(greatest(gy - (y + t * (y1 - y)), y + t * (y1 - y) - gy - 4096, 0), 2)) <= 4096.0 * 4096.0),
+ins AS (SELECT cx, cy, ring, hole FROM gc JOIN re ON (y > gy + 2048) <> (y1 > gy + 2048) AND gx + 2048 < (x1 - x) * (gy + 2048 - y) / (y1 - y)::DOUBLE + x GROUP BY ALL HAVING count(*) % 2 = 1),
+mk AS (SELECT cx, cy FROM hit UNION SELECT cx, cy FROM ins GROUP BY cx, cy HAVING bool_or(NOT hole) AND NOT bool_or(hole))"""
+
+
+def boundary_rings(spark, sf_dir):
+    """A triangle for each nation, every third one with a hole."""
+    k = F.col("n_nationkey")
+    x, y = 140930000 + k % 5 * 33000, 25615000 + F.floor(k / 5) * 24000
+    corners = lambda *xy: F.array(*[F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in xy])
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    outer = n.select((k * 2).alias("ring"), F.lit(False).alias("hole"), F.posexplode(corners((0, 0), (17000, 6000), (3000, 17000))).alias("pos", "p"))
+    holes = n.filter(k % 3 == 0).select((k * 2 + 1).alias("ring"), F.lit(True).alias("hole"), F.posexplode(corners((3000, 3000), (13000, 6500), (4000, 13000))).alias("pos", "p"))
+    return outer.unionByName(holes).select("ring", "hole", "pos", "p.x", "p.y")
+
+
+@query("WITH " + MASK[2:] + " SELECT cx, cy FROM mk")
+def boundary_mask(spark, sf_dir):
+    """FLT2, ASM17: cells no farther than a cell from a boundary of several rings with holes. The SQL walks along the edges in small steps."""
+    return spatial.buffered_cells(boundary_rings(spark, sf_dir), MASK_CELL, MASK_REACH)
+
+
+@query(EDGES + MASK + """, t AS (SELECT DISTINCT way, CAST(floor(x / 4096) AS BIGINT) AS cx, CAST(floor(y / 4096) AS BIGINT) AS cy FROM s)
+SELECT cx, cy, count(*) AS ways FROM t JOIN mk USING (cx, cy) GROUP BY ALL""")
 def masked_cells(spark, sf_dir):
-    """FLT2, JON11, FLT6: ways spread over cells, kept where a cell mask has the cell."""
-    t = segments(spark, sf_dir).select("way", grid.cell(F.col("x"), 65536).alias("cx"), grid.cell(F.col("y"), 65536).alias("cy")).distinct()
-    mask = t.select("cx", "cy").distinct().filter("(cx + cy) % 2 = 0")
+    """FLT2, JON11: ways spread over cells, kept where the boundary with its buffer touches the cell."""
+    t = segments(spark, sf_dir).select("way", grid.cell(F.col("x"), MASK_CELL).alias("cx"), grid.cell(F.col("y"), MASK_CELL).alias("cy")).distinct()
+    mask = spatial.buffered_cells(boundary_rings(spark, sf_dir), MASK_CELL, MASK_REACH)
     return t.join(mask, ["cx", "cy"], "left_semi").groupBy("cx", "cy").agg(F.count("*").alias("ways"))
 
 
+@query(ctes("v_tile", "v_trace") + """, b AS (SELECT way, min(event_lon) AS x0, max(event_lon) AS x1, min(event_lat) AS y0, max(event_lat) AS y1 FROM (SELECT way, lon / 10000 % 37 AS event_lon, lat / 10000 % 40 AS event_lat FROM v_trace WHERE pos <= 2) GROUP BY way),
+t AS (SELECT tile_col AS cx, tile_row AS cy FROM v_tile WHERE (tile_row + tile_col) % 4 = 0) SELECT way FROM b WHERE EXISTS (SELECT 1 FROM t WHERE floor(x0) <= cx AND cx <= floor(x1) AND floor(y0) <= cy AND cy <= floor(y1))""")
+def covered_boxes(spark, sf_dir):
+    """FLT6: boxes that overlap a raster tile; the boxes hold the first two points of each trace, tiles are there for a quarter of the grid."""
+    t = view(spark, sf_dir, "v_trace").filter("pos <= 2").select("way", (F.col("lon") / 10000 % 37).alias("x"), (F.col("lat") / 10000 % 40).alias("y"))
+    boxes = t.groupBy("way").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    there = view(spark, sf_dir, "v_tile").select(F.col("tile_col").alias("cx"), F.col("tile_row").alias("cy")).filter("(cx + cy) % 4 = 0")
+    return spatial.boxes_on_cells(boxes, there, "way", 1.0).select("way")
+
+
+@query(ctes("v_trace") + SEGMENTS + """, bs AS (SELECT way, pos, ax, ay, bx, by_, cx, cy, bx - ax AS dx, by_ - ay AS dy, cx * 4096 - 512 AS x0, (cx + 1) * 4096 + 512 AS x1, cy * 4096 - 512 AS y0, (cy + 1) * 4096 + 512 AS y1 FROM g,
+LATERAL (SELECT unnest(range(CAST(floor((least(ax, bx) - 512) / 4096.0) AS BIGINT), CAST(floor((greatest(ax, bx) + 512) / 4096.0) AS BIGINT) + 1)) AS cx) c, LATERAL (SELECT unnest(range(CAST(floor((least(ay, by_) - 512) / 4096.0) AS BIGINT), CAST(floor((greatest(ay, by_) + 512) / 4096.0) AS BIGINT) + 1)) AS cy) d),
+cl AS (SELECT *, greatest(0.0, CASE WHEN dx > 0 THEN (x0 - ax) / dx::DOUBLE WHEN dx < 0 THEN (x1 - ax) / dx::DOUBLE END, CASE WHEN dy > 0 THEN (y0 - ay) / dy::DOUBLE WHEN dy < 0 THEN (y1 - ay) / dy::DOUBLE END) AS t0,
+least(1.0, CASE WHEN dx > 0 THEN (x1 - ax) / dx::DOUBLE WHEN dx < 0 THEN (x0 - ax) / dx::DOUBLE END, CASE WHEN dy > 0 THEN (y1 - ay) / dy::DOUBLE WHEN dy < 0 THEN (y0 - ay) / dy::DOUBLE END) AS t1
+FROM bs WHERE NOT (dx = 0 AND (ax < x0 OR ax > x1)) AND NOT (dy = 0 AND (ay < y0 OR ay > y1))),
+fr AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(t1) OVER w >= 1 THEN 0 ELSE 1 END AS fresh FROM cl WHERE t0 <= t1 WINDOW w AS (PARTITION BY way, cx, cy ORDER BY pos)),
+pa AS (SELECT *, sum(fresh) OVER (PARTITION BY way, cx, cy ORDER BY pos) AS part FROM fr),
+po AS (SELECT way, cx, cy, part, pos * 2 AS o, ax + t0 * dx AS x, ay + t0 * dy AS y FROM pa WHERE fresh = 1 UNION ALL SELECT way, cx, cy, part, pos * 2 + 1, ax + t1 * dx, ay + t1 * dy FROM pa),
+wd AS (SELECT way, cx, cy, part, o, (CAST(round_even(y - cy * 4096, 0) AS BIGINT) + 512) * 65536 + CAST(round_even(x - cx * 4096, 0) AS BIGINT) + 512 AS word FROM po),
+dd AS (SELECT *, lag(word) OVER (PARTITION BY way, cx, cy, part ORDER BY o) AS last FROM wd)
+SELECT way, cx, cy, CAST(part AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n, CAST(sum(word) AS BIGINT) AS total, arg_min(word, o) AS first, arg_max(word, o) AS last FROM dd WHERE last IS NULL OR last <> word GROUP BY way, cx, cy, part HAVING count(*) >= 2""")
+def placed_traces(spark, sf_dir):
+    """ASM6, GRD6, GRD9: traces cut into cells with a margin of 512 units, as packed points of each cell and part."""
+    p = spatial.placed_lines(trace_segments(spark, sf_dir), ["way"], 4096, grid.MARGIN)
+    total = F.aggregate("points", F.lit(0).cast("long"), lambda s, v: s + v)
+    return p.select("way", "cx", "cy", "part", F.size("points").alias("n"), total.alias("total"), F.element_at("points", 1).alias("first"), F.element_at("points", -1).alias("last"))
+
+
 @query(EDGES + """, pe AS (SELECT way % 20 AS cell, node, min(way * 100000 + edge * 2 + side) AS seq FROM (SELECT way, edge, a AS node, 0 AS side FROM e UNION ALL SELECT way, edge, b, 1 FROM e) GROUP BY ALL)
 SELECT cell, node, CAST(row_number() OVER (PARTITION BY cell ORDER BY seq) AS INTEGER) AS number FROM pe""")
 def piece_end_numbers(spark, sf_dir):
