@@ -179,10 +179,11 @@ def read_grid(spark: SparkSession, path: str, box: tuple[int, int, int, int] | N
     return rows if box is None else rows.filter(F.col("tile_row").between(*box[:2]) & F.col("tile_col").between(*box[2:]))
 
 
-def bilinear(points: DataFrame, tiles: DataFrame, side: int, rows: int, cols: int, key: str = "id") -> DataFrame:
+def bilinear(points: DataFrame, tiles: DataFrame, side: int, rows: int, cols: int, key: str = "id", outside: str = "zero") -> DataFrame:
     """``key, z`` for points at positions ``r, c`` of a grid of ``rows`` by ``cols`` pixels: the four pixels around each, wherever
-    their tiles are; absent ones are zero, positions on the last row or column are held just inside, points off the grid are zero."""
-    off = (F.col("r") < 0) | (F.col("c") < 0) | (F.col("r") > rows) | (F.col("c") > cols)
+    their tiles are; absent ones are zero, positions on the last row or column are held just inside. Points off the grid are zero, or with ``outside`` "edge" take
+    the value at its edge."""
+    off = F.lit(outside == "zero") & ((F.col("r") < 0) | (F.col("c") < 0) | (F.col("r") > rows) | (F.col("c") > cols))
     held = points.withColumns({"_off": off, "r": F.least(F.greatest(F.col("r"), F.lit(0.0)), F.lit(rows - 1.001)), "c": F.least(F.greatest(F.col("c"), F.lit(0.0)), F.lit(cols - 1.001))})
     r0, c0 = F.floor("r"), F.floor("c")
     corners = [(dr, dc) for dr in (0, 1) for dc in (0, 1)]
@@ -193,6 +194,142 @@ def bilinear(points: DataFrame, tiles: DataFrame, side: int, rows: int, cols: in
     return met.groupBy(key).agg(F.sum(F.col("w") * F.coalesce(F.get("z", F.col("i")), F.lit(0.0))).alias("z"))
 
 
+def height_profile(points: DataFrame, tiles: DataFrame, side: int, rows: int, cols: int, line: str) -> DataFrame:
+    """``line, pos, cm, up, down``: heights in centimetres along lines of points (``line, pos`` and grid positions ``r, c``), with the climb and
+    fall since the point before. Points off the grid take the height at its edge."""
+    at = bilinear(points.withColumn("_key", F.struct(line, "pos")), tiles, side, rows, cols, "_key", "edge")
+    z = at.select(F.col(f"_key.{line}").alias(line), F.col("_key.pos").alias("pos"), (100.0 * F.col("z")).alias("cm"))
+    step = F.col("cm") - F.lag("cm").over(Window.partitionBy(line).orderBy("pos"))
+    return z.withColumns({"up": F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0)), "down": F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0))})
+
+
+def region_windows(regions: DataFrame, tiles: DataFrame, side: int, rows: int, cols: int, n: int, margin: int = 1) -> DataFrame:
+    """``region, z``: ``n`` by ``n`` pixels with ``margin`` more on every side, resampled from whatever tiles lie under them.
+
+    ``regions``: ``region``, the grid position ``r0, c0`` of its first pixel without the margin and the step ``dr, dc`` from pixel to pixel. Pixels
+    off the grid of ``rows`` by ``cols`` are zero, absent tiles too. A tile is cut where it stands and only the strip that a region
+    needs is sent on, so a task holds the window of one region at a time."""
+    last = n - 1 + margin
+    span = lambda at, step, most: (F.least(F.greatest(F.col(at) - margin * F.col(step), F.lit(0.0)), F.lit(most - 1.001)), F.least(F.greatest(F.col(at) + last * F.col(step), F.lit(0.0)), F.lit(most - 1.001)))
+    (r_low, r_high), (c_low, c_high) = span("r0", "dr", rows), span("c0", "dc", cols)
+    window = regions.select("region", "r0", "c0", "dr", "dc", F.floor(r_low).alias("ra"), (F.floor(r_high) + 2).alias("rb"), F.floor(c_low).alias("ca"), (F.floor(c_high) + 2).alias("cb"))
+    tile = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / side).cast("long"), F.floor((F.col(b) - 1) / side).cast("long")))
+    asked = window.withColumn("tile_row", tile("ra", "rb")).withColumn("tile_col", tile("ca", "cb"))
+    met = asked.join(tiles.select("tile_row", "tile_col", F.col("z").cast("array<double>").alias("z")), ["tile_row", "tile_col"], "left")
+
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for x in pdf.itertuples():
+                a, b = max(x.ra, x.tile_row * side), min(x.rb, (x.tile_row + 1) * side)
+                c, d = max(x.ca, x.tile_col * side), min(x.cb, (x.tile_col + 1) * side)
+                z = None if x.z is None else np.asarray(x.z, float).reshape(side, side)[a - x.tile_row * side : b - x.tile_row * side, c - x.tile_col * side : d - x.tile_col * side].ravel()
+                out.append((x.region, x.r0, x.c0, x.dr, x.dc, x.ra, x.rb, x.ca, x.cb, a, b, c, d, z))
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["region", "r0", "c0", "dr", "dc", "ra", "rb", "ca", "cb", "a", "b", "c", "d", "z"]
+    kind = regions.schema["region"].dataType.simpleString()
+    strips = met.mapInPandas(cut, f"region {kind}, r0 double, c0 double, dr double, dc double, {', '.join(f'{c} long' for c in names[5:13])}, z array<double>")
+    gathered = strips.groupBy(*names[:9]).agg(F.collect_list(F.struct("a", "b", "c", "d", "z")).alias("parts"))  # the tiles under one window
+
+    def sample(batches):
+        for pdf in batches:
+            out = []
+            for x in pdf.itertuples():
+                w = np.zeros((x.rb - x.ra, x.cb - x.ca))
+                for p in x.parts:
+                    if p["z"] is not None:
+                        w[p["a"] - x.ra : p["b"] - x.ra, p["c"] - x.ca : p["d"] - x.ca] = np.asarray(p["z"], float).reshape(p["b"] - p["a"], p["d"] - p["c"])
+                r, c = x.r0 + np.arange(-margin, n + margin) * x.dr, x.c0 + np.arange(-margin, n + margin) * x.dc
+                off = ((r < 0) | (r > rows))[:, None] | ((c < 0) | (c > cols))[None]
+                r, c = np.clip(r, 0, rows - 1.001), np.clip(c, 0, cols - 1.001)
+                i, j = np.floor(r).astype(int), np.floor(c).astype(int)
+                fr, fc = (r - i)[:, None], (c - j)[None]
+                at = lambda di, dj: w[np.ix_(i + di - x.ra, j + dj - x.ca)]  # noqa: B023,E731
+                z = (at(0, 0) * (1 - fc) + at(0, 1) * fc) * (1 - fr) + (at(1, 0) * (1 - fc) + at(1, 1) * fc) * fr
+                out.append(np.where(off, 0.0, z).ravel())
+            yield pdf[["region"]].assign(z=out)
+
+    return gathered.mapInPandas(sample, f"region {kind}, z array<double>")
+
+
+def mosaic(tiles: DataFrame, wanted: DataFrame, side: int, rows: int, cols: int, grow: int = 1) -> DataFrame:
+    """The tiles among ``wanted`` (``tile_row, tile_col``) that exist, and tiles of zeros for their missing neighbours up to ``grow`` away inside
+    the grid of ``rows`` by ``cols`` tiles, which a filter over the borders fills."""
+    land = tiles.select("tile_row", "tile_col", F.col("z").cast("array<double>").alias("z")).join(wanted.select("tile_row", "tile_col").distinct(), ["tile_row", "tile_col"], "left_semi")
+    near = lambda c: F.explode(F.sequence(F.col(c) - grow, F.col(c) + grow)).alias(c)
+    around = land.select(near("tile_row"), "tile_col").select("tile_row", near("tile_col")).distinct().filter(F.col("tile_row").between(0, rows - 1) & F.col("tile_col").between(0, cols - 1))
+    return around.join(land, ["tile_row", "tile_col"], "left").withColumn("z", F.coalesce("z", F.array_repeat(F.lit(0.0), side * side)))
+
+
+#: Bits after the point of filter weights, and half width of the filter in pixels of the smaller image; fixed values.
+WEIGHT_BITS, FILTER_REACH = 22, 3
+
+
+def lanczos_weights(size: int, factor: int) -> np.ndarray:
+    """Weights of each pixel of an image side that is ``factor`` times smaller, over the pixels of the large one, in fixed point.
+
+    The kernel is cut at the image's edges and its weights are made to sum to one again."""
+    centre = (np.arange(size // factor)[:, None] + 0.5) * factor
+    x = (np.arange(size)[None] + 0.5 - centre) / factor
+    inside = (np.arange(size)[None] >= np.floor(centre - FILTER_REACH * factor + 0.5)) & (np.arange(size)[None] < np.floor(centre + FILTER_REACH * factor + 0.5))
+    w = np.where(inside & (np.abs(x) < FILTER_REACH), np.sinc(x) * np.sinc(x / FILTER_REACH), 0.0)
+    w = w / w.sum(1, keepdims=True) * (1 << WEIGHT_BITS)
+    return np.trunc(w + np.where(w < 0, -0.5, 0.5)).astype(np.int64)
+
+
+def filtered_levels(tiles: DataFrame, side: int, span: int = 8) -> DataFrame:
+    """``level, tile_row, tile_col, z``: images of regions of ``span`` by ``span`` tiles (8-bit values) at half, a quarter, ... of their size, each
+    from the tiles themselves, with a Lanczos filter that reaches over the tiles' borders but not over the region's. Rows are filtered first
+    and rounded to 8 bits, then columns. A tile exists if one of those under it does.
+
+    Every tile is cut into what each smaller tile needs of it; a task holds what lies under one smaller tile."""
+    factors = [1 << k for k in range(1, span.bit_length())]
+
+    def reach(factor: int, t: int) -> tuple[int, int]:
+        return max(0, (t * side - FILTER_REACH) * factor - 1), min(span * side, ((t + 1) * side + FILTER_REACH) * factor + 1)
+
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for row, col, z in zip(pdf["tile_row"], pdf["tile_col"], pdf["z"]):
+                a, r, c = np.asarray(z, np.int64).reshape(side, side), row % span, col % span
+                for level, factor in enumerate(factors, 1):
+                    for i in range(span // factor):
+                        top, end = (np.clip(np.array(reach(factor, i)) - r * side, 0, side)).tolist()
+                        for j in range(span // factor):
+                            left, right = (np.clip(np.array(reach(factor, j)) - c * side, 0, side)).tolist()
+                            if top < end and left < right:
+                                own = r // factor == i and c // factor == j
+                                out.append((level, row // span * (span // factor) + i, col // span * (span // factor) + j, r * side + top, c * side + left, end - top, own, a[top:end, left:right].ravel()))
+            yield pd.DataFrame(out, columns=["level", "tile_row", "tile_col", "top", "left", "height", "own", "part"])
+
+    sent = tiles.select(F.col("tile_row").cast("long"), F.col("tile_col").cast("long"), "z").mapInPandas(cut, "level int, tile_row long, tile_col long, top int, left int, height int, own boolean, part array<int>")
+    under = sent.groupBy("level", "tile_row", "tile_col").agg(F.collect_list(F.struct("top", "left", "height", "part")).alias("parts"), F.bool_or("own").alias("own")).filter("own").drop("own")
+
+    def clipped(v: np.ndarray) -> np.ndarray:
+        return np.clip(v + (1 << WEIGHT_BITS - 1) >> WEIGHT_BITS, 0, 255)
+
+    def filter_(batches):
+        weights = {level: lanczos_weights(span * side, factor) for level, factor in enumerate(factors, 1)}
+        for pdf in batches:
+            out = []
+            for level, row, col, parts in zip(pdf["level"], pdf["tile_row"], pdf["tile_col"], pdf["parts"]):
+                factor = factors[level - 1]
+                i, j = row % (span // factor), col % (span // factor)
+                (top, end), (left, right) = reach(factor, i), reach(factor, j)
+                image = np.zeros((end - top, right - left), np.int64)
+                for p in parts:
+                    part = np.asarray(p["part"]).reshape(p["height"], -1)
+                    image[p["top"] - top : p["top"] - top + part.shape[0], p["left"] - left : p["left"] - left + part.shape[1]] = part
+                w = weights[level]
+                across = clipped(image @ w[j * side : (j + 1) * side, left:right].T)
+                out.append(clipped(w[i * side : (i + 1) * side, top:end] @ across).ravel())
+            yield pdf[["level", "tile_row", "tile_col"]].assign(z=out)
+
+    return under.mapInPandas(filter_, "level int, tile_row long, tile_col long, z array<int>")
+
+
 def touched_tiles(edges: DataFrame, size: float, grow: int = 2) -> DataFrame:
     """Tiles that an area with the edges ``x0, y0, x1, y1`` touches, grown by ``grow`` tiles on every side: those that an edge runs
     through, and those inside, whose centre lies between two crossings of a line through the middle of their row."""

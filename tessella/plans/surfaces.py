@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import areas, raster, spatial
@@ -201,6 +202,77 @@ def sampled_heights(spark, sf_dir):
     return raster.bilinear(p, t, 8, 8 * ((size.r or 0) + 1), 8 * ((size.c or 0) + 1)).select("id", F.round("z", 5).alias("z"))
 
 
+def grid_size(t):
+    size = t.agg(F.max("tile_row").alias("r"), F.max("tile_col").alias("c")).first()
+    return (size.r or 0) + 1, (size.c or 0) + 1
+
+
+@query(TILES + """, q AS (SELECT user_id AS way, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos, CAST(event_id * 7919 % 17000 AS DOUBLE) / 100 - 5 AS r, CAST(event_id * 6101 % 21000 AS DOUBLE) / 100 - 5 AS c FROM events),
+f AS (SELECT way, pos, least(greatest(r, 0.0), CAST(h AS DOUBLE) - 1.001) AS r, least(greatest(c, 0.0), CAST(w AS DOUBLE) - 1.001) AS c FROM q, dim),
+w AS (SELECT way, pos, floor(r) + dr AS pr, floor(c) + dc AS pc, (CASE dr WHEN 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END) * (CASE dc WHEN 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) AS wt FROM f, (VALUES (0), (1)) x(dr), (VALUES (0), (1)) y(dc)),
+z AS (SELECT way, pos, 100 * sum(wt * coalesce(px.z, 0)) AS cm FROM w LEFT JOIN px ON px.r = w.pr AND px.c = w.pc GROUP BY way, pos),
+d AS (SELECT *, cm - lag(cm) OVER (PARTITION BY way ORDER BY pos) AS step FROM z)
+SELECT way, pos, round(cm, 3) AS cm, round(coalesce(greatest(step, 0.0), 0.0), 3) AS up, round(coalesce(greatest(-step, 0.0), 0.0), 3) AS down FROM d""")
+def height_profiles(spark, sf_dir):
+    """QRY4, JON17, WIN2: heights in cm along ordered points, some off the grid, with climbs and falls."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    p = e.select(F.col("user_id").alias("way"), F.row_number().over(order).cast("long").alias("pos"), (F.col("event_id") * 7919 % 17000 / 100 - 5).alias("r"), (F.col("event_id") * 6101 % 21000 / 100 - 5).alias("c"))
+    t = tiles(spark, sf_dir)
+    rows, cols = grid_size(t)
+    found = raster.height_profile(p, t, 8, 8 * rows, 8 * cols, "way")
+    return found.select("way", "pos", *[F.round(c, 3).alias(c) for c in ("cm", "up", "down")])
+
+
+@query(TILES + """, g AS (SELECT c_custkey AS region, c_custkey * 7919 % 16000 / 100.0 - 4 AS r0, c_custkey * 6101 % 20000 / 100.0 - 4 AS c0, 0.5 + c_custkey % 5 * 0.6 AS dr, 0.75 + c_custkey % 3 AS dc FROM customer WHERE c_custkey % 3 = 0),
+p AS (SELECT region, (i + 1) * 6 + j + 1 AS k, CAST(r0 + i * dr AS DOUBLE) AS r, CAST(c0 + j * dc AS DOUBLE) AS c FROM g, (SELECT unnest(range(-1, 5)) AS i), (SELECT unnest(range(-1, 5)) AS j)),
+f AS (SELECT region, k, least(greatest(r, 0.0), CAST(h AS DOUBLE) - 1.001) AS r, least(greatest(c, 0.0), CAST(w AS DOUBLE) - 1.001) AS c, r < 0 OR c < 0 OR r > h OR c > w AS gone FROM p, dim),
+w AS (SELECT region, k, floor(r) + dr AS pr, floor(c) + dc AS pc, CASE WHEN gone THEN 0.0 ELSE (CASE dr WHEN 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END) * (CASE dc WHEN 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) END AS wt FROM f, (VALUES (0), (1)) x(dr), (VALUES (0), (1)) y(dc))
+SELECT region, CAST(k AS INTEGER) AS k, round(sum(wt * coalesce(px.z, 0)), 5) AS z FROM w LEFT JOIN px ON px.r = w.pr AND px.c = w.pc GROUP BY region, k""")
+def region_heights(spark, sf_dir):
+    """RAS4: regions of four by four pixels with a margin of one, of several pixel sizes, resampled from the tiles under them; some off the grid."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter(k % 3 == 0)
+    regions = c.select(k.alias("region"), (k * 7919 % 16000 / 100.0 - 4).alias("r0"), (k * 6101 % 20000 / 100.0 - 4).alias("c0"), (0.5 + k % 5 * 0.6).alias("dr"), (0.75 + k % 3).alias("dc"))
+    t = tiles(spark, sf_dir)
+    rows, cols = grid_size(t)
+    found = raster.region_windows(regions, t, 8, 8 * rows, 8 * cols, 4)
+    return found.select("region", F.posexplode("z").alias("k", "z")).select("region", "k", F.round("z", 5).alias("z"))
+
+
+WANTED = "(tile_row * 5 + tile_col * 3) % 7 < 3"
+
+
+@query(TILES + f""", ld AS (SELECT tile_row, tile_col FROM v_tile WHERE {WANTED}), kp AS (SELECT DISTINCT tile_row + i AS tile_row, tile_col + j AS tile_col FROM ld, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), dim WHERE tile_row + i BETWEEN 0 AND h // 8 - 1 AND tile_col + j BETWEEN 0 AND w // 8 - 1),
+g AS (SELECT r, c FROM (SELECT unnest(range(0, h)) AS r FROM dim), LATERAL (SELECT unnest(range(0, (SELECT w FROM dim))) AS c)), f AS (SELECT g.r, g.c, CASE WHEN (g.r // 8, g.c // 8) IN (SELECT (tile_row, tile_col) FROM ld) THEN px.z ELSE 0 END AS z FROM g LEFT JOIN px ON px.r = g.r AND px.c = g.c),
+k AS (SELECT d, exp(-0.5 * d * d) / (SELECT sum(exp(-0.5 * j * j)) FROM (SELECT unnest(range(-4, 5)) AS j)) AS wt FROM (SELECT unnest(range(-4, 5)) AS d)),
+a AS (SELECT f.r, f.c, CASE WHEN f.r + d < 0 THEN -(f.r + d) - 1 WHEN f.r + d >= h THEN 2 * h - 1 - f.r - d ELSE f.r + d END AS sr, wt FROM f, k, dim),
+v AS (SELECT a.r, a.c, sum(wt * f.z) AS z FROM a JOIN f ON f.r = a.sr AND f.c = a.c GROUP BY ALL),
+b AS (SELECT v.r, v.c, CASE WHEN v.c + d < 0 THEN -(v.c + d) - 1 WHEN v.c + d >= w THEN 2 * w - 1 - v.c - d ELSE v.c + d END AS sc, wt FROM v, k, dim),
+s AS (SELECT b.r, b.c, sum(wt * v.z) AS z FROM b JOIN v ON v.r = b.r AND v.c = b.sc GROUP BY ALL)
+SELECT r // 8 AS tile_row, c // 8 AS tile_col, CAST((r % 8) * 8 + c % 8 AS INTEGER) AS i, round(z, 5) AS v FROM s WHERE (r // 8, c // 8) IN (SELECT (tile_row, tile_col) FROM kp)""")
+def smoothed_mosaic(spark, sf_dir):
+    """RAS2, RAS3: a mosaic of wanted tiles, zeros for their missing neighbours, smoothed."""
+    t = tiles(spark, sf_dir)
+    rows, cols = grid_size(t)
+    return pixels(raster.smooth(raster.mosaic(t, t.filter(WANTED), 8, rows, cols), 8, rows, cols))
+
+
+@query(TILES + """, iv AS (SELECT r // 64 AS rr, c // 64 AS rc, r % 64 AS r, c % 64 AS c, CAST(least(greatest(floor((z + 0.4) * 300), 0), 255) AS BIGINT) AS v FROM px),
+lf AS (SELECT unnest([1, 2, 3]) AS level, unnest([2, 4, 8]) AS f), ox AS (SELECT level, f, unnest(range(0, 64 // f)) AS o FROM lf),
+wx AS (SELECT level, o, x, CASE WHEN abs((x + 0.5 - (o + 0.5) * f) / f) >= 3 THEN 0.0 WHEN x + 0.5 = (o + 0.5) * f THEN 1.0 ELSE sin(pi() * (x + 0.5 - (o + 0.5) * f) / f) / (pi() * (x + 0.5 - (o + 0.5) * f) / f) * sin(pi() * (x + 0.5 - (o + 0.5) * f) / f / 3) / (pi() * (x + 0.5 - (o + 0.5) * f) / f / 3) END AS w FROM ox, (SELECT unnest(range(0, 64)) AS x) WHERE x >= floor((o + 0.5) * f - 3 * f + 0.5) AND x < floor((o + 0.5) * f + 3 * f + 0.5)),
+wn AS (SELECT level, o, x, w / sum(w) OVER (PARTITION BY level, o) * 4194304 AS w FROM wx), wi AS (SELECT level, o, x, CAST(trunc(CASE WHEN w < 0 THEN w - 0.5 ELSE w + 0.5 END) AS BIGINT) AS w FROM wn),
+hz AS (SELECT rr, rc, level, r, o AS c, least(greatest(CAST(floor((sum(v * w) + 2097152) / 4194304.0) AS BIGINT), 0), 255) AS v FROM iv JOIN wi ON wi.x = iv.c GROUP BY rr, rc, level, r, o),
+vt AS (SELECT rr, rc, hz.level, o AS r, c, least(greatest(CAST(floor((sum(v * w) + 2097152) / 4194304.0) AS BIGINT), 0), 255) AS v FROM hz JOIN wi ON wi.level = hz.level AND wi.x = hz.r GROUP BY rr, rc, hz.level, o, c),
+kp AS (SELECT DISTINCT level, f, tile_row // f AS tr, tile_col // f AS tc FROM v_tile, lf), ki AS (SELECT *, tr * 8 + i // 8 AS gr, tc * 8 + i % 8 AS gc FROM kp, (SELECT unnest(range(0, 64)) AS i))
+SELECT CAST(ki.level AS INTEGER) AS level, tr AS tile_row, tc AS tile_col, CAST(i AS INTEGER) AS i, CAST(coalesce(v, 0) AS INTEGER) AS v FROM ki LEFT JOIN vt ON vt.level = ki.level AND vt.rr = gr // (64 // f) AND vt.r = gr % (64 // f) AND vt.rc = gc // (64 // f) AND vt.c = gc % (64 // f)""")
+def filtered_pyramid(spark, sf_dir):
+    """RAS8: three levels of regions of eight by eight tiles by the Lanczos filter, in the fixed point of 8-bit images."""
+    z = F.transform("z", lambda h: F.least(F.greatest(F.floor((h + 0.4) * 300), F.lit(0)), F.lit(255)).cast("int"))
+    found = raster.filtered_levels(tiles(spark, sf_dir).withColumn("z", z), 8)
+    return found.select("level", "tile_row", "tile_col", F.posexplode("z").alias("i", "v"))
+
+
 @query(ctes("v_tile") + """, u AS (SELECT tile_row, tile_col, list_transform(z, lambda h: 6.0 * (CAST(h AS DOUBLE) * 1000 + 1000.0)) AS u FROM v_tile), a AS (SELECT *, CAST(floor(list_min(u)) AS BIGINT) AS a1, CAST(ceil(list_max(u)) AS BIGINT) AS hi FROM u), b AS (SELECT *, least(greatest(65535 // greatest(hi - a1, 1), 1), 255) AS a0 FROM a)
 SELECT tile_row, tile_col, a0, a1, CAST(list_sum(list_transform(u, lambda h: round_even((h - a1) * a0, 0))) AS BIGINT) AS total, list_max(u) > 6000.5 AS land FROM b""")
 def quantised_tiles(spark, sf_dir):
