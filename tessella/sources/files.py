@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import land
+
 
 def boundary(spark: SparkSession, path: str) -> DataFrame:
     """``file, ring, hole, pos, x, y`` (decimicrodegrees) of ``.poly`` files: a ring per section, ``!`` marks a hole."""
@@ -89,27 +91,20 @@ def elevation(spark: SparkSession, path: str) -> DataFrame:
 
 def land_rings(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """``record, ring, hole, pos, x, y`` (degrees) of polygon shapefiles; records outside ``box`` (x0, y0, x1, y1) are skipped
-    by their stored boxes. Outer rings run clockwise, holes counter-clockwise."""
+    by their stored boxes. Outer rings run clockwise, holes counter-clockwise. A file on a mounted disk is read by ranges of records,
+    files in a store one to a task."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in map(bytes, pdf["content"]):
-                at, out = 100, []
+                at, out = land.HEADER_BYTES, []
                 while at + 12 <= len(data):
                     record, words = struct.unpack(">ii", data[at : at + 8])
-                    body, at = data[at + 8 : at + 8 + 2 * words], at + 8 + 2 * words
-                    if struct.unpack("<i", body[:4])[0] != 5:
-                        continue
-                    x0, y0, x1, y1 = struct.unpack("<4d", body[4:36])
-                    if box and (x1 < box[0] or x0 > box[2] or y1 < box[1] or y0 > box[3]):
-                        continue
-                    parts, points = struct.unpack("<ii", body[36:44])
-                    starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
-                    xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
-                    for ring, (a, b) in enumerate(zip(starts, starts[1:])):
-                        p = xy[a:b] - xy[a]
-                        hole = bool((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum() > 0)
-                        out.append(pd.DataFrame({"record": record, "ring": ring, "hole": hole, "pos": np.arange(b - a), "x": xy[a:b, 0], "y": xy[a:b, 1]}))
-                if out:
-                    yield pd.concat(out)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "record int, ring int, hole boolean, pos int, x double, y double")
+                    out += land.rings_of(record, data[at + 8 : at + 8 + 2 * words], box)
+                    at += 8 + 2 * words
+                yield pd.DataFrame([(*r[:3], [{"x": x, "y": y} for x, y in r[3]]) for r in out], columns=["record", "ring", "hole", "points"])
+
+    if land.local_path(path):
+        rings = land.read_rings(spark, path, box)
+    else:
+        rings = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, land.RINGS)
+    return rings.select("record", "ring", "hole", F.posexplode("points").alias("pos", "p")).select("record", "ring", "hole", "pos", "p.x", "p.y")
