@@ -151,24 +151,30 @@ class RollupLog:
         return sorted({*self._names("batch_id="), *self._compacted()[1]})
 
     def compact(self) -> None:
-        """Sum all batches so far into one file set; the batches' own folders are deleted afterwards, their ids stay committed."""
+        """Sum all batches so far into one file set; their ids stay committed.
+
+        What is summed is the list taken first, so a batch that is committed meanwhile stays outside, with its own folder. Readers may still
+        be at the folders of these batches and at the compaction before: the next compaction deletes them."""
         before, held = self._compacted()
-        own = self._names("batch_id=")
+        own = [b for b in self._names("batch_id=") if b not in held]
         number = f"{int(before or 0) + 1:09d}"
         aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{aside}/totals")  # as few rows as the totals
+        self._sum(own, before).coalesce(1).write.parquet(f"{aside}/totals")  # as few rows as the totals
         self.spark.createDataFrame([(b,) for b in sorted({*own, *held})], "id string").coalesce(1).write.json(f"{aside}/batches")
         if self._fs.exists(self._of(f"{self.path}/compact={number}")) or not self._fs.rename(self._of(aside), self._of(f"{self.path}/compact={number}")):
             raise RuntimeError("another compaction came first")
-        for name in own:
+        for name in set(self._names("batch_id=")) & set(held):
             self._fs.delete(self._of(self._folder(name)), True)
-        if before:
-            self._fs.delete(self._of(f"{self.path}/compact={before}"), True)
+        for old in self._names("compact="):
+            if before and old < before:
+                self._fs.delete(self._of(f"{self.path}/compact={old}"), True)
+
+    def _sum(self, batches: list[str], compaction: str | None) -> DataFrame:
+        schema = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
+        found = [self._folder(b) for b in batches] + ([f"{self.path}/compact={compaction}/totals"] if compaction else [])
+        return _summed(self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema))
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, docs, tokens`` over all committed batches."""
-        schema = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
         newest, held = self._compacted()
-        found = [self._folder(b) for b in self._names("batch_id=") if b not in held] + ([f"{self.path}/compact={newest}/totals"] if newest else [])
-        rows = self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
-        return _summed(rows)
+        return self._sum([b for b in self._names("batch_id=") if b not in held], newest)
