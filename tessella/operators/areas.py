@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,19 +21,21 @@ def odd_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
     return odd.select(*keys, F.col("p.x").alias("xa"), F.col("p.y").alias("ya"), F.col("q.x").alias("xb"), F.col("q.y").alias("yb"))
 
 
-def split_ring(points: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    out, stack, place = [], [], {}
-    for p in points:
-        if p in place:
-            loop = stack[place[p] :]
-            for q in loop:
-                del place[q]
-            del stack[len(stack) - len(loop) :]
-            if len(loop) >= 3:
-                out.append(loop)
-        place[p] = len(stack)
-        stack.append(p)
-    return out + ([stack] if len(stack) >= 3 else [])
+def simple_rings(ring: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The rings of at least three points that are left when a ring is cut at each vertex that it visits again.
+
+    The smallest such vertex comes first: all its visits cut at once, and every stretch from one to the next is a ring to look at anew."""
+    whole, todo = [], [ring]
+    while todo:
+        one = todo.pop()
+        again = [p for p, n in Counter(one).items() if n > 1]
+        if not again:
+            whole.append(one)
+            continue
+        turned = one[one.index(min(again)) :] + one[: one.index(min(again))]
+        cuts = [i for i, p in enumerate(turned) if p == turned[0]]
+        todo += [turned[i:j] for i, j in zip(cuts, [*cuts[1:], len(turned)])]
+    return [r for r in whole if len(r) > 2]
 
 
 def twice_area(ring: list[tuple[int, int]]) -> int:
@@ -92,7 +96,7 @@ def assemble(segments: DataFrame, key: str, band: int = 1 << 14) -> tuple[DataFr
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (area, _), one in pdf.groupby([key, "component"], sort=True):
-            for ring in split_ring(_closed_walk(list(one[["x", "y", "a", "b"]].itertuples(index=False, name=None)))):
+            for ring in simple_rings(_closed_walk(list(one[["x", "y", "a", "b"]].itertuples(index=False, name=None)))):
                 points, (px, py) = normal_ring(ring, True), _inner_point(ring)
                 out.append((area, px, py, abs(twice_area(ring)), [{"x": x, "y": y} for x, y in points]))
         return pd.DataFrame(out, columns=[key, "px", "py", "size", "points"])
