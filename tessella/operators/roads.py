@@ -100,6 +100,16 @@ def street_pieces(segments: DataFrame, size: int) -> DataFrame:
     return parts.select("way", "edge", "part", "pos", "t0", "before", "total", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("qx").alias("bx"), F.col("qy").alias("by"), "cx", "cy")
 
 
+def piece_measures(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``piece, length, first_node, last_node`` of street pieces (``street_pieces`` with ``piece``): the share of the edge's length (of
+    ``edge_measures``) by planar lengths, in whole length units, and the edge's end nodes where the piece reaches them, else null."""
+    one = parts.groupBy("way", "edge", "part", "piece").agg(F.max("total").alias("total"))
+    edge = Window.partitionBy("way", "edge")
+    one = one.withColumns({"_planar": F.sum("total").over(edge), "_last": F.max("part").over(edge)}).join(edges.select("way", "edge", "a", "b", F.col("length").alias("_length")), ["way", "edge"])
+    length = F.rint(F.when(F.col("_planar") != 0, F.col("_length") * F.col("total") / F.col("_planar")).otherwise(0.0)).cast("long")
+    return one.select("piece", length.alias("length"), F.when(F.col("part") == 0, F.col("a")).alias("first_node"), F.when(F.col("part") == F.col("_last"), F.col("b")).alias("last_node"))
+
+
 def left_turns(half: DataFrame, angle: float = 35.0, road_class: int = 7, most: int = 5) -> DataFrame:
     """``node, turns``: pairs of outgoing car edges that turn left by more than ``angle``, packed six bits each.
 

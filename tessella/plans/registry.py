@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .common import ORACLE_SQL, QUERIES
 
-MODULES = ("basics", "entities", "roads", "places", "search", "surfaces", "operations")
+MODULES = ("basics", "entities", "roads", "places", "search", "surfaces", "operations", "stored")
 
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
