@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,17 +44,28 @@ def fold(name: Column, ae: str = "a") -> Column:
     return F.translate(lowered, _ACCENTED, _PLAIN)
 
 
+@cache
+def _marks() -> dict[int, None]:
+    """All combining marks, to be dropped."""
+    return {c: None for c in range(0x300, 0x110000) if unicodedata.combining(chr(c))}
+
+
 @F.pandas_udf(StringType())
-def fold_exact(names: pd.Series) -> pd.Series:
-    """``fold`` for all scripts: compatibility decomposition without combining marks."""
+def _decomposed(names: pd.Series) -> pd.Series:
     def one(name):
-        if name is None:
-            return None
         lowered = name.lower().replace("ø", "o").replace("æ", "a").replace("ß", "ss").replace("ς", "σ")
-        return "".join(c for c in unicodedata.normalize("NFKD", lowered) if not unicodedata.combining(c))
+        return lowered if lowered.isascii() else unicodedata.normalize("NFKD", lowered).translate(_marks())
     return names.map(one, na_action="ignore")
 
 
+def fold_exact(name: Column | str) -> Column:
+    """``fold`` for all scripts: compatibility decomposition without combining marks. Only names with other letters and signs than those of
+    West European languages go to Python."""
+    name = F.col(name) if isinstance(name, str) else name
+    plain = name.rlike(r"^[\x00-\x7FÀ-ÖØ-Ýÿßæøåàáâãäçèéêëìíîïñòóôõöùúûüý]*$") & ~name.rlike("[ÐÞð]")
+    return F.when(plain, fold(name)).otherwise(_decomposed(F.when(~plain, name)))
+
+
 def key_words(name: Column, exact: bool = True) -> Column:
     """The words of each part of a name (parts end at ", ") as they stand in the search index, without the region in brackets at its end.
     ``exact``: letters of all scripts are decomposed (an Arrow UDF), else Latin ones only."""

@@ -111,10 +111,11 @@ def search_index(results: DataFrame) -> DataFrame:
     return results.withColumn("key", F.explode(search_keys(F.col("name"))))
 
 
-def prefix_counts(index: DataFrame, longest: int) -> DataFrame:
-    """Distinct results below every prefix."""
-    p = index.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(longest))), lambda n: F.substring("key", F.lit(1), n))))
-    return p.select("prefix", "id").distinct().groupBy("prefix").agg(F.count("*").alias("results"))
+def prefix_counts(results: DataFrame, longest: int) -> DataFrame:
+    """``prefix, results``: distinct results below every prefix of their keys, up to ``longest`` letters. ``results``: ``id, name``, one row for
+    each id, so that its prefixes are made distinct inside the row and only counts are shuffled."""
+    prefixes = F.transform(search_keys(F.col("name")), lambda k: F.transform(F.sequence(F.lit(1), F.least(F.length(k), F.lit(longest))), lambda n: F.substring(k, F.lit(1), n)))
+    return results.select(F.explode(F.array_distinct(F.flatten(prefixes))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("results"))
 
 
 def prefix_search(index: DataFrame, queries: DataFrame) -> DataFrame:

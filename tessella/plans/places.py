@@ -149,7 +149,7 @@ def postcode_districts(spark, sf_dir):
 @query(ctes("v_name") + KEYS_SQL + ", p AS (SELECT DISTINCT substr(key, 1, n) AS prefix, id FROM k, LATERAL (SELECT unnest(range(1, 4)) AS n) WHERE length(key) >= n) SELECT prefix, count(*) AS results FROM p GROUP BY prefix")
 def prefix_counts(spark, sf_dir):
     """AGG17, QRY1: distinct results below every prefix of up to three letters."""
-    return addresses.prefix_counts(addresses.search_index(view(spark, sf_dir, "v_name").select("id", "name")), 3)
+    return addresses.prefix_counts(view(spark, sf_dir, "v_name").select("id", "name"), 3)
 
 
 @query(ctes("v_name", "v_place") + KEYS_SQL + ", pq AS (SELECT DISTINCT substr(key, 1, 3) AS query FROM k WHERE length(key) >= 3 UNION SELECT DISTINCT key FROM k WHERE length(key) <= 5), h AS (SELECT query, id, bool_or(key = query) AS exact FROM pq JOIN k ON starts_with(key, query) GROUP BY ALL) SELECT query, id, exact FROM h")
