@@ -281,6 +281,32 @@ def seamark_codes(spark, sf_dir):
     return b.select("id", seamarks.category(kind, F.col("tags")).alias("category"), seamarks.body_colour(kind, F.col("tags")).alias("colour_bits"), seamarks.light_string(F.col("ls")).alias("light"))
 
 
+MARKS = """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'light_major' WHEN 1 THEN 'bridge' WHEN 2 THEN 'platform' ELSE 'radio_station' END AS kind, CASE event_id % 3 WHEN 0 THEN 'swing' WHEN 1 THEN 'dgps' END AS cat,
+CASE WHEN event_id % 5 < 3 THEN 'red' ELSE 'white' END AS c1, CASE WHEN event_id % 7 < 3 THEN 'green' ELSE 'white' END AS c2, event_id * 37 % 360 AS a, event_id * 91 % 360 AS b, 3 + event_id % 4 AS period, 4 + event_id % 9 AS low, 15 + event_id % 6 AS high FROM events"""
+
+
+@query(f"WITH m AS ({MARKS})" + """, l AS (SELECT id, unnest([0, 1]) AS seq, unnest([c1, c2]) AS c, unnest([a, b]) AS f, unnest([b, (a + b) % 360]) AS t, period FROM m),
+s AS (SELECT id, CASE c WHEN 'white' THEN 1 WHEN 'red' THEN 3 ELSE 4 END AS code, seq, floor((f + 180) % 360 * 4096.0 / 360) / 10 AS f, floor((t + 180) % 360 * 4096.0 / 360) / 10 AS t, 'Fl.' || upper(c[1]) || '.' || period || 's' AS label FROM l),
+g AS (SELECT id, string_agg(code || ':' || seq || ':' || round(f * 10) :: BIGINT || ':' || round(t * 10) :: BIGINT || ':370:' || label, ',' ORDER BY code, seq) AS sectors FROM s GROUP BY id),
+d AS (SELECT *, CASE kind WHEN 'light_major' THEN 'Light major' WHEN 'bridge' THEN CASE cat WHEN 'swing' THEN 'Swing bridge' WHEN 'dgps' THEN 'Dgps bridge' ELSE 'Bridge' END WHEN 'platform' THEN CASE WHEN cat IS NULL THEN 'Platform' ELSE 'Platform(' || cat || ')' END ELSE CASE cat WHEN 'dgps' THEN 'Differential GPS' ELSE 'Radio station' END END AS description,
+'Fl.' || CASE WHEN 'white' IN (c1, c2) THEN 'W' ELSE '' END || CASE WHEN 'red' IN (c1, c2) THEN 'R' ELSE '' END || CASE WHEN 'green' IN (c1, c2) THEN 'G' ELSE '' END || '.' || period || 's' || low || '-' || high || 'M' AS light FROM m)
+SELECT id, description, sectors, '18Op ' || id % 10 || '|19' || description || '|24' || light || '|3612' AS attributes, CASE WHEN kind = 'bridge' THEN '4' || low || '.5|' ELSE '' END || '5' || light AS label FROM d JOIN g USING (id)""")
+def seamark_texts(spark, sf_dir):
+    """TAG15, TAG16, TAG17, TAG18, TAG19: descriptions, sectors of two numbered lights, attribute strings and label lines of four kinds of marks."""
+    m = spark.sql(MARKS.replace("FROM events", "FROM {e}"), e=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    text, kind = (lambda c: F.col(c).cast("string")), F.col("kind")
+    light = lambda i, c, f, t, reach: [(f"seamark:light:{i}:character", F.lit("Fl")), (f"seamark:light:{i}:colour", F.col(c)), (f"seamark:light:{i}:sector_start", f.cast("string")), (f"seamark:light:{i}:sector_end", t.cast("string")),
+                                       (f"seamark:light:{i}:period", text("period")), (f"seamark:light:{i}:range", text(reach)), (f"seamark:light:{i}:height", F.lit("12.0"))]
+    a, b = F.col("a"), F.col("b")
+    pairs = [(F.lit(k), v) for k, v in (*light(1, "c1", a, b, "low"), *light(2, "c2", b, (a + b) % 360, "high"), ("operator", F.concat(F.lit("Op "), F.col("id") % 10)), ("seamark:bridge:clearance_height", F.concat(text("low"), F.lit(".50"))))]
+    tags = F.map_concat(F.create_map(*[x for pair in pairs for x in pair]), F.when(F.col("cat").isNotNull(), F.create_map(F.concat(F.lit("seamark:"), kind, F.lit(":category")), F.col("cat"))).otherwise(F.create_map().cast("map<string,string>")))
+    m = m.withColumn("tags", tags).withColumn("ls", seamarks.lights(F.col("tags")))
+    tenths = lambda v: F.rint(v * 10).cast("long")
+    sector = lambda s: F.concat_ws(":", s.getField("colour"), s.getField("seq"), tenths(s.getField("start")), tenths(s.getField("end")), s.getField("radius"), s.getField("label"))
+    return m.select("id", seamarks.description(kind, F.col("tags")).alias("description"), F.array_join(F.transform(seamarks.sectors(F.col("ls")), sector), ",").alias("sectors"),
+                    seamarks.attributes(kind, F.col("tags"), F.col("ls")).alias("attributes"), seamarks.label(kind, F.col("tags"), F.col("ls")).alias("label"))
+
+
 @query("SELECT user_id, round(fsum(value * 1e6 + event_id), 3) AS total, round(fsum(value * 1e6 + event_id) / count(*), 6) AS mean FROM events GROUP BY user_id")
 def compensated_sums(spark, sf_dir):
     """TXT12: compensated sums and means in a fixed order."""

@@ -51,3 +51,37 @@ def places(nodes: DataFrame) -> DataFrame:
     """``id, lon, lat, place, name`` of place nodes."""
     tags = F.col("tags")
     return _kept(nodes, rules.is_place(tags), "lon", "lat", rules.tag(tags, "place").alias("place"), rules.tag(tags, "name").alias("name"))
+
+
+def seamarks(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """``kind, id, seamark, tags`` of nodes, ways and area relations that are sea marks, with all their tags."""
+    tags = F.col("tags")
+    of = lambda kind, rows: _kept(rows, F.coalesce(rules.tag(tags, "seamark:type"), F.lit("")) != "", F.lit(kind).alias("kind"), rules.tag(tags, "seamark:type").alias("seamark"), "tags")
+    return of("n", nodes).unionByName(of("w", ways)).unionByName(of("r", relations.filter(rules.is_multipolygon(tags)))).select("kind", "id", "seamark", "tags")
+
+
+def admin_regions(relations: DataFrame) -> DataFrame:
+    """``id, level, name, members`` of administrative areas of the levels that addresses use, with their member ways, each once."""
+    tags = F.col("tags")
+    ways = F.array_distinct(F.transform(F.filter("members", lambda m: m.getField("type") == "way"), lambda m: m.getField("ref")))
+    level = relations.withColumn("level", rules.region_level(tags))
+    return _kept(level, F.col("level").isNotNull(), "level", rules.tag(tags, "name").alias("name"), ways.alias("members"))
+
+
+def member_ways(area_relations: DataFrame, ways: DataFrame) -> DataFrame:
+    """``relation, id, refs``: the ways that make the outlines of area relations (``id, members`` of way ids), whatever tags they have."""
+    wanted = area_relations.select(F.col("id").alias("relation"), F.explode("members").alias("id")).distinct()
+    return wanted.join(ways.select("id", "refs"), "id").select("relation", "id", "refs")
+
+
+def interpolations(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, kind, street, points`` of interpolation ways: their nodes in order (``x, y`` as longitude and latitude, ``hn, street``, null at nodes
+    without a number); ways of fewer than two known nodes are left out. A row holds the nodes of one way."""
+    tags = F.col("tags")
+    lines = _kept(ways, F.coalesce(rules.tag(tags, "addr:interpolation"), F.lit("")) != "", "refs", rules.tag(tags, "addr:interpolation").alias("kind"), rules.tag(tags, "addr:street").alias("street"))
+    hn = rules.tag(tags, "addr:housenumber")
+    spots = nodes.select(F.col("id").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y"), hn.alias("hn"), F.when(hn.isNotNull(), rules.tag(tags, "addr:street")).alias("node_street"))
+    met = lines.select("id", F.posexplode("refs").alias("pos", "node")).join(spots, "node")
+    point = F.struct("pos", F.struct("x", "y", "hn", F.col("node_street").alias("street")).alias("p"))
+    points = met.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: p.getField("p")).alias("points")).filter(F.size("points") > 1)
+    return lines.select("id", "kind", "street").join(points, "id")
