@@ -180,6 +180,18 @@ def segment_box_distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Colu
     return F.when(~out & (t0 <= t1), 0.0).otherwise(F.sqrt(nearest))
 
 
+def centres_inside(edges: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``keys, cx, cy``: cells whose centre lies in a ring (``keys`` and directed edges ``x0, y0, x1, y1``), between every second pair of
+    crossings of a line through the middle of their row."""
+    row = lambda v: F.ceil(v / size - 0.5).cast("long")  # noqa: E731  the first row or column with its centre at or after a place
+    first, last = row(F.least("y0", "y1")), row(F.greatest("y0", "y1")) - 1
+    crossed = edges.filter(first <= last).withColumn("cy", F.explode(F.sequence(first, last)))
+    crossed = crossed.withColumn("x", F.col("x0") + ((F.col("cy") + 0.5) * size - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))
+    w = Window.partitionBy(*keys, "cy").orderBy("x")
+    gaps = crossed.select(*keys, "cy", "x").withColumns({"n": F.row_number().over(w), "to": F.lead("x").over(w)}).filter("n % 2 = 1 AND to IS NOT NULL")
+    return gaps.filter(row(F.col("x")) < row(F.col("to"))).select(*keys, F.explode(F.sequence(row(F.col("x")), row(F.col("to")) - 1)).alias("cx"), "cy")
+
+
 def buffered_cells(rings: DataFrame, size: int, reach: float) -> DataFrame:
     """``cx, cy``: cells whose box is no farther than ``reach`` from a boundary: what lies in an outer ring and in no hole.
 
@@ -189,8 +201,7 @@ def buffered_cells(rings: DataFrame, size: int, reach: float) -> DataFrame:
     along = cells_along(edges.select(F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by")), size, reach)
     low = lambda c: (F.col(c) * size).cast("double")
     near = along.filter(segment_box_distance(low("cx"), low("cy"), low("cx") + size, low("cy") + size) <= reach).select("cx", "cy").distinct()
-    whole = cover(edges, ["hole", "ring"], size).filter("NOT border").select("hole", "cx", "cy")
-    inside = whole.groupBy("cx", "cy").agg(F.bool_or(~F.col("hole")).alias("outer"), F.bool_or("hole").alias("hole")).filter("outer AND NOT hole").select("cx", "cy")
+    inside = centres_inside(edges, ["hole", "ring"], size).groupBy("cx", "cy").agg(F.bool_or(~F.col("hole")).alias("outer"), F.bool_or("hole").alias("hole")).filter("outer AND NOT hole").select("cx", "cy")
     return near.unionByName(inside).distinct()
 
 
