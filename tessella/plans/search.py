@@ -111,7 +111,10 @@ def _street_places(spark, sf_dir):
     return rows, parts, street, materialize(streets.street_places(rows, street, alternatives), "street_places")
 
 
-SORT_KEY = text.fold(F.col("name"), "ae")
+def sort_key():
+    return text.fold(F.col("name"), "ae")
+
+
 GROUPS = STREETS + f""", se AS (SELECT street, list({{'alt': alt, 'ax': ax, 'ay': ay}} ORDER BY i) AS alts FROM pl GROUP BY street),
 wp AS (SELECT piece, name, ix, iy, coalesce(alts, []) AS alts FROM sp JOIN st USING (piece) LEFT JOIN se USING (street)),
 gd AS (SELECT *, dense_rank() OVER (PARTITION BY ix, iy ORDER BY list_transform(alts, lambda a: a.alt), alts) - 1 AS grp FROM (SELECT DISTINCT ix, iy, name, alts FROM wp)),
@@ -122,7 +125,7 @@ gn AS (SELECT *, coalesce(4 * sum(len(string_split(name, ' '))) OVER (PARTITION
 def place_groups(spark, sf_dir):
     """AGG16, AGG18, WIN6: groups of places in each index cell with the names of their streets and the names' offsets."""
     rows, _, street, places = _street_places(spark, sf_dir)
-    named = streets.grouped_names(rows, street, places, SORT_KEY)
+    named = streets.grouped_names(rows, street, places, sort_key())
     return named.select("ix", "iy", "grp", F.array_join(F.transform("alts", lambda a: a.getField("alt")), "|").alias("places"), "name", "offset")
 
 
@@ -130,7 +133,7 @@ def place_groups(spark, sf_dir):
 def piece_name_offsets(spark, sf_dir):
     """JON13: the offset of each piece's name in the table of its index cell."""
     rows, _, street, places = _street_places(spark, sf_dir)
-    return streets.piece_offsets(rows, street, places, SORT_KEY)
+    return streets.piece_offsets(rows, street, places, sort_key())
 
 
 RESULTS = GROUPS + """, us AS (SELECT DISTINCT a.alt, a.ax, a.ay, ix, iy FROM (SELECT ix, iy, unnest(alts) AS a FROM gn)),
@@ -144,8 +147,8 @@ rs AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)""
 
 def results(spark, sf_dir):
     rows, parts, street, places = _street_places(spark, sf_dir)
-    named = materialize(streets.grouped_names(rows, street, places, SORT_KEY), "groups")
-    offsets = streets.piece_offsets(rows, street, places, SORT_KEY)
+    named = materialize(streets.grouped_names(rows, street, places, sort_key()), "groups")
+    offsets = streets.piece_offsets(rows, street, places, sort_key())
     at = rows.select("piece", F.col("x0").alias("x"), F.col("y0").alias("y"), streets.index_cell(F.col("cx")).alias("ix"), streets.index_cell(F.col("cy")).alias("iy"))
     districts = piece_hits(parts).filter("pc IS NOT NULL").join(at, "piece").join(offsets, "piece")
     return streets.search_results(named, place_nodes(spark, sf_dir), districts)
