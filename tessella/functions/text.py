@@ -58,19 +58,23 @@ def _decomposed(names: pd.Series) -> pd.Series:
     return names.map(one, na_action="ignore")
 
 
+def _west_european(name: Column) -> Column:
+    """Whether ``fold`` alone is exact: names of letters and signs in ASCII and of West European letters."""
+    return name.rlike(r"^[\x00-\x7FÀ-ÏÑ-ÖØ-Ýßà-ïñ-öø-ýÿ]*$")
+
+
 def fold_exact(name: Column | str) -> Column:
     """``fold`` for all scripts: compatibility decomposition without combining marks. Only names with other letters and signs than those of
     West European languages go to Python."""
     name = F.col(name) if isinstance(name, str) else name
-    plain = name.rlike(r"^[\x00-\x7FÀ-ÖØ-Ýÿßæøåàáâãäçèéêëìíîïñòóôõöùúûüý]*$") & ~name.rlike("[ÐÞð]")
-    return F.when(plain, fold(name)).otherwise(_decomposed(F.when(~plain, name)))
+    return F.when(_west_european(name), fold(name)).otherwise(_decomposed(F.when(~_west_european(name), name)))
 
 
 def key_words(name: Column, exact: bool = True) -> Column:
     """The words of each part of a name (parts end at ", ") as they stand in the search index, without the region in brackets at its end.
     ``exact``: letters of all scripts are decomposed (an Arrow UDF), else Latin ones only."""
     bare = F.regexp_replace(name, r"^(.*) \(.*\)$", "$1")
-    bare = fold_exact(bare) if exact else bare
+    bare = F.coalesce(_decomposed(F.when(~_west_european(bare), bare)), bare) if exact else bare  # parts are folded below
     return F.transform(F.split(bare, ", "), lambda p: F.filter(F.split(F.regexp_replace(F.regexp_replace(fold(p), "['’]", ""), "[^a-z0-9]", " "), r"\s+"), lambda w: w != ""))
 
 
