@@ -1,12 +1,16 @@
 """BPE encoding and decoding with a bounded-lookahead streaming transducer.
 
-A tokenizer file (byte-level alphabet, merge list, word-end suffix) gives the merge rules. Whether a rule fires at a
-place depends on text to its right only through rules of higher priority that overlap its end, those on still higher
-priorities, and so on; following these chains through the merge list gives every rule's reach, and the longest reach is
-the *sufficient lookahead* of the list. Every word goes through one transducer: it reads ``WINDOW`` bytes, applies the
-merges inside them, and emits a token once it is stable, that is, once what has been read goes as far as the rules that
-could start where the token starts reach; the word's end makes all tokens stable. What it holds never exceeds a window, which
-grows to the sufficient lookahead at most, however long the word is. Long texts are read in pieces that end before white space.
+A tokenizer file (byte-level alphabet, merge list, word-end suffix) gives the merge rules. A text is a stream of bytes in
+which a blank ends a word, and every byte goes through one transducer, whose state is the bytes read since the last token
+that is stable. A token is stable once no continuation can change it. Tokens that begin later begin at an *open* place: one
+from which the bytes read so far are the beginning of some token. The tokens before a cut are those of the bytes before it
+alone, so the first tokens that all open places have in common are stable, and are emitted at that byte, before the word's end is
+known. How long a token may have to wait is bounded by the list's *sufficient lookahead*: a merge at a place
+depends on text to its right only through rules of higher priority that overlap its end, those on still higher ones, and so on;
+following these chains through the list gives every rule's reach. Once a state holds that many bytes, its first token is emitted.
+
+States and their steps are made when they are first met and remembered up to ``STATES``, then forgotten together, so that
+memory stays bounded however long a text or word is. Long texts are read in pieces that end before white space.
 
 Decoding reads ids only: a state machine takes the tokens' bytes and gives whole characters, an unfinished character
 stays in the state.
@@ -25,7 +29,7 @@ import codecs
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -36,12 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Bytes of a word that the transducer holds, unless the rules at hand reach further.
-WINDOW = 128
-#: Words in each of the memory's two generations, and the longest of them.
-CACHE, CACHED_LENGTH = 250_000, 64
+#: States that are remembered, and the longest run of bytes in one that is.
+STATES, REMEMBERED = 100_000, 64
 #: Characters of a text that are split into words at once, and tokens that are decoded at once.
 PIECE, TOKENS = 1 << 16, 1 << 16
+#: The rank of a rule that there isn't.
+NEVER = float("inf")
+#: The byte that ends a word: no word holds white space.
+END = 0x20
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 # the same for text within Latin-1, where these are all letters, numbers and spaces
@@ -79,10 +85,17 @@ def reaches(rules: Iterable[tuple[str, str]], suffix: str) -> dict[str, int]:
     return out
 
 
+#: What a state holds beside its steps: the bytes since the last stable token, and the places in them where a token may begin
+#: that isn't over yet, each with the tokens before it.
+READ, OPEN = -1, -2
+#: For each byte met so far the next state and the ids that become stable at it, and the two above.
+State = dict
+
+
 class Transducer:
     """Encoder and decoder for one tokenizer file."""
 
-    def __init__(self, path: str, cache: int = CACHE, window: int = WINDOW):
+    def __init__(self, path: str, states: int = STATES, window: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -91,7 +104,6 @@ class Transducer:
         rules = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._reach = reaches(rules, self.suffix)
         self.lookahead = max(self._reach.values(), default=1)
-        self._longest = max((len(t) for t in self._reach), default=1)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.strings = {i: s for s, i in self.vocabulary.items()} | {i: s for s, i in self.specials.items()}
@@ -99,12 +111,24 @@ class Transducer:
         self._base = max(self.strings) + 1
         self._rank = {(self.vocabulary[a], self.vocabulary[b]): rank * self._base + self.vocabulary[a + b] for rank, (a, b) in enumerate(rules)}
         symbols = byte_symbols()
-        self._letters = [symbols[b] for b in range(256)]
-        self._symbol = [self.vocabulary[symbols[b]] for b in range(256)]
-        self._final = [self.vocabulary[symbols[b] + self.suffix] for b in range(256)]
         self._bytes = {s: b for b, s in symbols.items()}
         self._special_ids = set(self.specials.values())
-        self.window, self._limit, self._new, self._old = window, cache, {}, {}
+        # tokens by their bytes, at a word's end and elsewhere, and all that a token may have shown while a byte or the end is to come
+        spelled = {s: self._spelling(s) for s in self.vocabulary}
+        self._tokens = {data: self.vocabulary[s] for s, (data, final) in spelled.items() if not final}
+        self._final_tokens = {data: self.vocabulary[s] for s, (data, final) in spelled.items() if final}
+        self._unfinished = {data[:n] for data, final in spelled.values() for n in range(1, len(data) + final)}
+        self.window, self._limit, self._states = window, states, {}
+        # what each merged token is made of and by which rule; whether the merges leave a token alone, and its edges, as they are asked for
+        self._made = {self.vocabulary[a + b]: (self.vocabulary[a], self.vocabulary[b], rank) for rank, (a, b) in enumerate(rules)}
+        self._alone: dict[int, bool] = {}
+        self._edges: tuple[dict, dict] = {}, {}
+        self._start: State = {READ: b"", OPEN: [(0, ())]}
+
+    def _spelling(self, s: str) -> tuple[bytes, bool]:
+        """The bytes of a token's string, and whether it ends a word."""
+        final = s.endswith(self.suffix)
+        return bytes(self._bytes[c] for c in (s[: -len(self.suffix)] if final else s) if c in self._bytes), final
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to a bounded run of symbols, best rule first, left to right."""
@@ -134,23 +158,111 @@ class Transducer:
         s = self.strings[token]
         return len(s) - len(self.suffix) if s.endswith(self.suffix) else len(s)
 
+    def step(self, state: State, byte: int) -> tuple[State, str]:
+        """The state after one more byte (a blank: the word's end), and the ids that are stable from then on."""
+        if byte == END:
+            return self._remembered(state, byte, self._start, self._ended(state[READ], state[OPEN], self._final_tokens))
+        read = state[READ] + bytes([byte])
+        whole = self._ended(read, state[OPEN], self._tokens)
+        places = [(at, before) for at, before in state[OPEN] if read[at:] in self._unfinished]
+        places.append((len(read), whole))
+        shortest = min(len(before) for _, before in places)
+        stable = next((n for n in range(shortest) if any(before[n] != whole[n] for _, before in places)), shortest)
+        if not stable and len(read) >= self.lookahead:  # nothing that follows reaches back to the first token
+            stable = 1
+            places = [(at, before) for at, before in places if before[:1] == (whole[0],)]
+        done = sum(map(self.width, whole[:stable]))
+        read = read[done:]
+        following = self._states.get(read) if read else self._start
+        if following is None:
+            following = {READ: read, OPEN: [(at - done, before[stable:]) for at, before in places]}
+        return self._remembered(state, byte, following, whole[:stable])
+
+    def _ended(self, read: bytes, places: list[tuple[int, tuple[int, ...]]], tokens: dict[bytes, int]) -> tuple[int, ...]:
+        """The tokens of what has been read. The last one begins at an open place, and it is the one that the merges leave
+        alone beside the token before it: whole token lists hold exactly where each two neighbours do."""
+        for at, before in places:  # the longest first
+            token = tokens.get(read[at:])
+            if token is not None and self._holds(before[-1] if before else None, token):
+                return *before, token
+        raise ValueError(f"no token ends {read!r}")
+
+    def _holds(self, left: int | None, token: int) -> bool:
+        """Whether the merges make these two tokens, and not others, of their bytes.
+
+        While a token is made, the symbol at its edge changes rule by rule. A merge across the cut happens if a rule joins the
+        two edge symbols of some moment and comes before either is used up; at equal rank the place further left comes first."""
+        alone = self._alone.get(token)
+        if alone is None:
+            alone = self._alone[token] = self._merge(self._symbols(token)) == [token]
+        if left is None or not alone:
+            return alone
+        ours, theirs = self._edge(left, 1), self._edge(token, 0)
+        i = j = 0
+        while True:
+            (a, used), (b, spent) = ours[i], theirs[j]
+            rank = self._rank.get((a, b))
+            if rank is not None and rank // self._base < used and rank // self._base <= spent:
+                return False
+            if used == spent == NEVER:
+                return True
+            if used <= spent:
+                i += 1
+            else:
+                j += 1
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The symbols at a token's left (0) or right (1) edge while it is made, each with the rank of the rule that uses it up."""
+        known = self._edges[side].get(token)
+        if known is None:
+            known, at = [(token, NEVER)], token
+            while at in self._made:
+                *parts, rank = self._made[at]
+                at = parts[side]
+                known.append((at, rank))
+            known = self._edges[side][token] = known[::-1]
+        return known
+
+    def _symbols(self, token: int) -> list[int]:
+        s = self.strings[token]
+        final = s.endswith(self.suffix)
+        text = s[: -len(self.suffix)] if final else s
+        return [self.vocabulary[c] for c in (text[:-1] if final else text)] + ([self.vocabulary[text[-1] + self.suffix]] if final else [])
+
+    def _remembered(self, state: State, byte: int, following: State, ids: Iterable[int]) -> tuple[State, str]:
+        step = following, " ".join(map(str, ids))
+        if len(state[READ]) < self.window:
+            if len(self._states) >= self._limit:
+                for known in [*self._states.values(), self._start]:
+                    for met in [k for k in known if k >= 0]:
+                        del known[met]
+                self._states.clear()
+            if following is not self._start and len(following[READ]) < self.window:
+                self._states[following[READ]] = following
+            state[byte] = step
+        return step
+
+    def run(self, stream: bytes, emit: Callable[[str], None]) -> None:
+        """Read words with a blank behind each; ids go out as soon as they are stable. The words' ends leave nothing behind."""
+        state, rest = self._start, iter(stream)
+        while True:
+            try:
+                for byte in rest:
+                    state, ids = state[byte]
+                    if ids:
+                        emit(ids)
+                return
+            except KeyError:  # the first time that this byte comes in this state
+                state, ids = self.step(state, byte)
+                if ids:
+                    emit(ids)
+
     def word(self, data: bytes) -> Iterator[int]:
         """Tokens of one word, each as soon as it is stable."""
-        at, symbol, size = 0, self._symbol, self.window
-        while len(data) - at > size:
-            read = data[at : at + size]
-            text, done = "".join([self._letters[b] for b in read]), 0
-            for token in self._merge([symbol[b] for b in read]):
-                decided = max([self._reach.get(text[done : done + n], n) for n in range(1, self._longest + 1)])
-                if done + decided > size:
-                    break
-                yield token
-                done += self.width(token)
-            at += done
-            size = self.window if done else 2 * size  # up to the sufficient lookahead, where the first token is stable
-        ids = [symbol[b] for b in data[at:]]
-        ids[-1] = self._final[data[-1]]
-        yield from self._merge(ids)
+        state = self._start
+        for byte in data + b" ":
+            state, ids = state.get(byte) or self.step(state, byte)
+            yield from map(int, ids.split())
 
     def words(self, text: str) -> Iterator[list[str]]:
         """Words of a text in lists, the special tokens among them."""
@@ -175,26 +287,25 @@ class Transducer:
             return out + _WORD.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
         return out + _LATIN_WORD.findall(text.lower())
 
-    def _encoded(self, word: str) -> str:
-        """Decimal ids of a word, joined by blanks: from memory or through the transducer."""
-        found = self._old.get(word)
-        if found is None:
-            found = str(self.specials[word]) if word in self.specials else " ".join(map(str, self.word(word.encode("utf-8"))))
-        if len(word) <= CACHED_LENGTH:
-            if len(self._new) >= self._limit:
-                self._old, self._new = self._new, {}
-            self._new[word] = found
-        return found
+    def _streams(self, text: str) -> Iterator[bytes | str]:
+        """The words of a text as bytes, each with a blank behind it; a special token as its id."""
+        special = self._special is not None and self._special.search(text) is not None
+        for found in self.words(text):
+            at = 0
+            for i in [i for i, w in enumerate(found) if w in self.specials] if special else ():
+                yield " ".join([*found[at:i], ""]).encode("utf-8")
+                yield str(self.specials[found[i]])
+                at = i + 1
+            yield " ".join([*found[at:], ""]).encode("utf-8")
 
     def render(self, text: str | None) -> str:
         """Decimal ids of a text, joined by blanks."""
-        out = []
-        for found in self.words(text or ""):
-            known = list(map(self._new.get, found))
-            if None in known:
-                known = [self._new.get(w) or self._encoded(w) for w in found]
-            if known:
-                out.append(" ".join(known))
+        out: list[str] = []
+        for stream in self._streams(text or ""):
+            if isinstance(stream, str):
+                out.append(stream)
+            else:
+                self.run(stream, out.append)
         return " ".join(out)
 
     def encode(self, text: str | None) -> list[int]:
@@ -206,8 +317,8 @@ class Transducer:
         def of(i: int, s: str) -> bytes:
             if i in self._special_ids:
                 return s.encode("utf-8")
-            final = s.endswith(self.suffix)
-            return bytes(self._bytes[c] for c in (s[: -len(self.suffix)] if final else s)) + b" " * final
+            data, final = self._spelling(s)
+            return data + b" " * final
         return {str(i): of(i, s) for i, s in self.strings.items()}
 
     @property
@@ -228,6 +339,10 @@ def decode_stream(ids: str | None, table: dict[str, bytes]) -> Iterator[str]:
     yield state.decode(b"", True)
 
 
+def decoded(ids: str | None, table: dict[str, bytes]) -> str:
+    return "".join(decode_stream(ids, table)).removesuffix(" ")
+
+
 _BLANK = re.compile(r"[ \t\n\r]")
 
 
@@ -242,18 +357,26 @@ def _table(path: str, form: str) -> dict[str, bytes]:
     return getattr(transducer(path), form)
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` (decimal, blank-joined: ``split`` and cast give an array)."""
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", form: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids`` (decimal, blank-joined: ``split`` and cast give an array), and with a ``form`` of ``decode`` also
+    ``decoded``, read back from the ids in the same pass."""
+    names = ["doc_id", "n_tokens", "ids", *(["decoded"] if form else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
+        table = _table(tokenizer, form) if form else {}
         for whole in batches:
             for batch in slices(whole, 1):
                 ids = [machine.render(t) for t in batch.column(1).to_pylist()]
                 counts = [x.count(" ") + 1 if x else 0 for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string())], ["doc_id", "n_tokens", "ids"])
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string())]
+                if form:
+                    columns.append(pa.array([decoded(x, table) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids string")
+    schema = f"doc_id {id_type}, n_tokens bigint, ids string" + (", decoded string" if form else "")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, tokenizer: str, form: str = "readable") -> DataFrame:
@@ -266,7 +389,7 @@ def decode(tokens: DataFrame, tokenizer: str, form: str = "readable") -> DataFra
         table = _table(tokenizer, form)
         for whole in batches:
             for batch in slices(whole, where):
-                texts = ["".join(decode_stream(x, table)).removesuffix(" ") for x in batch.column(where).to_pylist()]
+                texts = [decoded(x, table) for x in batch.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, "decoded"])
 
     kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in own)

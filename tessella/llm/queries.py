@@ -70,8 +70,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), tokenizer), tokenizer, "spelled")
+    coded = bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), form="spelled")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

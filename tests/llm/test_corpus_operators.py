@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,10 +399,56 @@ def test_a_word_of_a_megabyte(tokenizer):
     assert len(word) > 1_000_000 and max(held) <= 2 * own.lookahead
 
 
+def test_tokens_leave_before_the_word_ends(tokenizer):
+    """More than half of the words of more than one token have given one before their end is read; states may be forgotten at any time."""
+    path, library, own = tokenizer
+    few = bpe.Transducer(path, states=20)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    several = early = 0
+    for text in texts[:300]:
+        ids = own.render(text)
+        assert ids == " ".join(map(str, library.encode(text or "", add_special_tokens=False).ids))
+        for word in {w for part in own.words(text or "") for w in part}:
+            state, before = own._start, 0
+            for byte in word.encode():
+                state, ids = own.step(state, byte)
+                before += len(ids.split())
+            rest = own.step(state, bpe.END)[1].split()
+            several += before + len(rest) > 1
+            early += before > 0
+            assert len(rest) > 0 and len(state[bpe.READ]) <= own.lookahead
+    assert several > 5000 and early > several / 2
+    for text in texts[:20]:
+        assert few.render(text) == own.render(text) and len(few._states) <= 20
+
+
+def test_stable_tokens_never_change(tokenizer):
+    """Whatever follows, the ids that are out stay the first ones of the word."""
+    _, library, own = tokenizer
+    rng = random.Random(12)
+    for k in range(300):
+        word = "".join(rng.choice("inthanerstcoaleu" if k % 2 else "aabé") for _ in range(rng.randint(1, 40)))
+        state, out = own._start, []
+        for at, byte in enumerate(word.encode()):
+            state, ids = own.step(state, byte)
+            out += map(int, ids.split())
+            if out and word.isascii():
+                for tail in ("", "n", "ing", "".join(rng.choice("inthanerst") for _ in range(9))):
+                    assert library.encode(word[: at + 1] + tail, add_special_tokens=False).ids[: len(out)] == out
+    once = bpe.Transducer(own_path(), window=0)  # nothing remembered: each byte is decided anew
+    assert once.render("in" * 400 + " tokenization") == own.render("in" * 400 + " tokenization") and not once._states
+
+
+def own_path():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
 def test_bpe_round_trip(spark, tokenizer):
     path, _, own = tokenizer
     coded = bpe.encode(table(spark).withColumns({"ids": F.lit("no ids"), "decoded": F.lit(1)}), path)
     assert coded.count() == len(AWKWARD) and bpe.encode(table(spark, []), path).count() == 0
+    for form in ("readable", "spelled"):
+        assert sorted(bpe.encode(table(spark), path, form=form).collect(), key=str) == sorted(bpe.decode(bpe.encode(table(spark), path), path, form).collect(), key=str)
     back = bpe.decode(coded, path)
     assert back.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     bare = lambda t: re.sub(r"\s+", "", (t or "").replace("Σ", "σ").lower())
