@@ -1,8 +1,12 @@
 """Cases that only larger tables showed."""
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.operators import roads
+from tessella.operators import addresses, roads
 
 
 def test_cells_full_of_roads_that_stay(spark):
@@ -12,3 +16,29 @@ def test_cells_full_of_roads_that_stay(spark):
     assert {r.way for r in roads.shed(ends, 30, strict=False).collect()} == {w for w in range(60) if w % 6 in (0, 5)} | {99}
     with pytest.raises(ValueError):
         roads.shed(ends, 30)
+
+
+def test_geocoding_a_long_street(spark):
+    """Numbers on streets with any ranges, against the rule; a number meets few rows, however many pieces a street has."""
+    rng = random.Random(3)
+    ranges = [(0, rng.randrange(2), i, lo, lo + rng.choice([0, 1, 2, 7, 60, 300]), rng.random() < 0.4, rng.random() < 0.5) for i in range(300) for lo in [rng.randrange(400)]]
+    rng.shuffle(ranges)
+    asked = [(i, 0, rng.randrange(3), rng.choice([None, rng.randrange(800)])) for i in range(400)]
+    got = addresses.geocode(spark.createDataFrame(asked, "id long, place int, street int, n long"), spark.createDataFrame(ranges, "place int, street int, piece long, lo long, hi long, mixed boolean, ascending boolean"))
+    want = {}
+    for i, _, street, n in asked:
+        fit = [r for r in ranges if r[1] == street and (n is None or r[3] <= n <= r[4] and (r[5] or n % 2 == r[3] % 2))]
+        if fit:
+            _, _, piece, lo, hi, _, up = min(fit, key=lambda r: r[2])
+            t = 0.5 if n is None else (n - lo + 0.5) / (hi - lo + 1)
+            want[i] = (piece, round(t if up or n is None else 1 - t, 9))
+    assert {r.id: (r.piece, round(r.t, 9)) for r in got.collect()} == want
+
+
+def test_geocoding_makes_no_pairs(spark):
+    w = F.col("id")
+    ranges = spark.range(200_000).select(F.lit(1).alias("place"), F.lit(1).alias("street"), w.alias("piece"), (w % 40).alias("lo"), (w % 40 + 60).alias("hi"), F.lit(True).alias("mixed"), F.lit(True).alias("ascending"))
+    asked = spark.range(200_000).select("id", F.lit(1).alias("place"), F.lit(1).alias("street"), (w % 90).alias("n"))
+    began = time.time()  # as pairs of a number and a piece these are 4e10
+    assert addresses.geocode(asked, ranges).agg(F.count("*"), F.sum("piece")).first()[0] == 200_000
+    assert time.time() - began < 30
