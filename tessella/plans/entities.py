@@ -115,7 +115,7 @@ def points_in_areas(spark, sf_dir):
     a = view(spark, sf_dir, "v_admin")
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     rings = a.select(F.col("id").alias("area"), F.posexplode(F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))).alias("pos", "p")).select("area", F.lit(0).alias("ring"), "pos", "p.x", "p.y")
-    hits = spatial.containing_areas(n, spatial.ring_edges(rings, ["area"]), ["id"], ["area"], 1_000_000)
+    hits = spatial.containing_areas(n, spatial.ring_edges(rings, ["area"]), ["id"], ["area"], 1_000_000, border=False)
     return hits.groupBy("area").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 

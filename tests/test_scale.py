@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import addresses, roads
+from tessella.operators import addresses, roads, spatial
 
 
 def test_cells_full_of_roads_that_stay(spark):
@@ -42,3 +42,14 @@ def test_geocoding_makes_no_pairs(spark):
     began = time.time()  # as pairs of a number and a piece these are 4e10
     assert addresses.geocode(asked, ranges).agg(F.count("*"), F.sum("piece")).first()[0] == 200_000
     assert time.time() - began < 30
+
+
+def test_points_on_borders(spark):
+    """Of points on the sides and corners of two touching squares none is inside, or all are; else each is in one."""
+    rings = [(a, 0, k, x + 10 * a, y) for a in (0, 1) for k, (x, y) in enumerate([(0, 0), (10, 0), (10, 10), (0, 10)])]
+    edges = spatial.ring_edges(spark.createDataFrame(rings, "area int, ring int, pos int, x long, y long"), ["area"])
+    points = spark.createDataFrame([(x * 100 + y, x, y) for x in range(0, 21) for y in range(0, 11)], "id long, x long, y long")
+    inside = lambda border: {(r.id, r.area) for r in spatial.containing_areas(points, edges, ["id"], ["area"], 4, border).collect()}
+    assert inside(False) == {(x * 100 + y, a) for a in (0, 1) for x in range(10 * a + 1, 10 * a + 10) for y in range(1, 10)}
+    assert inside(True) == {(x * 100 + y, a) for a in (0, 1) for x in range(10 * a, 10 * a + 11) for y in range(11)}
+    assert len(inside(None)) == 200
