@@ -1,5 +1,6 @@
 """Cases that only larger tables showed."""
 
+import math
 import random
 import time
 
@@ -53,3 +54,20 @@ def test_points_on_borders(spark):
     assert inside(False) == {(x * 100 + y, a) for a in (0, 1) for x in range(10 * a + 1, 10 * a + 10) for y in range(1, 10)}
     assert inside(True) == {(x * 100 + y, a) for a in (0, 1) for x in range(10 * a, 10 * a + 11) for y in range(11)}
     assert len(inside(None)) == 200
+
+
+def test_numbers_meet_segments_across_cells(spark):
+    """Cells of any size, smaller than the reach too, give the nearest segment within it."""
+    rng = random.Random(5)
+    pieces = [(f"p{i}", 0, "A", 0.0, 100.0, x, y, x + rng.uniform(-900, 900), y + rng.uniform(-900, 900)) for i in range(60) for x, y in [(rng.uniform(-9000, 9000), rng.uniform(-9000, 9000))]]
+    numbers = [(i, i % 5, "A", rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for i in range(120)]
+    rows = spark.createDataFrame(pieces, "piece string, pos int, name string, before double, total double, ax double, ay double, bx double, by double")
+    asked = spark.createDataFrame(numbers, "id long, n int, name string, x double, y double")
+
+    def away(x, y, ax, ay, bx, by):
+        t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    want = {i: best[1] for i, _, _, x, y in numbers if (best := min((away(x, y, *p[5:]), p[0]) for p in pieces))[0] <= addresses.NUMBER_REACH}
+    for size in (256, 1024, 32768):
+        assert {r.id: r.piece for r in addresses.match_numbers(asked, rows, size).collect()} == want, size
