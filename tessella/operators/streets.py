@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.grid import CELL, METRES_PER_UNIT
 from .addresses import SETTLEMENT_METRES, SUBURB_METRES, best_place
 from .components import components
-from .spatial import nearest
+from .spatial import BLOCK, nearest
+from .tables import materialize
 
 # Fixed values of the map model.
 #: Side of the cells of the search index, in cells and in map units.
@@ -27,6 +31,8 @@ MOST_PLACES, PLACE_SHARE = 12, 0.1
 #: Middle latitude at which distances between places are compared.
 MIDDLE_LATITUDE = 54.0
 # ---- end of fixed values ----
+#: Pieces of one name in an index cell that a task joins; more are joined by tables.
+MOST_PIECES = 1_000_000
 #: Offsets of half of the cells around one: with all of them each pair of cells meets once.
 _HALF = [(dx, dy) for dx in range(3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
 
@@ -41,7 +47,79 @@ def streets(pieces: DataFrame, reach: float = JOIN_REACH) -> DataFrame:
     ``reach`` join; the street is its smallest piece. Pieces without a name are left out.
 
     Ends in one square whose diagonal is ``reach`` belong together anyway, so squares are joined, not ends: by the pieces between them
-    and by pairs of ends in squares near each other. Ends that coincide count once, so junctions make no pairs."""
+    and by pairs of ends in squares near each other. Ends that coincide count once, so junctions make no pairs. The pieces of a name in an
+    index cell, which no street leaves, are one group; groups of more than ``MOST_PIECES`` are joined by tables."""
+    keys = ["name", "ix", "iy"]
+    own = pieces.filter("name IS NOT NULL").select("piece", "name", index_cell(F.col("cx")).alias("ix"), index_cell(F.col("cy")).alias("iy"), "cx", "cy", "x0", "y0", "x1", "y1")
+    large = materialize(own.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > MOST_PIECES).select(*keys), "large_names")
+    schema = StructType([StructField("piece", own.schema["piece"].dataType), StructField("street", own.schema["piece"].dataType)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("piece")
+        at = np.column_stack([table.column(c).to_numpy().astype(float) for c in ("x0", "y0", "x1", "y1")])
+        piece = table.column("piece")
+        return pa.Table.from_arrays([piece, piece.take(pa.array(first_joined(at, reach)))], ["piece", "street"])
+
+    if large.isEmpty():
+        return own.groupBy(*keys).applyInArrow(run, schema)
+    small = own.join(large, keys, "left_anti").groupBy(*keys).applyInArrow(run, schema)
+    return small.unionByName(_streets_by_tables(own.join(large, keys, "left_semi"), reach))
+
+
+def first_joined(ends: np.ndarray, reach: float) -> np.ndarray:
+    """For each piece (``x0, y0, x1, y1``) the place of the first one that chains of ends within ``reach`` join to it."""
+    spots, at = np.unique(ends.reshape(-1, 2), axis=0, return_inverse=True)
+    squares, of = np.unique(np.floor(spots / (reach / math.sqrt(2))).astype(np.int64), axis=0, return_inverse=True)
+    at, of = at.reshape(-1), of.reshape(-1)
+    order = np.argsort(of, kind="stable")
+    size = np.bincount(of, minlength=len(squares))
+    start = np.cumsum(size) - size
+    squares = squares - squares.min(0) + 2  # so that no square beside one is negative
+    width = int(squares[:, 1].max()) + 3
+    code = squares[:, 0] * width + squares[:, 1]  # rising, as the squares are sorted
+    root = np.arange(len(squares))
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
+        while True:
+            ra, rb = root[a], root[b]
+            open_ = ra != rb
+            if not open_.any():
+                return
+            a, b = a[open_], b[open_]
+            np.minimum.at(root, np.maximum(ra, rb)[open_], np.minimum(ra, rb)[open_])
+            while (root[root] != root).any():
+                root = root[root]
+
+    of_ends = of[at].reshape(-1, 2)
+    join(of_ends[:, 0], of_ends[:, 1])
+    for dx, dy in _HALF:
+        other = code + dx * width + dy
+        found = np.minimum(np.searchsorted(code, other), len(code) - 1)
+        a = np.flatnonzero(code[found] == other)
+        b = found[a]
+        # the pairs of ends of two squares, some at a time, as one that is near is enough
+        done, most = np.zeros(len(a), np.int64), 64
+        while len(a):
+            open_ = (root[a] != root[b]) & (done < size[a] * size[b])
+            a, b, done = a[open_], b[open_], done[open_]
+            for lo in range(0, len(a), max(1, BLOCK // most)):
+                part = slice(lo, lo + max(1, BLOCK // most))
+                u, v, n = a[part], b[part], np.minimum(most, size[a[part]] * size[b[part]] - done[part])
+                pair = np.repeat(np.arange(len(u)), n)
+                k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + done[part][pair]
+                p, q = spots[order[start[u[pair]] + k // size[v[pair]]]], spots[order[start[v[pair]] + k % size[v[pair]]]]
+                near = np.unique(pair[((p - q) ** 2).sum(1) <= reach * reach])
+                join(u[near], v[near])
+            done, most = done + most, min(most * 8, BLOCK)
+    label = root[of_ends[:, 0]]
+    first = np.full(len(squares), len(ends))
+    np.minimum.at(first, label, np.arange(len(ends)))
+    return first[label]
+
+
+def _streets_by_tables(pieces: DataFrame, reach: float) -> DataFrame:
+    """``streets`` for a name with any number of pieces in an index cell: squares are nodes of a graph that is contracted."""
     side = reach / math.sqrt(2)
     at = [F.concat_ws("\x1f", F.col("name").cast("string"), "ix", "iy", "gx", "gy").alias("spot")]
     square = {"gx": F.floor(F.col("end.x") / side), "gy": F.floor(F.col("end.y") / side)}

@@ -48,6 +48,26 @@ def test_streets_by_ends(spark, seed):
     assert {r.piece: r.street for r in got.collect()} == brute_streets(pieces)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_streets_by_tables(spark, monkeypatch, seed):
+    """Names with too many pieces for a task give the same streets, beside names with few."""
+    pieces = random_pieces(seed)
+    monkeypatch.setattr(streets, "MOST_PIECES", 28)
+    assert {r.piece: r.street for r in streets.streets(spark.createDataFrame(pieces, PIECE)).collect()} == brute_streets(pieces)
+
+
+def test_streets_take_no_rounds_of_tables(spark):
+    """A street of 6000 pieces in a row, which tables join in rounds, and dense ends that don't touch."""
+    chain = [(f"p{(i * 7) % 6000:05}", "Long", 0, 0, i * 40.0, 0.0, i * 40.0 + 40, 0.0, 0.0, 0.0, 1) for i in range(6000)]
+    rng = random.Random(6)
+    dense = [(f"q{s}{i:05}", "Dense", 0, 0, *[(s * 900 + rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(2)]) for s in (0, 1) for i in range(1500)]
+    dense = [(*r[:4], *r[4], *r[5], 0.0, 0.0, 1) for r in dense]
+    rows = spark.createDataFrame(chain + dense, PIECE)
+    assert {(r.street, r.n) for r in streets.streets(rows).groupBy("street").agg(F.count("*").alias("n")).collect()} == {("p00000", 6000), ("q000000", 1500), ("q100000", 1500)}
+    plan = streets.streets(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # pieces move once, and twelve-fold copies of their ends never
+
+
 def test_many_ends_in_one_place(spark):
     """A star of pieces makes no pairs of its own."""
     star = [(f"p{i:05}", "Star", 0, 0, 1000.0, 1000.0, 1000.0 + 900 * math.cos(i), 1000.0 + 900 * math.sin(i), 0.0, 0.0, 1) for i in range(3000)]
