@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,38 @@ def test_numbers_meet_segments_across_cells(spark):
         assert {r.id: r.piece for r in addresses.match_numbers(asked, rows, size).collect()} == want, size
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_segments_that_can_be_nearest_are_few(seed):
+    """Of many segments beside a number those at the smallest distance are found, ties too, and hardly others."""
+    rng = np.random.default_rng(seed)
+    points = np.vstack([rng.uniform(0, 30_000, (900, 2)), np.full((40, 2), 7000.0), rng.normal(9000, 5, (60, 2))])
+    start = rng.uniform(-5000, 35_000, (3000, 2))
+    segments = np.hstack([start, start + rng.normal(0, 4000, (3000, 2))])
+    segments = np.vstack([segments, segments[:50], [[7000, 7000, 7000, 7000], [7000, 7000, 8000, 7000], [9000, 9000, 9000, 9000]]])
+    for reach in (addresses.NUMBER_REACH, 30.0):
+        step = segments[:, 2:] - segments[:, :2]
+        off = points[:, None] - segments[:, :2]
+        t = np.clip((off * step).sum(2) / np.maximum((step * step).sum(1), 1e-9), 0, 1)
+        d = np.hypot(*np.moveaxis(off - t[:, :, None] * step, 2, 0))
+        want = set(zip(*np.nonzero((d <= d.min(1)[:, None] + 1e-6) & (d <= reach))))
+        got = set(zip(*addresses.nearest_segments(points, segments, reach)))
+        assert want <= got and len(got) <= len(want) + 5
+
+
+def test_numbers_of_full_cells(spark, monkeypatch):
+    """Cells with many pairs and cells with few give the same rows."""
+    rng = random.Random(8)
+    pieces = [(f"p{i}", i % 3, rng.choice("AB"), 5.0, 100.0, x, y, x + rng.uniform(-900, 900), y + rng.uniform(-900, 900)) for i in range(90) for x, y in [(rng.uniform(-4000, 4000), rng.uniform(-4000, 4000))]]
+    numbers = [(i, i % 5, rng.choice(["A", "B", None]), rng.uniform(-4000, 4000), rng.uniform(-4000, 4000)) for i in range(150)]
+    rows = spark.createDataFrame(pieces, "piece string, pos int, name string, before double, total double, ax double, ay double, bx double, by double")
+    asked = spark.createDataFrame(numbers, "id long, n int, name string, x double, y double")
+    found = []
+    for most in (0, 20, 10**9):
+        monkeypatch.setattr(addresses, "MOST_PAIRS", most)
+        found.append(sorted(map(tuple, addresses.match_numbers(asked, rows, 2048).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
 def test_a_touched_cell_has_no_part(spark):
     """A line that turns where a cell's margin ends has no part there, along either axis."""
     line = [(1, 1, 50, 150, 50, 110), (1, 2, 50, 110, 50, 150), (1, 3, 50, 150, 50, 50)]
