@@ -161,3 +161,11 @@ def test_queries_of_every_length(spark):
         got = addresses.prefix_search(index, spark.createDataFrame([(q,) for q in asked], "query string")).collect()
         assert sorted((r.query, r.id, r.exact) for r in got) == sorted({(q, i, q == k) for q in asked if q is not None for i, k in enumerate(keys) if k.startswith(q)})
     assert addresses.prefix_search(index, spark.createDataFrame([], "query string")).count() == 0
+
+
+def test_alternatives_look_up_places_once(spark):
+    """The result reads the places that were found and written; it doesn't search for them again."""
+    rows = spark.createDataFrame([r for r in random_pieces(9, 9) if r[1]], PIECE)
+    nodes = spark.createDataFrame([(1, "city", "T", 900.0, 10.0), (2, "suburb", "S", 900.0, 10.0)], "p long, place string, name string, x double, y double")
+    found = streets.place_alternatives(rows, nodes, rows.select("piece", F.lit("T").alias("city"), F.lit(1).alias("seq")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
