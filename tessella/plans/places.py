@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import grid, rules, text
 from ..operators import addresses, places, roads, spatial
-from ..operators.components import components
 from ..sources.fixtures import ctes, view
 from .basics import FOLD, KEYS_SQL, X, Y, tagged_ways
 from .common import query
@@ -189,7 +188,7 @@ r AS (SELECT id AS node, id AS c FROM p UNION SELECT e.b, r.c FROM r JOIN e ON e
 def same_name_places(spark, sf_dir):
     """ASM12: groups of places of one name that chains of near ones join."""
     p = view(spark, sf_dir, "v_place").select("id", "name_id", grid.unit_x(F.col("lon")).alias("x"), grid.unit_y(F.col("lat")).alias("y"))
-    c = components(p.select(F.col("id").alias("node")), spatial.close_pairs(p, 60000, by=["name_id"]).select("a", "b"))
+    c = spatial.chained(p, 60000, by=["name_id"])
     return p.join(c.withColumnRenamed("node", "id"), "id").groupBy("name_id").agg(F.countDistinct("component").alias("places"))
 
 
