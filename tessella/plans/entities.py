@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import entities, places, spatial
-from ..operators.components import components
 from ..sources.fixtures import ctes, view
 from .common import query
 
@@ -93,8 +92,7 @@ r AS (SELECT id AS node, id AS c FROM p UNION SELECT e.b, r.c FROM r JOIN e ON e
 def point_components(spark, sf_dir):
     """ASM12: connected components of close points of one type and name."""
     p = view(spark, sf_dir, "v_node_dense").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "typ", "name_id")
-    pairs = spatial.close_pairs(p, 1500, by=["typ", "name_id"], metric="box")
-    return components(p.select(F.col("id").alias("node")), pairs.select("a", "b"))
+    return spatial.chained(p, 1500, by=["typ", "name_id"], metric="box")
 
 
 @query(ctes("v_node_dense").replace("WITH", "WITH RECURSIVE", 1) + """, q AS (SELECT id, lon AS x, lat AS y, typ, name_id, row_number() OVER (PARTITION BY typ, name_id ORDER BY id) AS n FROM v_node_dense WHERE name_id > 0),
