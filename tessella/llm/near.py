@@ -1,15 +1,16 @@
 """Near-duplicates by the Jaccard similarity of their five-word shingles, each link checked exactly.
 
-Equal texts are one unit. ``BANDS`` keys of ``ROWS`` min-hashes make buckets: a pair at similarity 0.8 shares no bucket
+Equal texts are one unit. Units whose fingerprints (of the distinct shingles) differ in at most three bits are found by the bit-sliced
+comparison of ``simhash``. For the others ``BANDS`` keys of ``ROWS`` min-hashes make buckets: a pair at similarity 0.8 shares no bucket
 with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-8, nearer pairs with less. Units are linked if their shingle sets have a
-similarity of at least 4/5 (counted in whole numbers). First every unit meets the centre of its buckets, the unit that meets
-most others; that joins nearly all that belongs together, with one comparison a unit and bucket. Buckets that still hold
+similarity of at least 4/5 (counted in whole numbers). First every unit meets those that the fingerprints name and the centre of its
+buckets, the unit that meets most others; that joins nearly all that belongs together, with one comparison a unit and bucket. Buckets that still hold
 several classes go to tasks with their shingle sets, large ones as pairs of tiles of ``TILE`` units; there all sets are compared at
 once, as products of incidence matrices, and a spanning set of the links between classes comes out. So rows grow with the units,
 never with the pairs, and nothing is capped.
 
-SimHash can't do this job: at similarity 0.8 fingerprints differ in 8 to 10 of 64 bits, and 2r blocks for r = 8 are
-12,870 bucket keys a document.
+The bit-sliced comparison alone can't do this job: at similarity 0.8 fingerprints differ in 8 to 10 of 64 bits, and 2r blocks for
+r = 8 are 12,870 bucket keys a document.
 
 Defined cases: words are split at white space, A-Z lower-cased; fewer words than a shingle form one shingle; texts without
 words (null, empty, white space) are alike; rows without an id stay and take part in nothing; of repeated rows one stays; columns
@@ -26,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, slices
+from . import simhash
+from .common import drop_table, join_counted, materialize, slices
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -65,7 +67,8 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, 1)):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["unit", "n", "keys"])
+        prints = pa.array([simhash.majority(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["unit", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +134,30 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
+def bit_pairs(prints: DataFrame) -> DataFrame:
+    """``a, b``: stars of units (``unit, fp``, distinct) whose fingerprints are equal or linked within three bits, by the bit-sliced comparison."""
+    first = materialize(prints.groupBy("fp").agg(F.min("unit").alias("first"), F.count("*").alias("_n")), "fingerprints")
+    same = join_counted(prints, first, "fp", prints.count(), F.xxhash64("unit"), "inner").select(F.col("first").alias("a"), F.col("unit").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_unit"))
+    near = simhash.links(first.select("fp")).distinct().join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(near.select(F.col("b_unit").alias("a"), F.col("a_unit").alias("b"))).filter("a <> b")
+
+
 def near_links(docs: DataFrame, text_col: str = "text", tile: int = TILE) -> DataFrame:
     """``a, b`` (digests of texts): links that join all texts between which a chain of pairs at similarity 0.8 or more leads."""
     texts = docs.select(_unit(docs, text_col).alias("unit"), docs[text_col].cast("string").alias("_text"))
-    sketches = materialize(texts.mapInArrow(_sketch, "unit binary, n int, keys array<bigint>"), "sketches")
+    sketches = materialize(texts.mapInArrow(_sketch, "unit binary, fp bigint, keys array<bigint>"), "sketches")
+    prints = materialize(sketches.select("unit", "fp").distinct(), "prints")
+    proposed = materialize(bit_pairs(prints), "bit_pairs")
     keyed = sketches.select("unit", F.explode("keys").alias("key"))  # the band is in the key's hash
     buckets = keyed.groupBy("key").agg(F.min("unit").alias("_least"), F.max("unit").alias("_most"), F.count("*").alias("m")).filter("_least <> _most").select("key", "m")
     members = materialize(keyed.join(buckets, "key").distinct(), "buckets")
     drop_table(sketches)
     wanted = materialize(members.groupBy("unit").agg(F.sum("m").alias("meets")), "units_met")
-    sets = materialize(texts.join(wanted, "unit", "left_semi").dropDuplicates(["unit"]).mapInArrow(_sets, "unit binary, s array<bigint>"), "shingle_sets")
+    met = wanted.select("unit").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("unit"))).distinct()
+    sets = materialize(texts.join(met, "unit", "left_semi").dropDuplicates(["unit"]).mapInArrow(_sets, "unit binary, s array<bigint>"), "shingle_sets")
     centres = members.join(wanted, "unit").groupBy("key").agg(F.max(F.struct("meets", "unit")).getField("unit").alias("centre"))
-    stars = members.join(centres, "key").filter("unit <> centre").select(F.col("centre").alias("a"), F.col("unit").alias("b")).distinct()
+    stars = members.join(centres, "key").filter("unit <> centre").select(F.col("centre").alias("a"), F.col("unit").alias("b")).unionByName(proposed).distinct()
     near = materialize(_alike(stars, sets), "near_first")
     label = components(near).withColumnRenamed("node", "unit") if not near.isEmpty() else wanted.select("unit", F.col("unit").alias("label"))
     named = members.join(label, "unit", "left").select("key", "unit", F.coalesce("label", "unit").alias("label"))
@@ -151,7 +166,7 @@ def near_links(docs: DataFrame, text_col: str = "text", tile: int = TILE) -> Dat
     open_ = materialize(open_.select("key", F.least("_tile", "_other").alias("lo"), F.greatest("_tile", "_other").alias("hi"), "unit", "label"), "buckets_left")
     dealt = open_.join(sets, "unit").select("key", "lo", "hi", "unit", "label", "s").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = materialize(dealt.mapInArrow(_tiles, "a binary, b binary"), "near_more")
-    for done in (members, wanted, sets, open_):
+    for done in (prints, proposed, members, wanted, sets, open_):
         drop_table(done)
     return near.unionByName(more)
 

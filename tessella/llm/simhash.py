@@ -32,6 +32,14 @@ TILE = 4096
 _SMALL = 24
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64 bits: those that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for part in np.array_split(hashes.astype("<u8", copy=False), len(hashes) // 65536 + 1):
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash of the shingles' XXH64, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -41,11 +49,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])], "<u8")
-    ones = np.zeros(64, np.int64)
-    for part in np.array_split(hashes, len(hashes) // 65536 + 1):
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])], "<u8"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

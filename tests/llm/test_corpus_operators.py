@@ -199,6 +199,39 @@ def test_near_stage_takes_all_pairs_at_four_fifths(spark, prose, tile, monkeypat
     assert corpus_pipeline.near_duplicate_stage(spark, df.limit(0), SMALL).count() == 0
 
 
+def test_near_stage_compares_fingerprints(spark, prose, monkeypatch):
+    """The stage asks the bit-sliced comparison, which joins all fingerprints within three bits, however many units have one."""
+    import corpus_pipeline
+
+    rng, text = prose
+    docs = []
+    for group in range(6):
+        words = text(400).split()
+        for k in range(9):  # one to four words replaced
+            copy = list(words)
+            for at in rng.sample(range(400), k % 5):
+                copy[at] = f"new{k}x{at}"
+            docs.append((100 * group + k, " ".join(copy)))
+    prints = {f"{d:04}".encode(): simhash.majority(near.shingles(t)) for d, t in docs}
+    got = near.bit_pairs(spark.createDataFrame(list(prints.items()), "unit binary, fp bigint")).collect()
+    label = {u: u for u in prints}
+    def root(u):
+        while label[u] != u:
+            u = label[u]
+        return u
+    def classes(links):
+        label.update({u: u for u in prints})
+        for a, b in links:
+            label[max(root(a), root(b))] = min(root(a), root(b))
+        return {u: root(u) for u in prints}
+    want = [(a, b) for a in prints for b in prints if a < b and bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= 3]
+    assert want and classes([(bytes(r.a), bytes(r.b)) for r in got]) == classes(want)
+    links, asked = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda fps: asked.append(fps) or links(fps))
+    df = spark.createDataFrame([(d, t, None, None) for d, t in docs], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SMALL).collect()) == brute_firsts(docs) and asked
+
+
 def test_fingerprint_hash_is_sparks(spark):
     assert spark.sql("SELECT xxhash64('ab cd ef') AS h").first().h == simhash.fingerprint("AB cd\tef")
 
