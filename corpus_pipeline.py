@@ -19,7 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, every pair at similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, every pair at similarity 0.8 or more, found by the
+    bit-sliced comparison of fingerprints and, where these differ in over three bits, by min-hash buckets."""
     return near.keep_one(docs)
 
 
@@ -34,9 +35,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the tokens as they are spelled, decoded from the ids."""
-    tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs, tokenizer), tokenizer, "spelled")
+    """Token ids of every text, and the tokens as they are spelled, decoded from the ids in the same pass: a second one would
+    give each task another Python worker that holds the tokenizer and its states."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), form="spelled")
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage),

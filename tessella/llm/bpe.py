@@ -29,9 +29,10 @@ import codecs
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import pyarrow as pa
 import regex
@@ -86,12 +87,26 @@ def reaches(rules: Iterable[tuple[str, str]], suffix: str) -> dict[str, int]:
 
 
 #: What a state holds beside its steps: the bytes since the last stable token, and the places in them where a token may begin
-#: that isn't over yet, each with the tokens before it.
+#: that isn't over yet, each with the tokens before it (``packed``: many states are remembered).
 READ, OPEN = -1, -2
 #: For each byte met so far the next state and the ids that become stable at it, and the two above.
 State = dict
 
 
+def packed(places: list[tuple[int, tuple[int, ...]]]) -> array:
+    """Places and the tokens before each in one array: place, number of tokens, tokens."""
+    return array("i", chain.from_iterable((at, len(before), *before) for at, before in places))
+
+
+def unpacked(numbers: array) -> list[tuple[int, tuple[int, ...]]]:
+    places, i = [], 0
+    while i < len(numbers):
+        end = i + 2 + numbers[i + 1]
+        places.append((numbers[i], tuple(numbers[i + 2 : end])))
+        i = end
+    return places
+
+
 class Transducer:
     """Encoder and decoder for one tokenizer file."""
 
@@ -123,7 +138,7 @@ class Transducer:
         self._made = {self.vocabulary[a + b]: (self.vocabulary[a], self.vocabulary[b], rank) for rank, (a, b) in enumerate(rules)}
         self._alone: dict[int, bool] = {}
         self._edges: tuple[dict, dict] = {}, {}
-        self._start: State = {READ: b"", OPEN: [(0, ())]}
+        self._start: State = {READ: b"", OPEN: packed([(0, ())])}
 
     def _spelling(self, s: str) -> tuple[bytes, bool]:
         """The bytes of a token's string, and whether it ends a word."""
@@ -160,11 +175,12 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, str]:
         """The state after one more byte (a blank: the word's end), and the ids that are stable from then on."""
+        places = unpacked(state[OPEN])
         if byte == END:
-            return self._remembered(state, byte, self._start, self._ended(state[READ], state[OPEN], self._final_tokens))
+            return self._remembered(state, byte, self._start, self._ended(state[READ], places, self._final_tokens))
         read = state[READ] + bytes([byte])
-        whole = self._ended(read, state[OPEN], self._tokens)
-        places = [(at, before) for at, before in state[OPEN] if read[at:] in self._unfinished]
+        whole = self._ended(read, places, self._tokens)
+        places = [(at, before) for at, before in places if read[at:] in self._unfinished]
         places.append((len(read), whole))
         shortest = min(len(before) for _, before in places)
         stable = next((n for n in range(shortest) if any(before[n] != whole[n] for _, before in places)), shortest)
@@ -175,7 +191,7 @@ class Transducer:
         read = read[done:]
         following = self._states.get(read) if read else self._start
         if following is None:
-            following = {READ: read, OPEN: [(at - done, before[stable:]) for at, before in places]}
+            following = {READ: read, OPEN: packed([(at - done, before[stable:]) for at, before in places])}
         return self._remembered(state, byte, following, whole[:stable])
 
     def _ended(self, read: bytes, places: list[tuple[int, tuple[int, ...]]], tokens: dict[bytes, int]) -> tuple[int, ...]:

@@ -225,6 +225,11 @@ def test_pipeline_against_brute_force(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "tokens"]
 
 
+def test_tokens_take_one_python_pass(spark, capsys):
+    corpus_pipeline.token_stage(spark, read(spark, SMALL, "documents"), SMALL).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 def test_stages_take_awkward_rows(spark):
     """Nulls in any column, empty and long texts, repeated rows, rows without an id, extra columns, empty tables: every stage gives the columns that it got."""
     long = "word and other words " * 20_000
