@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import route_bits
+from .tables import spread
 
 
 def member_ways(relations: DataFrame) -> DataFrame:
@@ -14,16 +15,19 @@ def member_ways(relations: DataFrame) -> DataFrame:
     return relations.select(F.col("id").alias("rel"), F.explode(refs).alias("way"))
 
 
-def way_points(way_refs: DataFrame, nodes: DataFrame, missing: str = "drop_point") -> DataFrame:
+def way_points(way_refs: DataFrame, nodes: DataFrame, missing: str = "drop_point", rows: int = 0) -> DataFrame:
     """``way, pos, node, lon, lat`` from ``way, pos, node`` and ``id, lon, lat``.
 
-    ``missing``: ``drop_point`` (roads), ``drop_way`` (areas) or ``keep`` (null coordinates, for averages)."""
-    at = nodes.select(F.col("id").alias("node"), "lon", "lat")
+    ``missing``: ``drop_point`` (roads), ``drop_way`` (areas) or ``keep`` (null coordinates, for averages). ``rows``: of ``way_refs``,
+    where they are known; large tables then meet in as many partitions as they need."""
+    at = spread(nodes.select(F.col("id").alias("node"), "lon", "lat"), rows, "node")
+    way_refs = spread(way_refs, rows, "node")
     if missing == "drop_point":
         return way_refs.join(at, "node").select("way", "pos", "node", "lon", "lat")
     found = way_refs.join(at, "node", "left").select("way", "pos", "node", "lon", "lat")
     if missing == "keep":
         return found
+    found = spread(found, rows, "way")
     whole = found.groupBy("way").agg(F.count("*").alias("n"), F.count("lon").alias("k")).filter("n = k").select("way")
     return found.join(whole, "way", "left_semi")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import entities, places, spatial
-from ..sources.fixtures import ctes, view
+from ..sources.fixtures import ctes, rows_of, view
 from .common import query
 
 
@@ -22,30 +22,35 @@ def relation_ways(spark, sf_dir):
 NODE_CTE = ctes("v_way_ref", "v_way_node")
 
 
+def points(spark, sf_dir, missing="drop_point"):
+    """The points of the ways of the fixture."""
+    return entities.way_points(view(spark, sf_dir, "v_way_ref"), view(spark, sf_dir, "v_way_node"), missing, rows_of(spark, sf_dir, "lineitem"))
+
+
 @query(NODE_CTE + "SELECT way, count(*) AS points, sum(lon) AS lon, sum(lat) AS lat FROM v_way_ref r JOIN v_way_node n ON n.id = r.node GROUP BY way")
 def way_points_dropped(spark, sf_dir):
     """JON2: coordinates of way points, missing nodes dropped."""
-    p = entities.way_points(view(spark, sf_dir, "v_way_ref"), view(spark, sf_dir, "v_way_node"))
+    p = points(spark, sf_dir)
     return p.groupBy("way").agg(F.count("*").alias("points"), F.sum("lon").alias("lon"), F.sum("lat").alias("lat"))
 
 
 @query(NODE_CTE + "SELECT way, count(*) AS points FROM v_way_ref r LEFT JOIN v_way_node n ON n.id = r.node GROUP BY way HAVING count(*) = count(n.lon)")
 def way_points_whole(spark, sf_dir):
     """JON2: ways with every node, others dropped."""
-    return entities.way_points(view(spark, sf_dir, "v_way_ref"), view(spark, sf_dir, "v_way_node"), "drop_way").groupBy("way").agg(F.count("*").alias("points"))
+    return points(spark, sf_dir, "drop_way").groupBy("way").agg(F.count("*").alias("points"))
 
 
 @query(NODE_CTE + "SELECT way, count(*) - count(n.lon) AS missing, CAST(sum(lon) AS DOUBLE) / count(n.lon) AS lon FROM v_way_ref r LEFT JOIN v_way_node n ON n.id = r.node GROUP BY way")
 def way_means(spark, sf_dir):
     """JON2, ASM15: mean position of the nodes that are there."""
-    p = entities.way_points(view(spark, sf_dir, "v_way_ref"), view(spark, sf_dir, "v_way_node"), "keep")
+    p = points(spark, sf_dir, "keep")
     return p.groupBy("way").agg((F.count("*") - F.count("lon")).alias("missing"), (F.sum("lon").cast("double") / F.when(F.count("lon") > 0, F.count("lon"))).alias("lon"))
 
 
 @query(NODE_CTE + "SELECT way, string_agg(lon || ' ' || lat, ',' ORDER BY pos) AS line FROM v_way_ref r JOIN v_way_node n ON n.id = r.node GROUP BY way")
 def way_geometry(spark, sf_dir):
     """AGG1: geometry of ways in reference order."""
-    lines = entities.way_lines(entities.way_points(view(spark, sf_dir, "v_way_ref"), view(spark, sf_dir, "v_way_node")))
+    lines = entities.way_lines(points(spark, sf_dir))
     return lines.select("way", F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p.getField("lon"), p.getField("lat"))), ",").alias("line"))
 
 
@@ -70,7 +75,7 @@ UNION ALL SELECT 'r', count(*), CAST(floor(sum(lon) / 1000) AS BIGINT) FROM (SEL
 def candidates(spark, sf_dir):
     """SET1, ASM15, SNK4: candidates from nodes, ways and relations, with counts by kind."""
     nodes = view(spark, sf_dir, "v_node").select(F.lit("n").alias("kind"), F.col("lon").cast("double").alias("lon"))
-    ways = entities.way_points(view(spark, sf_dir, "v_way_ref"), view(spark, sf_dir, "v_way_node")).groupBy("way").agg(F.rint(F.avg("lon")).alias("lon"))
+    ways = points(spark, sf_dir).groupBy("way").agg(F.rint(F.avg("lon")).alias("lon"))
     relations = view(spark, sf_dir, "v_member").join(ways, "way").groupBy("rel").agg(F.rint(F.avg("lon")).alias("lon"))
     both = nodes.unionByName(ways.select(F.lit("w").alias("kind"), "lon")).unionByName(relations.select(F.lit("r").alias("kind"), "lon"))
     return both.groupBy("kind").agg(F.count("*").alias("n"), F.floor(F.sum("lon") / 1000).cast("long").alias("lon"))

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import addresses, roads, spatial
+from tessella.operators import addresses, entities, roads, spatial, tables
+from tessella.plans import registry
 
 
 def test_cells_full_of_roads_that_stay(spark):
@@ -112,3 +113,24 @@ def test_a_touched_cell_has_no_part(spark):
     for points in (line, [(w, p, ay, ax, by, bx) for w, p, ax, ay, bx, by in line]):
         got = spatial.cut_with_margin(spark.createDataFrame(points, "way int, pos int, ax long, ay long, bx long, by long"), ["way"], 100, 10)
         assert {(r.part, r.pos) for r in got.collect() if (r.cx, r.cy) == (0, 0)} == {(1, 3)}
+
+
+WIDE = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["way_points_dropped", "way_points_whole", "way_means", "candidates"])
+def test_large_way_tables_take_more_tasks(spark, monkeypatch, name):
+    """Tables with more rows than the session's partitions are meant for go to more tasks, with the same rows."""
+    rounded = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    usual = rounded(registry.QUERIES[name](spark, WIDE))
+    monkeypatch.setattr(tables, "PER_PARTITION", 500)
+    dealt = registry.QUERIES[name](spark, WIDE)
+    assert rounded(dealt) == usual and "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+
+
+def test_points_of_ways_meet_in_as_many_tasks_as_they_need(spark):
+    refs = spark.range(3_000_000).select((F.col("id") / 5).cast("long").alias("way"), F.col("id").alias("pos"), F.col("id").alias("node"))
+    nodes = spark.range(3_000_000).select("id", F.col("id").alias("lon"), F.col("id").alias("lat"))
+    for missing in ("drop_point", "drop_way", "keep"):
+        got = entities.way_points(refs, nodes, missing, 3_000_000)
+        assert got.rdd.getNumPartitions() == 6 and got.count() == 3_000_000, missing
