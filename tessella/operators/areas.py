@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .lines import task_of
-from .tables import materialize
+from .tables import materialize, spread
 
 
 def odd_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,14 +84,15 @@ def assemble(segments: DataFrame, key: str, band: int = 1 << 14) -> tuple[DataFr
     row afterwards. Rings that touch themselves fall apart where a vertex repeats. Depth and parent come from
     crossing counts of a point inside each ring with the edges of the area's larger rings, met in bands of ``band`` units."""
     odd = materialize(odd_segments(segments, [key]).withColumn("s", F.monotonically_increasing_id()), "outline")
+    n = odd.count()
     end = lambda a, b: odd.select(key, "s", F.col(f"x{a}").alias("x"), F.col(f"y{a}").alias("y"), F.atan2(F.col(f"y{b}") - F.col(f"y{a}"), F.col(f"x{b}") - F.col(f"x{a}")).alias("angle"))
     at_vertex = Window.partitionBy(key, "x", "y")
-    ends = end("a", "b").unionByName(end("b", "a")).withColumn("pair", F.floor((F.row_number().over(at_vertex.orderBy("angle", "s")) - 1) / 2))
+    ends = spread(end("a", "b").unionByName(end("b", "a")), 2 * n, key, "x", "y").withColumn("pair", F.floor((F.row_number().over(at_vertex.orderBy("angle", "s")) - 1) / 2))
     pairs = materialize(ends.groupBy(key, "x", "y", "pair").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n")), "pairs")
     open_ = materialize(pairs.filter("n = 1").select(key).distinct(), "open_areas")
-    closed = pairs.join(open_, key, "left_anti").select(key, "x", "y", "a", "b")
+    closed = spread(pairs, n, key).join(spread(open_, n, key), key, "left_anti").select(key, "x", "y", "a", "b")
     label = components(odd.select(F.col("s").alias("node")), closed.select("a", "b")).withColumnRenamed("node", "a")
-    links = materialize(closed.join(label, "a"), "links")
+    links = materialize(spread(closed, n, "a").join(spread(label, n, "a"), "a"), "links")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -102,19 +103,22 @@ def assemble(segments: DataFrame, key: str, band: int = 1 << 14) -> tuple[DataFr
         return pd.DataFrame(out, columns=[key, "px", "py", "size", "points"])
 
     kind = segments.schema[key].dataType.simpleString()
-    rings = links.groupBy(task_of(links, "component", links.count())).applyInPandas(walk, f"{key} {kind}, px double, py double, size bigint, points array<struct<x:bigint,y:bigint>>")
+    dealt = spread(links.select("*", task_of(links, "component", n)), n, "_task")
+    rings = dealt.groupBy("_task").applyInPandas(walk, f"{key} {kind}, px double, py double, size bigint, points array<struct<x:bigint,y:bigint>>")
     first = F.get("points", 0)
     order = Window.partitionBy(key).orderBy(first.getField("x"), first.getField("y"), "size", "px", "py")
-    rings = materialize(rings.withColumn("ring", (F.row_number().over(order) - 1).cast("int")), "rings")
-    several = rings.filter("ring > 0").select(key).distinct()
-    inner = rings.join(several, key, "left_semi").select(key, "ring", "size", "px", "py", F.floor(F.col("py") / band).alias("band"))
-    edges = rings.join(several, key, "left_semi").select(key, F.col("ring").alias("other"), F.col("size").alias("larger"), F.explode(F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", 2, F.size("points")), F.array(first)).alias("q"))).alias("e"))
+    rings = materialize(spread(rings, n, key).withColumn("ring", (F.row_number().over(order) - 1).cast("int")), "rings")
+    by_key = spread(rings, n, key)  # a ring's row is as large as its points are many
+    several = by_key.filter("ring > 0").select(key).distinct()
+    inner = by_key.join(several, key, "left_semi").select(key, "ring", "size", "px", "py", F.floor(F.col("py") / band).alias("band"))
+    edges = by_key.join(several, key, "left_semi").select(key, F.col("ring").alias("other"), F.col("size").alias("larger"), F.explode(F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", 2, F.size("points")), F.array(first)).alias("q"))).alias("e"))
     edges = edges.select(key, "other", "larger", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by")).filter("ay <> by")
     edges = edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("ay", "by") / band), F.floor(F.greatest("ay", "by") / band))))
     crosses = ((F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))) & (F.col("px") < (F.col("bx") - F.col("ax")) * (F.col("py") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
-    around = inner.join(edges, [key, "band"]).filter((F.col("larger") > F.col("size")) & crosses).groupBy(key, "ring", "other", "larger").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    around = spread(inner, n, key, "band").join(spread(edges, n, key, "band"), [key, "band"]).filter((F.col("larger") > F.col("size")) & crosses).groupBy(key, "ring", "other", "larger").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    around = spread(around, n, key, "ring")
     nested = around.groupBy(key, "ring").agg(F.count("*").cast("int").alias("depth"), F.min_by("other", F.struct("larger", "other")).alias("parent"))
-    placed = rings.join(nested, [key, "ring"], "left").withColumns({"depth": F.coalesce("depth", F.lit(0)), "parent": F.coalesce("parent", F.lit(-1))})
+    placed = spread(rings, n, key, "ring").join(nested, [key, "ring"], "left").withColumns({"depth": F.coalesce("depth", F.lit(0)), "parent": F.coalesce("parent", F.lit(-1))})
     clockwise = F.concat(F.slice("points", 1, 1), F.reverse(F.slice("points", 2, F.size("points"))))
     return placed.select(key, "ring", "depth", "parent", F.when(F.col("depth") % 2 == 0, F.col("points")).otherwise(clockwise).alias("points")), open_
 

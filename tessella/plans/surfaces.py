@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import areas, raster, spatial
+from ..operators.tables import spread
 from ..sources.fixtures import ctes, view
 from .common import query
 
@@ -31,6 +32,7 @@ def nested_segments(spark, sf_dir):
     holes = [F.when(F.col("holes") > k, square(5 + 13 * k, 5, 10)).otherwise(none) for k in range(4)]
     pair = F.array(*[F.struct((F.col("x") + 1).alias("xa"), (F.col("y") + 1).alias("ya"), (F.col("x") + 3).alias("xb"), (F.col("y") + 2).alias("yb"))] * 2)
     parts = F.concat(square(0, 0, 60), square(60, 60, 20), *holes, F.when(F.col("holes") == 4, square(5 + 39 + 3, 8, 4)).otherwise(none), pair)
+    c = spread(c, 20 * c.count(), "area")  # before each becomes some twenty segments
     return c.select("area", F.explode(F.transform(parts, lambda p: F.struct(*[p.getField(k).cast("long").alias(k) for k in ("xa", "ya", "xb", "yb")]))).alias("p")).select("area", "p.*")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import addresses, entities, roads, spatial, tables
+from tessella.operators import addresses, areas, entities, roads, spatial, tables
 from tessella.plans import registry
 
 
@@ -134,3 +134,13 @@ def test_points_of_ways_meet_in_as_many_tasks_as_they_need(spark):
     for missing in ("drop_point", "drop_way", "keep"):
         got = entities.way_points(refs, nodes, missing, 3_000_000)
         assert got.rdd.getNumPartitions() == 6 and got.count() == 3_000_000, missing
+
+
+def test_many_areas_take_more_tasks(spark, monkeypatch):
+    """Areas are assembled in more tasks where their segments are many, with the same rows."""
+    dealt, spread = [], tables.spread
+    rows = lambda: sorted(map(str, registry.QUERIES["assembled_areas"](spark, WIDE).collect()))
+    usual = rows()
+    monkeypatch.setattr(tables, "PER_PARTITION", 300)
+    monkeypatch.setattr(areas, "spread", lambda df, n, *keys: dealt.append(keys) or spread(df, n, *keys))
+    assert rows() == usual and ("area", "x", "y") in dealt
