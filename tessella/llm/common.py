@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.tables import drop_table, materialize, shared_dir  # noqa: F401
+from tessella.operators.tables import drop_table, materialize, shared_dir, shuffled  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task turns into Python strings at once.
@@ -42,4 +42,4 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, salt:
     heavy = table.filter(F.col("_n") * SHARES > total).select(key, F.ceil(F.col("_n") * SHARES / F.lit(max(1, total))).cast("int").alias("_splits"))
     left = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(salt, F.when(F.col(key).isNull(), SHARES).otherwise(F.coalesce("_splits", F.lit(1)))).cast("int")).drop("_splits")
     right = table.drop("_n").join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1))).drop("_splits")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(shuffled(right), [key, "_salt"], how).drop("_salt")

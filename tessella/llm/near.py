@@ -7,7 +7,7 @@ similarity of at least 4/5 (counted in whole numbers). First every unit meets th
 buckets, the unit that meets most others; that joins nearly all that belongs together, with one comparison a unit and bucket. Buckets that still hold
 several classes go to tasks with their shingle sets, large ones as pairs of tiles of ``TILE`` units; there all sets are compared at
 once, as products of incidence matrices, and a spanning set of the links between classes comes out. So rows grow with the units,
-never with the pairs, and nothing is capped.
+never with the pairs, and nothing is capped. Joins go by shuffle, so that the driver gets none of these tables.
 
 The bit-sliced comparison alone can't do this job: at similarity 0.8 fingerprints differ in 8 to 10 of 64 bits, and 2r blocks for
 r = 8 are 12,870 bucket keys a document.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import drop_table, join_counted, materialize, slices
+from .common import drop_table, join_counted, materialize, shuffled, slices
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -79,7 +79,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b``: the pairs with a similarity of at least 4/5."""
-    both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
+    of = lambda c, s: shuffled(sets.select(F.col("unit").alias(c), F.col("s").alias(s)))
+    both = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
@@ -138,7 +139,7 @@ def bit_pairs(prints: DataFrame) -> DataFrame:
     """``a, b``: stars of units (``unit, fp``, distinct) whose fingerprints are equal or linked within three bits, by the bit-sliced comparison."""
     first = materialize(prints.groupBy("fp").agg(F.min("unit").alias("first"), F.count("*").alias("_n")), "fingerprints")
     same = join_counted(prints, first, "fp", prints.count(), F.xxhash64("unit"), "inner").select(F.col("first").alias("a"), F.col("unit").alias("b"))
-    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_unit"))
+    of = lambda c: shuffled(first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_unit")))
     near = simhash.links(first.select("fp")).distinct().join(of("a"), "a").join(of("b"), "b")
     return same.unionByName(near.select(F.col("b_unit").alias("a"), F.col("a_unit").alias("b"))).filter("a <> b")
 
@@ -151,20 +152,20 @@ def near_links(docs: DataFrame, text_col: str = "text", tile: int = TILE) -> Dat
     proposed = materialize(bit_pairs(prints), "bit_pairs")
     keyed = sketches.select("unit", F.explode("keys").alias("key"))  # the band is in the key's hash
     buckets = keyed.groupBy("key").agg(F.min("unit").alias("_least"), F.max("unit").alias("_most"), F.count("*").alias("m")).filter("_least <> _most").select("key", "m")
-    members = materialize(keyed.join(buckets, "key").distinct(), "buckets")
+    members = materialize(keyed.join(shuffled(buckets), "key").distinct(), "buckets")
     drop_table(sketches)
     wanted = materialize(members.groupBy("unit").agg(F.sum("m").alias("meets")), "units_met")
     met = wanted.select("unit").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("unit"))).distinct()
-    sets = materialize(texts.join(met, "unit", "left_semi").dropDuplicates(["unit"]).mapInArrow(_sets, "unit binary, s array<bigint>"), "shingle_sets")
-    centres = members.join(wanted, "unit").groupBy("key").agg(F.max(F.struct("meets", "unit")).getField("unit").alias("centre"))
-    stars = members.join(centres, "key").filter("unit <> centre").select(F.col("centre").alias("a"), F.col("unit").alias("b")).unionByName(proposed).distinct()
+    sets = materialize(texts.join(shuffled(met), "unit", "left_semi").dropDuplicates(["unit"]).mapInArrow(_sets, "unit binary, s array<bigint>"), "shingle_sets")
+    centres = members.join(shuffled(wanted), "unit").groupBy("key").agg(F.max(F.struct("meets", "unit")).getField("unit").alias("centre"))
+    stars = members.join(shuffled(centres), "key").filter("unit <> centre").select(F.col("centre").alias("a"), F.col("unit").alias("b")).unionByName(proposed).distinct()
     near = materialize(_alike(stars, sets), "near_first")
     label = components(near).withColumnRenamed("node", "unit") if not near.isEmpty() else wanted.select("unit", F.col("unit").alias("label"))
-    named = members.join(label, "unit", "left").select("key", "unit", F.coalesce("label", "unit").alias("label"))
+    named = members.join(shuffled(label), "unit", "left").select("key", "unit", F.coalesce("label", "unit").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.count("*").alias("m")).filter("_l <> _m").select("key", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
-    open_ = named.join(split, "key").withColumn("_tile", F.pmod(F.xxhash64("unit"), "tiles").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    open_ = named.join(shuffled(split), "key").withColumn("_tile", F.pmod(F.xxhash64("unit"), "tiles").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     open_ = materialize(open_.select("key", F.least("_tile", "_other").alias("lo"), F.greatest("_tile", "_other").alias("hi"), "unit", "label"), "buckets_left")
-    dealt = open_.join(sets, "unit").select("key", "lo", "hi", "unit", "label", "s").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = open_.join(shuffled(sets), "unit").select("key", "lo", "hi", "unit", "label", "s").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = materialize(dealt.mapInArrow(_tiles, "a binary, b binary"), "near_more")
     for done in (prints, proposed, members, wanted, sets, open_):
         drop_table(done)
@@ -176,10 +177,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with_id = docs.filter(docs[id_col].isNotNull())
     rows = materialize(with_id.select(docs[id_col].alias("_id"), _unit(docs, text_col).alias("unit")), "units")
     labels = components(near_links(with_id, text_col)).withColumnRenamed("node", "unit")
-    firsts = rows.groupBy("unit").agg(F.min("_id").alias("_id")).join(labels, "unit", "left")
+    firsts = rows.groupBy("unit").agg(F.min("_id").alias("_id")).join(shuffled(labels), "unit", "left")
     best = firsts.groupBy(F.coalesce("label", "unit").alias("label")).agg(F.min(F.struct("_id", "unit")).alias("x")).select(F.col("x._id").alias("_id"), F.col("x.unit").alias("_unit"))
     best = materialize(best, "firsts")
     # one column with the whole row, so that no name of the input clashes
     keyed = with_id.select(docs[id_col].alias("_id"), _unit(docs, text_col).alias("_unit"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    kept = keyed.join(best, ["_id", "_unit"], "left_semi").dropDuplicates(["_id", "_unit"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    kept = keyed.join(shuffled(best), ["_id", "_unit"], "left_semi").dropDuplicates(["_id", "_unit"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     return kept.unionByName(docs.filter(docs[id_col].isNull()))

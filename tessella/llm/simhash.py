@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, join_counted, materialize, slices
+from .common import drop_table, join_counted, materialize, shuffled, slices
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -171,7 +171,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     masks = block_masks(radius)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "key"))
     tiles = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = (keyed.join(tiles, ["band", "key"])
+    dealt = (keyed.join(shuffled(tiles), ["band", "key"])
              .withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .select("band", "key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "fp"))
     dealt = dealt.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
@@ -184,9 +184,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n")), "distinct")
     labels = components(links(distinct, radius, tile))
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = distinct.join(shuffled(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "label").select("fp", "component_id", "_n")
+    classes = named.join(shuffled(least), "label").select("fp", "component_id", "_n")
     # one fingerprint (that of wordless texts, or of mass copies) may hold a third of the rows
     return join_counted(prints, classes, "fp", prints.count(), F.xxhash64("doc_id"), "inner").select("doc_id", "fp", "component_id")
 
@@ -198,5 +198,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_c
     found = near_duplicates(keyed, radius, shingle)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     # rows of one id are few; the hash of their text picks one
-    kept = keyed.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), "text")).alias("row"))
+    kept = keyed.join(shuffled(first), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), "text")).alias("row"))
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]).unionByName(docs.filter(docs[id_col].isNull()))

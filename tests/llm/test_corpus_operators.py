@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import ann, bpe, components, decontaminate, langid, near, pii, quality, repeats, simhash, token_rollup, urls
+from tessella.operators import components as tables_of
 
 AWKWARD = [(900, None, "a", "x"), (901, "", None, "x"), (902, "  \n\t ", "b", "x"), (903, "word " * 4000, "b", None), (904, "same text here", "b", "x"), (904, "same text here", "b", "x"), (905, "same text here", None, "y"), (906, "Größe ΑΣ 日本 🙂 " * 20, "c", "z")]
 SCHEMA = "doc_id bigint, text string, source string, lang string"
@@ -199,6 +200,26 @@ def test_near_stage_takes_all_pairs_at_four_fifths(spark, prose, tile, monkeypat
     assert corpus_pipeline.near_duplicate_stage(spark, df.limit(0), SMALL).count() == 0
 
 
+def test_near_stage_sends_no_growing_table_out(spark, prose, monkeypatch):
+    """Joins go by shuffle, but for the bounded list of very common keys: a table that looks small as files may be too large for the driver."""
+    _, text = prose
+    sent, write = {}, near.materialize
+
+    def seen(df, name):
+        sent[name] = df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+        return write(df, name)
+
+    for module in (near, tables_of):
+        monkeypatch.setattr(module, "materialize", seen)
+    own = [text(30) for _ in range(12)]
+    rows = [(3 * i + k, t, None, None) for i, x in enumerate(own) for k, t in enumerate((x, x, x + " also"))]
+    kept = near.keep_one(table(spark, rows))
+    assert {"bit_pairs", "near_first", "near_more", "firsts", "pointers"} <= set(sent)
+    assert {k for k, n in sent.items() if n} <= {"bit_pairs"} and sent["bit_pairs"] <= 2
+    assert kept._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 0
+    assert {r.doc_id for r in kept.collect()} == set(range(0, 36, 3))
+
+
 def test_near_stage_compares_fingerprints(spark, prose, monkeypatch):
     """The stage asks the bit-sliced comparison, which joins all fingerprints within three bits, however many units have one."""
     import corpus_pipeline
