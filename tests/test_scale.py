@@ -144,3 +144,32 @@ def test_many_areas_take_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(tables, "PER_PARTITION", 300)
     monkeypatch.setattr(areas, "spread", lambda df, n, *keys: dealt.append(keys) or spread(df, n, *keys))
     assert rows() == usual and ("area", "x", "y") in dealt
+
+
+def test_search_bounds_distances_by_a_sample(monkeypatch):
+    """Of many segments across a cell a number meets a small share."""
+    rng, met, hypot = np.random.default_rng(3), [0], np.hypot
+    points, segments = rng.uniform(0, 32_768, (1600, 2)), rng.uniform(0, 32_768, (72_000, 4))
+
+    def counted(a, b):
+        met[0] += max(np.size(a), np.size(b))
+        return hypot(a, b)
+
+    monkeypatch.setattr(addresses.np, "hypot", counted)
+    found, _ = addresses.nearest_segments(points, segments, addresses.NUMBER_REACH)
+    assert set(found) == set(range(1600)) and met[0] < 0.1 * 1600 * 72_000
+
+
+def test_segments_are_placed_once(spark, monkeypatch):
+    """The cells of a segment are made distinct in its row and written; numbers meet the table, not the steps that make it."""
+    seen, write = {}, addresses.materialize
+
+    def kept(df, name):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(addresses, "materialize", kept)
+    rows = spark.createDataFrame([(f"p{i}", 0, "A", 0.0, 9.0, i * 50.0, 0.0, i * 50.0 + 5000, 4000.0) for i in range(20)], "piece string, pos int, name string, before double, total double, ax double, ay double, bx double, by double")
+    numbers = spark.createDataFrame([(1, 5, "A", 2500.0, 2000.0), (2, 6, "A", 90_000.0, 0.0)], "id long, n int, name string, x double, y double")
+    assert [r.id for r in addresses.match_numbers(numbers, rows, 2048).collect()] == [1]
+    assert "Exchange" not in seen["segments_placed"]
