@@ -173,3 +173,12 @@ def test_segments_are_placed_once(spark, monkeypatch):
     numbers = spark.createDataFrame([(1, 5, "A", 2500.0, 2000.0), (2, 6, "A", 90_000.0, 0.0)], "id long, n int, name string, x double, y double")
     assert [r.id for r in addresses.match_numbers(numbers, rows, 2048).collect()] == [1]
     assert "Exchange" not in seen["segments_placed"]
+
+
+def test_few_queries_are_sent_to_keys(spark):
+    """Keys stay where they are, and no more of a long one goes along than queries can tell apart."""
+    index = spark.createDataFrame([(i, "abc" + "x" * i) for i in range(50)], "id long, key string")
+    found = addresses.prefix_search(index, spark.createDataFrame([("ab",), ("abc",), ("abcx",), ("ab",)], "query string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "substring(key" in plan
+    assert {(r.query, r.id, r.exact) for r in found.collect()} == {(q, i, q == "abc" + "x" * i) for q in ("ab", "abc", "abcx") for i in range(50) if q != "abcx" or i}
